@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import op09_mixing
+from . import op08_outliers, op09_mixing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,4 +16,9 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op9_mix_sources,)}
+def op8_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op08_outliers.quality_rules(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+QUERIES = {f.__name__: f for f in (op8_quality_outliers, op9_mix_sources)}
