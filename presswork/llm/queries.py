@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import op08_outliers, op09_mixing
+from . import op04_patched_for, op05_fm_index, op08_outliers, op09_mixing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,9 +16,24 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_patched_for(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op04_patched_for.tokens(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
+def op5_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op05_fm_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return op05_fm_index.digest(found)
+
+
 def op8_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = op08_outliers.quality_rules(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
-QUERIES = {f.__name__: f for f in (op8_quality_outliers, op9_mix_sources)}
+QUERIES = {f.__name__: f for f in (op4_patched_for, op5_fm_index, op8_quality_outliers, op9_mix_sources)}
