@@ -36,4 +36,21 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_
 FROM doc d LEFT JOIN covered c USING (doc_id) LEFT JOIN items t USING (doc_id)
 """
 
-ORACLE_SQL = {"op5_fm_index": OP5, "op9_mix_sources": OP9}
+OP1 = """
+WITH raw AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS words FROM conversations),
+m AS (SELECT conv_id, turn, speaker, words, count(*) AS n FROM raw GROUP BY ALL),
+b AS (SELECT *, floor(turn / 64)::BIGINT AS block FROM m),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id, block ORDER BY turn ASC NULLS LAST, speaker, substr(md5(words), 1, 2), words) - 1 AS place FROM b),
+people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM m WHERE speaker <> 'system'),
+said AS (SELECT p.*, (p.place // 64)::BIGINT AS part, q.perspective,
+                CASE WHEN speaker = 'system' THEN '<|system|>' || chr(10) WHEN speaker = perspective THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || speaker || '|>' || chr(10) END AS head
+         FROM placed p JOIN people q ON p.conv_id IS NOT DISTINCT FROM q.conv_id),
+sized AS (SELECT *, head || words || '<|end|>' || chr(10) AS line FROM said),
+spans AS (SELECT *, coalesce(sum(length(line)) OVER (PARTITION BY conv_id, block, part, perspective ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun FROM sized)
+SELECT conv_id, block, part, perspective, string_agg(line, '' ORDER BY place) AS text,
+       flatten(list(CASE WHEN speaker = perspective THEN [(begun + length(head))::BIGINT, (begun + length(line))::BIGINT] ELSE [] END ORDER BY place)) AS mask,
+       count(*) AS n_messages, sum(n)::BIGINT AS n_rows
+FROM spans GROUP BY conv_id, block, part, perspective
+"""
+
+ORACLE_SQL = {"op1_chat_rotation": OP1, "op5_fm_index": OP5, "op9_mix_sources": OP9}

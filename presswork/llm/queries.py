@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import op04_patched_for, op05_fm_index, op08_outliers, op09_mixing
+from . import (
+    op01_chat,
+    op02_chosen_path,
+    op03_cotraining,
+    op04_patched_for,
+    op05_fm_index,
+    op06_differencing,
+    op07_suffixes,
+    op08_outliers,
+    op09_mixing,
+    op10_language,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +27,18 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op1_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op01_chat.rotated(table(spark, sf_dir, "conversations"))
+
+
+def op2_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op02_chosen_path.classes(table(spark, sf_dir, "documents"))
+
+
+def op3_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op03_cotraining.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -31,9 +54,43 @@ def op5_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op05_fm_index.digest(found)
 
 
+def op6_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op06_differencing.extracted(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op7_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op07_suffixes.digest(op07_suffixes.deduplicated(table(spark, sf_dir, "documents")))
+
+
 def op8_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = op08_outliers.quality_rules(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
-QUERIES = {f.__name__: f for f in (op4_patched_for, op5_fm_index, op8_quality_outliers, op9_mix_sources)}
+def op10_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_language.languages(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chat_rotation,
+        op2_chosen_path,
+        op3_cotraining,
+        op4_patched_for,
+        op5_fm_index,
+        op6_page_differencing,
+        op7_repeated_strings,
+        op8_quality_outliers,
+        op9_mix_sources,
+        op10_rank_order_language,
+        pipeline,
+    )
+}
