@@ -53,11 +53,11 @@ class Phrases:
 
 
 class FMIndex:
-    """Suffix order, Burrows-Wheeler transform and wavelet matrix of a sequence of numbers."""
+    """Suffix order, Burrows-Wheeler transform and wavelet matrix of numbers from 0 to alphabet."""
 
-    def __init__(self, text: np.ndarray):
+    def __init__(self, text: np.ndarray, alphabet: int):
         n = len(text) + 1
-        self.text_length, self.bits = n, max(1, int(text.max(initial=0) + 1).bit_length())
+        self.text_length, self.bits = n, max(1, (alphabet + 1).bit_length())
         values = np.concatenate([text.astype(np.int64) + 1, [0]])  # 0 ends the text
         order = np.argsort(values, kind="stable")
         rank = np.empty(n, np.int64)
@@ -147,7 +147,7 @@ def hits(docs: list[np.ndarray], phrases: Phrases) -> tuple[np.ndarray, np.ndarr
     to = np.repeat(new[:-1], size) + inside
     place[to] = np.repeat(starts, size) + inside
     text[to] = flat[place[to]]
-    index = FMIndex(text)
+    index = FMIndex(text, len(phrases.number))
     out = []
     for length in sorted(set(map(len, phrases.windows))):
         chosen = np.array([i for i, w in enumerate(phrases.windows) if len(w) == length], np.int64)
