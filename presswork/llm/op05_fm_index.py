@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import long_list
 
@@ -168,11 +168,14 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.column_stack([starts[first], ends[last]])
 
 
-OUT = "n_words bigint, hit_spans array<bigint>, item_ids array<bigint>, byte_spans array<bigint>"
+#: Added to the columns of the documents: number of words, word spans (start, end, ...), items, and the spans' bytes.
+ADDED = {"_fm_words": "n_words", "_fm_spans": "hit_spans", "_fm_items": "item_ids", "_fm_bytes": "byte_spans"}
+_KINDS = (T.LongType(), T.ArrayType(T.LongType()), T.ArrayType(T.LongType()), T.ArrayType(T.LongType()))
 
 
-def _search(docs: DataFrame, items: list[tuple[int, str | None]], columns: list[str], schema: str) -> DataFrame:
-    """docs' columns with OUT: word spans (start, end, ...), items found, and the spans' bytes in the text."""
+def _search(docs: DataFrame, items: list[tuple[int, str | None]], columns: list[str]) -> DataFrame:
+    """The columns of docs with the added ones."""
+    schema = T.StructType([*[f for f in docs.schema if f.name in columns], *[T.StructField(n, k) for n, k in zip(ADDED, _KINDS, strict=True)]])
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases(items)
@@ -192,7 +195,7 @@ def _search(docs: DataFrame, items: list[tuple[int, str | None]], columns: list[
                 spans[d], cut[d] = span.reshape(-1), np.column_stack([begin[span[:, 0]], end[span[:, 1] - 1]]).reshape(-1)
                 found[d] = np.array(sorted({i for w in np.unique(window[own]) for i in phrases.owners[w]}), np.int64)
             extra = [pa.array([len(x) for x in ids], pa.int64()), long_list(spans), long_list(found), long_list(cut)]
-            return pa.RecordBatch.from_arrays([*[held.column(c) for c in columns], *extra], [*columns, "n_words", "hit_spans", "item_ids", "byte_spans"])
+            return pa.RecordBatch.from_arrays([*[held.column(c) for c in columns], *extra], [*columns, *ADDED])
 
         for batch in batches:
             texts, ids, begin, size = [], [], 0, 0
@@ -206,7 +209,7 @@ def _search(docs: DataFrame, items: list[tuple[int, str | None]], columns: list[
                     yield judge(batch.slice(begin, i + 1 - begin), texts, ids)
                     texts, ids, begin, size = [], [], i + 1, 0
 
-    return docs.mapInArrow(shard, f"{schema}, {OUT}")
+    return docs.mapInArrow(shard, schema)
 
 
 def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int, str | None]]]:
@@ -222,7 +225,7 @@ def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterato
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", block_words: int = BLOCK_WORDS) -> DataFrame:
     """key, n_words, hit_spans (word start, end, ...), item_ids of each document."""
     rows = docs.select(F.col(key).alias("doc_id"), "text")
-    parts = [_search(rows, items, ["doc_id"], "doc_id bigint") for items in item_blocks(benchmark, block_words)]
+    parts = [_search(rows, items, ["doc_id"]).withColumnsRenamed(ADDED) for items in item_blocks(benchmark, block_words)]
     if len(parts) == 1:
         return parts[0].select(F.col("doc_id").alias(key), "n_words", "hit_spans", "item_ids", "byte_spans")
     every = parts[0]
@@ -238,18 +241,17 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLO
     columns = list(docs.columns)
     for items in item_blocks(benchmark, block_words):
         numbered = docs.select(*[F.col(f"`{c}`") for c in columns])
-        found = _search(numbered, items, columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
-        docs = _cut(found, columns)
+        docs = _cut(_search(numbered, items, columns), columns)
     return docs
 
 
 def _cut(found: DataFrame, columns: list[str]) -> DataFrame:
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema if f.name in columns)
+    schema = T.StructType([f for f in found.schema if f.name in columns])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for i, spans in enumerate(batch.column("byte_spans").to_pylist()):
+            for i, spans in enumerate(batch.column("_fm_bytes").to_pylist()):
                 if spans:
                     raw, at, kept = texts[i].encode(), 0, []
                     for a, b in zip(spans[::2], spans[1::2], strict=True):
@@ -259,7 +261,7 @@ def _cut(found: DataFrame, columns: list[str]) -> DataFrame:
             arrays = {c: batch.column(c) for c in columns} | {"text": pa.array(texts, pa.string())}
             if "n_chars" in arrays:
                 old = arrays["n_chars"].to_pylist()
-                changed = batch.column("byte_spans").to_pylist()
+                changed = batch.column("_fm_bytes").to_pylist()
                 arrays["n_chars"] = pa.array([len(t) if s else n for t, s, n in zip(texts, changed, old, strict=True)], arrays["n_chars"].type)
             yield pa.RecordBatch.from_arrays([arrays[c] for c in columns], columns)
 

@@ -21,9 +21,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 PROFILE, LANGUAGES, UNKNOWN = 400, 500, "und"
+#: Columns that are added to those of the documents.
+PREDICTED, SCORED = "_rank_order_language", "_rank_order_score"
 #: Characters that are counted at once.
 PIECE = 1 << 21
 _BITS = 21  # of a code point
@@ -124,11 +126,11 @@ def learnt(rows: DataFrame, size: int = PROFILE) -> DataFrame:
 
 
 def identified(docs: DataFrame, profiles: dict[str, dict[int, int]], columns: list[str], size: int = PROFILE) -> DataFrame:
-    """docs' columns with lang_pred and score, 1 for the distance 0 and 0 for the greatest that there can be."""
+    """The columns with prediction and score, 1 for the distance 0 and 0 for the greatest that there can be."""
     names = sorted(profiles)
     grams = np.array(sorted({g for p in profiles.values() for g in p}), np.int64)
     places = np.array([[profiles[n].get(g, -1) for g in grams.tolist()] for n in names], np.int64).reshape(len(names), len(grams))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns)
+    schema = T.StructType([*[f for f in docs.schema if f.name in columns], T.StructField(PREDICTED, T.StringType()), T.StructField(SCORED, T.DoubleType())])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,9 +154,9 @@ def identified(docs: DataFrame, profiles: dict[str, dict[int, int]], columns: li
                 for i in np.flatnonzero(of):
                     found[begin + i] = names[best[i]]
                     scores[begin + i] = 1 - far[best[i], i] / (of[i] * size)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*columns, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*columns, PREDICTED, SCORED])
 
-    return docs.mapInArrow(judge, f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(judge, schema)
 
 
 def profiles_of(docs: DataFrame, key: str = "doc_id", size: int = PROFILE) -> dict[str, dict[int, int]]:
@@ -171,10 +173,10 @@ def languages(docs: DataFrame, key: str = "doc_id", size: int = PROFILE) -> Data
     """key, held_out, lang_pred, score."""
     profiles = profiles_of(docs, key, size)
     rows = docs.select(F.col(key), held_out(key).alias("held_out"), "text")
-    return identified(rows, profiles, [key, "held_out"], size)
+    return identified(rows, profiles, [key, "held_out"], size).withColumnsRenamed({PREDICTED: "lang_pred", SCORED: "score"})
 
 
 def in_known_language(docs: DataFrame, key: str = "doc_id", least: float = 0.25, size: int = PROFILE) -> DataFrame:
     """The documents, without those whose language is unknown or whose score is under ``least``."""
     columns = list(docs.columns)
-    return identified(docs, profiles_of(docs, key, size), columns, size).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*[F.col(f"`{c}`") for c in columns])
+    return identified(docs, profiles_of(docs, key, size), columns, size).filter((F.col(PREDICTED) != UNKNOWN) & (F.col(SCORED) >= least)).select(*[F.col(f"`{c}`") for c in columns])
