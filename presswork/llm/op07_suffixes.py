@@ -12,7 +12,7 @@ have it at the same offset, so the ranks of those places decide for the windows
 3. The windows of the places that are left are ranked by all their bytes, past the threshold.
 
 Ranks are equivalence classes of fingerprints: 64 bits of a polynomial over random byte values in step 3, in
-step 2 32 bits of it and 32 bits or more of the prefix. Spark deals the places to buckets by their rank; a task
+step 2 32 bits for the stretch and 32 bits or more for the prefix. Spark deals the places to buckets by their rank; a task
 ships only the smallest document of each class that it has itself, so a string which every document has costs a
 row for each task. The number of buckets follows the bytes of the input.
 
@@ -32,9 +32,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import long_list, utf8, written
 
-LENGTH, PREFIX = 50, 16
-#: Bytes that are hashed at once, and bytes of input for each bucket.
-PIECE, BUCKET_BYTES = 1 << 21, 1 << 22
+LENGTH, PREFIX = 50, 24
+#: Bytes that are hashed at once, places or windows that are dealt out at once, and bytes of input for each bucket.
+PIECE, DEALT, BUCKET_BYTES = 1 << 20, 1 << 19, 1 << 22
 _BASE, _MIX = 0x9E3779B97F4A7C15 | 1, np.uint64(0xD6E8FEB86659FD93)
 _LOW = (1 << 24) - 1
 NULL_ID = -(1 << 63)
@@ -145,28 +145,37 @@ def smaller(order: np.ndarray, starts: np.ndarray, doc: np.ndarray) -> np.ndarra
     return doc[order] > np.repeat(doc[order][starts], sizes)
 
 
-#: Of a bucket's rows: numbers in planes. Of settled rows (bucket -1): doc, nth and span (first window * 64 + further ones).
-BLOB = "bucket int, rank binary, stretch binary, span binary, doc binary, nth binary"
-NAMES = ["bucket", "rank", "stretch", "span", "doc", "nth"]
+#: Of a bucket's rows: numbers in planes, of places or windows to rank, or of ones that are settled already.
+BLOB = "bucket int, settled boolean, rank binary, stretch binary, span binary, doc binary, nth binary"
+NAMES = ["bucket", "settled", "rank", "stretch", "span", "doc", "nth"]
 
 
-def _blobs(buckets: int, rank, stretch, span, doc, nth) -> Iterator[pa.RecordBatch]:
-    """Settles what a smaller document of the task itself decides and deals the rest to buckets."""
+def _blobs(buckets: int, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Settles what a smaller document of the task itself decides, and deals everything to buckets: what is to be
+    ranked by its rank, what is settled by its document. Without stretches the whole rank is kept."""
+    if not parts:
+        return
+    rank, stretch, span, doc, nth = (np.concatenate(x) for x in zip(*parts, strict=True))
+    parts.clear()
     order, starts = least_first(rank, stretch, doc)
-    known = smaller(order, starts, doc)
-    open_ = order[~known]
-    bucket = np.full(len(rank), -1, np.int64)
-    bucket[open_] = (rank[open_] % np.uint64(buckets)).astype(np.int64)
+    known = np.zeros(len(rank), bool)
+    known[order] = smaller(order, starts, doc)
+    staged = bool(stretch.any())
+    by_doc = (doc.view(np.uint64) * _MIX) >> np.uint64(32)
+    bucket = (np.where(known, by_doc, rank) % np.uint64(buckets)).astype(np.int64) * 2 + known
     kept = np.argsort(bucket, kind="stable")
-    edges = np.flatnonzero(np.concatenate([[True], np.diff(bucket[kept]) > 0])) if len(kept) else np.zeros(0, np.int64)
-    columns = [[] for _ in NAMES]
+    edges = np.flatnonzero(np.concatenate([[True], np.diff(bucket[kept]) > 0]))
+    columns: list[list] = [[] for _ in NAMES]
     for a, b in zip(edges, [*edges[1:], len(kept)], strict=True):
         own = kept[a:b]
-        columns[0].append(int(bucket[own[0]]))
-        high = (rank[own] >> np.uint64(32)).astype(np.uint32) if stretch.any() else rank[own]
-        for c, v in zip(columns[1:], (high, stretch[own].astype(np.uint32) if stretch.any() else np.zeros(0, np.uint32), span[own], doc[own], nth[own]), strict=True):
-            c.append(planes(v) if len(v) else b"")
-    kinds = [pa.int32(), *[pa.binary()] * 5]
+        settled = bool(bucket[own[0]] & 1)
+        columns[0].append(int(bucket[own[0]] >> 1))
+        columns[1].append(settled)
+        columns[2].append(b"" if settled else planes((rank[own] >> np.uint64(32)).astype(np.uint32) if staged else rank[own]))
+        columns[3].append(planes(stretch[own].astype(np.uint32)) if staged and not settled else b"")
+        for c, v in zip(columns[4:], (span[own], doc[own], nth[own]), strict=True):
+            c.append(planes(v))
+    kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 5]
     for i in range(0, len(columns[0]), 64):
         yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 64], k) for c, k in zip(columns, kinds, strict=True)], NAMES)
 
@@ -178,48 +187,56 @@ def _span_table(doc, nth, span, open_) -> pa.Table:
     return pa.table([pa.array(doc, pa.int64()), pa.array(nth, pa.int32()), pa.array(span, pa.int64()), pa.array(open_, pa.bool_())], ["doc", "nth", "span", "open"])
 
 
-def _column(table: pa.Table, name: str) -> list[bytes]:
-    return [x for x in table.column(name).to_pylist() if x]
+def _read(table: pa.Table, name: str, kind: str) -> np.ndarray:
+    found = [x for x in table.column(name).to_pylist() if x]
+    return unplaned(found, kind) if found else np.zeros(0, kind)
 
 
-def _settle(table: pa.Table) -> pa.Table:
+def _spans(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _read(table, "doc", "<i8"), _read(table, "nth", "<i4"), _read(table, "span", "<u8").astype(np.int64)
+
+
+def _with_settled(table: pa.Table, rank) -> pa.Table:
+    """What ranking the open rows of a bucket gives, with the rows that were settled before."""
+    settled = table.column("settled").to_numpy(zero_copy_only=False)
+    doc, nth, span = _spans(table.filter(pa.array(settled)))
+    out = [_span_table(doc, nth, span, np.zeros(len(doc), bool))]
+    if not settled.all():
+        out.append(rank(table.filter(pa.array(~settled))))
+    return pa.concat_tables(out)
+
+
+def _rank_places(table: pa.Table) -> pa.Table:
     """Step 2: the places of a bucket, ranked by prefix and stretch."""
-    rank, stretch = unplaned(_column(table, "rank"), "<u4"), unplaned(_column(table, "stretch"), "<u4")
-    span, doc, nth = unplaned(_column(table, "span"), "<u8"), unplaned(_column(table, "doc"), "<i8"), unplaned(_column(table, "nth"), "<i4")
+    rank, stretch, (doc, nth, span) = _read(table, "rank", "<u4"), _read(table, "stretch", "<u4"), _spans(table)
     order, starts = least_first(rank, stretch, doc)
     gone = smaller(order, starts, doc)
     r, d = rank[order], doc[order]
-    new = np.concatenate([[True], r[1:] != r[:-1]])
-    classes = np.flatnonzero(new)
+    classes = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
     sizes = np.diff(np.concatenate([classes, [len(r)]]))
     shared = np.repeat(np.minimum.reduceat(d, classes) != np.maximum.reduceat(d, classes), sizes)
-    stretches = np.repeat(np.add.reduceat(np.isin(np.arange(len(r)), starts).astype(np.int64), classes), sizes)
-    left = shared & ~gone & (stretches > 1)
+    begins = np.zeros(len(r), np.int64)
+    begins[starts] = 1
+    left = shared & ~gone & (np.repeat(np.add.reduceat(begins, classes), sizes) > 1)
     pick = gone | left
     own = order[pick]
-    return _span_table(doc[own], nth[own], span[own].astype(np.int64), left[pick])
+    return _span_table(doc[own], nth[own], span[own], left[pick])
 
 
-def _settle_windows(table: pa.Table) -> pa.Table:
+def _rank_windows(table: pa.Table) -> pa.Table:
     """Step 3: windows of a bucket, ranked by all their bytes."""
-    rank = unplaned(_column(table, "rank"), "<u8")
-    span, doc, nth = unplaned(_column(table, "span"), "<u8"), unplaned(_column(table, "doc"), "<i8"), unplaned(_column(table, "nth"), "<i4")
+    rank, (doc, nth, span) = _read(table, "rank", "<u8"), _spans(table)
     order, starts = least_first(rank, np.zeros(len(rank), np.uint8), doc)
     own = order[smaller(order, starts, doc)]
-    return _span_table(doc[own], nth[own], span[own].astype(np.int64), np.zeros(len(own), bool))
+    return _span_table(doc[own], nth[own], span[own], np.zeros(len(own), bool))
 
 
-def _local(blobs: DataFrame) -> DataFrame:
-    """The spans that a task settled by itself."""
+def _settle(table: pa.Table) -> pa.Table:
+    return _with_settled(table, _rank_places)
 
-    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if table.num_rows:
-                span, doc, nth = unplaned(_column(table, "span"), "<u8"), unplaned(_column(table, "doc"), "<i8"), unplaned(_column(table, "nth"), "<i4")
-                yield from _span_table(doc, nth, span.astype(np.int64), np.zeros(len(doc), bool)).to_batches()
 
-    return blobs.filter("bucket = -1").mapInArrow(unfold, SPANS)
+def _settle_windows(table: pa.Table) -> pa.Table:
+    return _with_settled(table, _rank_windows)
 
 
 def _identified(docs: DataFrame, key: str) -> DataFrame:
@@ -241,45 +258,42 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, prefix: int = PREFIX)
     buckets = max(8, -(-total // BUCKET_BYTES))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
         for batch in batches:
             doc, nth = batch.column("doc").to_numpy(), batch.column("nth").to_numpy()
             data, ends = utf8(batch.column("text"))
-            parts = []
             for piece, row, base, bounds in packs(data, ends, length):
                 p = places(piece, bounds, length, prefix)
                 own = row[p["piece"]]
                 start = p["left"] - bounds[p["piece"]] + base[p["piece"]]
                 parts.append((p["rank"], p["stretch"] | np.uint64(1), (start * 64 + p["more"]).astype("<u8"), doc[own], nth[own]))
-            if parts:
-                yield from _blobs(buckets, *(np.concatenate(x) for x in zip(*parts, strict=True)))
+                if sum(len(x[0]) for x in parts) >= DEALT:
+                    yield from _blobs(buckets, parts)
+        yield from _blobs(buckets, parts)
 
-    first = written(rows.mapInArrow(sample, BLOB), "places")
-    settled = written(first.filter("bucket >= 0").groupBy("bucket").applyInArrow(_settle, SPANS).unionByName(_local(first)), "spans")
+    dealt = rows.mapInArrow(sample, BLOB)
+    settled = written(dealt.groupBy("bucket").applyInArrow(_settle, SPANS), "spans")
     open_ = settled.filter("open").groupBy("doc", "nth").agg(F.collect_list("span").alias("spans"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
         for batch in batches:
             doc, nth, spans = batch.column("doc").to_numpy(), batch.column("nth").to_numpy(), batch.column("spans")
             data, ends = utf8(batch.column("text"))
-            parts = []
             for piece, row, base, bounds in packs(data, ends, length):
                 prints = Prints(piece)
-                starts = []
                 for i, r in enumerate(row):
                     span = spans[int(r)].values.to_numpy()
-                    begin, more = span >> 6, span & 63
-                    s = np.repeat(begin, more + 1) + np.arange((more + 1).sum()) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
-                    s = s[(s >= base[i]) & (s + length <= base[i] + bounds[i + 1] - bounds[i])] - base[i]
-                    starts.append((s, np.full(len(s), i)))
-                s, i = (np.concatenate(x) for x in zip(*starts, strict=True))
-                at = s + bounds[i]
-                parts.append((prints.of(at, at + length), ((s + base[i]) * 64).astype("<u8"), doc[row[i]], nth[row[i]]))
-            if parts:
-                rank, span, d, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield from _blobs(buckets, rank, np.zeros(len(rank), np.uint64), span, d, n)
-
-    second = written(rows.join(open_, ["doc", "nth"]).mapInArrow(windows, BLOB), "windows")
-    last = second.filter("bucket >= 0").groupBy("bucket").applyInArrow(_settle_windows, SPANS).unionByName(_local(second))
+                    begin, more = span >> 6, (span & 63) + 1
+                    s = np.repeat(begin, more) + np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
+                    s = s[(s >= base[i]) & (s + length <= base[i] + bounds[i + 1] - bounds[i])]
+                    at = s - base[i] + bounds[i]
+                    parts.append((prints.of(at, at + length), np.zeros(len(s), np.uint8), (s * 64).astype("<u8"), np.full(len(s), doc[r]), np.full(len(s), nth[r])))
+                if sum(len(x[0]) for x in parts) >= DEALT:
+                    yield from _blobs(buckets, parts)
+        yield from _blobs(buckets, parts)
+
+    last = rows.join(open_, ["doc", "nth"]).mapInArrow(windows, BLOB).groupBy("bucket").applyInArrow(_settle_windows, SPANS)
     return settled.filter("not open").unionByName(last).groupBy("doc", "nth").agg(F.collect_list("span").alias("spans"))
 
 
