@@ -6,7 +6,7 @@ import re
 from html import unescape
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 _TOKEN = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]*>|<[!?][^>]*>", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
@@ -93,29 +93,25 @@ def blocks(source: str | None) -> list[tuple[str, str, str]]:
     return out
 
 
-@F.pandas_udf("string")
-def text_of(html: pd.Series) -> pd.Series:
-    return html.map(to_text)
+def _mapped(function, kind: T.DataType):
+    """A column function which maps Arrow batches; it is made when it is used, not when a worker imports this."""
 
+    def column(html):
+        def each(values: pd.Series) -> pd.Series:
+            return values.map(function)
 
-@F.pandas_udf("string")
-def unlinked(html: pd.Series) -> pd.Series:
-    return html.map(without_links)
+        return F.pandas_udf(each, kind)(html)
 
+    return column
 
-@F.pandas_udf("string")
-def compacted(html: pd.Series) -> pd.Series:
-    return html.map(without_empty_blocks)
 
-
-@F.pandas_udf("array<struct<href: string, text: string, images: int>>")
-def links_of(html: pd.Series) -> pd.Series:
-    return html.map(links)
-
-
-@F.pandas_udf("array<struct<block_id: string, tag: string, text: string>>")
-def blocks_of(html: pd.Series) -> pd.Series:
-    return html.map(blocks)
+_LINK = T.StructType([T.StructField("href", T.StringType()), T.StructField("text", T.StringType()), T.StructField("images", T.IntegerType())])
+_BLOCK = T.StructType([T.StructField("block_id", T.StringType()), T.StructField("tag", T.StringType()), T.StructField("text", T.StringType())])
+text_of = _mapped(to_text, T.StringType())
+unlinked = _mapped(without_links, T.StringType())
+compacted = _mapped(without_empty_blocks, T.StringType())
+links_of = _mapped(links, T.ArrayType(_LINK))
+blocks_of = _mapped(blocks, T.ArrayType(_BLOCK))
 
 
 def cleaned(rows: DataFrame, body: str = "body_html") -> DataFrame:
