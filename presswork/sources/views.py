@@ -70,7 +70,7 @@ def definitions(d: dict) -> dict[str, str]:
         "team_persons": "SELECT DISTINCT l_suppkey AS team_id, l_partkey AS person_id FROM lineitem",
         "channels": "SELECT p_partkey + 1000000 AS id, p_partkey AS dqd_id, 'Player' AS relate_type FROM part UNION ALL SELECT s_suppkey, s_suppkey, 'Team' FROM supplier",
         "publish_accounts": "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 <> 0 THEN 1 ELSE 0 END AS enabled, s_nationkey AS assignment_count FROM supplier",
-        "verdicts": "SELECT doc_id + 1 AS article_id, quality = 1 AS belongs, CASE WHEN doc_id % 4 = 0 THEN 0.8 ELSE 0.95 END AS confidence, toxic FROM labels",
+        "verdicts": "SELECT doc_id + 1 AS article_id, quality = 1 AS belongs, CAST(CASE WHEN doc_id % 4 = 0 THEN 0.8 ELSE 0.95 END AS DOUBLE) AS confidence, toxic FROM labels",
     }
 
 
