@@ -18,18 +18,37 @@ empty table gives no segment; other columns are not read; very long texts are on
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .common import scratch
+from .common import scratch, written
 
 BLOCK, WIDE = 512, 0.9
 #: Ids of a segment (at a document's end) and words that a task remembers.
 SEGMENT, REMEMBER = 1 << 18, 400_000
+#: Kinds of bytes: letter or digit a, mark #, full stop or comma, white space, and what isn't one of these to all.
+_ASCII = bytes(range(128))
+_KIND = bytes(
+    97 if c >= 128 or chr(c).isalnum() else 46 if c in b".," else 32 if c in b" \t\n" else 35 if 32 < c < 127 else 119 for c in range(256)
+)
+
+
+def _together(text: str) -> bool:
+    """Do marks or white space stand together where the text would be cut?"""
+    raw = text.encode()
+    if not text.isascii() and not raw.translate(None, _ASCII).decode().isalpha():
+        return True
+    kind = raw.translate(_KIND)
+    return b"  " in kind or b" ." in kind or b".." in kind or b"#." in kind or b"w" in kind or kind[-1:] == b" "
+
+
 HEAD = np.dtype([("low", "<u4"), ("width", "u1"), ("pad", "u1"), ("exceptions", "<u2"), ("values", "<u2"), ("pad2", "<u2")])
 SEGMENT_SCHEMA = "part int, seq int, doc_ids array<bigint>, ends array<bigint>, n_ids bigint, index binary, data binary"
 
@@ -37,42 +56,61 @@ SEGMENT_SCHEMA = "part int, seq int, doc_ids array<bigint>, ends array<bigint>,
 class Encoder:
     """Ids of whole texts by a byte-level BPE of the tokenizers library.
 
-    Its pre-tokenizer never joins what stands before a lone space to what stands after it, so a text is the sum
-    of its space-separated pieces, each with the space before it; pieces are encoded once and remembered. A text
-    with other white space beside a space is encoded as a whole.
+    Its pre-tokenizer splits letters, digits, marks and white space, so between a letter and a mark, and before a
+    lone white space, a text can be cut and the parts encoded by themselves. Texts are cut there, before full
+    stops and commas, and new pieces are encoded once and remembered. Pieces that begin with a space are encoded
+    as one string, which is cut where an id begins with a space. A text in which marks or white space stand
+    together at such a place is encoded as a whole.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are parallel already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes | None] = {}
+        self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, pieces: set[str]) -> None:
-        if len(self.known) + len(pieces) > REMEMBER:
-            self.known.clear()
-        bad = {p for p in pieces if not p or p[0].isspace() or p[-1].isspace()}
-        self.known.update(dict.fromkeys(bad))
-        good = list(pieces - bad)
-        for p, e in zip(good, self.tokenizer.encode_batch([" " + p for p in good], add_special_tokens=False), strict=True):
+        spaced = [p for p in pieces if p[:1] == " "]
+        others = [p for p in pieces if p[:1] != " "]
+        for p, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
             self.known[p] = np.array(e.ids, "<u4").tobytes()
+        runs = [spaced[i : i + 500] for i in range(0, len(spaced), 500)]
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            edges = [*(np.flatnonzero(self.begins[ids]) * 4).tolist(), len(ids) * 4]
+            raw = ids.tobytes()
+            if len(edges) == len(run) + 1:
+                self.known.update(zip(run, [raw[a:b] for a, b in zip(edges, edges[1:])], strict=True))
+            else:  # an id in the midst of a piece begins with a space's byte
+                self.known.update((p, self.whole(p)) for p in run)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            first, *rest = text.split(" ")
-            if new := {p for p in rest if p not in self.known}:
-                self.learn(new | set(rest) if len(self.known) + len(new) > REMEMBER else new)
-            got = [self.known[p] for p in rest]
-            if None in got or (rest and (not first or first[-1:].isspace())):
-                out.append(self.whole(text))
-            else:
-                out.append((self.whole(first) if first else b"") + b"".join(got))
-        return out
+        odd = list(map(_together, texts))
+        split = [[] if o else t.replace(" ", "\0 ").replace(".", "\0.").replace(",", "\0,").replace("\n", "\0\n").split("\0") for t, o in zip(texts, odd, strict=True)]
+        new = set(filterfalse(self.known.__contains__, chain.from_iterable(split)))
+        if len(self.known) + len(new) > REMEMBER:
+            self.known.clear()
+            new = set(chain.from_iterable(split))
+        self.learn(new)
+        get = self.known.__getitem__
+        return [self.whole(t) if o else b"".join(map(get, pieces)) for t, o, pieces in zip(texts, odd, split, strict=True)]
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One for each worker process, which keeps what it knows from task to task."""
+    return Encoder(path)
+
+
+_BITS = np.array([int(x).bit_length() for x in range(1 << 16)], np.uint8)
 
 
 def pack(ids: np.ndarray, wide: float = WIDE) -> tuple[bytes, bytes]:
@@ -80,56 +118,64 @@ def pack(ids: np.ndarray, wide: float = WIDE) -> tuple[bytes, bytes]:
     n = -(-len(ids) // BLOCK)
     if not n:
         return b"", b""
-    full = np.zeros(n * BLOCK, np.uint32)
+    full = np.empty(n * BLOCK, np.uint32)
     full[: len(ids)] = ids
     full[len(ids) :] = ids[-1]
     rows = full.reshape(n, BLOCK)
     low = rows.min(1)
     rows = rows - low[:, None]
-    bits = np.frexp(rows.astype(np.float64))[1].astype(np.uint8)  # the bit length
-    width = np.partition(bits, int(np.ceil(wide * BLOCK)) - 1, axis=1)[:, int(np.ceil(wide * BLOCK)) - 1]
+    high = rows >> np.uint32(16)
+    bits = _BITS[rows & np.uint32(0xFFFF)] if not high.any() else np.where(high > 0, _BITS[high] + np.uint8(16), _BITS[rows & np.uint32(0xFFFF)])
+    width, most = np.zeros(n, np.uint8), int(bits.max())
+    for w in range(most):  # too narrow while fewer than the percentile's values fit
+        width += np.count_nonzero(bits <= w, axis=1) < np.ceil(wide * BLOCK)
     over = bits > width[:, None]
-    counts = over.sum(1)
+    counts = np.count_nonzero(over, axis=1)
     head = np.zeros(n, HEAD)
     head["low"], head["width"], head["exceptions"], head["values"] = low, width, counts, BLOCK
     head["values"][-1] = len(ids) - (n - 1) * BLOCK
-    sizes = HEAD.itemsize + width.astype(np.int64) * (BLOCK // 8) + counts * 6
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    data = np.zeros(starts[-1], np.uint8)
-    data[starts[:-1, None] + np.arange(HEAD.itemsize)] = head.view(np.uint8).reshape(n, -1)
-    for w in np.unique(width[width > 0]):
+    packed: list[bytes] = [b""] * n
+    for w in range(1, most + 1):
         at = np.flatnonzero(width == w)
-        packed = _pack_width(rows[at] & np.uint32((1 << int(w)) - 1), int(w))
-        data[starts[at, None] + HEAD.itemsize + np.arange(packed.shape[1])] = packed
+        if len(at):
+            size = w * (BLOCK // 8)
+            raw = _pack_width(rows[at] & np.uint32((1 << w) - 1), w)
+            for k, b in enumerate(at.tolist()):
+                packed[b] = raw[k * size : (k + 1) * size]
     block, place = np.nonzero(over)
-    if len(block):
-        nth = np.arange(len(block)) - np.concatenate([[0], np.cumsum(counts)])[block]
-        base = starts[block] + HEAD.itemsize + width[block].astype(np.int64) * (BLOCK // 8)
-        data[(base + 2 * nth)[:, None] + np.arange(2)] = place.astype("<u2").view(np.uint8).reshape(-1, 2)
-        data[(base + 2 * counts[block] + 4 * nth)[:, None] + np.arange(4)] = rows[block, place].astype("<u4").view(np.uint8).reshape(-1, 4)
-    return starts[:-1].astype("<u8").tobytes(), data.tobytes()
-
-
-def _pack_width(rows: np.ndarray, w: int) -> np.ndarray:
-    lanes = rows.reshape(-1, 64).astype(np.uint64)
-    out = np.zeros((len(lanes), w), "<u8")
+    ends = np.cumsum(counts)
+    places, values = place.astype("<u2").tobytes(), rows[block, place].astype("<u4").tobytes()
+    heads, parts, starts, at = head.tobytes(), [], np.zeros(n, "<u8"), 0
+    for b, (e, c) in enumerate(zip(ends.tolist(), counts.tolist(), strict=True)):
+        starts[b] = at
+        part = heads[b * HEAD.itemsize : (b + 1) * HEAD.itemsize] + packed[b] + places[2 * (e - c) : 2 * e] + values[4 * (e - c) : 4 * e]
+        parts.append(part)
+        at += len(part)
+    return starts.tobytes(), b"".join(parts)
+
+
+def _pack_width(rows: np.ndarray, w: int) -> bytes:
+    """Blocks of w-bit values: 64 values to w words of 64 bits, the lanes of all words at once."""
+    lanes = np.ascontiguousarray(rows.reshape(-1, 64).T).astype(np.uint64)
+    out = np.zeros((w, lanes.shape[1]), np.uint64)
     for i in range(64):
         word, shift = divmod(i * w, 64)
-        out[:, word] |= lanes[:, i] << np.uint64(shift)
+        out[word] |= lanes[i] << np.uint64(shift)
         if shift + w > 64:
-            out[:, word + 1] |= lanes[:, i] >> np.uint64(64 - shift)
-    return out.view(np.uint8).reshape(len(rows), -1)
+            out[word + 1] |= lanes[i] >> np.uint64(64 - shift)
+    return np.ascontiguousarray(out.T).astype("<u8").tobytes()
 
 
-def _unpack_width(packed: np.ndarray, w: int) -> np.ndarray:
-    words = np.ascontiguousarray(packed).view("<u8").reshape(-1, w)
-    out = np.empty((len(words), 64), np.uint64)
+def _unpack_width(packed: bytes, w: int) -> np.ndarray:
+    words = np.ascontiguousarray(np.frombuffer(packed, "<u8").reshape(-1, w).T)
+    out, mask = np.empty((64, words.shape[1]), np.uint32), np.uint64((1 << w) - 1)
     for i in range(64):
         word, shift = divmod(i * w, 64)
-        out[:, i] = words[:, word] >> np.uint64(shift)
+        lane = words[word] >> np.uint64(shift)
         if shift + w > 64:
-            out[:, i] |= words[:, word + 1] << np.uint64(64 - shift)
-    return (out & np.uint64((1 << w) - 1)).astype(np.uint32).reshape(len(packed), BLOCK)
+            lane |= words[word + 1] << np.uint64(64 - shift)
+        out[i] = lane & mask
+    return np.ascontiguousarray(out.T).reshape(-1, BLOCK)
 
 
 def unpack(index: bytes, data: bytes) -> np.ndarray:
@@ -137,12 +183,13 @@ def unpack(index: bytes, data: bytes) -> np.ndarray:
     starts = np.frombuffer(index, "<u8").astype(np.int64)
     if not len(starts):
         return np.zeros(0, np.uint32)
-    data = np.frombuffer(data, np.uint8)
+    raw, data = data, np.frombuffer(data, np.uint8)
     head = np.ascontiguousarray(data[starts[:, None] + np.arange(HEAD.itemsize)]).view(HEAD).reshape(-1)
     rows = np.zeros((len(starts), BLOCK), np.uint32)
-    for w in np.unique(head["width"][head["width"] > 0]):
+    for w in np.unique(head["width"][head["width"] > 0]).tolist():
         at = np.flatnonzero(head["width"] == w)
-        rows[at] = _unpack_width(data[starts[at, None] + HEAD.itemsize + np.arange(int(w) * (BLOCK // 8))], int(w))
+        size = w * (BLOCK // 8)
+        rows[at] = _unpack_width(b"".join([raw[a : a + size] for a in (starts[at] + HEAD.itemsize).tolist()]), w)
     counts = head["exceptions"].astype(np.int64)
     block = np.repeat(np.arange(len(starts)), counts)
     if len(block):
@@ -171,7 +218,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id"
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, seq, part = Encoder(tokenizer), 0, TaskContext.get().partitionId()
+        encode_all, seq, part = encoder(tokenizer).encode, 0, TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
 
         def segment(keys: list, ids: list[bytes]) -> pa.RecordBatch:
@@ -186,7 +233,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id"
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 piece = batch.slice(at, 256)
-                for k, e in zip(piece.column("doc_id").to_pylist(), encoder.encode(piece.column("text").to_pylist()), strict=True):
+                for k, e in zip(piece.column("doc_id").to_pylist(), encode_all(piece.column("text").to_pylist()), strict=True):
                     keys.append(k)
                     ids.append(e + end)
                     size += len(e) // 4 + 1
@@ -207,7 +254,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     inner = F.coalesce(F.sum("n_ids").over(W.partitionBy("part").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     base = sizes.withColumn("inner", inner).join(parts.withColumn("before", before), "part").select("part", "seq", (F.col("inner") + F.col("before")).alias("base"))
-    return segments.join(base, ["part", "seq"])
+    # a row for each segment, and a written table has a known size: small, it is sent to the segments, else joined
+    return segments.join(written(base, "bases"), ["part", "seq"])
 
 
 def token_report(segments: DataFrame) -> DataFrame:
