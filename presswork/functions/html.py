@@ -6,7 +6,7 @@ import re
 from html import unescape
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 _TOKEN = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]*>|<[!?][^>]*>", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
@@ -105,11 +105,24 @@ def _mapped(function, kind: T.DataType):
     return column
 
 
+def _gated(function, probe: str):
+    """A text function for the rows alone in which a native probe finds work; the others reach Python as nulls."""
+
+    def column(html: Column | str) -> Column:
+        def each(values: pd.Series) -> pd.Series:
+            return values.map(function, na_action="ignore")
+
+        body = F.col(html) if isinstance(html, str) else html
+        return F.coalesce(F.pandas_udf(each, T.StringType())(F.when(body.rlike(probe), body)), body)
+
+    return column
+
+
 _LINK = T.StructType([T.StructField("href", T.StringType()), T.StructField("text", T.StringType()), T.StructField("images", T.IntegerType())])
 _BLOCK = T.StructType([T.StructField("block_id", T.StringType()), T.StructField("tag", T.StringType()), T.StructField("text", T.StringType())])
 text_of = _mapped(to_text, T.StringType())
-unlinked = _mapped(without_links, T.StringType())
-compacted = _mapped(without_empty_blocks, T.StringType())
+unlinked = _gated(without_links, PROBE_ANCHOR)
+compacted = _gated(without_empty_blocks, PROBE_EMPTY)
 links_of = _mapped(links, T.ArrayType(_LINK))
 blocks_of = _mapped(blocks, T.ArrayType(_BLOCK))
 
@@ -117,9 +130,9 @@ blocks_of = _mapped(blocks, T.ArrayType(_BLOCK))
 def cleaned(rows: DataFrame, body: str = "body_html") -> DataFrame:
     """Anchors and then empty blocks removed where a native probe finds any; counts of what was found."""
     probed = rows.withColumn("had_links", F.col(body).rlike(PROBE_ANCHOR))
-    step = probed.withColumn("_step", F.when(F.col("had_links"), unlinked(body)).otherwise(F.col(body)))
+    step = probed.withColumn("_step", unlinked(body))
     step = step.withColumn("had_empty", F.coalesce(F.col("_step").rlike(PROBE_EMPTY), F.lit(False)))
-    return step.withColumn("clean", F.when(F.col("had_empty"), compacted("_step")).otherwise(F.col("_step"))).drop("_step")
+    return step.withColumn("clean", compacted("_step")).drop("_step")
 
 
 def link_table(rows: DataFrame, key: str, body: str = "body_html") -> DataFrame:
