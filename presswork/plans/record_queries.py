@@ -152,10 +152,12 @@ def x1_valid_verdicts(v):
     return K.valid_verdicts(v.verdicts.select(F.col("article_id").alias("id"), answer.alias("answer")))
 
 
-@query(f"{PERIODS} SELECT * FROM periods WHERE date_part('day', period_start) % 3 <> 0", "sources")
+@query(f"{PERIODS} SELECT * FROM periods p WHERE NOT EXISTS (SELECT 1 FROM articles a WHERE a.source = 'src7' AND a.created_at >= p.period_start AND a.created_at < p.period_end)", "articles")
 def w7_missing_periods(v):
-    every = spans(v).join(F.broadcast(v.sources.limit(1).select(F.lit(1).alias("x"))), F.lit(True)).drop("x")
-    return R.missing_periods(every.filter("day(period_start) % 3 = 0"), every)
+    """Periods in which a source has published nothing, as a ledger of reports would lack them."""
+    tiles = spans(v)
+    seen = v.articles.filter("source = 'src7'").join(F.broadcast(tiles), (F.col("created_at") >= F.col("period_start")) & (F.col("created_at") < F.col("period_end")))
+    return R.missing_periods(seen.select("period_start", "period_end").distinct(), tiles)
 
 
 @query("SELECT id, created_at FROM articles ORDER BY created_at DESC, id DESC LIMIT 50 OFFSET 100", "articles", "article_tabs")

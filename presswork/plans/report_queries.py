@@ -43,9 +43,13 @@ def a1_status_counts(v):
     return R.status_counts(v.articles)
 
 
-@query(f"{PERIODS} SELECT * FROM periods", "sources")
+@query(f"{PERIODS} SELECT p.*, count(a.id) AS n FROM periods p LEFT JOIN articles a ON a.created_at >= period_start AND a.created_at < period_end GROUP BY ALL", "articles")
 def st2_uneven_periods(v):
-    return spans(v).join(v.sources.limit(1).select(F.lit(True).alias("x")), F.lit(True)).drop("x")
+    """Every article falls into one period; periods without articles stay."""
+    tiles = spans(v)
+    inside = v.articles.join(F.broadcast(tiles), (F.col("created_at") >= F.col("period_start")) & (F.col("created_at") < F.col("period_end")))
+    counted = inside.groupBy("period_start").agg(F.count("*").alias("n"))
+    return tiles.join(counted, "period_start", "left").select("period_start", "period_end", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(f"{STATS} SELECT * FROM stats", "articles", "sources")
