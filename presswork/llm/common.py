@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +38,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deals rows out evenly if the scan has fewer partitions than the session asks for in a shuffle."""
-    return df
+#: Rows of an Arrow batch, where the session has Spark's default of 10,000: whole texts in batches of a few MB.
+BATCH = "1024"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker and its executor hold of whole texts at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, BATCH)
+
+
+def tidy(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The function for mapInArrow, which gives back freed memory at the end of a task: workers stay for later ones."""
+
+    @wraps(function)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -6,9 +6,9 @@ digits, marks and repeated lines. Each is a ridge-penalized logistic regression.
 documents without a label, and its most confident ones of either class become training rows of the other. At the
 end both views are calibrated on held-out labels and combined by a logistic regression of their calibrated logits.
 
-All features, and all scores, are of whole texts of all documents. What is bounded is what is fitted: at most
-``LABELLED`` labelled documents (those of least hash), and ``CONFIDENT`` pseudo-labels for each view, class and
-round; only these rows go to the driver.
+All features, and all scores, are of whole texts of all documents. What is bounded is what is fitted: about
+``LABELLED`` labelled documents, drawn by hash, and about ``CONFIDENT`` pseudo-labels for each view, class and round;
+only these rows go to the driver.
 
 Defined cases: a null text is empty; a document with several labels has their mean, 0.5 counts as good; labels
 without a document or without a value don't count; without both classes among the labels every score is the share
@@ -25,13 +25,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import utf8, written
+from .common import small_batches, tidy, utf8, written
 
 BINS, META_BINS = 256, 32
 LABELLED, CONFIDENT, ROUNDS, HELD = 20_000, 300, 3, 0.25
 #: A pseudo-label's least probability.
 SURE = 0.9
-PIECE = 1 << 21
+PIECE = 1 << 20
 
 FEATURES = "content binary, meta binary"
 NUMERIC = 9
@@ -89,7 +89,7 @@ def features(docs: DataFrame, key: str = "doc_id") -> DataFrame:
                     [piece.column("doc"), pa.array([x.tobytes() for x in content.astype(np.float16)], pa.binary()), pa.array(meta, pa.binary())], ["doc", "content", "meta"]
                 )
 
-    return rows.mapInArrow(view, f"doc bigint, {FEATURES}")
+    return rows.mapInArrow(tidy(view), f"doc bigint, {FEATURES}")
 
 
 class Logistic:
@@ -130,14 +130,50 @@ def _scored(rows: DataFrame, models: tuple[Logistic, Logistic]) -> DataFrame:
                 logits = [pa.array(m.logit(x), pa.float64()) for m, x in zip(models, views, strict=True)]
                 yield pa.RecordBatch.from_arrays([piece.column("doc"), *logits], ["doc", "text_logit", "meta_logit"])
 
-    return rows.mapInArrow(score, "doc bigint, text_logit double, meta_logit double")
+    return rows.mapInArrow(tidy(score), "doc bigint, text_logit double, meta_logit double")
+
+
+def _share(key: str, salt: int):
+    """A number from 0 to 1 by a key's hash."""
+    return F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(1 << 20)) / float(1 << 20)
+
+
+def _fetched(rows: DataFrame, ids: DataFrame, by: list[str]) -> list:
+    """The features of a bounded number of ids; of rows of one id the least."""
+    return rows.join(F.broadcast(ids), "doc").groupBy("doc", *by).agg(F.min(F.struct("content", "meta")).alias("f")).select("doc", *by, "f.*").orderBy("doc").collect()
+
+
+def _confident(free: DataFrame, confident: int, salt: int) -> DataFrame:
+    """(doc, view, good): about ``confident`` of the surest documents of each view and class.
+
+    The counts of a histogram say from which bin on they number so many; of the last bin a share is drawn by hash.
+    So no task and no driver sorts documents.
+    """
+    sides = free.select("doc", F.explode(F.array(*[F.struct(F.lit(v).alias("view"), F.col(c).alias("logit")) for v, c in enumerate(("text_logit", "meta_logit"))])).alias("s"))
+    sure = sides.select("doc", "s.view", (F.col("s.logit") >= 0).cast("int").alias("good"), F.floor(F.abs("s.logit") * 20).cast("int").alias("bin")).filter(F.col("bin") >= int(np.log(SURE / (1 - SURE)) * 20))
+    counts = sure.groupBy("view", "good", "bin").agg(F.count("*").alias("n")).collect()
+    chosen = F.lit(False)
+    for slot in {(r["view"], r["good"]) for r in counts}:
+        left, part = confident, 1.0
+        for r in sorted((r for r in counts if (r["view"], r["good"]) == slot), key=lambda r: -r["bin"]):
+            last, part = r["bin"], min(1.0, left / r["n"])
+            left -= r["n"]
+            if left <= 0:
+                break
+        drawn = (F.col("bin") > last) | ((F.col("bin") == last) & (_share("doc", salt) < part))
+        chosen = chosen | ((F.col("view") == slot[0]) & (F.col("good") == slot[1]) & drawn)
+    return sure.filter(chosen).select("doc", "view", "good").distinct()
 
 
 def classified(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", rounds: int = ROUNDS, labelled: int = LABELLED, confident: int = CONFIDENT) -> DataFrame:
     """key, text_score and meta_score (calibrated), score and good of each document."""
+    spark = docs.sparkSession
+    small_batches(spark)
     rows = written(features(docs, key), "features")
     known = labels.groupBy(F.col(key).cast("long").alias("doc")).agg(F.avg(F.col(label).cast("double")).alias("y")).filter("y is not null and doc is not null")
-    sample = rows.join(known, "doc").dropDuplicates(["doc"]).orderBy(F.xxhash64("doc"), "doc").limit(labelled).collect()
+    known = written(known, "labels")
+    share = min(1.0, labelled / max(1, known.count()))
+    sample = _fetched(rows, known.filter(_share("doc", 0) <= share), ["y"])
     y = np.array([float(r["y"] >= 0.5) for r in sample])
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.5
@@ -152,27 +188,15 @@ def classified(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: s
     weight = [[np.ones(len(y[~held]))], [np.ones(len(y[~held]))]]
     fit = lambda: tuple(Logistic(np.concatenate(own[v]), np.concatenate(target[v]), np.concatenate(weight[v])) for v in (0, 1))
     models = fit()
-    least = float(np.log(SURE / (1 - SURE)))
-    taken: set[int] = set()
-    for _ in range(rounds):
-        free = _scored(rows.join(known, "doc", "left_anti"), models)
-        best = None
-        for v, name in enumerate(("text_logit", "meta_logit")):
-            for good in (1, 0):
-                side = F.col(name) if good else -F.col(name)
-                top = free.filter(side >= least).orderBy(side.desc(), "doc").limit(confident * (rounds + 1)).select("doc", F.lit(v).alias("view"), F.lit(good).alias("good"), side.alias("logit"))
-                best = top if best is None else best.unionByName(top)
-        found = written(best, "confident")
-        # a view teaches the other what it is sure of and hasn't taught yet
-        lessons = rows.join(F.broadcast(found), "doc").dropDuplicates(["doc", "view", "good"]).orderBy("view", "good", F.desc("logit"), "doc").collect()
-        count: dict[tuple[int, int], int] = {}
-        new = []
-        for r in lessons:
-            slot = (r["view"], r["good"])
-            if r["doc"] not in taken and count.get(slot, 0) < confident:
-                count[slot] = count.get(slot, 0) + 1
-                new.append(r)
-        taken |= {r["doc"] for r in new}
+    taken: list[tuple[int]] = []
+    for k in range(rounds):
+        logits = _scored(rows, models).join(known.select("doc"), "doc", "left_anti")
+        if taken:  # what was taught isn't taught again
+            logits = logits.join(F.broadcast(spark.createDataFrame(taken, "doc bigint")), "doc", "left_anti")
+        free = written(logits.filter("doc is not null"), "logits")
+        found = written(_confident(free, confident, k + 1), "confident")
+        new = _fetched(rows, found, ["view", "good"])
+        taken += [(d,) for d in {r["doc"] for r in new}]
         for v in (0, 1):
             lesson = [r for r in new if r["view"] != v]
             if lesson:

@@ -36,7 +36,8 @@ def op2_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op03_cotraining.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    found = op03_cotraining.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.withColumn("kept", F.col("good"))
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
