@@ -28,11 +28,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .common import scratch, written
+from .common import scratch, small_batches, tidy, written
 
 BLOCK, WIDE = 512, 0.9
-#: Ids of a segment (at a document's end) and words that a task remembers.
-SEGMENT, REMEMBER = 1 << 18, 400_000
+#: Ids of a segment (at a document's end) and pieces in each half of what a worker remembers.
+SEGMENT, REMEMBER = 1 << 18, 250_000
 #: Kinds of bytes: letter or digit a, mark #, full stop or comma, white space, and what isn't one of these to all.
 _ASCII = bytes(range(128))
 _KIND = bytes(
@@ -70,6 +70,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         self.begins[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
@@ -96,10 +97,12 @@ class Encoder:
         odd = list(map(_together, texts))
         split = [[] if o else t.replace(" ", "\0 ").replace(".", "\0.").replace(",", "\0,").replace("\n", "\0\n").split("\0") for t, o in zip(texts, odd, strict=True)]
         new = set(filterfalse(self.known.__contains__, chain.from_iterable(split)))
-        if len(self.known) + len(new) > REMEMBER:
-            self.known.clear()
+        if len(self.known) + len(new) > REMEMBER:  # what is still in use comes over from the older half
+            self.older, self.known = self.known, {}
             new = set(chain.from_iterable(split))
-        self.learn(new)
+        back = new & self.older.keys()
+        self.known.update((p, self.older[p]) for p in back)
+        self.learn(new - back)
         get = self.known.__getitem__
         return [self.whole(t) if o else b"".join(map(get, pieces)) for t, o, pieces in zip(texts, odd, split, strict=True)]
 
@@ -212,6 +215,7 @@ def block_ids(index: bytes, data: bytes, n_ids: int, begin: int, end: int) -> np
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", end_id: int = 0) -> None:
     """Writes the segments of all texts to ``path``, in ascending order of key."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     ordered = docs.select(F.col(key).alias("doc_id"), text.alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
@@ -243,7 +247,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id"
         if keys:
             yield segment(keys, ids)
 
-    ordered.mapInArrow(encode, SEGMENT_SCHEMA).write.parquet(path)
+    ordered.mapInArrow(tidy(encode), SEGMENT_SCHEMA).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -274,7 +278,7 @@ def token_report(segments: DataFrame) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return segments.mapInArrow(decode, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return segments.mapInArrow(tidy(decode), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def tokens(docs: DataFrame, tokenizer: str, key: str = "doc_id", end_id: int = 0, path: str | None = None) -> DataFrame:
