@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import components, written
+from .common import components, small_batches, tidy, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 HASHES, SMALL, DEPTH, RECALL = 128, 1000, 3, 0.9995
@@ -196,7 +196,7 @@ def _compare(rows: DataFrame) -> DataFrame:
                 yield _edges(node[own[at]], node[own[label[at]]])
 
     dealt = rows.repartition("path").sortWithinPartitions("path")
-    return dealt.mapInArrow(lambda batches: by_bucket(batches, "path", 20_000, bucket), EDGE)
+    return dealt.mapInArrow(tidy(lambda batches: by_bucket(batches, "path", 20_000, bucket)), EDGE)
 
 
 SIGNED = "doc bigint, node bigint, sketch binary, hashes binary"
@@ -219,7 +219,7 @@ def signed(docs: DataFrame, key: str, size: int = SHINGLE) -> DataFrame:
                     hashes.append(None if low is None else low.tobytes())
                 yield pa.RecordBatch.from_arrays([piece.column("doc"), pa.array(node, pa.int64()), pa.array(sketches, pa.binary()), pa.array(hashes, pa.binary())], ["doc", "node", "sketch", "hashes"])
 
-    return docs.select(F.col(key).cast("long").alias("doc"), "text").mapInArrow(sign, SIGNED)
+    return docs.select(F.col(key).cast("long").alias("doc"), "text").mapInArrow(tidy(sign), SIGNED)
 
 
 PATHS = "path bigint, node bigint, sketch binary"
@@ -244,7 +244,7 @@ def _split(rows: DataFrame, runs: int) -> DataFrame:
                 take = pa.array(of[row])
                 yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), piece.column("node").take(take), piece.column("sketch").take(take)], ["path", "node", "sketch"])
 
-    return rows.mapInArrow(split, PATHS)
+    return rows.mapInArrow(tidy(split), PATHS)
 
 
 def candidates(nodes: DataFrame, small: int = SMALL, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
@@ -330,11 +330,12 @@ def _exact(rows: DataFrame, size: int, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1].astype(np.int64)), pa.array(columns[2]), pa.array(columns[3], pa.bool_())], ["node", "links", "least", "whole"])
 
     dealt = rows.repartition("path").sortWithinPartitions("path")
-    return dealt.mapInArrow(lambda batches: by_bucket(batches, "path", 2 * BLOCK, bucket), FOUND)
+    return dealt.mapInArrow(tidy(lambda batches: by_bucket(batches, "path", 2 * BLOCK, bucket)), FOUND)
 
 
 def similar_documents(docs: DataFrame, key: str = "doc_id", size: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """doc, node, links, root for each row: root is the node that stands for the class, null without words."""
+    small_batches(docs.sparkSession)
     rows = written(signed(docs, key, size), "signed")
     some = rows.filter("node is not null")
     classes = written(some.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc").alias("first_doc")), "classes")

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import long_list
+from .common import long_list, small_batches, tidy
 
 WINDOW = 10
 #: Benchmark words that are shipped to tasks at once, words of a shard's text, and the step of suffix samples.
@@ -175,6 +175,7 @@ _KINDS = (T.LongType(), T.ArrayType(T.LongType()), T.ArrayType(T.LongType()), T.
 
 def _search(docs: DataFrame, items: list[tuple[int, str | None]], columns: list[str]) -> DataFrame:
     """The columns of docs with the added ones."""
+    small_batches(docs.sparkSession)
     schema = T.StructType([*[f for f in docs.schema if f.name in columns], *[T.StructField(n, k) for n, k in zip(ADDED, _KINDS, strict=True)]])
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +210,7 @@ def _search(docs: DataFrame, items: list[tuple[int, str | None]], columns: list[
                     yield judge(batch.slice(begin, i + 1 - begin), texts, ids)
                     texts, ids, begin, size = [], [], i + 1, 0
 
-    return docs.mapInArrow(shard, schema)
+    return docs.mapInArrow(tidy(shard), schema)
 
 
 def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int, str | None]]]:
@@ -265,7 +266,7 @@ def _cut(found: DataFrame, columns: list[str]) -> DataFrame:
                 arrays["n_chars"] = pa.array([len(t) if s else n for t, s, n in zip(texts, changed, old, strict=True)], arrays["n_chars"].type)
             yield pa.RecordBatch.from_arrays([arrays[c] for c in columns], columns)
 
-    return found.mapInArrow(cut, schema)
+    return found.mapInArrow(tidy(cut), schema)
 
 
 def span_words(spans: str = "hit_spans"):

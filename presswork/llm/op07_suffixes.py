@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import long_list, utf8, written
+from .common import long_list, small_batches, tidy, utf8, written
 
 LENGTH, PREFIX = 50, 24
 #: Bytes that are hashed at once, places or windows that are dealt out at once, and bytes of input for each bucket.
@@ -271,7 +271,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, prefix: int = PREFIX)
                     yield from _blobs(buckets, parts)
         yield from _blobs(buckets, parts)
 
-    dealt = rows.mapInArrow(sample, BLOB)
+    dealt = rows.mapInArrow(tidy(sample), BLOB)
     settled = written(dealt.groupBy("bucket").applyInArrow(_settle, SPANS), "spans")
     open_ = settled.filter("open").groupBy("doc", "nth").agg(F.collect_list("span").alias("spans"))
 
@@ -293,7 +293,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, prefix: int = PREFIX)
                     yield from _blobs(buckets, parts)
         yield from _blobs(buckets, parts)
 
-    last = rows.join(open_, ["doc", "nth"]).mapInArrow(windows, BLOB).groupBy("bucket").applyInArrow(_settle_windows, SPANS)
+    last = rows.join(open_, ["doc", "nth"]).mapInArrow(tidy(windows), BLOB).groupBy("bucket").applyInArrow(_settle_windows, SPANS)
     return settled.filter("not open").unionByName(last).groupBy("doc", "nth").agg(F.collect_list("span").alias("spans"))
 
 
@@ -308,6 +308,7 @@ def removed(spans: np.ndarray, length: int) -> np.ndarray:
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", length: int = LENGTH, prefix: int = PREFIX) -> DataFrame:
     """key, n_bytes, removed_spans (start, end, ...), kept (the bytes that are left)."""
+    small_batches(docs.sparkSession)
     rows = _identified(docs, key)
     joined = rows.join(repeated_spans(rows, length, prefix), ["doc", "nth"], "left")
 
@@ -324,7 +325,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", length: int = LENGTH, pre
             doc = [None if x == NULL_ID else x for x in batch.column("doc").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(np.diff(ends), pa.int64()), long_list(found), pa.array(kept, pa.binary())], ["doc", "n_bytes", "removed_spans", "kept"])
 
-    return joined.mapInArrow(cut, "doc bigint, n_bytes bigint, removed_spans array<bigint>, kept binary").withColumnRenamed("doc", key)
+    return joined.mapInArrow(tidy(cut), "doc bigint, n_bytes bigint, removed_spans array<bigint>, kept binary").withColumnRenamed("doc", key)
 
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -23,11 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from .common import small_batches, tidy
+
 PROFILE, LANGUAGES, UNKNOWN = 400, 500, "und"
 #: Columns that are added to those of the documents.
 PREDICTED, SCORED = "_rank_order_language", "_rank_order_score"
 #: Characters that are counted at once.
-PIECE = 1 << 21
+PIECE = 1 << 19
 _BITS = 21  # of a code point
 
 
@@ -120,7 +122,7 @@ def learnt(rows: DataFrame, size: int = PROFILE) -> DataFrame:
                     yield from out()
         yield from out()
 
-    sums = rows.filter("text is not null and lang is not null").mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sums = rows.filter("text is not null and lang is not null").mapInArrow(tidy(count), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = sums.withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("place") <= size)
     return ranked.select("lang", "gram", "place")
 
@@ -156,11 +158,12 @@ def identified(docs: DataFrame, profiles: dict[str, dict[int, int]], columns: li
                     scores[begin + i] = 1 - far[best[i], i] / (of[i] * size)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*columns, PREDICTED, SCORED])
 
-    return docs.mapInArrow(judge, schema)
+    return docs.mapInArrow(tidy(judge), schema)
 
 
 def profiles_of(docs: DataFrame, key: str = "doc_id", size: int = PROFILE) -> dict[str, dict[int, int]]:
     """The profiles, learnt from the rows that are not held out."""
+    small_batches(docs.sparkSession)
     out: dict[str, dict[int, int]] = {}
     for r in learnt(docs.filter(~held_out(key)).select("text", "lang"), size).limit(size * LANGUAGES + 1).collect():
         out.setdefault(r["lang"], {})[r["gram"]] = r["place"]
