@@ -11,8 +11,8 @@ have it at the same offset, so the ranks of those places decide for the windows
    stretch, it is settled; the others (ends of shared passages, chance repeats of the prefix) stay.
 3. The windows of the places that are left are ranked by all their bytes, past the threshold.
 
-Ranks are equivalence classes of fingerprints: 64 bits of a polynomial over random byte values in step 3, in
-step 2 32 bits for the stretch and 32 bits or more for the prefix. Spark deals the places to buckets by their rank; a task
+Ranks are equivalence classes of fingerprints: 64 bits of a polynomial over random byte values for windows in step 3
+and for stretches in step 2, there besides 32 bits or more for the prefix. Spark deals the places to buckets by their rank; a task
 ships only the smallest document of each class that it has itself, so a string which every document has costs a
 row for each task. The number of buckets follows the bytes of the input.
 
@@ -150,9 +150,10 @@ BLOB = "bucket int, settled boolean, rank binary, stretch binary, span binary, d
 NAMES = ["bucket", "settled", "rank", "stretch", "span", "doc", "nth"]
 
 
-def _blobs(buckets: int, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+def _blobs(buckets: int, parts: list[tuple], staged: bool) -> Iterator[pa.RecordBatch]:
     """Settles what a smaller document of the task itself decides, and deals everything to buckets: what is to be
-    ranked by its rank, what is settled by its document. Without stretches the whole rank is kept."""
+    ranked by its rank, what is settled by its document. Places (staged) have half of their rank kept and the whole
+    stretch, windows the whole rank and no stretch."""
     if not parts:
         return
     rank, stretch, span, doc, nth = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -160,7 +161,6 @@ def _blobs(buckets: int, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
     order, starts = least_first(rank, stretch, doc)
     known = np.zeros(len(rank), bool)
     known[order] = smaller(order, starts, doc)
-    staged = bool(stretch.any())
     by_doc = (doc.view(np.uint64) * _MIX) >> np.uint64(32)
     bucket = (np.where(known, by_doc, rank) % np.uint64(buckets)).astype(np.int64) * 2 + known
     kept = np.argsort(bucket, kind="stable")
@@ -172,7 +172,7 @@ def _blobs(buckets: int, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
         columns[0].append(int(bucket[own[0]] >> 1))
         columns[1].append(settled)
         columns[2].append(b"" if settled else planes((rank[own] >> np.uint64(32)).astype(np.uint32) if staged else rank[own]))
-        columns[3].append(planes(stretch[own].astype(np.uint32)) if staged and not settled else b"")
+        columns[3].append(planes(stretch[own]) if staged and not settled else b"")
         for c, v in zip(columns[4:], (span[own], doc[own], nth[own]), strict=True):
             c.append(planes(v))
     kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 5]
@@ -208,7 +208,7 @@ def _with_settled(table: pa.Table, rank) -> pa.Table:
 
 def _rank_places(table: pa.Table) -> pa.Table:
     """Step 2: the places of a bucket, ranked by prefix and stretch."""
-    rank, stretch, (doc, nth, span) = _read(table, "rank", "<u4"), _read(table, "stretch", "<u4"), _spans(table)
+    rank, stretch, (doc, nth, span) = _read(table, "rank", "<u4"), _read(table, "stretch", "<u8"), _spans(table)
     order, starts = least_first(rank, stretch, doc)
     gone = smaller(order, starts, doc)
     r, d = rank[order], doc[order]
@@ -266,10 +266,10 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, prefix: int = PREFIX)
                 p = places(piece, bounds, length, prefix)
                 own = row[p["piece"]]
                 start = p["left"] - bounds[p["piece"]] + base[p["piece"]]
-                parts.append((p["rank"], p["stretch"] | np.uint64(1), (start * 64 + p["more"]).astype("<u8"), doc[own], nth[own]))
+                parts.append((p["rank"], p["stretch"], (start * 64 + p["more"]).astype("<u8"), doc[own], nth[own]))
                 if sum(len(x[0]) for x in parts) >= DEALT:
-                    yield from _blobs(buckets, parts)
-        yield from _blobs(buckets, parts)
+                    yield from _blobs(buckets, parts, True)
+        yield from _blobs(buckets, parts, True)
 
     dealt = rows.mapInArrow(tidy(sample), BLOB)
     settled = written(dealt.groupBy("bucket").applyInArrow(_settle, SPANS), "spans")
@@ -290,8 +290,8 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, prefix: int = PREFIX)
                     at = s - base[i] + bounds[i]
                     parts.append((prints.of(at, at + length), np.zeros(len(s), np.uint8), (s * 64).astype("<u8"), np.full(len(s), doc[r]), np.full(len(s), nth[r])))
                 if sum(len(x[0]) for x in parts) >= DEALT:
-                    yield from _blobs(buckets, parts)
-        yield from _blobs(buckets, parts)
+                    yield from _blobs(buckets, parts, False)
+        yield from _blobs(buckets, parts, False)
 
     last = rows.join(open_, ["doc", "nth"]).mapInArrow(tidy(windows), BLOB).groupBy("bucket").applyInArrow(_settle_windows, SPANS)
     return settled.filter("not open").unionByName(last).groupBy("doc", "nth").agg(F.collect_list("span").alias("spans"))

@@ -226,6 +226,22 @@ def test_long_texts_are_cut_into_overlapping_pieces(monkeypatch):
     assert sorted(seen) == [(1, s) for s in range(821)] + [(2, s) for s in range(51)]
 
 
+def test_stretches_of_a_hot_prefix_are_told_apart(spark):
+    rng = np.random.Generator(np.random.PCG64(9))
+    letters = lambda *shape: rng.integers(97, 123, shape, dtype=np.uint8)
+    prints = lambda rows, n: op07_suffixes.Prints(rows.reshape(-1)).of(np.arange(len(rows)) * n, np.arange(1, len(rows) + 1) * n)
+    starts = letters(40000, 24)
+    hot = starts[prints(starts, 24).argmin()]  # its hash is the least in each window, so each text has its place there
+    texts = np.column_stack([np.broadcast_to(hot, (200000, 24)), letters(200000, 26)])
+    low = (np.concatenate([prints(part, 50) for part in np.split(texts, 10)]) & np.uint64(0xFFFFFFFF)) | np.uint64(1)
+    _, inverse, count = np.unique(low, return_inverse=True, return_counts=True)
+    alike = texts[count[inverse] > 1]
+    found = np.unique(alike, axis=0)
+    assert len(found) == len(alike) > 4
+    docs = spark.createDataFrame([(i, bytes(t).decode()) for i, t in enumerate(found)], "doc_id bigint, text string").repartition(2)
+    assert {r["doc_id"]: bytes(r["kept"]) for r in op07_suffixes.deduplicated(docs).collect()} == {i: bytes(t) for i, t in enumerate(found)}
+
+
 def test_repeated_strings_of_nothing(empty):
     assert op07_suffixes.deduplicated(empty).count() == 0
 
