@@ -5,8 +5,11 @@ for each language and source a minimum-covariance-determinant estimate is fitted
 steps, and texts whose Mahalanobis distance is too large are rejected. All groups are fitted at once by grouped
 sums, so a hot group costs one pre-aggregated row for each task.
 
+A group of fewer than ``least`` vectors is judged by the estimate of its language, and where that has too few as well
+by that of all texts, which has no least number.
+
 Defined cases: a null or empty text has no words and fails the base rules; a null language or source is a group of
-its own; a group of fewer than ``least`` vectors has no estimate and rejects nothing; repeated rows and ties count
+its own; repeated rows and ties count
 as often as they occur; an empty table gives an empty one; other columns are not read.
 """
 
@@ -27,6 +30,8 @@ FLOORS = (0.5, 0.35, 0.35, 0.5, 0.5)
 #: Share of a group that the estimate rests on, concentration steps, and the squared distance that is still kept.
 SUBSET, STEPS, CUTOFF = 0.75, 3, 60.0
 LEAST = 40
+#: Columns of a group; of groups at every level (0: language and source, 1: language, 2: all).
+GROUP, LEVELS = ("lang", "source"), ("level", "lang", "source")
 
 
 def base_statistics(docs: DataFrame, key: str = "doc_id", keep: tuple[str, ...] = ("lang", "source")) -> DataFrame:
@@ -89,17 +94,17 @@ def vector() -> list[Column]:
     ]
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    """One row for each group and start: count, means x*, covariances c**, with the floors on the diagonal."""
+def _moments(rows: DataFrame, by: list[str]) -> DataFrame:
+    """One row for each group (with its start): count, means x*, covariances c**, with the floors on the diagonal."""
     d = len(DIMS)
     sums = [F.avg(f"v{i}").alias(f"m{i}") for i in range(d)]
     sums += [F.avg(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"q{i}{j}") for i in range(d) for j in range(i + 1)]
-    grouped = rows.groupBy("lang", "source", "start").agg(*sums)
+    grouped = rows.groupBy(*by).agg(*sums)
     cov = [
         (F.greatest(F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}"), F.lit(0.0)) + FLOORS[i] ** 2 if i == j else F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")).alias(f"c{i}{j}")
         for i in range(d) for j in range(i + 1)
     ]
-    return _triangle(grouped.select("lang", "source", "start", *[f"m{i}" for i in range(d)], *cov))
+    return _triangle(grouped.select(*by, *[f"m{i}" for i in range(d)], *cov))
 
 
 def _triangle(rows: DataFrame) -> DataFrame:
@@ -125,11 +130,10 @@ def _distance(of: str = "e") -> Column:
     return reduce(lambda a, b: a + b, [x * x for x in y])
 
 
-def _nearest(rows: DataFrame, share: float) -> DataFrame:
-    """Those of each group and start whose d2 is among the share nearest, by a histogram of log d2 (64 bins to a
+def _nearest(rows: DataFrame, share: float, by: list[str]) -> DataFrame:
+    """Those of each group (with its start) whose d2 is among the share nearest, by a histogram of log d2 (64 bins to a
     doubling), so the edge is the same however the rows are dealt."""
     bin_ = F.floor(F.log2(F.greatest("d2", F.lit(1e-9))) * 64)
-    by = ["lang", "source", "start"]
     rows = rows.withColumn("bin", bin_)
     bins = rows.groupBy(*by, "bin").agg(F.count("*").alias("n"))
     upto = W.partitionBy(*by).orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
@@ -148,13 +152,13 @@ def _with(rows: DataFrame, table: DataFrame, by: list[str], how: str = "inner")
     return rows.join(side, on, how).drop(*[f"_{c}" for c in by])
 
 
-def estimates(vectors: DataFrame, subset: float = SUBSET, steps: int = STEPS, least: int = LEAST) -> DataFrame:
-    """(lang, source, v0..) -> one row for each group with at least ``least`` vectors: m*, l**, log_det.
+def estimates(vectors: DataFrame, subset: float = SUBSET, steps: int = STEPS, least: int | Column = LEAST, group: tuple[str, ...] = GROUP) -> DataFrame:
+    """(group, v0..) -> one row for each group with at least ``least`` vectors: m*, l**, log_det.
 
     Two starts: the vectors nearest to the median in units of the median deviation, and a half drawn by hash. Each
     is concentrated ``steps`` times; the one with the least determinant is the group's estimate.
     """
-    by = ["lang", "source"]
+    by, started = list(group), [*group, "start"]
     d = range(len(DIMS))
     mid = vectors.groupBy(*by).agg(F.count("*").alias("n"), *[F.percentile_approx(f"v{i}", 0.5, 1000).alias(f"a{i}") for i in d]).filter(F.col("n") >= least)
     placed = _with(vectors, mid, by)
@@ -164,22 +168,45 @@ def estimates(vectors: DataFrame, subset: float = SUBSET, steps: int = STEPS, le
     vs = [f"v{i}" for i in d]
     first = both.select(*by, *vs, far.alias("d2"), F.lit(0).alias("start"))
     half = both.select(*by, *vs, (F.pmod(F.xxhash64(*vs), F.lit(1000)) + 1).cast("double").alias("d2"), F.lit(1).alias("start"))
-    held = _nearest(first, subset).unionByName(_nearest(half, 0.5))
-    found = written(_moments(held), "moments")
+    held = _nearest(first, subset, started).unionByName(_nearest(half, 0.5, started))
+    found = written(_moments(held, started), "moments")
     everything = both.select(*by, *vs, F.explode(F.array(F.lit(0), F.lit(1))).alias("start"))
     for _ in range(steps):
-        near = _with(everything, found, [*by, "start"]).withColumn("d2", _distance()).drop("e")
-        found = written(_moments(_nearest(near, subset)), "moments")
-    best = F.min_by(F.struct(*[c for c in found.columns if c not in (*by, "start", "log_det")]), F.struct("log_det", "start"))
+        near = _with(everything, found, started).withColumn("d2", _distance()).drop("e")
+        found = written(_moments(_nearest(near, subset, started), started), "moments")
+    best = F.min_by(F.struct(*[c for c in found.columns if c not in (*started, "log_det")]), F.struct("log_det", "start"))
     return found.groupBy(*by).agg(best.alias("f")).select(*by, "f.*")
 
 
-def quality_rules(docs: DataFrame, key: str = "doc_id", cutoff: float = CUTOFF, **how) -> DataFrame:
-    """key, the five statistics, base_failed, distance (null without an estimate) and kept."""
+def levelled(vectors: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+    """The vectors at each level whose estimate is asked for, and (lang, source, at): the level that judges a group."""
+    counts = vectors.groupBy(*GROUP).agg(F.count("*").alias("n"))
+    langs = counts.groupBy("lang").agg(F.sum("n").alias("n_lang"), F.min("n").alias("n_least"))
+    at = F.when(F.col("n") >= least, 0).when(F.col("e.n_lang") >= least, 1).otherwise(2)
+    groups = written(_with(counts, langs, ["lang"]).select(*GROUP, at.alias("at"), (F.col("e.n_least") < least).alias("mixed")), "levels")
+    whole = bool(groups.filter("at = 2").limit(1).count())
+    none = F.lit(None).cast("string")
+    level = lambda k, lang, source: F.struct(F.lit(k).alias("level"), lang.alias("lang"), source.alias("source"))
+    asked = [
+        F.when(F.col("e.at") == 0, level(0, F.col("lang"), F.col("source"))),
+        F.when(F.col("e.mixed") & (F.col("e.at") < 2), level(1, F.col("lang"), none)),
+        *([level(2, none, none)] if whole else []),
+    ]
+    vs = [c for c in vectors.columns if c not in GROUP]
+    out = _with(vectors, groups, list(GROUP)).select(F.explode(F.array_compact(F.array(*asked))).alias("g"), *vs).select("g.*", *vs)
+    return out, groups.select(*GROUP, "at")
+
+
+def quality_rules(docs: DataFrame, key: str = "doc_id", cutoff: float = CUTOFF, least: int = LEAST, **how) -> DataFrame:
+    """key, the five statistics, base_failed, distance (null where the base rules failed) and kept."""
     stats = written(base_statistics(docs, key).withColumn("base_failed", base_failed()), "statistics")
     rows = stats.select("*", *[v.alias(f"v{i}") for i, v in enumerate(vector())])
-    by = ["lang", "source"]
-    found = estimates(rows.filter(~F.col("base_failed")).select(*by, *[f"v{i}" for i in range(len(DIMS))]), **how)
-    judged = _with(rows, found, by, "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
-    kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)
-    return judged.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))
+    vectors, groups = levelled(rows.filter(~F.col("base_failed")).select(*GROUP, *[f"v{i}" for i in range(len(DIMS))]), least)
+    found = estimates(vectors, least=F.when(F.col("level") == 2, 1).otherwise(least), group=LEVELS, **how)
+    level = groups.select(*GROUP, F.col("at").alias("level"))
+    # each group's row of the estimates, at the level that judges it
+    coarse = level.select(*[F.col(c).alias(f"own_{c}") for c in GROUP], "level", F.when(F.col("level") < 2, F.col("lang")).alias("lang"), F.when(F.col("level") < 1, F.col("source")).alias("source"))
+    table = _with(coarse, found, list(LEVELS)).select(F.col("own_lang").alias("lang"), F.col("own_source").alias("source"), "e.*")
+    judged = _with(rows, table, list(GROUP), "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    kept = ~F.col("base_failed") & (F.col("distance") <= cutoff)
+    return judged.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", F.coalesce(kept, F.lit(False)).alias("kept"))

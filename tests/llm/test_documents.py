@@ -277,6 +277,18 @@ def test_outliers_against_a_plain_estimate(spark):
     assert (distance(bad) > op08_outliers.CUTOFF).all() and (distance(good) < op08_outliers.CUTOFF).mean() > 0.99
 
 
+@pytest.mark.parametrize("n", [6, 30])
+def test_small_groups_are_judged(spark, n):
+    rng = random.Random(n)
+    junk = lambda k: " ".join(f"{w}$$$%%%###&&&{k}" for w in words(rng, 60, 10**6))
+    groups = [("en", "a"), ("en", "b"), ("fr", "a"), (None, "c")]
+    rows = [(100 * g + i, " ".join(words(rng, rng.randrange(60, 90), 10**6)), *of, 1) for g, of in enumerate(groups) for i in range(n)]
+    rows += [(1000 + g, junk(g), *of, 1) for g, of in enumerate(groups)]
+    got = {r["doc_id"]: r for r in op08_outliers.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(got) == len(rows) and all(r["distance"] is not None for r in got.values())
+    assert {i for i, r in got.items() if not r["kept"]} == {1000 + g for g in range(len(groups))}
+
+
 def test_outliers_of_nothing(empty):
     assert op08_outliers.quality_rules(empty).count() == 0
 
