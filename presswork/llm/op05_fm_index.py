@@ -8,7 +8,8 @@ Burrows-Wheeler transform; occurrences are located by walking to sampled suffix
 merged to removal spans.
 
 Benchmark words go to the tasks in blocks of at most ``BLOCK_WORDS`` words (items by a hash of their ids), so what
-is shipped is bounded; more blocks mean more passes over the documents, whose spans are merged by document.
+is shipped is bounded; more blocks mean more passes over the documents. Every block is searched in the whole texts,
+and the spans of all are merged for each row, which is numbered for that.
 
 Defined cases: null has no words; an item without words has no window; items with equal windows are all reported;
 a document inside which windows overlap has each word counted once; repeated rows are judged each; empty tables
@@ -18,12 +19,14 @@ give no hits; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import long_list, small_batches, tidy
+from .common import long_list, small_batches, tidy, written
 
 WINDOW = 10
 #: Benchmark words that are shipped to tasks at once, words of a shard's text, and the step of suffix samples.
@@ -223,6 +226,44 @@ def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterato
         yield [(r[0], r[1]) for r in rows.collect()]
 
 
+#: Number of a row of the documents, where several blocks are searched.
+ROW = "_fm_row"
+
+
+def _searched(docs: DataFrame, benchmark: DataFrame, columns: list[str], block_words: int) -> DataFrame:
+    """The columns of docs with the added ones, over all blocks of the benchmark."""
+    blocks = item_blocks(benchmark, block_words)
+    items, more = next(blocks), next(blocks, None)
+    if more is None:
+        return _search(docs, items, columns)
+    numbered = written(docs.select(*[F.col(f"`{c}`") for c in columns], *([] if "text" in columns else ["text"])).withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    found = []
+    for k, block in enumerate(chain([items, more], blocks)):
+        hit = _search(numbered.select(ROW, "text"), block, [ROW])
+        found.append(written(hit if k == 0 else hit.filter(F.size("_fm_items") > 0), "hits"))
+    parts = F.collect_list(F.struct("_fm_spans", "_fm_bytes", "_fm_items"))
+    rows = reduce(DataFrame.unionByName, found).groupBy(ROW).agg(F.max("_fm_words").alias("_fm_words"), parts.alias("p"))
+    flat = lambda c: F.flatten(F.col(f"p.{c}")).alias(c)
+    rows = rows.select(ROW, "_fm_words", flat("_fm_spans"), flat("_fm_bytes"), F.array_sort(F.array_distinct(F.flatten("p._fm_items"))).alias("_fm_items"))
+    united = rows.mapInArrow(tidy(_united), rows.schema)
+    return numbered.select(ROW, *[F.col(f"`{c}`") for c in columns]).join(united, ROW).select(*[F.col(f"`{c}`") for c in columns], *ADDED)
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Merges the spans of each row; where words touch, the bytes between them go too, as within one block."""
+    for batch in batches:
+        spans, cut = [], []
+        for s, b in zip(batch.column("_fm_spans"), batch.column("_fm_bytes"), strict=True):
+            s, b = s.values.to_numpy().reshape(-1, 2), b.values.to_numpy().reshape(-1, 2)
+            whole = merged(s[:, 0], s[:, 1]) if len(s) else s
+            of = np.searchsorted(whole[:, 0], s[:, 0], side="right") - 1
+            begin, end = np.full(len(whole), np.iinfo(np.int64).max), np.zeros(len(whole), np.int64)
+            np.minimum.at(begin, of, b[:, 0]), np.maximum.at(end, of, b[:, 1])
+            spans.append(whole.reshape(-1)), cut.append(np.column_stack([begin, end]).reshape(-1))
+        arrays = {c: batch.column(c) for c in batch.schema.names} | {"_fm_spans": long_list(spans), "_fm_bytes": long_list(cut)}
+        yield pa.RecordBatch.from_arrays(list(arrays.values()), list(arrays))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", block_words: int = BLOCK_WORDS) -> DataFrame:
     """key, n_words, hit_spans (word start, end, ...), item_ids of each document."""
     rows = docs.select(F.col(key).alias("doc_id"), "text")
@@ -240,10 +281,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", bl
 def decontaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents without their removal spans, from first to last word of each; n_chars follows if it is there."""
     columns = list(docs.columns)
-    for items in item_blocks(benchmark, block_words):
-        numbered = docs.select(*[F.col(f"`{c}`") for c in columns])
-        docs = _cut(_search(numbered, items, columns), columns)
-    return docs
+    numbered = docs.select(*[F.col(f"`{c}`") for c in columns])
+    return _cut(_searched(numbered, benchmark, columns, block_words), columns)
 
 
 def _cut(found: DataFrame, columns: list[str]) -> DataFrame:

@@ -188,6 +188,17 @@ def test_decontamination_cuts_spans(spark, clashing, rows, benchmark_rows):
     assert texts[4] == (None, None) and texts[5] == ("", 0) and texts[100][0] == next(r[1] for r in rows if r[0] == 100)
 
 
+def test_blocks_cut_what_one_block_cuts(spark):
+    w = [f"q{i}" for i in range(40)]
+    items = [(1, " ".join(w[:14])), (2, " ".join(w[8:24])), (3, " ".join(w[24:36])), (4, " ".join(["left", *w[30:39]])), (5, "lone words"), (6, "lone left right words")]
+    texts = [f"Left {' '.join(w)} right, words", f"a lone {' '.join(w[8:24])} words", f"left {' '.join(w[24:36])} {' '.join(w[31:39])}", f"left - {' '.join(w[:14])}; {' '.join(w[30:39])}", None, "", "clean"]
+    rows = [(i, t, "en", "a", None if t is None else len(t)) for i, t in enumerate(texts)] + [(0, texts[1], "en", "a", 3), (0, texts[0], "en", "a", 4)]
+    docs, benchmark = spark.createDataFrame(rows, SCHEMA).withColumn("n words", F.lit(1)), spark.createDataFrame(items, "item_id bigint, text string")
+    assert len(list(op05_fm_index.item_blocks(benchmark, 6))) > 3
+    one, many = op05_fm_index.decontaminated(docs, benchmark), op05_fm_index.decontaminated(docs, benchmark, block_words=6)
+    assert many.columns == docs.columns and Counter(map(tuple, many.collect())) == Counter(map(tuple, one.collect()))
+
+
 def test_index_of_nothing(spark, docs, empty):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert op05_fm_index.contamination(docs, none).filter("size(hit_spans) > 0").count() == 0
