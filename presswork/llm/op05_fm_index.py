@@ -267,15 +267,8 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", block_words: int = BLOCK_WORDS) -> DataFrame:
     """key, n_words, hit_spans (word start, end, ...), item_ids of each document."""
     rows = docs.select(F.col(key).alias("doc_id"), "text")
-    parts = [_search(rows, items, ["doc_id"]).withColumnsRenamed(ADDED) for items in item_blocks(benchmark, block_words)]
-    if len(parts) == 1:
-        return parts[0].select(F.col("doc_id").alias(key), "n_words", "hit_spans", "item_ids", "byte_spans")
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    # one row for each block and document; rows of equal id are told apart by their number of words alone
-    joined = every.groupBy("doc_id", "n_words").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("hit_spans", "item_ids", "byte_spans")])
-    return joined.select(F.col("doc_id").alias(key), "n_words", "hit_spans", F.array_sort(F.array_distinct("item_ids")).alias("item_ids"), "byte_spans")
+    found = _searched(rows, benchmark, ["doc_id"], block_words).withColumnsRenamed(ADDED)
+    return found.select(F.col("doc_id").alias(key), "n_words", "hit_spans", "item_ids", "byte_spans")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -199,6 +199,15 @@ def test_blocks_cut_what_one_block_cuts(spark):
     assert many.columns == docs.columns and Counter(map(tuple, many.collect())) == Counter(map(tuple, one.collect()))
 
 
+def test_repeated_rows_are_judged_each_in_blocks(spark, docs, rows, benchmark_rows):
+    items = spark.createDataFrame(benchmark_rows, "item_id bigint, text string")
+    other = " ".join(["before", *rows[0][1].split()[30:41], "after"])
+    extra = [(14, other, "en", "b", 4), (14, " ".join(["clean"] * len(other.split())), "en", "b", 4)]
+    every = docs.unionByName(spark.createDataFrame(extra, SCHEMA))
+    got = op05_fm_index.digest(op05_fm_index.contamination(every, items, block_words=12)).collect()
+    assert Counter(map(tuple, got)) == Counter(contaminated([*rows, *extra], benchmark_rows))
+
+
 def test_index_of_nothing(spark, docs, empty):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert op05_fm_index.contamination(docs, none).filter("size(hit_spans) > 0").count() == 0
