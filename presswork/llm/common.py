@@ -66,11 +66,11 @@ def tidy(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of a string column and the n + 1 offsets of its rows; null is empty."""
+    """Bytes of a string or binary column and the n + 1 offsets of its rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.fill_null("") if column.null_count else column
-    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
     _, offsets, data = column.buffers()
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)

@@ -22,31 +22,44 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .common import scratch, small_batches, tidy, written
+from .common import scratch, small_batches, tidy, utf8, written
 
 BLOCK, WIDE = 512, 0.9
 #: Ids of a segment (at a document's end) and pieces in each half of what a worker remembers.
-SEGMENT, REMEMBER = 1 << 18, 250_000
-#: Kinds of bytes: letter or digit a, mark #, full stop or comma, white space, and what isn't one of these to all.
-_ASCII = bytes(range(128))
-_KIND = bytes(
-    97 if c >= 128 or chr(c).isalnum() else 46 if c in b".," else 32 if c in b" \t\n" else 35 if 32 < c < 127 else 119 for c in range(256)
-)
-
-
-def _together(text: str) -> bool:
-    """Do marks or white space stand together where the text would be cut?"""
-    raw = text.encode()
-    if not text.isascii() and not raw.translate(None, _ASCII).decode().isalpha():
-        return True
-    kind = raw.translate(_KIND)
-    return b"  " in kind or b" ." in kind or b".." in kind or b"#." in kind or b"w" in kind or kind[-1:] == b" "
+SEGMENT, REMEMBER = 1 << 18, 400_000
+#: Bytes of text that are encoded at once (one text at least).
+CHUNK = 1 << 22
+#: Kinds of bytes: 0 letter, digit or part of one beyond ASCII, 1 mark, 2 full stop or comma, 3 white space, 4 any else.
+_KIND = np.array([0 if c >= 128 or chr(c).isalnum() else 2 if c in b".," else 3 if c in b" \t\n" else 1 if 32 < c < 127 else 4 for c in range(256)], np.uint8)
+#: Two bytes of which the text can't be cut before the second: marks or white space that stand together.
+_TOGETHER = np.zeros(25, bool)
+_TOGETHER[[3 * 5 + 3, 3 * 5 + 2, 2 * 5 + 2, 1 * 5 + 2]] = True
+_CUTS = np.array([c in b" .,\n" for c in range(256)])
+
+
+def _uncut(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which texts are encoded as a whole: those in which marks or white space stand together where they'd be cut."""
+    odd = np.zeros(len(ends) - 1, bool)
+    if not len(data):
+        return odd
+    kind = _KIND[data]
+    bad = np.zeros(len(data), bool)
+    bad[:-1] = _TOGETHER[kind[:-1] * np.uint8(5) + kind[1:]]
+    last = ends[1:][ends[1:] > ends[:-1]] - 1
+    bad[last] = kind[last] == 3
+    bad |= kind == 4
+    odd[np.searchsorted(ends, np.flatnonzero(bad), side="right") - 1] = True
+    high = data >= 128
+    if high.any() and not data[high].tobytes().decode().isalpha():
+        for r in np.flatnonzero(~odd):
+            own = high[ends[r] : ends[r + 1]]
+            odd[r] = own.any() and not data[ends[r] : ends[r + 1]][own].tobytes().decode().isalpha()
+    return odd
 
 
 HEAD = np.dtype([("low", "<u4"), ("width", "u1"), ("pad", "u1"), ("exceptions", "<u2"), ("values", "<u2"), ("pad2", "<u2")])
@@ -60,7 +73,7 @@ class Encoder:
     lone white space, a text can be cut and the parts encoded by themselves. Texts are cut there, before full
     stops and commas, and new pieces are encoded once and remembered. Pieces that begin with a space are encoded
     as one string, which is cut where an id begins with a space. A text in which marks or white space stand
-    together at such a place is encoded as a whole.
+    together at such a place is one piece, which isn't remembered.
     """
 
     def __init__(self, path: str):
@@ -69,8 +82,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         self.begins[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
@@ -78,33 +91,76 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, pieces: set[str]) -> None:
-        spaced = [p for p in pieces if p[:1] == " "]
-        others = [p for p in pieces if p[:1] != " "]
-        for p, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
+    def learn(self, pieces: list[bytes]) -> None:
+        spaced = [p for p in pieces if p[:1] == b" "]
+        others = [p for p in pieces if p[:1] != b" "]
+        for p, e in zip(others, self.tokenizer.encode_batch_fast([p.decode() for p in others], add_special_tokens=False), strict=True):
             self.known[p] = np.array(e.ids, "<u4").tobytes()
         runs = [spaced[i : i + 500] for i in range(0, len(spaced), 500)]
-        for run, e in zip(runs, self.tokenizer.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False), strict=True):
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast([b"".join(r).decode() for r in runs], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
             edges = [*(np.flatnonzero(self.begins[ids]) * 4).tolist(), len(ids) * 4]
             raw = ids.tobytes()
             if len(edges) == len(run) + 1:
                 self.known.update(zip(run, [raw[a:b] for a, b in zip(edges, edges[1:])], strict=True))
             else:  # an id in the midst of a piece begins with a space's byte
-                self.known.update((p, self.whole(p)) for p in run)
+                self.known.update((p, self.whole(p.decode())) for p in run)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        odd = list(map(_together, texts))
-        split = [[] if o else t.replace(" ", "\0 ").replace(".", "\0.").replace(",", "\0,").replace("\n", "\0\n").split("\0") for t, o in zip(texts, odd, strict=True)]
-        new = set(filterfalse(self.known.__contains__, chain.from_iterable(split)))
+    def ids_of(self, pieces: list[bytes], uncut: set[int]) -> list[bytes]:
+        """Ids of different pieces; those at the places in ``uncut`` are whole texts."""
+        out = list(map(self.known.get, pieces))
+        new = [i for i, ids in enumerate(out) if ids is None]
         if len(self.known) + len(new) > REMEMBER:  # what is still in use comes over from the older half
             self.older, self.known = self.known, {}
-            new = set(chain.from_iterable(split))
-        back = new & self.older.keys()
-        self.known.update((p, self.older[p]) for p in back)
-        self.learn(new - back)
-        get = self.known.__getitem__
-        return [self.whole(t) if o else b"".join(map(get, pieces)) for t, o, pieces in zip(texts, odd, split, strict=True)]
+        unknown = []
+        for i in new:
+            if i in uncut:
+                out[i] = self.whole(pieces[i].decode())
+                continue
+            out[i] = ids = self.older.get(pieces[i])
+            if ids is None:
+                unknown.append(i)
+            else:
+                self.known[pieces[i]] = ids
+        self.learn([pieces[i] for i in unknown])
+        for i in unknown:
+            out[i] = self.known[pieces[i]]
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        ids, count = self.encode_column(pa.array(texts, pa.string()), 0)
+        edges = np.cumsum(count).tolist()
+        return [ids[a : b - 1].tobytes() for a, b in zip([0, *edges], edges)]
+
+    def encode_column(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, each followed by the end id, and the number of ids of each."""
+        data, ends = utf8(texts)
+        odd = _uncut(data, ends)
+        cut = _CUTS[data]
+        cut[ends[:-1][ends[1:] > ends[:-1]]] = True
+        for r in np.flatnonzero(odd):
+            cut[ends[r] + 1 : ends[r + 1]] = False
+        starts = np.flatnonzero(cut)
+        bounds = np.append(starts, len(data))
+        cells = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        piece = cells.indices.to_numpy()
+        uncut = set(piece[np.searchsorted(starts, ends[:-1][odd])].tolist())
+        raw, edges = utf8(cells.dictionary)
+        raw, edges = raw.tobytes(), edges.tolist()
+        found = self.ids_of([raw[a:b] for a, b in zip(edges, edges[1:])], uncut)
+        size = np.array([len(x) // 4 for x in found], np.int64)
+        begin = np.cumsum(size) - size
+        ids = np.frombuffer(b"".join(found), "<u4")
+        many = size[piece]
+        text = np.searchsorted(ends, starts, side="right") - 1
+        count = np.bincount(text, many, len(odd)).astype(np.int64) if len(starts) else np.zeros(len(odd), np.int64)
+        out = np.full(int(count.sum()) + len(odd), end_id, "<u4")
+        # where the ids of each piece go, moved on by the end ids before its text
+        to = np.cumsum(many) - many
+        step = np.arange(int(many.sum())) - np.repeat(to, many)
+        out[np.repeat(to + text, many) + step] = ids[np.repeat(begin[piece], many) + step]
+        return out, count + 1
 
 
 @cache
@@ -213,6 +269,16 @@ def block_ids(index: bytes, data: bytes, n_ids: int, begin: int, end: int) -> np
     return unpack(part, data[int(starts[first]) : stop])[begin - first * BLOCK : min(end, n_ids) - first * BLOCK]
 
 
+def chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of about CHUNK bytes of text, one row at least."""
+    sizes = np.cumsum(np.diff(utf8(batch.column("text"))[1]))
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + CHUNK)))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", end_id: int = 0) -> None:
     """Writes the segments of all texts to ``path``, in ascending order of key."""
     small_batches(docs.sparkSession)
@@ -222,30 +288,28 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id"
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode_all, seq, part = encoder(tokenizer).encode, 0, TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4").tobytes()
+        encode_all, seq, part = encoder(tokenizer).encode_column, 0, TaskContext.get().partitionId()
 
-        def segment(keys: list, ids: list[bytes]) -> pa.RecordBatch:
-            whole = np.frombuffer(b"".join(ids), "<u4")
-            ends = np.cumsum([len(x) // 4 for x in ids])
+        def segment(keys: list, counts: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
+            whole = np.concatenate(ids)
             index, data = pack(whole)
-            columns = ([part], [seq], [keys], [ends.tolist()], [len(whole)], [index], [data])
+            columns = ([part], [seq], [keys], [np.cumsum(np.concatenate(counts))], [len(whole)], [index], [data])
             kinds = (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["part", "seq", "doc_ids", "ends", "n_ids", "index", "data"])
 
-        keys, ids, size = [], [], 0
+        keys, counts, ids, size = [], [], [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                for k, e in zip(piece.column("doc_id").to_pylist(), encode_all(piece.column("text").to_pylist()), strict=True):
-                    keys.append(k)
-                    ids.append(e + end)
-                    size += len(e) // 4 + 1
-                    if size >= SEGMENT:
-                        yield segment(keys, ids)
-                        keys, ids, size, seq = [], [], 0, seq + 1
+            for piece in chunks(batch):
+                found, count = encode_all(piece.column("text"), end_id)
+                keys += piece.column("doc_id").to_pylist()
+                counts.append(count)
+                ids.append(found)
+                size += len(found)
+                if size >= SEGMENT:
+                    yield segment(keys, counts, ids)
+                    keys, counts, ids, size, seq = [], [], [], 0, seq + 1
         if keys:
-            yield segment(keys, ids)
+            yield segment(keys, counts, ids)
 
     ordered.mapInArrow(tidy(encode), SEGMENT_SCHEMA).write.parquet(path)
 
