@@ -12,13 +12,15 @@ have it at the same offset, so the ranks of those places decide for the windows
 3. The windows of the places that are left are ranked by all their bytes, past the threshold.
 
 Ranks are equivalence classes of fingerprints: 64 bits of a polynomial over random byte values for windows in step 3
-and for stretches in step 2, there besides 32 bits or more for the prefix. Spark deals the places to buckets by their rank; a task
-ships only the smallest document of each class that it has itself, so a string which every document has costs a
-row for each task. The number of buckets follows the bytes of the input.
-
-Defined cases: a null text is empty; a text shorter than ``length`` keeps all; equal ids are not smaller than each
-other; a null id is smaller than all others; very long texts are cut into overlapping pieces; an empty table gives
-an empty one; other columns are not read.
+and for stretches in step 2, there besides 32 bits or more for the prefix. Spark deals the places to buckets by their
+rank; a task ships only the smallest document of each class that it has itself, so a string which every document has
+costs a row for each task. A rank with over ``HOT`` stretches in one task, a phrase that goes on in many ways, isn't
+gathered: two of its places stand for it in its bucket, the others go to step 3 at once. The number of buckets
+follows the bytes of the input. What is found is dealt to buckets of documents and united there.
+
+Defined cases: a null text is empty; a text shorter than ``length`` keeps all; ids are integers (one that isn't a
+number counts as null); equal ids are not smaller than each other; a null id is smaller than all others; very long
+texts are cut into overlapping pieces; an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ from .common import long_list, small_batches, tidy, utf8, written
 LENGTH, PREFIX = 50, 24
 #: Bytes that are hashed at once, places or windows that are dealt out at once, and bytes of input for each bucket.
 PIECE, DEALT, BUCKET_BYTES = 1 << 20, 1 << 19, 1 << 22
+#: Stretches of one rank in what a task deals at once; a rank with more isn't gathered.
+HOT = 64
 _BASE, _MIX = 0x9E3779B97F4A7C15 | 1, np.uint64(0xD6E8FEB86659FD93)
 _LOW = (1 << 24) - 1
 NULL_ID = -(1 << 63)
@@ -75,15 +79,16 @@ class Prints:
         return (out ^ (out >> np.uint64(31))) * _MIX
 
 
-def packs(data: np.ndarray, ends: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(bytes, row of each piece, its start in the row, its bounds in the bytes): pieces of at most PIECE in all.
-    A longer row is cut into pieces that overlap by length - 1, so each window lies in one piece."""
+def packs(data: np.ndarray, ends: np.ndarray, length: int, most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, row of each piece, its start in the row, its bounds in the bytes): pieces of at most PIECE (or ``most``)
+    in all. A longer row is cut into pieces that overlap by length - 1, so each window lies in one piece."""
     row, base, begin, end, size = [], [], [], [], 0
+    most = most or PIECE
     for r in range(len(ends) - 1):
         at = int(ends[r])
         while int(ends[r + 1]) - at >= length:
-            stop = min(int(ends[r + 1]), at + PIECE)
-            if size and size + stop - at > PIECE:
+            stop = min(int(ends[r + 1]), at + most)
+            if size and size + stop - at > most:
                 yield _pack(data, row, base, begin, end)
                 row, base, begin, end, size = [], [], [], [], 0
             row.append(r), base.append(at - int(ends[r])), begin.append(at), end.append(stop)
@@ -145,42 +150,76 @@ def smaller(order: np.ndarray, starts: np.ndarray, doc: np.ndarray) -> np.ndarra
     return doc[order] > np.repeat(doc[order][starts], sizes)
 
 
-#: Of a bucket's rows: numbers in planes, of places or windows to rank, or of ones that are settled already.
-BLOB = "bucket int, settled boolean, rank binary, stretch binary, span binary, doc binary, nth binary"
-NAMES = ["bucket", "settled", "rank", "stretch", "span", "doc", "nth"]
+#: What a blob has: places or windows to rank, ones that are settled, or places that are open at once.
+RANK, SETTLED, OPEN = 0, 1, 2
+#: Of a bucket's rows: numbers in planes.
+BLOB = "bucket int, state int, rank binary, stretch binary, span binary, doc binary, nth binary"
+NAMES = ["bucket", "state", "rank", "stretch", "span", "doc", "nth"]
+
+
+def crowded(rank: np.ndarray, stretch: np.ndarray, doc: np.ndarray, order: np.ndarray, starts: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Places, settled ones apart, of ranks with over HOT stretches, but for the first and the last by document and
+    stretch: these two stand for the rank in its bucket, so that other tasks' places of it stay open too."""
+    r = rank[order]
+    classes = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+    begins = np.zeros(len(r), np.int64)
+    begins[starts] = 1
+    hot = np.add.reduceat(begins, classes) > HOT
+    if not hot.any():
+        return np.zeros(0, np.int64)
+    own = order[np.repeat(hot, np.diff(np.concatenate([classes, [len(r)]]))) & ~known[order]]
+    own = own[np.lexsort((stretch[own], doc[own], rank[own]))]
+    first = np.concatenate([[True], rank[own][1:] != rank[own][:-1]])
+    return own[~(first | np.concatenate([first[1:], [True]]))]
+
+
+def by_document(doc: np.ndarray, nth: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a document: rows of one id are dealt out too."""
+    mixed = (doc.view(np.uint64) * _MIX + nth.astype(np.uint64)) * _MIX
+    return ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _runs(code: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(code, where it is) for each code."""
+    kept = np.argsort(code, kind="stable")
+    edges = np.flatnonzero(np.concatenate([[True], np.diff(code[kept]) > 0])) if len(code) else []
+    for a, b in zip(edges, [*edges[1:], len(kept)]):
+        yield int(code[kept[a]]), kept[a:b]
 
 
 def _blobs(buckets: int, parts: list[tuple], staged: bool) -> Iterator[pa.RecordBatch]:
     """Settles what a smaller document of the task itself decides, and deals everything to buckets: what is to be
-    ranked by its rank, what is settled by its document. Places (staged) have half of their rank kept and the whole
+    ranked by its rank, the rest by its document. Places (staged) have half of their rank kept and the whole
     stretch, windows the whole rank and no stretch."""
     if not parts:
         return
     rank, stretch, span, doc, nth = (np.concatenate(x) for x in zip(*parts, strict=True))
     parts.clear()
+    if not len(rank):
+        return
     order, starts = least_first(rank, stretch, doc)
     known = np.zeros(len(rank), bool)
     known[order] = smaller(order, starts, doc)
-    by_doc = (doc.view(np.uint64) * _MIX) >> np.uint64(32)
-    bucket = (np.where(known, by_doc, rank) % np.uint64(buckets)).astype(np.int64) * 2 + known
-    kept = np.argsort(bucket, kind="stable")
-    edges = np.flatnonzero(np.concatenate([[True], np.diff(bucket[kept]) > 0]))
+    state = known.astype(np.int64)
+    if staged:
+        state[crowded(rank, stretch, doc, order, starts, known)] = OPEN
+    bucket = np.where(state == RANK, (rank % np.uint64(buckets)).astype(np.int64), by_document(doc, nth, buckets))
     columns: list[list] = [[] for _ in NAMES]
-    for a, b in zip(edges, [*edges[1:], len(kept)], strict=True):
-        own = kept[a:b]
-        settled = bool(bucket[own[0]] & 1)
-        columns[0].append(int(bucket[own[0]] >> 1))
-        columns[1].append(settled)
-        columns[2].append(b"" if settled else planes((rank[own] >> np.uint64(32)).astype(np.uint32) if staged else rank[own]))
-        columns[3].append(planes(stretch[own]) if staged and not settled else b"")
+    for code, own in _runs(bucket * 3 + state):
+        ranked = code % 3 == RANK
+        columns[0].append(code // 3)
+        columns[1].append(code % 3)
+        columns[2].append(b"" if not ranked else planes((rank[own] >> np.uint64(32)).astype(np.uint32) if staged else rank[own]))
+        columns[3].append(planes(stretch[own]) if staged and ranked else b"")
         for c, v in zip(columns[4:], (span[own], doc[own], nth[own]), strict=True):
             c.append(planes(v))
-    kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 5]
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
     for i in range(0, len(columns[0]), 64):
         yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 64], k) for c, k in zip(columns, kinds, strict=True)], NAMES)
 
 
-SPANS = "doc bigint, nth int, span bigint, open boolean"
+#: What ranking gives, dealt by documents: spans to remove and open ones, numbers in planes.
+FOUND = "bucket int, open boolean, span binary, doc binary, nth binary"
 
 
 def _span_table(doc, nth, span, open_) -> pa.Table:
@@ -196,14 +235,55 @@ def _spans(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _read(table, "doc", "<i8"), _read(table, "nth", "<i4"), _read(table, "span", "<u8").astype(np.int64)
 
 
-def _with_settled(table: pa.Table, rank) -> pa.Table:
-    """What ranking the open rows of a bucket gives, with the rows that were settled before."""
-    settled = table.column("settled").to_numpy(zero_copy_only=False)
-    doc, nth, span = _spans(table.filter(pa.array(settled)))
-    out = [_span_table(doc, nth, span, np.zeros(len(doc), bool))]
-    if not settled.all():
-        out.append(rank(table.filter(pa.array(~settled))))
-    return pa.concat_tables(out)
+def _dealt_on(table: pa.Table, buckets: int, rank) -> pa.Table:
+    """What ranking a bucket's rows gives, with those that were settled or open before, in blobs for documents."""
+    state, out = table.column("state").to_numpy(), []
+    for kind in (SETTLED, OPEN):
+        doc, nth, span = _spans(table.filter(pa.array(state == kind)))
+        out.append(_span_table(doc, nth, span, np.full(len(doc), kind == OPEN)))
+    if (state == RANK).any():
+        out.append(rank(table.filter(pa.array(state == RANK))))
+    found = pa.concat_tables(out)
+    doc, nth, span, open_ = (found.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "nth", "span", "open"))
+    columns: list[list] = [[] for _ in range(5)]
+    for code, own in _runs(by_document(doc, nth, buckets) * 2 + open_):
+        for c, v in zip(columns, (code >> 1, bool(code & 1), planes(span[own]), planes(doc[own]), planes(nth[own])), strict=True):
+            c.append(v)
+    kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 3]
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "open", "span", "doc", "nth"])
+
+
+def _in_order(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """doc, nth and span of a bucket of documents in their order, and where a new document begins."""
+    doc, nth, span = _spans(table)
+    order = np.lexsort((span, nth, doc))
+    doc, nth, span = doc[order], nth[order], span[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (nth[1:] != nth[:-1])
+    return doc, nth, span, new
+
+
+def _listed(doc: np.ndarray, nth: np.ndarray, new: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> pa.Table:
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.table([pa.array(doc[new], pa.int64()), pa.array(nth[new], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))], ["doc", "nth", "spans"])
+
+
+def _collected(table: pa.Table) -> pa.Table:
+    """(doc, nth, spans) of a bucket of documents."""
+    doc, nth, span, new = _in_order(table)
+    return _listed(doc, nth, new, np.bincount(np.cumsum(new) - 1), span)
+
+
+def united(table: pa.Table, length: int) -> pa.Table:
+    """(doc, nth, spans) of a bucket of documents, where spans are the disjoint, sorted byte spans (start, end, ...)."""
+    doc, nth, span, new = _in_order(table)
+    own = np.cumsum(new) - 1
+    start, end = span >> 6, (span >> 6) + (span & 63) + length
+    upto = np.maximum.accumulate(end + (own << 40)) - (own << 40)  # the furthest end so far in the document
+    first = new.copy()
+    first[1:] |= start[1:] > upto[:-1]
+    last = np.concatenate([first[1:], [True]]) if len(first) else first
+    return _listed(doc, nth, new, 2 * np.bincount(own[first]), np.column_stack([start[first], upto[last]]).reshape(-1))
 
 
 def _rank_places(table: pa.Table) -> pa.Table:
@@ -231,14 +311,6 @@ def _rank_windows(table: pa.Table) -> pa.Table:
     return _span_table(doc[own], nth[own], span[own], np.zeros(len(own), bool))
 
 
-def _settle(table: pa.Table) -> pa.Table:
-    return _with_settled(table, _rank_places)
-
-
-def _settle_windows(table: pa.Table) -> pa.Table:
-    return _with_settled(table, _rank_windows)
-
-
 def _identified(docs: DataFrame, key: str) -> DataFrame:
     """(doc, nth, text): rows of one id, where there are any, are numbered by text."""
     from pyspark.sql import Window as W
@@ -250,10 +322,12 @@ def _identified(docs: DataFrame, key: str) -> DataFrame:
     return rows.select("doc", F.lit(0).alias("nth"), "text")
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH, prefix: int = PREFIX) -> DataFrame:
-    """(doc, nth, spans): for each document with removed windows, first window * 64 + number of further ones."""
+def repeated_spans(rows: DataFrame, length: int = LENGTH, prefix: int = PREFIX, piece_bytes: int = PIECE) -> DataFrame:
+    """(doc, nth, spans): for each document with removed bytes, their spans (start, end, ...)."""
     if length - prefix >= 64 or length <= prefix:
         raise ValueError("length must be over prefix, by less than 64")
+    if not 2 * length <= piece_bytes <= PIECE:
+        raise ValueError("pieces have two lengths at least, and PIECE bytes at most")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(8, -(-total // BUCKET_BYTES))
 
@@ -262,7 +336,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, prefix: int = PREFIX)
         for batch in batches:
             doc, nth = batch.column("doc").to_numpy(), batch.column("nth").to_numpy()
             data, ends = utf8(batch.column("text"))
-            for piece, row, base, bounds in packs(data, ends, length):
+            for piece, row, base, bounds in packs(data, ends, length, piece_bytes):
                 p = places(piece, bounds, length, prefix)
                 own = row[p["piece"]]
                 start = p["left"] - bounds[p["piece"]] + base[p["piece"]]
@@ -272,15 +346,16 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, prefix: int = PREFIX)
         yield from _blobs(buckets, parts, True)
 
     dealt = rows.mapInArrow(tidy(sample), BLOB)
-    settled = written(dealt.groupBy("bucket").applyInArrow(_settle, SPANS), "spans")
-    open_ = settled.filter("open").groupBy("doc", "nth").agg(F.collect_list("span").alias("spans"))
+    lists = "doc bigint, nth int, spans array<bigint>"
+    settled = written(dealt.groupBy("bucket").applyInArrow(lambda table: _dealt_on(table, buckets, _rank_places), FOUND), "spans")
+    open_ = settled.filter("open").groupBy("bucket").applyInArrow(_collected, lists)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
         for batch in batches:
             doc, nth, spans = batch.column("doc").to_numpy(), batch.column("nth").to_numpy(), batch.column("spans")
             data, ends = utf8(batch.column("text"))
-            for piece, row, base, bounds in packs(data, ends, length):
+            for piece, row, base, bounds in packs(data, ends, length, piece_bytes):
                 prints = Prints(piece)
                 for i, r in enumerate(row):
                     span = spans[int(r)].values.to_numpy()
@@ -293,24 +368,16 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, prefix: int = PREFIX)
                     yield from _blobs(buckets, parts, False)
         yield from _blobs(buckets, parts, False)
 
-    last = rows.join(open_, ["doc", "nth"]).mapInArrow(tidy(windows), BLOB).groupBy("bucket").applyInArrow(_settle_windows, SPANS)
-    return settled.filter("not open").unionByName(last).groupBy("doc", "nth").agg(F.collect_list("span").alias("spans"))
-
-
-def removed(spans: np.ndarray, length: int) -> np.ndarray:
-    """Disjoint, sorted byte spans as rows (start, end)."""
-    order = np.argsort(spans)
-    start, end = spans[order] >> 6, (spans[order] >> 6) + (spans[order] & 63) + length
-    end = np.maximum.accumulate(end)
-    first = np.concatenate([[True], start[1:] > end[:-1]])
-    return np.column_stack([start[first], end[np.concatenate([first[1:], [True]])]])
+    ranked = rows.join(open_, ["doc", "nth"]).mapInArrow(tidy(windows), BLOB).groupBy("bucket")
+    last = ranked.applyInArrow(lambda table: _dealt_on(table, buckets, _rank_windows), FOUND)
+    return settled.filter("not open").unionByName(last).groupBy("bucket").applyInArrow(lambda table: united(table, length), lists)
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", length: int = LENGTH, prefix: int = PREFIX) -> DataFrame:
+def deduplicated(docs: DataFrame, key: str = "doc_id", length: int = LENGTH, prefix: int = PREFIX, piece_bytes: int = PIECE) -> DataFrame:
     """key, n_bytes, removed_spans (start, end, ...), kept (the bytes that are left)."""
     small_batches(docs.sparkSession)
     rows = _identified(docs, key)
-    joined = rows.join(repeated_spans(rows, length, prefix), ["doc", "nth"], "left")
+    joined = rows.join(repeated_spans(rows, length, prefix, piece_bytes), ["doc", "nth"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,10 +385,10 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", length: int = LENGTH, pre
             found, kept = [], []
             for i, spans in enumerate(batch.column("spans")):
                 own = data[ends[i] : ends[i + 1]]
-                cuts = removed(spans.values.to_numpy(), length) if spans.is_valid else np.zeros((0, 2), np.int64)
-                edges = [0, *cuts.reshape(-1).tolist(), len(own)]
+                cuts = spans.values.to_numpy() if spans.is_valid else np.zeros(0, np.int64)
+                edges = [0, *cuts.tolist(), len(own)]
                 kept.append(b"".join(own[a:b].tobytes() for a, b in zip(edges[::2], edges[1::2], strict=True)))
-                found.append(cuts.reshape(-1))
+                found.append(cuts)
             doc = [None if x == NULL_ID else x for x in batch.column("doc").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(np.diff(ends), pa.int64()), long_list(found), pa.array(kept, pa.binary())], ["doc", "n_bytes", "removed_spans", "kept"])
 

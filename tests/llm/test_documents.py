@@ -214,11 +214,9 @@ def test_index_of_nothing(spark, docs, empty):
     assert op05_fm_index.contamination(empty, none).count() == 0
 
 
-@pytest.mark.parametrize("length,prefix", [(50, 16), (20, 7)])
-def test_repeated_strings_against_brute_force(docs, rows, monkeypatch, length, prefix):
-    monkeypatch.setattr(op07_suffixes, "PIECE", op07_suffixes.PIECE)
+def without_repeats(rows, length):
     first: dict[bytes, int] = {}
-    texts = [(-(1 << 63) if i is None else i, (t or "").encode()) for i, t, *_ in rows]
+    texts = [(-(1 << 63) if i is None else i, (t or "").encode()) for i, t in rows]
     for i, b in texts:
         for s in range(len(b) - length + 1):
             first[b[s : s + length]] = min(i, first.get(b[s : s + length], i))
@@ -231,8 +229,26 @@ def test_repeated_strings_against_brute_force(docs, rows, monkeypatch, length, p
         kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
         spans = sum(1 for k in range(len(b)) if gone[k] and not (k and gone[k - 1]))
         want.append((None if i == -(1 << 63) else i, len(b), len(b) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
-    got = op07_suffixes.digest(op07_suffixes.deduplicated(docs, length=length, prefix=prefix)).collect()
-    assert Counter(map(tuple, got)) == Counter(want)
+    return Counter(want)
+
+
+@pytest.mark.parametrize("length,prefix,piece", [(50, 16, 1 << 20), (20, 7, 1 << 20), (50, 24, 1 << 20), (50, 24, 1500)])
+def test_repeated_strings_against_brute_force(docs, rows, length, prefix, piece):
+    got = op07_suffixes.digest(op07_suffixes.deduplicated(docs, length=length, prefix=prefix, piece_bytes=piece)).collect()
+    assert Counter(map(tuple, got)) == without_repeats([r[:2] for r in rows], length)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_prefixes_that_go_on_in_many_ways(spark, parts):
+    rng = np.random.Generator(np.random.PCG64(9))
+    starts = rng.integers(97, 123, (40000, 24), dtype=np.uint8)
+    hot = starts[op07_suffixes.Prints(starts.reshape(-1)).of(np.arange(40000) * 24, np.arange(1, 40001) * 24).argmin()].tobytes().decode()
+    tail = lambda n, letters: "".join(chr(97 + c) for c in rng.integers(0, letters, n))
+    rows = [(i, tail(int(rng.integers(0, 40)), 26) + hot + "same" + tail(9, 2) + "the rest of it is like this " + tail(int(rng.integers(0, 12)), 2)) for i in range(600)]
+    rows += [(int(rng.integers(0, 600)), rows[i][1]) for i in range(0, 600, 50)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts)
+    got = Counter(map(tuple, op07_suffixes.digest(op07_suffixes.deduplicated(docs)).collect()))
+    assert got == without_repeats(rows, 50) and sum(n for (_, _, gone, *_), n in got.items() if gone) > 100
 
 
 def test_long_texts_are_cut_into_overlapping_pieces(monkeypatch):
