@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,5 +95,85 @@ def test_longest_common_subsequence(a, b, want):
     assert all(a[i] in rest for i in found)
 
 
+def site(k, own):
+    """A page whose template is div and p alone and longer than what it has of its own; a notice lies in its article."""
+    top = [f"This line {i} of the template is on every page of the site, and it is a long one." for i in range(6)]
+    return "<html><body>" + "".join(f"<p>{x}</p>" for x in top) + f"<main><h1>Title {k}</h1><p>Read more of us, every day</p><p>{own}</p></main><p>All rights reserved</p></body></html>"
+
+
+def test_differencing_decides_inside_and_outside_articles(spark):
+    plain = lambda html: html.replace("<main>", "<div>").replace("</main>", "</div>")
+    rows = [(k, f"http://a.org/p/{k:02}", site(k, f"own text {k}")) for k in range(12)] + [(100 + k, f"http://b.org/p/{k:02}", plain(site(k, f"own text {k}"))) for k in range(12)]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    text = {r["page_id"]: r["text"] for r in pages_op.extracted(table).collect()}
+    assert all(text[k] == text[100 + k] == f"Title {k}\nown text {k}" for k in range(12))
+    alone = pages_op.main_text(pages_op.parsed(rows[0][2]), []), pages_op.main_text(pages_op.parsed(rows[12][2]), [])
+    assert "Read more of us" in alone[0] and "template" in alone[1]  # no neighbours: the same pages keep these lines
+
+
+def test_copies_among_most_neighbours_keep_the_article():
+    page_of = lambda k: pages_op.parsed(f"<article><p>the text that all copies have, which is long</p><p>and {k}</p></article><p>template</p>")
+    near = [page_of(k) for k in range(6)]
+    assert pages_op.main_text(page_of(9), near) == "the text that all copies have, which is long\nand 9"
+
+
+@pytest.mark.parametrize("partitions,rows", [(1, 1000), (7, 1000), (3, 7), (5, 10)])
+def test_neighbours_are_those_of_the_whole_table(spark, partitions, rows):
+    lines = lambda k: [f"line {k // 2}", f"line {k // 3} of three", f"text {k}"]  # noqa: E731  shared with the next one or two pages only
+    pages = [(k, f"http://{'hot' if k % 3 else 'cold'}.org/{k:03}", page(lines(k))) for k in range(90)]
+    pages += [(200, None, page(["a"])), (None, "http://hot.org/010", page(lines(10))), (10, "http://hot.org/010", page(lines(10))), (201, None, None)]
+    order = sorted(pages, key=lambda r: ("" if r[1] is None else r[1].split("/")[2], r[1] or "", -(1 << 63) if r[0] is None else r[0]))
+    want = Counter()
+    for i, (id_, url, html) in enumerate(order):
+        near = [pages_op.parsed(h or "") for j, (_, u, h) in enumerate(order) if 0 < abs(i - j) <= 3 and u and url and u.split("/")[2] == url.split("/")[2]]
+        want[id_, url, pages_op.main_text(pages_op.parsed(html or ""), near)] += 1
+    table = spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(partitions)
+    assert Counter(map(tuple, pages_op.extracted(table, rows=rows).collect())) == want
+
+
+@pytest.mark.parametrize("source", ["<a " * 400_000, "<a" + " " * 1_000_000, "<a " * 300_000 + ">", "<a '" * 250_000, "<a \"'" * 200_000 + ">", "<!--" * 250_000, "<script>" * 120_000, "<p><b>" * 150_000, "</p>" * 250_000])
+def test_broken_pages_are_read_in_linear_time(source):
+    start = time.process_time()
+    pages_op.parsed(source)
+    assert time.process_time() - start < 6
+
+
+@pytest.mark.parametrize("source,lines", [
+    ("a < b <c", ["a < b <c"]), ("x<!-- <p> -->y<!-- z", ["xy"]), ("<p title='a>b'>one<p>two</P>three", ["one", "two", "three"]), ('<p title="a>one', ["one"]),
+    ("<script>var t='</p>';</script >x<STYLE>p</style>y", ["xy"]), ("<!DOCTYPE html><?x y?>z", ["z"]), ("<br/>a<br>b&lt;", ["a b<"]), ("<script>never closed", []),
+])
+def test_lines_of_markup(source, lines):
+    assert pages_op.parsed(source).lines == lines
+
+
+class Articles(HTMLParser):
+    """The text of article elements by the standard library's parser: a line for each block."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.text = False, []
+
+    def handle_starttag(self, tag, attrs):
+        self.inside = self.inside or tag == "article"
+        self.text.append(" " if tag == "br" else "\0" if tag in ("p", "h1", "article") else "")
+
+    def handle_endtag(self, tag):
+        self.text.append("\0" if tag in ("p", "h1", "article") else "")
+        self.inside = self.inside and tag != "article"
+
+    def handle_data(self, data):
+        self.text.append(data if self.inside else "")
+
+
+def test_articles_of_the_given_pages(spark):
+    """The whole article of each page, and nothing else: no article's line is most neighbours' line there."""
+    table = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    for r in table.join(pages_op.extracted(table).select("page_id", "text"), "page_id").collect():
+        parser = Articles()
+        parser.feed(r["html"])
+        want = [" ".join(x.split()) for x in "".join(parser.text).split("\0")]
+        assert r["text"].split("\n") == [x for x in want if x]
+
+
 def test_pages_of_nothing(spark):
     assert pages_op.extracted(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
