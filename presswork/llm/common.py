@@ -18,9 +18,11 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests), a temporary one of this machine."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset and all runs on this machine (tests), a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="presswork-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -86,6 +88,10 @@ def long_list(values: list[np.ndarray], kind=pa.int64()) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, kind))
 
 
+#: Parts that the rows of one root are dealt to.
+SALT = 16
+
+
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(node, root) of the connected components of an edge table; root is the least node.
 
@@ -103,10 +109,13 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
             .agg(F.min("root").alias("near"))
         )
         step = state.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        # a root's own new root: one jump along the pointers
-        jump = step.select(F.col("node").alias("root"), F.col("root").alias("further"))
+        step = written(step, "steps")
+        # a root's own new root: one jump along the pointers; a large component's rows are dealt out by salt
+        jump = step.select("root").distinct().join(step.select(F.col("node").alias("root"), F.col("root").alias("further")), "root")
+        jump = jump.select("root", "further", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+        salted = step.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALT)).cast("int"))
         new = written(
-            step.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("further", "root")).alias("root")),
+            salted.join(jump, ["root", "salt"], "left").select("node", "old", F.least("root", F.coalesce("further", "root")).alias("root")),
             "roots",
         )
         if not new.filter("root <> old").limit(1).count():

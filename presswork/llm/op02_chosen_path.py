@@ -16,8 +16,8 @@ No pair is a row: a bucket gives each node an edge to the least node that it is
 links. A class is a connected component of the links.
 
 Defined cases: a null text or one without words is a class of its own without links; copies of one set link to each
-other; repeated rows count as documents each; equal ids are different documents; an empty table gives an empty one;
-other columns pass through :func:`distinct_documents` and are else not read.
+other; repeated rows count as documents each; equal ids are different documents; ids are integers (one that isn't a
+number counts as null); the least id of a class leaves nulls out; an empty table gives an empty one; other columns pass through :func:`distinct_documents` and are else not read.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import components, small_batches, tidy, written
 
@@ -199,11 +199,11 @@ def _compare(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(tidy(lambda batches: by_bucket(batches, "path", 20_000, bucket)), EDGE)
 
 
-SIGNED = "doc bigint, node bigint, sketch binary, hashes binary"
+SIGNED = "doc bigint, print bigint, node bigint, sketch binary, hashes binary"
 
 
 def signed(docs: DataFrame, key: str, size: int = SHINGLE) -> DataFrame:
-    """(doc, node, sketch, hashes) of each row; node is a hash of the set, null without words."""
+    """(doc, print, node, sketch, hashes) of each row: hashes of the text and of its set, null without words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
@@ -217,9 +217,9 @@ def signed(docs: DataFrame, key: str, size: int = SHINGLE) -> DataFrame:
                     node.append(xxhash.xxh3_64_intdigest(items.tobytes()) - (1 << 63) if len(items) else None)
                     sketches.append(None if low is None else sketch(low))
                     hashes.append(None if low is None else low.tobytes())
-                yield pa.RecordBatch.from_arrays([piece.column("doc"), pa.array(node, pa.int64()), pa.array(sketches, pa.binary()), pa.array(hashes, pa.binary())], ["doc", "node", "sketch", "hashes"])
+                yield pa.RecordBatch.from_arrays([piece.column("doc"), piece.column("print"), pa.array(node, pa.int64()), pa.array(sketches, pa.binary()), pa.array(hashes, pa.binary())], ["doc", "print", "node", "sketch", "hashes"])
 
-    return docs.select(F.col(key).cast("long").alias("doc"), "text").mapInArrow(tidy(sign), SIGNED)
+    return docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64("text").alias("print"), "text").mapInArrow(tidy(sign), SIGNED)
 
 
 PATHS = "path bigint, node bigint, sketch binary"
@@ -334,7 +334,7 @@ def _exact(rows: DataFrame, size: int, threshold: float) -> DataFrame:
 
 
 def similar_documents(docs: DataFrame, key: str = "doc_id", size: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc, node, links, root for each row: root is the node that stands for the class, null without words."""
+    """doc, print, node, links, root for each row: root is the node that stands for the class, null without words."""
     small_batches(docs.sparkSession)
     rows = written(signed(docs, key, size), "signed")
     some = rows.filter("node is not null")
@@ -359,7 +359,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", size: int = SHINGLE,
         roots = roots.unionByName(components(parts.select("node", "least"), "node", "least"))
     judged = classes.join(links, "node", "left").join(roots, "node", "left")
     judged = judged.select("node", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"), F.coalesce("root", "node").alias("root"))
-    return rows.select("doc", "node").join(judged, "node", "left").select("doc", "node", F.coalesce("links", F.lit(0)).alias("links"), "root")
+    return rows.select("doc", "print", "node").join(judged, "node", "left").select("doc", "print", "node", F.coalesce("links", F.lit(0)).alias("links"), "root")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
@@ -371,15 +371,23 @@ def classes(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
 
 
 def distinct_documents(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
-    """One document of each class, the one with the least id; columns as they were. Of rows of equal id one stays
-    for each class, and all rows without words stay."""
-    found = written(similar_documents(docs, key, **how), "similar")
-    least = found.filter("root is not null").groupBy("root").agg(F.min("doc").alias("doc"))
-    others = found.filter("root is not null").select("doc", "root").join(least.select("root", F.col("doc").alias("kept")), "root").filter(~F.col("doc").eqNullSafe(F.col("kept"))).select("doc").distinct()
-    columns = list(docs.columns)
-    left = docs.join(others.select(F.col("doc").alias("_path_doc")), F.col(key).cast("long") == F.col("_path_doc"), "left_anti")
-    if not found.filter("root is not null").groupBy("doc").count().filter("count > 1").limit(1).count():
-        return left
-    words = F.coalesce(F.col("text").rlike(r"(?U)\w"), F.lit(False))
-    numbered = left.withColumn("_path_nth", F.when(words, F.row_number().over(W.partitionBy(key, "text").orderBy(F.lit(0)))).otherwise(1))
-    return numbered.filter("_path_nth = 1").select(*[F.col(f"`{c}`") for c in columns])
+    """One document of each class, the one with the least id (null ids last); columns as they were. Rows are told
+    apart by id and text, so of rows of one id those of other classes stay; of repeated rows one stays. All rows
+    without words stay."""
+    found = written(similar_documents(docs, key, **how), "similar").filter("root is not null")
+    rows = found.groupBy("root", "doc", "print").agg(F.count("*").alias("n"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "print")).alias("kept"))
+    kept = F.col("doc").eqNullSafe(F.col("kept.doc")) & (F.col("print") == F.col("kept.print"))
+    judged = written(rows.join(first, "root").select("doc", "print", "n", kept.alias("kept")), "kept")
+    own = [F.col(key).cast("long").alias("_path_doc"), F.xxhash64("text").alias("_path_print")]
+    marked = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *own)
+
+    def those(table: DataFrame, how: str, of: DataFrame) -> DataFrame:
+        side = of.select(F.col("doc").alias("_path_d"), F.col("print").alias("_path_p"))
+        return table.join(side, F.col("_path_doc").eqNullSafe(F.col("_path_d")) & (F.col("_path_print") == F.col("_path_p")), how)
+
+    left = those(marked, "left_anti", judged.filter("not kept"))
+    repeated = judged.filter("kept and n > 1")
+    if repeated.limit(1).count():
+        left = those(left, "left_anti", repeated).unionByName(those(left, "left_semi", repeated).dropDuplicates(["_path_doc", "_path_print"]))
+    return left.drop("_path_doc", "_path_print")
