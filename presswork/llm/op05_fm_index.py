@@ -11,8 +11,9 @@ Benchmark words go to the tasks in blocks of at most ``BLOCK_WORDS`` words (item
 is shipped is bounded; more blocks mean more passes over the documents. Every block is searched in the whole texts,
 and the spans of all are merged for each row, which is numbered for that.
 
-Defined cases: null has no words; an item without words has no window; items with equal windows are all reported;
-a document inside which windows overlap has each word counted once; repeated rows are judged each; empty tables
+Defined cases: null has no words; item ids are of any type, a null id is an item's id too and has the empty name; an
+item without words has no window; items with equal windows are all reported; an item isn't split, so a block has one
+item at least; a document inside which windows overlap has each word counted once; repeated rows are judged each; empty tables
 give no hits; other columns are not read.
 """
 
@@ -25,6 +26,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import long_list, small_batches, tidy, written
 
@@ -43,7 +45,7 @@ def words(text: str | None) -> list[bytes]:
 class Phrases:
     """The windows of a block of items, and their words' numbers from 1; 0 is the separator."""
 
-    def __init__(self, items: list[tuple[int, str | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
         self.number: dict[bytes, int] = {}
         owners: dict[tuple[int, ...], set] = {}
         for item, text in items:
@@ -51,7 +53,7 @@ class Phrases:
             for i in range(max(1, len(ids) - window + 1) if ids else 0):
                 owners.setdefault(tuple(ids[i : i + window]), set()).add(item)
         self.windows = list(owners)
-        self.owners = [sorted(v, key=str) for v in owners.values()]
+        self.owners = list(owners.values())
         self.shortest = min(map(len, self.windows), default=1)
 
 
@@ -173,22 +175,26 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 #: Added to the columns of the documents: number of words, word spans (start, end, ...), items, and the spans' bytes.
 ADDED = {"_fm_words": "n_words", "_fm_spans": "hit_spans", "_fm_items": "item_ids", "_fm_bytes": "byte_spans"}
-_KINDS = (T.LongType(), T.ArrayType(T.LongType()), T.ArrayType(T.LongType()), T.ArrayType(T.LongType()))
 
 
-def _search(docs: DataFrame, items: list[tuple[int, str | None]], columns: list[str]) -> DataFrame:
+def _kinds(item: T.DataType) -> tuple[T.DataType, ...]:
+    return T.LongType(), T.ArrayType(T.LongType()), T.ArrayType(item), T.ArrayType(T.LongType())
+
+
+def _search(docs: DataFrame, items: list[tuple[object, str | None]], columns: list[str], item: T.DataType) -> DataFrame:
     """The columns of docs with the added ones."""
     small_batches(docs.sparkSession)
-    schema = T.StructType([*[f for f in docs.schema if f.name in columns], *[T.StructField(n, k) for n, k in zip(ADDED, _KINDS, strict=True)]])
+    schema = T.StructType([*[f for f in docs.schema if f.name in columns], *[T.StructField(n, k) for n, k in zip(ADDED, _kinds(item), strict=True)]])
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases(items)
-        number = phrases.number.get
+        number, kind = phrases.number.get, to_arrow_type(T.ArrayType(item))
 
         def judge(held: pa.RecordBatch, texts: list[bytes], ids: list[np.ndarray]) -> pa.RecordBatch:
             doc, first, window = hits(ids, phrases)
             length = np.array([len(w) for w in phrases.windows], np.int64)
-            spans, found, cut = ([np.zeros(0, np.int64)] * len(ids) for _ in range(3))
+            spans, cut = ([np.zeros(0, np.int64)] * len(ids) for _ in range(2))
+            found: list[list] = [[] for _ in ids]
             order = np.argsort(doc, kind="stable")
             edges = np.searchsorted(doc[order], np.arange(len(ids) + 1))
             for d in np.unique(doc):
@@ -197,8 +203,8 @@ def _search(docs: DataFrame, items: list[tuple[int, str | None]], columns: list[
                 inside = np.concatenate([[False], _IN[np.frombuffer(texts[d], np.uint8)], [False]])
                 begin, end = np.flatnonzero(inside[1:-1] & ~inside[:-2]), np.flatnonzero(inside[1:-1] & ~inside[2:]) + 1
                 spans[d], cut[d] = span.reshape(-1), np.column_stack([begin[span[:, 0]], end[span[:, 1] - 1]]).reshape(-1)
-                found[d] = np.array(sorted({i for w in np.unique(window[own]) for i in phrases.owners[w]}), np.int64)
-            extra = [pa.array([len(x) for x in ids], pa.int64()), long_list(spans), long_list(found), long_list(cut)]
+                found[d] = sorted({i for w in np.unique(window[own]) for i in phrases.owners[w]}, key=lambda i: (i is None, i))
+            extra = [pa.array([len(x) for x in ids], pa.int64()), long_list(spans), pa.array(found, kind), long_list(cut)]
             return pa.RecordBatch.from_arrays([*[held.column(c) for c in columns], *extra], [*columns, *ADDED])
 
         for batch in batches:
@@ -216,7 +222,7 @@ def _search(docs: DataFrame, items: list[tuple[int, str | None]], columns: list[
     return docs.mapInArrow(tidy(shard), schema)
 
 
-def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int, str | None]]]:
+def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[object, str | None]]]:
     """The items in blocks whose words number about ``block_words`` each."""
     n_words = F.coalesce(F.regexp_count(F.lower("text"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")), F.lit(0))
     total = benchmark.agg(F.coalesce(F.sum(n_words), F.lit(0))).first()[0]
@@ -232,14 +238,14 @@ ROW = "_fm_row"
 
 def _searched(docs: DataFrame, benchmark: DataFrame, columns: list[str], block_words: int) -> DataFrame:
     """The columns of docs with the added ones, over all blocks of the benchmark."""
-    blocks = item_blocks(benchmark, block_words)
+    blocks, item = item_blocks(benchmark, block_words), benchmark.schema["item_id"].dataType
     items, more = next(blocks), next(blocks, None)
     if more is None:
-        return _search(docs, items, columns)
+        return _search(docs, items, columns, item)
     numbered = written(docs.select(*[F.col(f"`{c}`") for c in columns], *([] if "text" in columns else ["text"])).withColumn(ROW, F.monotonically_increasing_id()), "numbered")
     found = []
     for k, block in enumerate(chain([items, more], blocks)):
-        hit = _search(numbered.select(ROW, "text"), block, [ROW])
+        hit = _search(numbered.select(ROW, "text"), block, [ROW], item)
         found.append(written(hit if k == 0 else hit.filter(F.size("_fm_items") > 0), "hits"))
     parts = F.collect_list(F.struct("_fm_spans", "_fm_bytes", "_fm_items"))
     rows = reduce(DataFrame.unionByName, found).groupBy(ROW).agg(F.max("_fm_words").alias("_fm_words"), parts.alias("p"))
@@ -310,6 +316,6 @@ def span_words(spans: str = "hit_spans"):
 
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
-    names = F.array_join(F.array_sort(F.transform("item_ids", lambda x: x.cast("string"))), ",")
+    names = F.array_join(F.array_sort(F.transform("item_ids", lambda x: F.coalesce(x.cast("string"), F.lit("")))), ",")
     n_hit = span_words()
     return found.select(key, "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
