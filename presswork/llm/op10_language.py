@@ -7,7 +7,8 @@ frequent n-grams are compared to each profile by the out-of-place distance: the
 
 Only text and language of documents whose crc32(id as text) mod 3 is not 1 are learnt from. All of them count:
 each task sums its n-grams by language, Spark sums the tasks' sums. What goes to the driver and back to the tasks
-is the profiles: ``PROFILE`` n-grams for each of at most ``LANGUAGES`` languages.
+is the profiles, ``PROFILE`` n-grams for each language, in blocks of ``LANGUAGES`` languages: texts are compared to one
+block after the other, and the nearest language so far is kept.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is every text if nothing can be
 learnt; equal counts are ordered by n-gram, equal distances by language; a null id is the empty text for crc32;
@@ -26,6 +27,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from .common import small_batches, tidy
 
 PROFILE, LANGUAGES, UNKNOWN = 400, 500, "und"
+#: Documents of a lower score are in none of the languages.
+LEAST = 0.3
 #: Columns that are added to those of the documents.
 PREDICTED, SCORED = "_rank_order_language", "_rank_order_score"
 #: Characters that are counted at once.
@@ -127,8 +130,17 @@ def learnt(rows: DataFrame, size: int = PROFILE) -> DataFrame:
     return ranked.select("lang", "gram", "place")
 
 
-def identified(docs: DataFrame, profiles: dict[str, dict[int, int]], columns: list[str], size: int = PROFILE) -> DataFrame:
+def identified(docs: DataFrame, profiles: dict[str, dict[int, int]], columns: list[str], size: int = PROFILE, most: int = LANGUAGES) -> DataFrame:
     """The columns with prediction and score, 1 for the distance 0 and 0 for the greatest that there can be."""
+    order, rows = sorted(profiles), docs
+    for k in range(0, max(1, len(order)), most):
+        rows = _compared(rows, {n: profiles[n] for n in order[k : k + most]}, columns if k == 0 else [c for c in rows.columns if c not in (PREDICTED, SCORED)], size, k > 0)
+    return rows.select(*[F.col(f"`{c}`") for c in [*columns, PREDICTED, SCORED]])
+
+
+def _compared(docs: DataFrame, profiles: dict[str, dict[int, int]], columns: list[str], size: int, again: bool) -> DataFrame:
+    """The columns (and text) with the nearest of these languages, or the one of a block before if it is as near."""
+    columns = [*columns, *([] if "text" in columns else ["text"])]
     names = sorted(profiles)
     grams = np.array(sorted({g for p in profiles.values() for g in p}), np.int64)
     places = np.array([[profiles[n].get(g, -1) for g in grams.tolist()] for n in names], np.int64).reshape(len(names), len(grams))
@@ -138,6 +150,8 @@ def identified(docs: DataFrame, profiles: dict[str, dict[int, int]], columns: li
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             found, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+            if again:
+                found, scores = batch.column(PREDICTED).to_pylist(), batch.column(SCORED).to_numpy().copy()
             for begin, part in _pieces(texts) if names else ():
                 owner, gram, n = counted(part)
                 order = np.lexsort((gram, -n, owner))
@@ -154,8 +168,9 @@ def identified(docs: DataFrame, profiles: dict[str, dict[int, int]], columns: li
                 of = np.bincount(owner, minlength=len(part))
                 best = far.argmin(0)
                 for i in np.flatnonzero(of):
-                    found[begin + i] = names[best[i]]
-                    scores[begin + i] = 1 - far[best[i], i] / (of[i] * size)
+                    score = 1 - far[best[i], i] / (of[i] * size)
+                    if found[begin + i] == UNKNOWN or score > scores[begin + i]:
+                        found[begin + i], scores[begin + i] = names[best[i]], score
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(found, pa.string()), pa.array(scores, pa.float64())], [*columns, PREDICTED, SCORED])
 
     return docs.mapInArrow(tidy(judge), schema)
@@ -165,10 +180,8 @@ def profiles_of(docs: DataFrame, key: str = "doc_id", size: int = PROFILE) -> di
     """The profiles, learnt from the rows that are not held out."""
     small_batches(docs.sparkSession)
     out: dict[str, dict[int, int]] = {}
-    for r in learnt(docs.filter(~held_out(key)).select("text", "lang"), size).limit(size * LANGUAGES + 1).collect():
+    for r in learnt(docs.filter(~held_out(key)).select("text", "lang"), size).collect():
         out.setdefault(r["lang"], {})[r["gram"]] = r["place"]
-    if sum(map(len, out.values())) > size * LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
     return out
 
 
@@ -179,7 +192,7 @@ def languages(docs: DataFrame, key: str = "doc_id", size: int = PROFILE) -> Data
     return identified(rows, profiles, [key, "held_out"], size).withColumnsRenamed({PREDICTED: "lang_pred", SCORED: "score"})
 
 
-def in_known_language(docs: DataFrame, key: str = "doc_id", least: float = 0.25, size: int = PROFILE) -> DataFrame:
+def in_known_language(docs: DataFrame, key: str = "doc_id", least: float = LEAST, size: int = PROFILE) -> DataFrame:
     """The documents, without those whose language is unknown or whose score is under ``least``."""
     columns = list(docs.columns)
     return identified(docs, profiles_of(docs, key, size), columns, size).filter((F.col(PREDICTED) != UNKNOWN) & (F.col(SCORED) >= least)).select(*[F.col(f"`{c}`") for c in columns])
