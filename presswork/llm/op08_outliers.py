@@ -34,14 +34,15 @@ LEAST = 40
 GROUP, LEVELS = ("lang", "source"), ("level", "lang", "source")
 
 
-def base_statistics(docs: DataFrame, key: str = "doc_id", keep: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+def base_statistics(docs: DataFrame, key: str = "doc_id", keep: tuple[str, ...] = ("lang", "source"), position_bits: int = POSITION_BITS) -> DataFrame:
     """key, kept columns, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words.
 
     Repeated windows: each window's hash and its place are packed into one number, the numbers are sorted, and
-    neighbours of equal hash and equal words are repeats. A text may have up to 2^24 words.
+    neighbours of equal hash and equal words are repeats. Where neighbours of equal hash have different words, or
+    places don't fit, the windows themselves are sorted.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    low = (1 << POSITION_BITS) - 1
+    low = (1 << position_bits) - 1
     words = F.array_remove(F.split(text, SPACE), "")
     step = docs.select(
         key, *keep,
@@ -52,7 +53,7 @@ def base_statistics(docs: DataFrame, key: str = "doc_id", keep: tuple[str, ...]
     pack = lambda a, b, c, i: F.xxhash64(a, b, c).bitwiseAND(F.lit(~low)).bitwiseOR(i)
     size = F.size("w")
     packed = F.when(
-        size >= 4,
+        size.between(4, low + 1),
         F.sort_array(F.transform(F.slice("w", 1, size - 2), lambda a, i: pack(a, F.get("w", i + 1), F.get("w", i + 2), i.cast("long")))),
     ).otherwise(F.array().cast("array<bigint>"))
     step = step.select(
@@ -66,7 +67,12 @@ def base_statistics(docs: DataFrame, key: str = "doc_id", keep: tuple[str, ...]
     at = lambda x: x.bitwiseAND(F.lit(low)).cast("int")
     same = lambda x, y: reduce(lambda a, b: a & b, [F.get("w", at(x) + k).eqNullSafe(F.get("w", at(y) + k)) for k in range(3)])
     sure = F.filter("p", lambda x, i: (apart(x, F.get("p", i + 1)) & same(x, F.get("p", i + 1))) | (apart(x, F.get("p", i - 1)) & same(x, F.get("p", i - 1))))
-    places = F.sort_array(F.transform(sure, lambda x: at(x)))
+    step = step.select(key, *keep, "w", "n_symbols", "n_dup_lines", F.size("p").alias("n_near"), sure.alias("p"))
+    unsure = (F.size("p") < F.col("n_near")) | (F.size("w") > low + 1)
+    window = lambda a, i: F.struct(F.concat_ws(" ", a, F.get("w", i + 1), F.get("w", i + 2)).alias("g"), i.alias("i"))
+    step = step.select(key, *keep, "w", "n_symbols", "n_dup_lines", "p", F.when(unsure, F.array_sort(F.transform(F.slice("w", 1, F.size("w") - 2), window))).alias("g"))
+    like = F.filter("g", lambda x, i: F.coalesce(x["g"] == F.get("g", i + 1)["g"], F.lit(False)) | F.coalesce(x["g"] == F.get("g", i - 1)["g"], F.lit(False)))
+    places = F.sort_array(F.when(F.col("g").isNull(), F.transform("p", lambda x: at(x))).otherwise(F.transform(like, lambda x: x["i"])))
     step = step.select(key, *keep, "w", "n_symbols", "n_dup_lines", places.alias("p"))
     covered = F.aggregate(F.transform("p", lambda x, i: F.least(F.lit(3), F.coalesce(F.get("p", i + 1) - x, F.lit(3)))), F.lit(0).cast("long"), lambda s, x: s + x)
     return step.select(
