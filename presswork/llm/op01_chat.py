@@ -3,9 +3,11 @@
 For every participant of a conversation the dialogue is rendered with that speaker as assistant and the others as
 named users; the mask has the spans to learn from, the speaker's own words with their end mark.
 
-A row is a conversation from one perspective, or a part of it: dialogues are cut where ``turn`` passes a multiple
-of ``TURNS``, and where more than ``TURNS`` messages fall between two such cuts, after every ``TURNS`` messages. So
-no task gathers more than ``TURNS`` messages, however long a conversation is, and cuts depend on the turns alone.
+A row is a conversation from one perspective. Conversations of up to ``TURNS`` messages whose turns are under ``TURNS``
+are whole; longer dialogues are cut into parts where ``turn`` passes a multiple of ``TURNS``, and where more than
+``TURNS`` messages fall between two such cuts, after every ``TURNS`` messages. So no task gathers more than ``TURNS``
+messages, however long a conversation is, and cuts depend on the turns alone. Every part but the first begins with the
+conversation's first system message again, which isn't counted there.
 A message's place among equal turns is by speaker, then by hash and text; places come from counts of small groups,
 so a turn which a third of all rows share is counted by many tasks.
 
@@ -21,7 +23,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-TURNS = 64
+TURNS = 1024
 SYSTEM = ("system",)
 END = "<|end|>\n"
 
@@ -30,12 +32,17 @@ def _on(left: str, right: str, names: list[str]):
     return reduce(lambda a, b: a & b, [F.col(f"{left}.{n}").eqNullSafe(F.col(f"{right}.{n}")) for n in names])
 
 
+def spoken():
+    """A message's text, in which no mark can stand."""
+    return F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |"))
+
+
 def placed(messages: DataFrame, turns: int = TURNS) -> DataFrame:
     """conv_id, block, part, place, turn, speaker, words, n: messages with their place in a part."""
     rows = messages.select(
         "conv_id", "turn",
         F.coalesce("role", F.lit("unknown")).alias("speaker"),
-        F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("words"),
+        spoken().alias("words"),
     ).groupBy("conv_id", "turn", "speaker", "words").agg(F.count("*").alias("n"))
     rows = rows.withColumn("block", F.floor(F.col("turn") / turns)).withColumn("digit", F.substring(F.md5("words"), 1, 2))
     fine = ["conv_id", "block", "turn", "speaker", "digit"]
@@ -63,15 +70,26 @@ def rotated(messages: DataFrame, turns: int = TURNS, system: tuple[str, ...] = S
         F.when(own, F.char_length(head)).alias("learn"), (F.char_length(head) + F.char_length("words") + len(END)).alias("size"), "n",
     )
     parts = both.groupBy("conv_id", "block", "part", "perspective").agg(F.array_sort(F.collect_list(said)).alias("said"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("mask"))
+    begun = contexts(messages, turns, system).select(F.col("conv_id").alias("_conv"), "first", "lead")
+    later = ~(F.col("part") == 0) | ~F.col("block").eqNullSafe(F.col("first"))
+    parts = parts.join(begun, F.col("conv_id").eqNullSafe(F.col("_conv"))).withColumn("lead", F.when(later, F.coalesce("lead", F.lit(""))).otherwise(""))
+    start = F.struct(F.char_length("lead").cast("long").alias("at"), F.array().cast("array<bigint>").alias("mask"))
     add = lambda s, x: F.struct(
         (s["at"] + x["size"]).alias("at"),
         F.when(x["learn"].isNull(), s["mask"]).otherwise(F.concat(s["mask"], F.array(s["at"] + x["learn"], s["at"] + x["size"]))).alias("mask"),
     )
     return parts.select(
         "conv_id", "block", "part", "perspective",
-        F.array_join(F.transform("said", lambda x: x["said"]), "").alias("text"),
+        F.concat("lead", F.array_join(F.transform("said", lambda x: x["said"]), "")).alias("text"),
         F.aggregate("said", start, add)["mask"].alias("mask"),
         F.size("said").cast("long").alias("n_messages"),
         F.aggregate("said", F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("n_rows"),
     )
+
+
+def contexts(messages: DataFrame, turns: int, system: tuple[str, ...]) -> DataFrame:
+    """conv_id, first (block of its first part) and lead, its first system message as it is rendered."""
+    speaker, words = F.coalesce("role", F.lit("unknown")), spoken()
+    line = F.concat(F.lit("<|"), speaker, F.lit("|>\n"), words, F.lit(END))
+    own = F.when(speaker.isin(*system), F.struct(F.col("turn").isNull().alias("none"), "turn", speaker.alias("speaker"), words.alias("words"), line.alias("line")))
+    return messages.groupBy("conv_id").agg(F.min(F.floor(F.col("turn") / turns)).alias("first"), F.min(own)["line"].alias("lead"))

@@ -16,7 +16,7 @@ SCHEMA = "conv_id bigint, turn bigint, role string, text string"
 ROWS = [
     (1, 0, "system", "be kind"), (1, 1, "ann", "hi <|end|>"), (1, 2, "bob", "hello"), (1, 3, "ann", None), (1, 3, "ann", None), (1, 3, "cid", "tie"), (1, 3, "ann", "tie"),
     (2, 0, "system", "alone"), (3, None, "ann", "no turn"), (3, 5, None, "no name"), (None, 1, "ann", "no conversation"), (None, 2, "bob", ""),
-    *[(4, i, "ann" if i % 3 else "bob", f"turn {i} é") for i in range(150)], *[(5, 7, "ann" if i % 2 else "bob", f"same turn {i}") for i in range(200)], *[(6, 1, "ann", "again")] * 50,
+    (4, 0, "system", "be brief"), (4, 90, "system", "go on"), *[(4, i, "ann" if i % 3 else "bob", f"turn {i} é") for i in range(150)], *[(5, 7, "ann" if i % 2 else "bob", f"same turn {i}") for i in range(200)], *[(6, 1, "ann", "again")] * 50,
 ]
 
 
@@ -25,17 +25,20 @@ def rotated(rows, turns=64):
     blocks = defaultdict(list)
     for (c, t, r, x), n in messages.items():
         blocks[c, None if t is None else t // turns].append(((t is None, t or 0), r, hashlib.md5(x.encode()).hexdigest()[:2], x, n))
-    people = defaultdict(set)
-    for c, _, r, _ in messages:
+    people, first, lead = defaultdict(set), {}, {}
+    for c, t, r, x in sorted(messages, key=lambda m: (m[1] is None, m[1] or 0, m[3])):
         if r != "system":
             people[c].add(r)
+        else:
+            lead.setdefault(c, f"<|system|>\n{x}<|end|>\n")
+        first.setdefault(c, None if t is None else t // turns)
     out = []
     for (c, b), held in blocks.items():
         held.sort()
         for part in range(-(-len(held) // turns)):
             own = held[part * turns : (part + 1) * turns]
             for person in people[c]:
-                text, mask = "", []
+                text, mask = "" if part == 0 and b == first[c] else lead.get(c, ""), []
                 for _, r, _, x, _ in own:
                     text += "<|system|>\n" if r == "system" else "<|assistant|>\n" if r == person else f"<|user name={r}|>\n"
                     start = len(text)
@@ -45,10 +48,11 @@ def rotated(rows, turns=64):
     return Counter(out)
 
 
-def test_rotation(spark):
+@pytest.mark.parametrize("turns", [1024, 64, 3])
+def test_rotation(spark, turns):
     rows = spark.createDataFrame(ROWS, SCHEMA).repartition(3).withColumns({"said": F.lit(1), "block": F.lit(2), "part": F.lit(3)})
-    got = op01_chat.rotated(rows).select("conv_id", "block", "part", "perspective", "text", "mask", "n_messages", "n_rows").collect()
-    assert Counter((*r[:5], tuple(r[5]), *r[6:]) for r in got) == rotated(ROWS)
+    got = op01_chat.rotated(rows, turns).select("conv_id", "block", "part", "perspective", "text", "mask", "n_messages", "n_rows").collect()
+    assert Counter((*r[:5], tuple(r[5]), *r[6:]) for r in got) == rotated(ROWS, turns)
     for r in got:
         for a, b in zip(r["mask"][::2], r["mask"][1::2], strict=True):
             assert r["text"][a:b].endswith(op01_chat.END) and r["text"][:a].endswith("<|assistant|>\n")
@@ -103,10 +107,10 @@ def site(k, own):
 
 def test_differencing_decides_inside_and_outside_articles(spark):
     plain = lambda html: html.replace("<main>", "<div>").replace("</main>", "</div>")
-    rows = [(k, f"http://a.org/p/{k:02}", site(k, f"own text {k}")) for k in range(12)] + [(100 + k, f"http://b.org/p/{k:02}", plain(site(k, f"own text {k}"))) for k in range(12)]
+    rows = [(k, f"http://a.org/p/{k:02}", site(k, f"own text {k} which says more than the notice")) for k in range(12)] + [(100 + k, f"http://b.org/p/{k:02}", plain(site(k, f"own text {k} which says more than the notice"))) for k in range(12)]
     table = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     text = {r["page_id"]: r["text"] for r in pages_op.extracted(table).collect()}
-    assert all(text[k] == text[100 + k] == f"Title {k}\nown text {k}" for k in range(12))
+    assert all(text[k] == text[100 + k] == f"Title {k}\nown text {k} which says more than the notice" for k in range(12))
     alone = pages_op.main_text(pages_op.parsed(rows[0][2]), []), pages_op.main_text(pages_op.parsed(rows[12][2]), [])
     assert "Read more of us" in alone[0] and "template" in alone[1]  # no neighbours: the same pages keep these lines
 

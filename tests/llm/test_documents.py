@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from presswork.llm import op02_chosen_path, op03_cotraining, op04_patched_for, op05_fm_index, op07_suffixes, op08_outliers, op09_mixing, op10_language
+from presswork.llm import common, op02_chosen_path, op03_cotraining, op04_patched_for, op05_fm_index, op07_suffixes, op08_outliers, op09_mixing, op10_language
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Columns whose names are those of helpers.
@@ -86,6 +86,22 @@ def test_join_keeps_one_of_each_class(clashing, rows):
     assert {4, 5, 8, 9} <= set(ids)  # nothing to compare
 
 
+def test_rows_of_one_id_are_told_apart(spark):
+    a, u, z = "all the words of text a are here", "some other unique text is in this row", "and one more of its own to see"
+    rows = [(1, a), (7, a), (7, u), (None, a), (9, z), (9, z), (None, u + "!"), (None, z), (None, None), (None, None), (9, "..."), (9, "..."), (12, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).withColumns({"doc": F.lit(1), "print": F.lit(2), "root": F.lit("r"), "n": F.lit(0)})
+    got = op02_chosen_path.distinct_documents(docs)
+    assert got.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter([(1, a), (7, u), (9, z), (None, None), (None, None), (9, "..."), (9, "..."), (12, None)])
+
+
+def test_components_of_chains_stars_and_loops(spark):
+    edges = [(i, i + 1) for i in range(100, 160)] + [(500, 501 + i) for i in range(80)] + [(7, 7), (9, 8), (8, 9)] + [(-3, 500)]
+    found = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    want = {n: 100 for n in range(100, 161)} | {501 + i: -3 for i in range(80)} | {500: -3, -3: -3, 7: 7, 8: 8, 9: 8}
+    assert found == want
+
+
 def test_join_of_nothing(empty):
     assert op02_chosen_path.classes(empty).count() == 0 and op02_chosen_path.distinct_documents(empty).count() == 0
 
@@ -208,6 +224,18 @@ def test_repeated_rows_are_judged_each_in_blocks(spark, docs, rows, benchmark_ro
     assert Counter(map(tuple, got)) == Counter(contaminated([*rows, *extra], benchmark_rows))
 
 
+@pytest.mark.parametrize("kind,names", [("bigint", [5, None, 7]), ("string", ["b", None, "a"])])
+@pytest.mark.parametrize("block_words", [3, 100])
+def test_item_ids_of_any_kind(spark, kind, names, block_words):
+    texts = ["one two three", "one two three", "two three four five"]
+    items = spark.createDataFrame(list(zip(names, texts, strict=True)), f"item_id {kind}, text string")
+    docs = spark.createDataFrame([(1, "zero one two three four five six"), (2, "none of it"), (3, None)], "doc_id bigint, text string")
+    found = {r["doc_id"]: r for r in op05_fm_index.contamination(docs, items, block_words=block_words).collect()}
+    assert found[1]["item_ids"] == sorted([n for n in names if n is not None]) + [None] and found[2]["item_ids"] == found[3]["item_ids"] == []
+    digest = {r["doc_id"]: r for r in op05_fm_index.digest(op05_fm_index.contamination(docs, items)).collect()}
+    assert digest[1]["n_items"] == 3 and digest[1]["items_sha256"] == hashlib.sha256(",".join(sorted("" if n is None else str(n) for n in names)).encode()).hexdigest()
+
+
 def test_index_of_nothing(spark, docs, empty):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert op05_fm_index.contamination(docs, none).filter("size(hit_spans) > 0").count() == 0
@@ -298,6 +326,13 @@ def test_base_statistics(docs, rows):
         assert r["base_failed"] == failed and not (failed and r["kept"])
 
 
+@pytest.mark.parametrize("position_bits", [60, 62, 5])
+def test_windows_of_equal_hash_are_told_apart(docs, rows, position_bits):
+    """With a hash of 4 or 2 bits almost all neighbours differ; with 5 bits for places longer texts don't fit."""
+    got = op08_outliers.base_statistics(docs, keep=(), position_bits=position_bits).collect()
+    assert Counter(map(tuple, got)) == Counter((i, *statistics(t)) for i, t, *_ in rows)
+
+
 def test_outliers_against_a_plain_estimate(spark):
     rng = np.random.Generator(np.random.PCG64(3))
     good = rng.multivariate_normal([5, 5, 0.5, 0, 0], np.diag([1, 0.2, 0.1, 0.01, 0.01]), 400)
@@ -401,6 +436,36 @@ def test_languages(spark):
     assert kept.columns == extra.columns and {1000, 1001, 1002}.isdisjoint(r["doc_id"] for r in kept.collect()) and kept.count() == len(rows) - 3
 
 
+def test_languages_in_blocks_and_their_places_and_distances(spark):
+    rng = random.Random(3)
+    langs = [f"l{k}" for k in range(7)]
+    letters = {lang: "".join(rng.sample("abcdefghijklmnop", 8)) for lang in langs}
+    rows = [(i, " ".join("".join(rng.choices(letters[lang], k=rng.randrange(2, 7))) for _ in range(rng.randrange(1, 25))), lang) for i in range(200) for lang in [rng.choice(langs)]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    size = 60
+    ranked = lambda counts: {g: k for k, (g, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:size], 1)}
+    learn = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    profiles = {lang: ranked(profile_of([t for _, t, own in learn if own == lang])) for lang in langs}
+    assert op10_language.profiles_of(docs, size=size) == profiles
+    want = {}
+    for i, t, _ in rows:
+        own = ranked(profile_of([t]))
+        far = {lang: sum(min(size, abs(p - profiles[lang][g])) if g in profiles[lang] else size for g, p in own.items()) for lang in langs}
+        best = min(langs, key=lambda lang: (far[lang], lang))
+        want[i] = (best, pytest.approx(1 - far[best] / (size * len(own))))
+    for most in (500, 2, 3):
+        got = op10_language.identified(docs, profiles, ["doc_id"], size, most).collect()
+        assert {r["doc_id"]: (r[1], r[2]) for r in got} == want
+
+
+def test_texts_in_no_known_language_go(spark):
+    rng = random.Random(6)
+    known = [(i, " ".join(rng.choices("the of and house water under stone bread".split(), k=20)), "en") for i in range(60)]
+    other = [(100 + i, " ".join(rng.choices("жизнь вода хлеб камень дорога".split(), k=20)), None) for i in range(10)]
+    kept = op10_language.in_known_language(spark.createDataFrame(known + other, "doc_id bigint, text string, lang string"))
+    assert {r["doc_id"] for r in kept.collect()} == {r[0] for r in known}
+
+
 def test_languages_of_nothing(spark, empty):
     assert op10_language.languages(empty).count() == 0
     unlabelled = spark.createDataFrame([(1, "text", None)], "doc_id bigint, text string, lang string")
