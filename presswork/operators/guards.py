@@ -6,8 +6,10 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
 
-#: Issues that a repair of the body can't mend. Fixed values.
-OTHER_ISSUES = ("title_problems", "completeness_problems", "channel_problems")
+from ..schemas import ISSUES
+
+#: Issues that a repair of the body can't mend.
+OTHER_ISSUES = tuple(k for k in ISSUES if k not in ("dirty_content", "semantic_problems"))
 
 
 def league_guard(articles: DataFrame, verdicts: DataFrame, fallbacks: DataFrame, tabs: DataFrame, least: float = 0.9, always_direct: bool = False) -> DataFrame:
@@ -22,7 +24,7 @@ def league_guard(articles: DataFrame, verdicts: DataFrame, fallbacks: DataFrame,
     other = tabs.select(F.col("id").alias("new_tab"), (F.col("enabled") == 1).alias("new_active"), F.col("publish_mode").alias("new_mode"))
     joined = (
         articles.join(verdicts, "id", "left").join(fallbacks.withColumnRenamed("tab_id", "new_tab"), "id", "left")
-        .join(F.broadcast(own), "tab_id", "left").join(F.broadcast(other), "new_tab", "left")
+        .join(own, "tab_id", "left").join(other, "new_tab", "left")
     )
     sure = F.coalesce(F.col("confidence") >= least, F.lit(False))
     confirmed, moved = F.coalesce(F.col("belongs"), F.lit(False)) & sure, F.col("new_active").isNotNull()
@@ -42,10 +44,10 @@ def league_guard(articles: DataFrame, verdicts: DataFrame, fallbacks: DataFrame,
 def due_confirmations(articles: DataFrame, now: datetime, lease: int = 300, limit: int = 100) -> DataFrame:
     """Confirmations whose time has come, unclaimed or with a claim that ran out; the longest due first.
 
-    articles: id, status, dqd_archive_id, next_at, claimed_at, uncertain_since, updated_at.
+    articles: id, status, backend_archive_id, next_at, claimed_at, uncertain_since, updated_at.
     """
     free = F.col("claimed_at").isNull() | (F.col("claimed_at") <= F.lit(now) - F.expr(f"INTERVAL {lease} SECONDS"))
-    due = articles.filter((F.col("status") == "DRAFT_CONFIRMING") & (F.coalesce("dqd_archive_id", F.lit(0)) == 0) & (F.col("next_at") <= F.lit(now)) & free)
+    due = articles.filter((F.col("status") == "DRAFT_CONFIRMING") & (F.coalesce("backend_archive_id", F.lit(0)) == 0) & (F.col("next_at") <= F.lit(now)) & free)
     return due.orderBy("next_at", F.col("uncertain_since").asc_nulls_first(), F.col("updated_at").asc_nulls_first(), "id").limit(max(1, min(limit, 1000)))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Markers that say nothing. Fixed values.
 EMPTY_MARKERS = ("", "_", "xxx", "null", "none")
@@ -68,16 +68,17 @@ def parsed_user_name(name: str = "user_name") -> Column:
 def canonical(articles: DataFrame, key: str = "identity") -> DataFrame:
     """Each article's canonical one among those of its identity, and whether it is a duplicate of it.
 
-    First what is assigned already, then what has an archive id, an upstream id, the better status, the lower id;
-    a window over the identity, no self join.
+    First what is assigned already, then what has an archive id, an upstream id, the better status, the lower id.
+    The least is found by partial sums of each task, so copies by the million are no task's; an article without an
+    identity is its own canonical one.
     """
     rank = F.when(F.col("status") == "PUBLISHED", 0).when(F.col("status") == "DRAFT_CREATED", 1).otherwise(2)
-    w = W.partitionBy(key).orderBy(
-        F.col("duplicate_of_article_id").isNotNull(), F.col("dqd_archive_id").isNull(), (F.coalesce("upstream_archive_id", F.lit(0)) <= 0), rank, "id"
-    )
-    return articles.withColumn("canonical_id", F.first("id").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).select(
-        "id", key, "canonical_id", (F.col("id") != F.col("canonical_id")).alias("is_duplicate")
+    order = F.struct(
+        F.col("duplicate_of_article_id").isNotNull().alias("a"), F.col("backend_archive_id").isNull().alias("b"), (F.coalesce("upstream_archive_id", F.lit(0)) <= 0).alias("c"), rank.alias("d"), "id"
     )
+    best = articles.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(order)["id"].alias("canonical_id"))
+    found = articles.join(best, key, "left").withColumn("canonical_id", F.coalesce("canonical_id", "id"))
+    return found.select("id", key, "canonical_id", (F.col("id") != F.col("canonical_id")).alias("is_duplicate"))
 
 
 def routed(materials: DataFrame, rules: DataFrame, tabs: DataFrame, source_tabs: DataFrame) -> DataFrame:
@@ -88,15 +89,15 @@ def routed(materials: DataFrame, rules: DataFrame, tabs: DataFrame, source_tabs:
     the source's tabs but the generic one.
     """
     usable = tabs.filter("enabled = 1").select(F.col("id").alias("tab_id"), F.lit(True).alias("bound"))
-    live = rules.filter("enabled = 1").join(F.broadcast(usable), "tab_id", "left").filter((F.col("bound")) | (F.col("publish_mode_override") == 2))
+    live = rules.filter("enabled = 1").join(usable, "tab_id", "left").filter((F.col("bound")) | (F.col("publish_mode_override") == 2))
     marks = materials.select("id", "source", F.explode(F.array(F.struct(F.lit("team").alias("t"), F.col("team").alias("c")), F.struct(F.lit("league").alias("t"), F.col("league").alias("c")))).alias("m"))
     marks = marks.filter("m.c <> ''").select("id", "source", F.col("m.t").alias("marker_type"), F.col("m.c").alias("marker_code"))
     found = marks.join(live.withColumnRenamed("id", "rule_id"), ["marker_type", "marker_code"]).filter("source_code is null or source_code = source")
     order = F.struct((F.col("marker_type") != "team").alias("a"), F.col("source_code").isNull().alias("b"), F.col("rule_id").alias("c"))
     best = found.groupBy("id").agg(F.min_by(F.struct("rule_id", "marker_type", "tab_id", "publish_mode_override"), order).alias("rule"))
-    own = source_tabs.join(F.broadcast(tabs.select(F.col("id").alias("tab_id"), "backend_tab_id")), "tab_id")
+    own = source_tabs.join(tabs.select(F.col("id").alias("tab_id"), "backend_tab_id"), "tab_id")
     own = own.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("sort_order", "tab_id", "backend_tab_id"))).alias("own"))
-    joined = materials.join(best, "id", "left").join(F.broadcast(own), "source", "left")
+    joined = materials.join(best, "id", "left").join(own, "source", "left")
     ids = lambda c: F.transform(c, lambda x: x["tab_id"])
     mine = F.coalesce("own", F.array().cast("array<struct<sort_order:int,tab_id:int,backend_tab_id:int>>"))
     generic = ids(F.filter(mine, lambda x: x["backend_tab_id"] == GENERIC_TAB))
@@ -115,7 +116,7 @@ def observed(rules: DataFrame, seen: DataFrame) -> DataFrame:
         F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen"), F.min_by("source", F.struct("created_at", "id")).alias("sample_source")
     )
     known = rules.filter("source_code is null").select("marker_type", "marker_code", F.col("id").alias("rule_id"))
-    return leagues.join(F.broadcast(known), ["marker_type", "marker_code"], "left").select("marker_type", "marker_code", "rule_id", F.col("rule_id").isNull().alias("pending"), "first_seen", "last_seen", "sample_source")
+    return leagues.join(known, ["marker_type", "marker_code"], "left").select("marker_type", "marker_code", "rule_id", F.col("rule_id").isNull().alias("pending"), "first_seen", "last_seen", "sample_source")
 
 
 def upserted(state: DataFrame, batch: DataFrame, key: str = "source_url") -> DataFrame:

@@ -12,12 +12,12 @@ def publish_modes(articles: DataFrame, article_tabs: DataFrame, tabs: DataFrame,
     ``articles`` has id, source and route_rule_id.
     """
     usable = tabs.filter(F.col("backend_tab_id").isNotNull() & ~F.col("backend_tab_id").isin(*excluded)).select(F.col("id").alias("tab_id"), "enabled", F.col("publish_mode").alias("mode"))
-    votes = article_tabs.join(F.broadcast(usable), "tab_id").groupBy(F.col("article_id").alias("id")).agg(
+    votes = article_tabs.join(usable, "tab_id").groupBy(F.col("article_id").alias("id")).agg(
         F.array_sort(F.collect_set(F.when(F.col("enabled") == 1, F.col("mode")))).alias("modes"), F.bool_or(F.col("enabled") == 0).alias("disabled")
     )
     bound = rules.filter("enabled = 1 and tab_id is not null").select(F.col("id").alias("route_rule_id"), F.col("publish_mode_override").alias("rule_mode"))
     own = sources.select(F.col("code").alias("source"), F.col("publish_mode_override").alias("source_mode"))
-    joined = articles.join(votes, "id", "left").join(F.broadcast(bound), "route_rule_id", "left").join(F.broadcast(own), "source", "left")
+    joined = articles.join(votes, "id", "left").join(bound, "route_rule_id", "left").join(own, "source", "left")
     modes = F.coalesce("modes", F.array().cast("array<int>"))
     unanimous = F.when(F.size(modes) == 0, 0).when(F.size(modes) == 1, F.get(modes, 0))
     mode = F.coalesce("rule_mode", "source_mode", unanimous)
@@ -28,25 +28,28 @@ def publish_modes(articles: DataFrame, article_tabs: DataFrame, tabs: DataFrame,
 def assigned_accounts(articles: DataFrame, accounts: DataFrame) -> DataFrame:
     """id and account: articles in order of id, each to the enabled account with the fewest assignments so far.
 
-    Water filling as a join: the slots (level, account) in order are the order of assignments, so the k-th article
-    gets the k-th slot. The places of articles come from the counts of id blocks and small windows in them.
+    Water filling in closed form: between two neighbouring counts of accounts the same accounts take turns, so a
+    segment begins at a known place, and the place in it gives the turn. Segments and turns depend on the accounts
+    alone; places of articles come from the counts of id blocks and small windows in them. Without an enabled account
+    no article has one.
     """
-    live = accounts.filter("enabled = 1").select(F.col("id").alias("account_id"), F.col("assignment_count").alias("n"))
+    live = accounts.filter("enabled = 1").select(F.col("id").alias("account_id"), F.col("assignment_count").cast("bigint").alias("n"))
     block = F.floor(F.col("id") / 4096)
     counts = articles.groupBy(block.alias("block")).agg(F.count("*").alias("size"))
     before = F.coalesce(F.sum("size").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     placed = articles.select("id", block.alias("block")).join(counts.withColumn("before", before), "block")
-    placed = placed.select("id", (F.col("before") + F.row_number().over(W.partitionBy("block").orderBy("id"))).alias("place"))
-    total, most = articles.agg(F.count("*")).first()[0], live.agg(F.max("n"), F.count("*")).first()
-    if not most[1]:
-        raise ValueError("no enabled account")
-    levels = most[0] + total // most[1] + 2  # above it there are more slots than articles
-    slots = live.select("account_id", F.explode(F.sequence(F.col("n").cast("bigint"), F.lit(levels).cast("bigint"))).alias("level"))
-    per = slots.groupBy("level").agg(F.count("*").alias("size"))
-    first = F.coalesce(F.sum("size").over(W.orderBy("level").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ordered = slots.join(per.withColumn("first", first), "level")
-    ordered = ordered.select("account_id", (F.col("first") + F.row_number().over(W.partitionBy("level").orderBy("account_id"))).alias("place"))
-    return placed.join(ordered, "place").select("id", "account_id")
+    placed = placed.select("id", (F.col("before") + F.row_number().over(W.partitionBy("block").orderBy("id")) - 1).alias("place"))
+    levels = live.groupBy(F.col("n").alias("level")).agg(F.count("*").alias("own"))
+    upto = W.orderBy("level").rowsBetween(W.unboundedPreceding, 0)
+    steps = levels.withColumn("turns", F.sum("own").over(upto)).withColumn("up", F.lead("level").over(W.orderBy("level")) - F.col("level"))
+    begin = F.coalesce(F.sum(F.col("turns") * F.col("up")).over(W.orderBy("level").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    segments = steps.select("level", "turns", begin.alias("begin"))
+    turn = F.row_number().over(W.partitionBy("level").orderBy("account_id")) - 1
+    takers = segments.join(live, F.col("n") <= F.col("level")).select("level", "account_id").withColumn("turn", turn.cast("bigint"))
+    table = segments.agg(F.array_sort(F.collect_list(F.struct("begin", "level", "turns"))).alias("segments"))  # one row
+    at = placed.crossJoin(table).select("id", "place", F.element_at(F.filter("segments", lambda x: x["begin"] <= F.col("place")), -1).alias("s"))
+    asked = at.select("id", F.col("s.level").alias("level"), F.pmod(F.col("place") - F.col("s.begin"), F.col("s.turns")).alias("turn"))
+    return asked.join(takers, ["level", "turn"]).select("id", "account_id")
 
 
 def dispositions(queued: DataFrame) -> DataFrame:
@@ -77,7 +80,7 @@ def reviewed(articles: DataFrame, decisions: DataFrame) -> DataFrame:
 def outbox(articles: DataFrame, article_tabs: DataFrame, tabs: DataFrame, excluded: tuple[int, ...] = (0,)) -> DataFrame:
     """The fields to post, and why an article can't be: title, body, distinct backend tabs, channels by commas."""
     names = tabs.select(F.col("id").alias("tab_id"), "backend_tab_id").filter(F.col("backend_tab_id").isNotNull() & ~F.col("backend_tab_id").isin(*excluded))
-    per = article_tabs.join(F.broadcast(names), "tab_id").groupBy(F.col("article_id").alias("id")).agg(F.array_sort(F.collect_set("backend_tab_id")).alias("t"))
+    per = article_tabs.join(names, "tab_id").groupBy(F.col("article_id").alias("id")).agg(F.array_sort(F.collect_set("backend_tab_id")).alias("t"))
     reason = F.when(F.trim("title_final") == "", "no title").when(F.trim("body_html") == "", "no body").when(F.col("t").isNull(), "no tab")
     return articles.join(per, "id", "left").select("id", F.array_join(F.transform("t", lambda x: x.cast("string")), ",").alias("tabs"), F.array_join(F.transform(F.array_distinct("channels"), lambda x: x.cast("string")), ",").alias("channel_list"), reason.alias("reject_reason"))
 

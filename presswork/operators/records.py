@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..schemas import QUALITY
+from ..schemas import ISSUES, QUALITY
 
-ISSUES = ("title_incomplete", "body_incomplete", "ad", "dirty", "language")
+#: Words of dirt that is advertising. Fixed values.
+ADVERTISING = ("广告", "购买")
 
 
 def decoded(articles: DataFrame) -> DataFrame:
@@ -39,13 +42,19 @@ def consumed_attempts(repairs: DataFrame, version: int) -> DataFrame:
     return repairs.select("id", used.alias("consumed"))
 
 
-def valid_verdicts(raw: DataFrame) -> DataFrame:
-    """id, belongs, confidence, valid of raw answers: a JSON boolean and a finite number, or invalid."""
-    kind = lambda path: F.get_json_object("answer", f"$.{path}")
-    boolean = F.col("answer").rlike(r'"belongs"\s*:\s*(true|false)\b')
-    number = F.col("answer").rlike(r'"confidence"\s*:\s*-?\d+(\.\d+)?([eE][-+]?\d+)?\s*[,}]')
-    valid = F.coalesce(boolean & number, F.lit(False))
-    return raw.select("id", F.when(valid, kind("belongs") == "true").alias("belongs"), F.when(valid, kind("confidence").cast("double")).alias("confidence"), valid.alias("valid"))
+def valid_verdicts(raw: DataFrame, offered: str | None = None) -> DataFrame:
+    """id, belongs, confidence, valid of raw answers: JSON with a boolean and a finite number, or invalid; with
+    ``offered``, a column of ids, the answer's ``matched_id`` has to be one of them where it has one."""
+    answer = F.try_parse_json("answer")
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(answer, f"$.{path}", "variant"))
+    number = F.try_variant_get(answer, "$.confidence", "double")
+    valid = (kind("belongs") == "BOOLEAN") & kind("confidence").rlike("^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL.*|FLOAT|DOUBLE)$") & (F.abs(number) < float("inf"))
+    if offered:
+        matched = F.try_variant_get(answer, "$.matched_id", "bigint")
+        unasked = F.coalesce(kind("matched_id").isin("VOID"), F.lit(True))
+        valid = valid & (unasked | F.coalesce(F.array_contains(offered, matched), F.lit(False)))
+    valid = F.coalesce(valid, F.lit(False))
+    return raw.select("id", F.when(valid, F.try_variant_get(answer, "$.belongs", "boolean")).alias("belongs"), F.when(valid, number).alias("confidence"), valid.alias("valid"))
 
 
 def run_views(runs: DataFrame) -> DataFrame:
@@ -64,10 +73,11 @@ def run_tally(outcomes: DataFrame) -> DataFrame:
 
 
 def issue_flags(articles: DataFrame) -> DataFrame:
-    """Flags from the issue lists of the record: complete title and body, advertising, dirt."""
-    q = decoded(articles)
-    none = lambda k: F.coalesce(F.size(F.col("q.issues")[k]), F.lit(0)) <= 0
-    return q.select("id", none("title_incomplete").alias("title_complete"), none("body_incomplete").alias("body_complete"), (~none("ad")).alias("has_ad"), (~none("dirty")).alias("has_dirty"))
+    """Flags from the issue lists of the record: complete title and body, advertising, dirt. A missing list is empty."""
+    none = F.array().cast("array<string>")
+    q = decoded(articles).select("id", *[F.coalesce(F.col("q.issues")[k], none).alias(k) for k in ISSUES])
+    advert = F.exists("dirty_content", lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(w)) for w in ADVERTISING]))
+    return q.select("id", (F.size("title_problems") == 0).alias("title_complete"), (F.size("completeness_problems") == 0).alias("body_complete"), advert.alias("has_ad"), (F.size("dirty_content") > 0).alias("has_dirty"))
 
 
 def accounts(table: DataFrame, enabled_only: bool = True) -> DataFrame:
@@ -82,9 +92,11 @@ def not_judged(candidates: DataFrame, done: DataFrame) -> DataFrame:
 def keyword_hits(articles: DataFrame, keywords: DataFrame) -> DataFrame:
     """How many articles each keyword of a list finds, and how many of them no verdict confirms.
 
-    The list is small and sent to the articles; counts are summed by task before they are dealt.
+    The list is one row; each article keeps what its text has, and counts are summed by task before they are dealt.
     """
-    found = articles.join(F.broadcast(keywords), F.contains(F.lower("body_html"), F.lower("keyword")))
+    listed = keywords.agg(F.collect_set("keyword").alias("_keywords"))
+    text = F.lower("body_html")
+    found = articles.crossJoin(listed).select("belongs", F.explode(F.filter("_keywords", lambda k: F.contains(text, F.lower(k)))).alias("keyword"))
     return found.groupBy("keyword").agg(F.count("*").alias("hits"), F.count_if(~F.coalesce("belongs", F.lit(False))).alias("decoys"))
 
 
@@ -92,13 +104,13 @@ def backfilled_guard(articles: DataFrame, tabs: DataFrame) -> DataFrame:
     """The tab that the guard looked at: as recorded, else where the article landed unless it was reassigned."""
     guard = F.get_json_object("quality", "$.league_guard.guard_tab_name")
     moved = F.get_json_object("quality", "$.league_guard.reassigned_tab_active").isNotNull()
-    joined = articles.join(F.broadcast(tabs.select(F.col("id").alias("tab_id"), "name")), "tab_id", "left")
+    joined = articles.join(tabs.select(F.col("id").alias("tab_id"), "name"), "tab_id", "left")
     kind = F.when(guard.isNotNull(), "recorded").when(~moved, "landed").otherwise("unknown")
     return joined.select("id", kind.alias("kind"), F.when(kind == "landed", F.col("name")).otherwise(guard).alias("guard_tab"))
 
 
 def whitelist(tags: DataFrame, names: DataFrame, tabs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(tab_id, channel_id) for competitions that have a tab of their name, and the names without one."""
-    matched = names.join(F.broadcast(tabs.select(F.col("id").alias("tab_id"), F.col("name").alias("competition_name"))), "competition_name", "left")
-    lists = tags.join(F.broadcast(matched.filter("tab_id is not null").select("competition_id", "tab_id")), "competition_id").select("tab_id", "channel_id").distinct()
+    matched = names.join(tabs.select(F.col("id").alias("tab_id"), F.col("name").alias("competition_name")), "competition_name", "left")
+    lists = tags.join(matched.filter("tab_id is not null").select("competition_id", "tab_id"), "competition_id").select("tab_id", "channel_id").distinct()
     return lists, matched.filter("tab_id is null").select("competition_id", "competition_name")

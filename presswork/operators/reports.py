@@ -32,6 +32,13 @@ def periods(spark: SparkSession, first: date, last: date, boundaries: tuple[str,
     return ends.withColumn("period_end", F.lead("period_start").over(W.orderBy("period_start"))).filter("period_end is not null")
 
 
+def in_periods(rows: DataFrame, at: str, spans: DataFrame) -> DataFrame:
+    """The rows with the periods that their time falls in: an equi-join on the UTC day, then the bounds."""
+    days = spans.withColumn("_day", F.explode(F.sequence(F.to_date("period_start"), F.to_date("period_end"))))
+    found = rows.withColumn("_day", F.to_date(at)).join(days, "_day").drop("_day")
+    return found.filter((F.col(at) >= F.col("period_start")) & (F.col(at) < F.col("period_end")))
+
+
 def hours(start: str = "period_start", end: str = "period_end") -> Column:
     return F.timestamp_diff("SECOND", F.col(start), F.col(end)) / 3600.0
 
@@ -50,13 +57,13 @@ def period_stats(articles: DataFrame, sources: DataFrame, spans: DataFrame) -> D
 
     Articles go to their period by a join on the few periods and are counted before the sources are joined.
     """
-    inside = articles.join(F.broadcast(spans), (F.col("created_at") >= F.col("period_start")) & (F.col("created_at") < F.col("period_end")))
+    inside = in_periods(articles, "created_at", spans)
     of = lambda status: F.count_if(F.col("status") == status)
     counted = inside.groupBy("period_start", "period_end", "source").agg(
         F.count("*").alias("total_count"), of("PUBLISHED").alias("published_count"), of("DRAFT_CREATED").alias("draft_count"),
         of("NEEDS_REVIEW").alias("review_count"), of("ABANDONED").alias("abandoned_count"), F.count("duplicate_of_article_id").alias("duplicate_count"),
     )
-    every = sources.filter("enabled = 1").crossJoin(F.broadcast(spans)).select("period_start", "period_end", F.col("code").alias("source"), "display_name")
+    every = sources.filter("enabled = 1").crossJoin(spans).select("period_start", "period_end", F.col("code").alias("source"), "display_name")
     joined = every.join(counted, ["period_start", "period_end", "source"], "left")
     counts = [c for c in counted.columns if c.endswith("_count")]
     return joined.select("period_start", "period_end", F.col("source").alias("source_code"), F.col("display_name").alias("source_name"), *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
@@ -85,7 +92,7 @@ def compared(stats: DataFrame) -> DataFrame:
         F.col("source_code"), (F.col("period_end") + F.expr("INTERVAL 1 DAY")).alias("period_end"), F.col("total_count").alias("baseline_count")
     )
     has = earlier.select("period_end").distinct().withColumn("has_baseline", F.lit(True))
-    joined = stats.join(earlier, ["source_code", "period_end"], "left").join(F.broadcast(has), "period_end", "left")
+    joined = stats.join(earlier, ["source_code", "period_end"], "left").join(has, "period_end", "left")
     now, before = F.col("total_count"), F.col("baseline_count")
     kind = F.when(F.col("has_baseline").isNull(), "no_baseline").when(before.isNull(), "new").otherwise(change_type(now, before))
     joined = joined.withColumn("change", kind).withColumn("rate", F.when(before > 0, (now - before) / before))
@@ -121,7 +128,7 @@ def published_tabs(articles: DataFrame, article_tabs: DataFrame, tabs: DataFrame
 
 def publish_report(pairs: DataFrame, spans: DataFrame) -> DataFrame:
     """Direct publications of each tab and period, and in the row TOTAL the distinct articles."""
-    inside = pairs.join(F.broadcast(spans), (F.col("published_at") >= F.col("period_start")) & (F.col("published_at") < F.col("period_end")))
+    inside = in_periods(pairs, "published_at", spans)
     by = ["period_start", "period_end"]
     each = inside.groupBy(*by, "tab").agg(F.count("*").alias("n"))
     total = inside.select(*by, "id").distinct().groupBy(*by).agg(F.count("*").alias("n")).withColumn("tab", F.lit("TOTAL"))
@@ -158,7 +165,7 @@ def click_days(counts: DataFrame) -> DataFrame:
 def click_grid(counts: DataFrame) -> DataFrame:
     """Every day with every league, zero where there is no count: both sides are small dimensions."""
     days, leagues = counts.select("stat_date").distinct(), counts.select("league_name").distinct()
-    grid = days.crossJoin(F.broadcast(leagues))
+    grid = days.crossJoin(leagues)
     return grid.join(counts, ["stat_date", "league_name"], "left").select("stat_date", "league_name", F.coalesce("switch_cnt", F.lit(0)).alias("switch_cnt"))
 
 
@@ -221,6 +228,13 @@ def missing_periods(reported: DataFrame, spans: DataFrame) -> DataFrame:
     return spans.join(reported, ["period_start", "period_end"], "left_anti")
 
 
+def missing_source_periods(reported: DataFrame, sources: DataFrame, spans: DataFrame) -> DataFrame:
+    """source and the periods that its ledger lacks; ``next`` is the oldest, which is sent first."""
+    lacking = sources.crossJoin(spans).join(reported, ["source", "period_start", "period_end"], "left_anti")
+    nth = F.row_number().over(W.partitionBy("source").orderBy("period_start"))
+    return lacking.withColumn("next", nth == 1)
+
+
 def rendered(comparison: DataFrame) -> DataFrame:
     """One text for each period: a line for each anomaly, by level and source."""
     rank = F.when(F.col("level") == "critical", 1).when(F.col("level") == "warning", 2).otherwise(3)

@@ -6,6 +6,8 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..schemas import ISSUES
+
 
 def article_search(articles: DataFrame, article_tabs: DataFrame, *, status=None, source=None, tab_id=None, query=None, limit=50, offset=0) -> DataFrame:
     """A page of articles, newest first; the query is a literal substring of title, URL or source, ASCII case folded."""
@@ -44,7 +46,7 @@ def dedup_pool(articles: DataFrame, since: datetime) -> DataFrame:
 def stale_in_flight(articles: DataFrame, now: datetime, seconds: int = 600, status: str = "PUBLISHING") -> DataFrame:
     """What becomes of articles that are in flight too long."""
     old = articles.filter((F.col("status") == status) & (F.col("updated_at").isNull() | (F.col("updated_at") <= F.lit(now) - F.expr(f"INTERVAL {seconds} SECONDS"))))
-    to = F.when(F.coalesce("dqd_archive_id", F.lit(0)) > 0, F.when(F.col("publish_mode") == 1, "PUBLISHED").otherwise("DRAFT_CREATED")).otherwise("PUBLISH_FAILED")
+    to = F.when(F.coalesce("backend_archive_id", F.lit(0)) > 0, F.when(F.col("publish_mode") == 1, "PUBLISHED").otherwise("DRAFT_CREATED")).otherwise("PUBLISH_FAILED")
     return old.select("id", to.alias("to_status"), (to == "PUBLISH_FAILED").alias("needs_reconcile"))
 
 
@@ -64,7 +66,7 @@ def rechecks(articles: DataFrame, events: DataFrame, reasons: list[str], before:
 
 def rule_listing(rules: DataFrame, tabs: DataFrame) -> DataFrame:
     """Rules with their tab, those without one first."""
-    joined = rules.join(F.broadcast(tabs.select(F.col("id").alias("tab_id"), F.col("name").alias("tab_name"))), "tab_id", "left")
+    joined = rules.join(tabs.select(F.col("id").alias("tab_id"), F.col("name").alias("tab_name")), "tab_id", "left")
     w = W.orderBy(F.col("tab_id").isNotNull(), "marker_type", "marker_code", "id")
     return joined.select("id", "marker_type", "marker_code", "source_code", "tab_name", F.col("tab_id").isNull().alias("pending"), F.row_number().over(w).alias("place"))
 
@@ -92,8 +94,40 @@ def guard_outcome(articles: DataFrame) -> DataFrame:
 
 
 def strictly_passing(articles: DataFrame) -> DataFrame:
-    """Articles whose quality record passes without reservations."""
-    return articles.filter((flag("pass") == "true") & F.coalesce(flag("decision") == "clean", flag("decision").isNull()) & F.coalesce(flag("needs_review") != "true", F.lit(True))).select("id")
+    """Articles whose quality record passes without reservations: ``pass`` is the boolean true and ``needs_review`` the
+    boolean false, a decision is clean, there are neither plans nor an error of one, and the issues are the five lists,
+    all empty. What is missing or of another type doesn't pass."""
+    record = F.try_parse_json("quality")
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(record, f"$.{path}", "variant"))
+    is_ = lambda path, value: (kind(path) == "BOOLEAN") & (flag(path) == value)
+    lists = F.from_json(flag("issues"), "map<string,string>")
+    empty = F.forall(F.map_values(lists), lambda x: F.coalesce(x.rlike(r"^\[\s*\]$"), F.lit(False)))
+    decided = flag("decision").isNull() | (flag("decision") == "clean")
+    unplanned = F.coalesce(flag("repair_plans").isin("[]", "null", ""), F.lit(True)) & (F.coalesce(flag("repair_plan_error"), F.lit("")) == "")
+    good = is_("pass", "true") & is_("needs_review", "false") & decided & unplanned & (F.array_sort(F.map_keys(lists)) == F.array(*map(F.lit, sorted(ISSUES)))) & empty
+    return articles.filter(F.coalesce(good, F.lit(False))).select("id")
+
+
+def retryable(articles: DataFrame, match: str, limit: int | None = None) -> DataFrame:
+    """Failed articles that never got an archive, whose error has the text (ASCII case folded), in order of id."""
+    found = articles.filter((F.col("status") == "PUBLISH_FAILED") & F.contains(F.lower("error"), F.lit(match.lower())) & (F.coalesce("backend_archive_id", F.lit(0)) == 0)).orderBy("id")
+    return found.limit(limit) if limit else found
+
+
+def reasoned(articles: DataFrame, match: str, since: datetime) -> DataFrame:
+    """Articles in review since a time whose record's reason has the text."""
+    return articles.filter((F.col("status") == "NEEDS_REVIEW") & (F.col("updated_at") >= F.lit(since)) & F.contains(F.coalesce(flag("reason"), F.lit("")), F.lit(match))).orderBy("id")
+
+
+def recent_runs(runs: DataFrame, at: str = "created_at", limit: int = 30) -> DataFrame:
+    """The newest rows of a run log; at least one, at most 200."""
+    return runs.orderBy(F.desc(at), F.desc("id")).limit(max(1, min(limit, 200)))
+
+
+def newest_first(runs: DataFrame, key: str, at: str) -> DataFrame:
+    """Each key's last run, with its place among all: newest first."""
+    last = ledger_latest(runs, key, at)
+    return last.withColumn("place", F.row_number().over(W.orderBy(F.desc(at), key)))  # a row for each key of the ledger
 
 
 def latest_event(events: DataFrame) -> DataFrame:

@@ -21,10 +21,10 @@ def roster_tags(latest: DataFrame, season_teams: DataFrame, teams: DataFrame, pe
     """
     playing = teams.filter(~F.col("deleted") & (F.col("team_type") == "default")).select(F.col("id").alias("team_id"))
     pairs = latest.join(season_teams, "season_id").join(playing, "team_id").select("competition_id", "team_id").distinct()
-    of = lambda kind: channels.filter(F.col("relate_type") == kind).select("dqd_id", F.col("id").alias("channel_id"))
-    team = pairs.join(of("Team"), F.col("team_id") == F.col("dqd_id")).select("competition_id", "channel_id", F.lit("Team").alias("tag_type"))
+    of = lambda kind: channels.filter(F.col("relate_type") == kind).select("backend_id", F.col("id").alias("channel_id"))
+    team = pairs.join(of("Team"), F.col("team_id") == F.col("backend_id")).select("competition_id", "channel_id", F.lit("Team").alias("tag_type"))
     people = pairs.join(persons, "team_id").select("competition_id", "person_id").distinct()
-    player = people.join(of("Player"), F.col("person_id") == F.col("dqd_id")).select("competition_id", "channel_id", F.lit("Player").alias("tag_type"))
+    player = people.join(of("Player"), F.col("person_id") == F.col("backend_id")).select("competition_id", "channel_id", F.lit("Player").alias("tag_type"))
     both = team.unionByName(player)
     # Team is after Player in the alphabet
     return both.groupBy("competition_id", "channel_id").agg(F.max("tag_type").alias("tag_type"))
@@ -33,9 +33,9 @@ def roster_tags(latest: DataFrame, season_teams: DataFrame, teams: DataFrame, pe
 def national_tags(teams: DataFrame, persons: DataFrame, channels: DataFrame) -> DataFrame:
     """(channel_id, tag_type) of national teams of any kind and their persons."""
     national = teams.filter(~F.col("deleted") & (F.col("type") == "national")).select(F.col("id").alias("team_id"))
-    team = national.join(channels.filter("relate_type = 'Team'"), F.col("team_id") == F.col("dqd_id")).select(F.col("id").alias("channel_id"), F.lit("Team").alias("tag_type"))
+    team = national.join(channels.filter("relate_type = 'Team'"), F.col("team_id") == F.col("backend_id")).select(F.col("id").alias("channel_id"), F.lit("Team").alias("tag_type"))
     people = national.join(persons, "team_id").select("person_id").distinct()
-    player = people.join(channels.filter("relate_type = 'Player'"), F.col("person_id") == F.col("dqd_id")).select(F.col("id").alias("channel_id"), F.lit("Player").alias("tag_type"))
+    player = people.join(channels.filter("relate_type = 'Player'"), F.col("person_id") == F.col("backend_id")).select(F.col("id").alias("channel_id"), F.lit("Player").alias("tag_type"))
     return team.unionByName(player).groupBy("channel_id").agg(F.max("tag_type").alias("tag_type"))
 
 
@@ -64,7 +64,7 @@ def accepted_tags(old: DataFrame, new: DataFrame, verdict: DataFrame) -> DataFra
 
 def tab_lists(tags: DataFrame, competition_tabs: DataFrame) -> DataFrame:
     """(tab_id, channel_id): what each tab allows, by its competitions."""
-    return tags.join(F.broadcast(competition_tabs), "competition_id").select("tab_id", "channel_id").distinct()
+    return tags.join(competition_tabs, "competition_id").select("tab_id", "channel_id").distinct()
 
 
 def filtered_channels(articles: DataFrame, article_tabs: DataFrame, allowed: DataFrame, blocked: DataFrame) -> DataFrame:

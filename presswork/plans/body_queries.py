@@ -12,16 +12,24 @@ def pages(v):
     return v.table("pages").select("page_id", F.col("html").alias("body_html"))
 
 
-@query("WITH t AS (SELECT doc_id, text, text || ' {{tag|shown}} and {left}' AS x FROM documents WHERE text NOT LIKE '%{%' AND text NOT LIKE '%|%' AND text NOT LIKE '%<%' AND text NOT LIKE '%>%') SELECT doc_id, text || ' shown and left' AS clean FROM t")
+_SWEPT = "regexp_replace(regexp_replace(p, '\\{{1,2}[^{}|\\r\\n]*\\|([^{}\\r\\n]*?)\\}?', '\\1', 'g'), '\\{{1,2}|\\}{1,2}', '', 'g')"
+
+
+@query("WITH t AS (SELECT doc_id, text || ' {{tag|shown}} and {left} <b class=\"{kept}\">' AS x FROM documents) SELECT doc_id, array_to_string(list_transform(regexp_extract_all(x, '<[^>]*>|[^<]+|<'), "
+       f"lambda p: CASE WHEN regexp_full_match(p, '<[^>]*>') THEN p ELSE {_SWEPT} END), '') AS clean FROM t")
 def f25_template_residue(v):
-    rows = v.table("documents").filter("text not like '%{%' and text not like '%|%' and text not like '%<%' and text not like '%>%'")
-    return rows.select("doc_id", B.without_template_residue(F.concat("text", F.lit(" {{tag|shown}} and {left}"))).alias("clean"))
+    return v.table("documents").select("doc_id", B.without_template_residue(F.concat("text", F.lit(' {{tag|shown}} and {left} <b class="{kept}">'))).alias("clean"))
+
+
+_GOES = "(?:https?://|//|/|#|\\.\\.?/|mailto:|tel:|javascript:|data:)[^)\\s>]+"
 
 
-@query("SELECT doc_id, regexp_replace(text || ' [a link](https://x.org/a) ![kept](/i.png)', '\\[a link\\]\\([^)]*\\)', '') AS clean FROM documents WHERE text NOT LIKE '%](%'")
+@query(f"""WITH t AS (SELECT doc_id, text || ' [a link](https://x.org/a "t") ![kept](/i.png) [b][One] [none][two]' || chr(10) || '[one]: https://x.org/b' AS x FROM documents),
+u AS (SELECT doc_id, regexp_replace(x, '(?i)(^|[^!])\\[[^\\]\\r\\n]+\\]\\(\\s*(?:<{_GOES}>|{_GOES})(?:\\s+(?:"[^"\\r\\n]*"|''[^''\\r\\n]*''|\\([^)\\r\\n]*\\)))?\\s*\\)', '\\1', 'g') AS y FROM t)
+SELECT doc_id, replace(replace(y, '[b][One]', ''), '[one]: https://x.org/b', '') AS clean FROM u""")
 def f26_markdown_links(v):
-    rows = v.table("documents").filter("text not like '%](%'")
-    return rows.select("doc_id", B.without_markdown_links(F.concat("text", F.lit(" [a link](https://x.org/a) ![kept](/i.png)"))).alias("clean"))
+    more = ' [a link](https://x.org/a "t") ![kept](/i.png) [b][One] [none][two]\n[one]: https://x.org/b'
+    return v.table("documents").select("doc_id", B.without_markdown_links(F.concat("text", F.lit(more))).alias("clean"))
 
 
 @query("SELECT page_id, replace(html, '</h1>', '</h1><p>x</p><p><img src=\"/c.png\"></p>') = html AS same, strpos(html, '</p>') AS first_end FROM pages")

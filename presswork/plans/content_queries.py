@@ -42,9 +42,9 @@ def feed(v):
     )
 
 
-@query(f"{_FEED} SELECT source, source_url, trim(translate_title) AS title, 'body' AS body, 'm:fb.x.y' AS user_name, coalesce(archive_id, '0')::BIGINT AS archive_id FROM f WHERE trim(source_url) <> '' AND trim(translate_title) <> '' AND coalesce(archive_id, '0') NOT LIKE 'x%' AND NOT bad_channels", "articles")
+@query(f"{_FEED} SELECT source, source_url, trim(translate_title) AS title, 'body' AS body, 'm:fb.x.y' AS user_name, coalesce(archive_id, '0')::BIGINT AS archive_id, [1, 2]::BIGINT[] AS channels FROM f WHERE trim(source_url) <> '' AND trim(translate_title) <> '' AND coalesce(archive_id, '0') NOT LIKE 'x%' AND NOT bad_channels", "articles")
 def s2_normalized_items(v):
-    return I.normalized(feed(v))[0].drop("channels")
+    return I.normalized(feed(v))[0]
 
 
 @query(f"{_FEED} SELECT CASE WHEN trim(source_url) = '' OR trim(translate_title) = '' THEN 'missing mandatory field' WHEN archive_id LIKE 'x%' THEN 'archive_id is no integer' ELSE 'channel is no integer' END AS reason, count(*) AS n FROM f WHERE trim(source_url) = '' OR trim(translate_title) = '' OR archive_id LIKE 'x%' OR bad_channels GROUP BY 1", "articles")
@@ -52,7 +52,7 @@ def s2_rejected_items(v):
     return I.normalized(feed(v))[1].groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query("k AS (SELECT *, md5(body_html) AS identity FROM articles), r AS (SELECT id, identity, first_value(id) OVER (PARTITION BY identity ORDER BY duplicate_of_article_id IS NOT NULL, dqd_archive_id IS NULL, coalesce(upstream_archive_id, 0) <= 0, CASE status WHEN 'PUBLISHED' THEN 0 WHEN 'DRAFT_CREATED' THEN 1 ELSE 2 END, id) AS canonical_id FROM k) "
+@query("k AS (SELECT *, md5(body_html) AS identity FROM articles), r AS (SELECT id, identity, first_value(id) OVER (PARTITION BY identity ORDER BY duplicate_of_article_id IS NOT NULL, backend_archive_id IS NULL, coalesce(upstream_archive_id, 0) <= 0, CASE status WHEN 'PUBLISHED' THEN 0 WHEN 'DRAFT_CREATED' THEN 1 ELSE 2 END, id) AS canonical_id FROM k) "
        "SELECT *, id <> canonical_id AS is_duplicate FROM r", "articles")
 def j1_canonical_articles(v):
     return I.canonical(v.articles.withColumn("identity", F.md5("body_html")))
@@ -81,8 +81,8 @@ def j3_marker_observation(v):
 
 _ROSTER = """latest AS (SELECT id AS season_id, competition_id FROM (SELECT *, row_number() OVER (PARTITION BY competition_id ORDER BY start_date DESC, id DESC) AS k FROM seasons WHERE start_date <= DATE '1999-01-01') WHERE k <= 2),
 pairs AS (SELECT DISTINCT competition_id, s.team_id FROM latest l JOIN season_teams s USING (season_id) JOIN teams t ON t.id = s.team_id WHERE NOT deleted AND team_type = 'default'),
-tags AS (SELECT competition_id, channel_id, max(tag_type) AS tag_type FROM (SELECT competition_id, c.id AS channel_id, 'Team' AS tag_type FROM pairs p JOIN channels c ON c.relate_type = 'Team' AND c.dqd_id = p.team_id
-  UNION ALL SELECT DISTINCT competition_id, c.id, 'Player' FROM pairs p JOIN team_persons q USING (team_id) JOIN channels c ON c.relate_type = 'Player' AND c.dqd_id = q.person_id) GROUP BY ALL)"""
+tags AS (SELECT competition_id, channel_id, max(tag_type) AS tag_type FROM (SELECT competition_id, c.id AS channel_id, 'Team' AS tag_type FROM pairs p JOIN channels c ON c.relate_type = 'Team' AND c.backend_id = p.team_id
+  UNION ALL SELECT DISTINCT competition_id, c.id, 'Player' FROM pairs p JOIN team_persons q USING (team_id) JOIN channels c ON c.relate_type = 'Player' AND c.backend_id = q.person_id) GROUP BY ALL)"""
 
 
 def roster(v, as_of=date(1999, 1, 1)):
@@ -94,8 +94,8 @@ def j4_roster_tags(v):
     return roster(v)
 
 
-@query("n AS (SELECT id AS team_id FROM teams WHERE NOT deleted AND type = 'national') SELECT channel_id, max(tag_type) AS tag_type FROM (SELECT c.id AS channel_id, 'Team' AS tag_type FROM n JOIN channels c ON c.relate_type = 'Team' AND c.dqd_id = n.team_id "
-       "UNION ALL SELECT c.id, 'Player' FROM n JOIN team_persons q USING (team_id) JOIN channels c ON c.relate_type = 'Player' AND c.dqd_id = q.person_id) GROUP BY channel_id", "teams", "team_persons", "channels")
+@query("n AS (SELECT id AS team_id FROM teams WHERE NOT deleted AND type = 'national') SELECT channel_id, max(tag_type) AS tag_type FROM (SELECT c.id AS channel_id, 'Team' AS tag_type FROM n JOIN channels c ON c.relate_type = 'Team' AND c.backend_id = n.team_id "
+       "UNION ALL SELECT c.id, 'Player' FROM n JOIN team_persons q USING (team_id) JOIN channels c ON c.relate_type = 'Player' AND c.backend_id = q.person_id) GROUP BY channel_id", "teams", "team_persons", "channels")
 def j5_national_tags(v):
     return T.national_tags(v.teams, v.team_persons, v.channels)
 
@@ -127,15 +127,14 @@ def j13_filtered_channels(v):
 
 #: The titles are ASCII and of Latin letters; without NFKC's work the fragment that SQL has too is the same.
 _TITLE = "regexp_replace(lower(title_final), '[^0-9a-z]+', '', 'g')"
-RECALL = f"""t AS (SELECT id, created_at, tab_id, list_distinct(channels) AS ch, {_TITLE} AS a FROM articles WHERE NOT regexp_matches(title_final, '[0-9]') AND length({_TITLE}) >= 8),
+RECALL = f"""t AS (SELECT id, created_at, tab_id, list_distinct(channels) AS ch, {_TITLE} AS a FROM articles WHERE length({_TITLE}) >= 8),
 p AS (SELECT x.id, y.id AS older, x.a, y.a AS b, len(list_intersect(x.ch, y.ch)) > 0 AS shared FROM t x JOIN t y ON y.id < x.id AND y.created_at >= x.created_at - INTERVAL 3 DAY AND y.created_at::DATE <= x.created_at::DATE AND (x.tab_id = y.tab_id OR len(list_intersect(x.ch, y.ch)) > 0))"""
 
 
 @query(f"{RECALL} SELECT id, older, shared AS shared_channel FROM p", "articles")
 def j6_recall_pairs(v):
     plain = F.length(D.normalized_title("title_final")) >= D.TITLE_LEAST
-    ascii_ = v.articles.filter(~F.col("title_final").rlike("[0-9]")).filter(plain)
-    return D.recall_pairs(ascii_)
+    return D.recall_pairs(v.articles.filter(plain))
 
 
 @query()
@@ -169,7 +168,7 @@ def p4_dedup_pool(v):
     return S.dedup_pool(v.articles, datetime(2024, 1, 15)).select("id", "status")
 
 
-@query("SELECT id, CASE WHEN coalesce(dqd_archive_id, 0) > 0 THEN CASE WHEN publish_mode = 1 THEN 'PUBLISHED' ELSE 'DRAFT_CREATED' END ELSE 'PUBLISH_FAILED' END AS to_status, coalesce(dqd_archive_id, 0) <= 0 AS needs_reconcile FROM articles WHERE status IN ('NEEDS_REVIEW', 'DRAFT_CREATED') AND updated_at <= TIMESTAMP '2024-01-20 11:50:00'", "articles")
+@query("SELECT id, CASE WHEN coalesce(backend_archive_id, 0) > 0 THEN CASE WHEN publish_mode = 1 THEN 'PUBLISHED' ELSE 'DRAFT_CREATED' END ELSE 'PUBLISH_FAILED' END AS to_status, coalesce(backend_archive_id, 0) <= 0 AS needs_reconcile FROM articles WHERE status IN ('NEEDS_REVIEW', 'DRAFT_CREATED') AND updated_at <= TIMESTAMP '2024-01-20 11:50:00'", "articles")
 def p6_stale_in_flight(v):
     flying = v.articles.withColumn("status", F.when(F.col("status").isin("NEEDS_REVIEW", "DRAFT_CREATED"), "PUBLISHING").otherwise(F.col("status")))
     return S.stale_in_flight(flying, NOW)
@@ -200,7 +199,8 @@ def p12_source_listing(v):
     return S.source_listing(v.sources, v.articles, 4)
 
 
-@query("SELECT id FROM articles WHERE json_extract_string(quality, '$.pass') = 'true' AND json_extract_string(quality, '$.decision') = 'clean'", "articles")
+@query("q AS (SELECT id, quality::JSON AS q FROM articles), k AS (SELECT *, json_keys(q, '$.issues') AS keys FROM q) SELECT id FROM k WHERE json_type(q, '$.pass') = 'BOOLEAN' AND json_extract_string(q, '$.pass') = 'true' AND json_extract_string(q, '$.decision') = 'clean' AND json_type(q, '$.needs_review') = 'BOOLEAN' AND json_extract_string(q, '$.needs_review') = 'false' AND json_extract_string(q, '$.repair_plan_error') IS NULL "
+       "AND list_sort(keys) = ['channel_problems', 'completeness_problems', 'dirty_content', 'semantic_problems', 'title_problems'] AND len(list_filter(keys, lambda x: json_array_length(q, '$.issues.' || x) > 0)) = 0", "articles")
 def p13_strict_pass(v):
     return S.strictly_passing(v.articles)
 

@@ -31,16 +31,22 @@ def f36_edit_audit(v):
     return E.edit_audit(pairs).select("page_id", "pos", "shape")
 
 
-@query("WITH f AS (SELECT doc_id, trim(regexp_replace(list_last(string_split(text, chr(10))), '\\s+', ' ', 'g')) AS x FROM documents) SELECT doc_id, length(x) BETWEEN 1 AND 60 AND NOT regexp_matches(x, '[“”\"「」]') AND NOT regexp_matches(x, '[0-9]') AND regexp_matches(x, '(?i)[a-z]{2,}') AND (regexp_matches(x, '^[\\[(（【].*[\\])）】]$') OR regexp_matches(x, '(?i)(^[a-z@#]|[a-z.]+$)')) AS removable FROM f")
+_LABEL = "(?i)供图|供图片|摄影|撮影|拍摄|图源|图片来源|视频来源|来源|版权|署名|photo|credit|courtesy"
+_VERB = "点击|关注|订阅|下载|扫码|扫描|转播|独播|播出|直播|收看|观看|跟踪|介绍|进入|前往|watch|follow|subscribe|download|click"
+
+
+@query("WITH f AS (SELECT doc_id, trim(regexp_replace(list_last(string_split(text, chr(10))), '\\s+', ' ', 'g')) AS x FROM documents), m AS (SELECT *, regexp_matches(x, '^[（(\\[【][^）)\\]】]*[）)\\]】][。．.]?$') AS b, regexp_matches(x, '[A-Za-z]{2,}') AS l FROM f) "
+       "SELECT doc_id, length(x) BETWEEN 1 AND 60 AND NOT regexp_matches(x, '[“”\"「」『』]') AND NOT regexp_matches(x, '(^|[^A-Za-z0-9])[0-9]([^A-Za-z]|$)') "
+       f"AND ((b AND regexp_matches(x, '{_LABEL}')) OR (l AND (b OR regexp_matches(x, '^[A-Za-z]|[A-Za-z][。．.]?$') OR regexp_matches(x, '{_VERB}')))) AS removable FROM m")
 def f37_removable_fragments(v):
     rows = v.table("documents").select("doc_id", F.element_at(F.split("text", "\n"), -1).alias("fragment"))
     return rows.select("doc_id", E.removable(F.col("fragment")).alias("removable"))
 
 
-@query("SELECT id, id % 3 <> 1 AS delete_only, id % 3 <> 1 AND length(trim(regexp_replace(body_html, '\\s+', ' ', 'g'))) - length(trim(regexp_replace(title_final, '\\s+', ' ', 'g'))) >= 30 AS keeps_body FROM articles WHERE trim(title_final) <> ''", "articles")
+@query("p AS (SELECT *, id % 3 = 0 OR (id % 3 = 2 AND trim(title_final) <> '') AS d FROM articles) SELECT id, d AS delete_only, d AND length(trim(regexp_replace(body_html, '\\s+', ' ', 'g'))) - length(trim(regexp_replace(title_final, '\\s+', ' ', 'g'))) >= 30 AS keeps_body FROM p", "articles")
 def f44_plan_kinds(v):
     k = F.col("id") % 3
-    plans = v.articles.filter("trim(title_final) <> ''").select("id", F.col("body_html").alias("body_text"), F.when(k == 0, "remove_block").otherwise("replace_text").alias("action"), F.col("title_final").alias("evidence"), F.when(k == 1, F.concat("title_final", F.lit("!"))).otherwise("").alias("after"))
+    plans = v.articles.select("id", F.col("body_html").alias("body_text"), F.when(k == 0, "remove_block").otherwise("replace_text").alias("action"), F.col("title_final").alias("evidence"), F.when(k == 1, F.concat("title_final", F.lit("!"))).otherwise("").alias("after"))
     return E.plan_kinds(plans).select("id", "delete_only", "keeps_body")
 
 

@@ -29,7 +29,7 @@ def j15_league_guard(v):
 @query("d AS (SELECT id, updated_at AS next_at, CASE WHEN id % 3 = 0 THEN TIMESTAMP '2024-01-20 11:58:00' WHEN id % 3 = 1 THEN TIMESTAMP '2024-01-20 11:50:00' END AS claimed_at FROM articles WHERE status = 'NEEDS_REVIEW') SELECT id, next_at FROM d WHERE next_at <= TIMESTAMP '2024-01-20 12:00:00' AND (claimed_at IS NULL OR claimed_at <= TIMESTAMP '2024-01-20 11:55:00') ORDER BY next_at, id LIMIT 100", "articles")
 def p5_due_confirmations(v):
     claimed = F.when(F.col("id") % 3 == 0, F.lit(datetime(2024, 1, 20, 11, 58))).when(F.col("id") % 3 == 1, F.lit(datetime(2024, 1, 20, 11, 50)))
-    rows = v.articles.filter("status = 'NEEDS_REVIEW'").select("id", F.lit("DRAFT_CONFIRMING").alias("status"), F.lit(None).cast("bigint").alias("dqd_archive_id"), F.col("updated_at").alias("next_at"), claimed.alias("claimed_at"), F.lit(None).cast("timestamp").alias("uncertain_since"), "updated_at")
+    rows = v.articles.filter("status = 'NEEDS_REVIEW'").select("id", F.lit("DRAFT_CONFIRMING").alias("status"), F.lit(None).cast("bigint").alias("backend_archive_id"), F.col("updated_at").alias("next_at"), claimed.alias("claimed_at"), F.lit(None).cast("timestamp").alias("uncertain_since"), "updated_at")
     return G.due_confirmations(rows, NOW).select("id", "next_at")
 
 

@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from ..functions import html as H, promotion as M, text as X
+from ..functions import html as H, promotion as M, quality as Q, text as X
 from ..operators import dedup as D, ingest as I, publish as P, records as K, reports as R, search as S, tags as T
 from ..sources import sinks
 from .content_queries import _COUNTS, _ROSTER, roster
 from .registry import query
-from .report_queries import CLICKS, PERIODS, spans
+from .report_queries import CLICKS, PERIODS, STATS, spans, stats
 
 
 def shared(v, name: str) -> str:
-    base = v._spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="presswork-")
-    return f"{base.rstrip('/')}/presswork/{name}-{uuid.uuid4().hex}"
+    return f"{sinks.shared_folder(v._spark)}/presswork/{name}-{uuid.uuid4().hex}"
 
 
 @query(f"{CLICKS} SELECT stat_date, league_name, CASE WHEN stat_date = DATE '2024-01-05' THEN switch_cnt + 1 ELSE switch_cnt END AS switch_cnt FROM counts WHERE stat_date <> DATE '2024-01-07'", "click_events")
@@ -140,24 +138,97 @@ def j12_whitelist(v):
     return K.whitelist(tags, named, v.tabs)[0]
 
 
-@query("SELECT id, true AS title_complete, true AS body_complete, false AS has_ad, false AS has_dirty FROM articles", "articles")
+@query("q AS (SELECT id, json_extract(quality, '$.issues') AS i FROM articles) SELECT id, json_array_length(i, '$.title_problems') = 0 AS title_complete, json_array_length(i, '$.completeness_problems') = 0 AS body_complete, contains(json_extract(i, '$.dirty_content')::VARCHAR, '广告') AS has_ad, json_array_length(i, '$.dirty_content') > 0 AS has_dirty FROM q", "articles")
 def f48_issue_flags(v):
     return K.issue_flags(v.articles)
 
 
-@query("a AS (SELECT article_id AS id, CASE article_id % 4 WHEN 0 THEN NULL WHEN 1 THEN belongs END AS belongs, CASE article_id % 4 WHEN 1 THEN confidence END AS confidence, article_id % 4 = 1 AS valid FROM verdicts) SELECT * FROM a", "verdicts")
+@query("SELECT article_id AS id, CASE WHEN article_id % 6 = 1 THEN belongs END AS belongs, CASE WHEN article_id % 6 = 1 THEN confidence END AS confidence, article_id % 6 = 1 AS valid FROM verdicts", "verdicts")
 def x1_valid_verdicts(v):
-    k, b, c = F.col("article_id") % 4, F.col("belongs").cast("string"), F.col("confidence").cast("string")
-    answer = F.when(k == 0, "not json").when(k == 1, F.concat(F.lit('{"belongs": '), b, F.lit(', "confidence": '), c, F.lit("}"))).when(k == 2, F.concat(F.lit('{"belongs": "'), b, F.lit('", "confidence": '), c, F.lit("}"))).otherwise('{"belongs": true}')
+    k, b, c = F.col("article_id") % 6, F.col("belongs").cast("string"), F.col("confidence").cast("string")
+    good = F.concat(F.lit('{"belongs": '), b, F.lit(', "confidence": '), c, F.lit("}"))
+    text = F.concat(F.lit('{"belongs": "'), b, F.lit('", "confidence": '), c, F.lit("}"))
+    number = F.concat(F.lit('{"belongs": '), b, F.lit(', "confidence": "'), c, F.lit('"}'))
+    answer = F.when(k == 0, "not json").when(k == 1, good).when(k == 2, text).when(k == 3, '{"belongs": true}').when(k == 4, F.concat(F.lit("junk "), good)).otherwise(number)
     return K.valid_verdicts(v.verdicts.select(F.col("article_id").alias("id"), answer.alias("answer")))
 
 
-@query(f"{PERIODS} SELECT * FROM periods p WHERE NOT EXISTS (SELECT 1 FROM articles a WHERE a.source = 'src7' AND a.created_at >= p.period_start AND a.created_at < p.period_end)", "articles")
+_LANDED = f"{STATS}, s AS (SELECT strftime(period_end, '%Y%m%d%H%M') AS period, source_code, total_count, published_count FROM stats)"
+
+
+@query(f"{_LANDED} SELECT period, source_code, CASE WHEN substr(period, 7, 2)::INT % 2 = 0 THEN total_count + 1 ELSE total_count END AS total_count, published_count FROM s", "articles", "sources")
+def s7_period_snapshots(v):
+    """Every period's snapshot is saved, and those of even days again with other counts; blank sources are skipped."""
+    rows = stats(v).select(F.date_format("period_end", "yyyyMMddHHmm").alias("period"), "source_code", "total_count", "published_count")
+    blank = rows.withColumn("source_code", F.lit(" "))
+    path = shared(v, "periods")
+    sinks.replace_periods(rows.unionByName(blank), path)
+    even = F.substring("period", 7, 2).cast("int") % 2 == 0
+    sinks.replace_periods(rows.filter(even).withColumn("total_count", F.col("total_count") + 1), path)
+    return v._spark.read.schema("source_code string, total_count bigint, published_count bigint, period string").parquet(path)
+
+
+@query("SELECT id FROM articles WHERE status = 'PUBLISH_FAILED' AND contains(lower(error), 'timeout') AND coalesce(backend_archive_id, 0) = 0", "articles")
+def p9_retryable_articles(v):
+    return S.retryable(v.articles, "Timeout").select("id")
+
+
+@query("SELECT id FROM articles WHERE status = 'NEEDS_REVIEW' AND updated_at >= TIMESTAMP '2024-01-10' AND contains(json_extract_string(quality, '$.reason'), 'model timeout')", "articles")
+def p9_reviews_by_reason(v):
+    return S.reasoned(v.articles, "model timeout", datetime(2024, 1, 10)).select("id")
+
+
+@query("SELECT id, to_status, created_at FROM article_events ORDER BY created_at DESC, id DESC LIMIT 200", "article_events")
+def l2_recent_runs(v):
+    return S.recent_runs(v.article_events, limit=1000).select("id", "to_status", "created_at")
+
+
+@query("l AS (SELECT article_id % 25 AS competition_id, arg_max(id, (created_at, id)) AS id, max(created_at) AS seen FROM article_events GROUP BY 1) SELECT competition_id, id, row_number() OVER (ORDER BY seen DESC, id DESC)::INTEGER AS place FROM l", "article_events")
+def l3_refresh_runs(v):
+    runs = v.article_events.select((F.col("article_id") % 25).alias("competition_id"), "id", F.struct("created_at", "id").alias("at"))
+    return S.newest_first(runs, "competition_id", "at").select("competition_id", "id", "place")
+
+
+_NOISE = r"(20\d{2}([-/]\d{2,4})?|\d{2}/\d{2}|赛季|第\s*\d+\s*(轮|比赛日|回合)|四分之一决赛|八分之一决赛|\d+\s*/\s*\d+\s*决赛|总决赛|半决赛|决赛|小组赛|附加赛|季后赛)"
+_NAMED = "CASE id % 6 WHEN 0 THEN '非赛事（转会）' WHEN 1 THEN '2024/25赛季 ' || name || ' 第' || (id % 38) || '轮' WHEN 2 THEN '  C' || (id % 31) || ' 1/8决赛 ' WHEN 3 THEN 'Power Work Cup 小组赛' WHEN 4 THEN name || ' - FRANCE 决赛' ELSE '总决赛。' END"
+
+
+@query(f"n AS (SELECT a.id, {_NAMED} AS x FROM articles a JOIN (SELECT id AS tab, name FROM tabs) t ON t.tab = a.tab_id), b AS (SELECT id, x, trim(trim(regexp_replace(regexp_replace(x, '{_NOISE}', '', 'g'), '\\s+', ' ', 'g')), ' -—·、,，.。') AS y FROM n), "
+       "c AS (SELECT id, x, CASE lower(y) WHEN 'power work cup' THEN 'POWER WORK杯' ELSE y END AS y FROM b), k AS (SELECT list(name) AS names FROM tabs) "
+       "SELECT id, CASE WHEN contains(x, '非赛事') THEN '非赛事' WHEN y = '' THEN '' WHEN len(list_filter(names, lambda t: contains(lower(y), lower(t)))) = 1 THEN list_filter(names, lambda t: contains(lower(y), lower(t)))[1] ELSE y END AS competition FROM c, k", "articles", "tabs")
+def f15_competition_names(v):
+    known = v.tabs.agg(F.collect_list("name").alias("names"))
+    rows = v.articles.join(v.tabs.select(F.col("id").alias("tab_id"), "name"), "tab_id").withColumn("x", F.expr(_NAMED)).crossJoin(known)
+    return Q.competition_names(rows, "x", "names").select("id", "competition")
+
+
+_RULES = "list_filter([CASE WHEN length(body_html) < 30 THEN 'short' END, CASE WHEN regexp_matches(body_html, '(\\.\\.\\.$|…$)') THEN 'cut' END, CASE WHEN regexp_matches(body_html, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]') THEN 'control' END], lambda x: x IS NOT NULL)"
+_TITLES = "CASE WHEN t = '' THEN ['empty'] ELSE list_filter([CASE WHEN length(t) < 5 THEN 'short' END, CASE WHEN regexp_matches(t, '([,:]|\\.{2,}|…)$') THEN 'cut' END, CASE WHEN regexp_full_match(t, '[^\\p{L}\\p{N}]+') THEN 'symbols' END], lambda y: y IS NOT NULL) END"
+
+
+@query("r AS (SELECT a.id, trim(regexp_replace(title_final, '\\s+', ' ', 'g')) AS t, body_html, CASE WHEN a.id % 17 = 0 THEN NULL ELSE channels END AS ch, contains(title_final || chr(10) || body_html, 'Foundation') AS region, v.article_id IS NOT NULL AS asked, "
+       "a.id % 4 <> 1 AS tc, v.belongs AS bc, CASE WHEN a.id % 11 = 0 THEN NULL ELSE v.toxic = 1 END AS hd, a.id % 5 = 0 AS nr FROM articles a LEFT JOIN verdicts v ON v.article_id = a.id), "
+       f"x AS (SELECT *, {_TITLES} AS t1, {_RULES} AS c1 FROM r), "
+       "y AS (SELECT *, CASE WHEN asked AND NOT tc AND len(t1) = 0 THEN ['said'] ELSE t1 END AS tp, CASE WHEN asked AND hd IS NOT NULL AND hd THEN ['said'] ELSE [] END AS dc, CASE WHEN asked AND NOT bc AND len(c1) = 0 THEN ['said'] ELSE c1 END AS cp, CASE WHEN ch IS NULL THEN ['channels 缺失'] ELSE [] END AS hp FROM x), "
+       "z AS (SELECT *, CASE WHEN asked AND hd IS NULL THEN ['invalid answer'] WHEN asked AND nr AND len(tp) + len(dc) + len(cp) = 0 THEN ['said'] ELSE [] END AS sp FROM y), "
+       "w AS (SELECT *, list_concat(list_concat(list_concat(list_concat(tp, dc), cp), hp), sp) AS every FROM z) "
+       "SELECT id, NOT region AND len(every) = 0 AS pass, CASE WHEN region THEN NULL WHEN len(every) > 0 THEN 'manual_review' ELSE 'clean' END AS decision, CASE WHEN NOT region AND len(every) = 0 THEN 100 ELSE 50 END AS score, "
+       "CASE WHEN region THEN 'Foundation' WHEN len(every) = 0 THEN '内容正常' ELSE substr(array_to_string(every, '；'), 1, 300) END AS reason, CASE WHEN region THEN 1 ELSE len(every) END AS n_issues FROM w", "articles", "verdicts")
+def f14_quality_records(v):
+    rows = v.articles.select("id", F.col("title_final").alias("title"), F.col("body_html").alias("body"), F.when(F.col("id") % 17 != 0, F.col("channels")).alias("channels"))
+    i = F.col("article_id")
+    answers = v.verdicts.select(i.alias("id"), (i % 4 != 1).alias("title_complete"), F.col("belongs").alias("body_complete"), F.when(i % 11 != 0, F.col("toxic") == 1).alias("has_dirty"), (i % 5 == 0).alias("needs_review"), F.lit("said").alias("reason"), F.lit(0).alias("plans"))
+    found = Q.evaluated(rows, answers, ["Foundation"])
+    return found.select("id", "pass", "decision", "score", "reason", F.size(F.flatten(F.map_values("issues"))).alias("n_issues"))
+
+
+@query(f"{PERIODS}, m AS (SELECT s.code AS source, p.* FROM sources s, periods p WHERE NOT EXISTS (SELECT 1 FROM articles a WHERE a.source = s.code AND a.created_at >= p.period_start AND a.created_at < p.period_end)) SELECT *, row_number() OVER (PARTITION BY source ORDER BY period_start) = 1 AS next FROM m", "articles", "sources")
 def w7_missing_periods(v):
-    """Periods in which a source has published nothing, as a ledger of reports would lack them."""
+    """The periods in which each source has published nothing, as a ledger of reports would lack them, and the next to send."""
     tiles = spans(v)
-    seen = v.articles.filter("source = 'src7'").join(F.broadcast(tiles), (F.col("created_at") >= F.col("period_start")) & (F.col("created_at") < F.col("period_end")))
-    return R.missing_periods(seen.select("period_start", "period_end").distinct(), tiles)
+    sources = v.sources.select(F.col("code").alias("source"))
+    seen = R.in_periods(v.articles.select("source", "created_at"), "created_at", tiles)
+    return R.missing_source_periods(seen.select("source", "period_start", "period_end").distinct(), sources, tiles)
 
 
 @query("SELECT id, created_at FROM articles ORDER BY created_at DESC, id DESC LIMIT 50 OFFSET 100", "articles", "article_tabs")

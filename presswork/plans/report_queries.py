@@ -47,7 +47,7 @@ def a1_status_counts(v):
 def st2_uneven_periods(v):
     """Every article falls into one period; periods without articles stay."""
     tiles = spans(v)
-    inside = v.articles.join(F.broadcast(tiles), (F.col("created_at") >= F.col("period_start")) & (F.col("created_at") < F.col("period_end")))
+    inside = R.in_periods(v.articles, "created_at", tiles)
     counted = inside.groupBy("period_start").agg(F.count("*").alias("n"))
     return tiles.join(counted, "period_start", "left").select("period_start", "period_end", F.coalesce("n", F.lit(0)).alias("n"))
 

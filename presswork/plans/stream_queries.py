@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
+from ..sources.sinks import shared_folder
 from ..streaming import streams as Z
 from .registry import query
 
 
 def shared(v, name: str) -> str:
-    base = v._spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="presswork-")
-    return f"{base.rstrip('/')}/presswork/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(v._spark)}/presswork/{name}-{uuid.uuid4().hex}"
 
 
 _DAY = "(time_bucket(INTERVAL 1 DAY, ts - INTERVAL 11 HOUR) + INTERVAL 11 HOUR)"
@@ -33,7 +32,8 @@ def st6_error_bursts(v):
     return Z.error_bursts(v.table("events"), 2)
 
 
-@query()
+@query("WITH RECURSIVE b AS (" + _BURSTS.format(2) + '), nxt AS (SELECT x."end" AS e, min(y."end") AS f FROM b x JOIN b y ON y."end" >= x."end" + INTERVAL 30 MINUTE GROUP BY x."end"), '
+       'a AS (SELECT min("end") AS e FROM b UNION ALL SELECT f FROM a JOIN nxt USING (e)) SELECT b."end" AS alert_at, b.n FROM a JOIN b ON b."end" = a.e')
 def st6_alerts(v):
     return Z.alerts(Z.error_bursts(v.table("events"), 2))
 
@@ -68,7 +68,7 @@ def st1_business_days_stream(v):
     return found.select(F.col("day_start").cast("timestamp_ntz").alias("day_start"), "event_type", "n")
 
 
-@query("l AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY created_at DESC, id DESC) AS k, count(*) OVER (PARTITION BY article_id) AS n_events FROM article_events) SELECT article_id, to_status AS status, n_events FROM l WHERE k = 1", "article_events")
+@query("l AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY created_at DESC, id DESC) AS k, count(*) OVER (PARTITION BY article_id) AS n_events FROM article_events) SELECT article_id, to_status AS status, n_events, to_status = 'QUALITY_CHECKING' AND created_at + INTERVAL 900 SECOND < (SELECT max(created_at) FROM article_events) AS expired FROM l WHERE k = 1", "article_events")
 def st5_article_states_stream(v):
     """The same fold as a stateful stream over the landed events."""
     rows = Z.landed(v._spark, f"{v._dir}/events.parquet", v.table("events").schema)
@@ -81,5 +81,16 @@ def st5_article_states_stream(v):
         batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{out}/out")
 
     Z.upsert_once(Z.folded(stream), keep, f"{out}/state")
-    updates = v._spark.read.schema("article_id bigint, status string, n_events bigint, expires_at timestamp, batch bigint").parquet(f"{out}/out")
-    return Z.latest_of(updates, "article_id", "n_events").select("article_id", "status", "n_events")
+    updates = v._spark.read.schema("article_id bigint, status string, n_events bigint, expires_at timestamp, expired boolean, batch bigint").parquet(f"{out}/out")
+    return Z.latest_of(updates.withColumn("version", F.struct("n_events", "expired")), "article_id", "version").select("article_id", "status", "n_events", "expired")
+
+
+@query("SELECT DISTINCT event_id FROM events")
+def st3_distinct_events_stream(v):
+    """Each identity once, as a stream with a watermark over the landed events; every event is landed twice."""
+    schema = v.table("events").schema
+    stream = Z.landed(v._spark, f"{v._dir}/events.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    twice = stream.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    out = shared(v, "distinct")
+    Z.run_once(Z.distinct_events(twice).select("event_id"), f"{out}/out", checkpoint=f"{out}/state")
+    return v._spark.read.schema("event_id bigint").parquet(f"{out}/out")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -37,3 +39,18 @@ def warehouse(spark: SparkSession, url: str, table: str, column: str, bounds: li
     """A JDBC table in half-open windows of a column, a partition for each: retried one by one if they fail."""
     windows = [f"{column} >= '{a}' AND {column} < '{b}'" for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     return spark.read.jdbc(url, table, predicates=windows, properties=properties)
+
+
+def replace_periods(rows: DataFrame, path: str, key: str = "period") -> None:
+    """Replaces the periods that the rows have; rows of a blank source are skipped."""
+    replace_partitions(rows.filter(F.trim("source_code") != ""), path, key)
+
+
+def shared_folder(spark) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset and all runs on this machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="presswork-")
+    return found.rstrip("/")

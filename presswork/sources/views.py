@@ -37,7 +37,11 @@ def definitions(d: dict) -> dict[str, str]:
     quality = (
         "'{\"pass\":' || CASE WHEN doc_id % 3 = 0 THEN 'true' ELSE 'false' END || ',\"regional_sensitive\":' || CASE WHEN doc_id % 13 = 0 THEN 'true' ELSE 'false' END "
         "|| ',\"decision\":\"' || CASE WHEN doc_id % 3 = 0 THEN 'clean' WHEN doc_id % 3 = 1 THEN 'repairable' ELSE 'manual_review' END "
-        f"|| '\",\"reason\":\"' || CASE WHEN doc_id % 5 = 0 THEN 'model timeout' ELSE 'rules' END || '\",\"league_guard\":{{\"actual_competition\":\"' || CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'C' || {d['str']('doc_id % 31')} END "
+        "|| '\"' || CASE WHEN doc_id % 21 = 0 THEN '' WHEN doc_id % 3 = 0 THEN ',\"needs_review\":false' ELSE ',\"needs_review\":true' END || CASE WHEN doc_id % 33 = 0 THEN ',\"repair_plan_error\":\"bad plan\"' ELSE '' END "
+        "|| ',\"issues\":{\"title_problems\":[' || CASE WHEN doc_id % 12 = 4 THEN '\"cut\"' ELSE '' END || '],\"dirty_content\":[' || CASE WHEN doc_id % 12 = 7 THEN '\"广告\"' WHEN doc_id % 12 = 10 THEN '\"residue\"' ELSE '' END "
+        "|| '],\"completeness_problems\":[' || CASE WHEN doc_id % 15 = 8 THEN '\"short\"' ELSE '' END || '],\"channel_problems\":[' || CASE WHEN doc_id % 45 = 9 THEN '\"missing\"' ELSE '' END || ']' "
+        "|| CASE WHEN doc_id % 27 = 0 THEN '' WHEN doc_id % 3 = 2 THEN ',\"semantic_problems\":[\"unsure\"]' ELSE ',\"semantic_problems\":[]' END || '}' "
+        f"|| ',\"reason\":\"' || CASE WHEN doc_id % 5 = 0 THEN 'model timeout' ELSE 'rules' END || '\",\"league_guard\":{{\"actual_competition\":\"' || CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'C' || {d['str']('doc_id % 31')} END "
         "|| '\",\"configured_publish_mode\":' || CASE WHEN doc_id % 2 = 0 THEN '1' ELSE '0' END || ',\"effective_publish_mode\":' || CASE WHEN doc_id % 6 = 0 THEN '1' ELSE '0' END "
         "|| CASE WHEN doc_id % 7 = 0 THEN ',\"reassigned_tab_active\":false' WHEN doc_id % 7 = 1 THEN ',\"reassigned_tab_active\":true' ELSE '' END || '}}'"
     ).replace("{{", "{").replace("}}", "}}")
@@ -54,7 +58,7 @@ def definitions(d: dict) -> dict[str, str]:
                    'm:fb.' || lang || '.t' || {d['str']('doc_id % 9')} AS user_name,
                    CASE WHEN doc_id % 10 = 9 THEN CASE doc_id % 3 WHEN 0 THEN 'upstream timeout while posting the article to the backend service' WHEN 1 THEN 'login expired' ELSE 'bad image' END END AS error,
                    {quality} AS quality, CASE WHEN doc_id % 29 = 0 THEN doc_id % 50 ELSE 0 END AS upstream_archive_id,
-                   CASE WHEN doc_id % 10 <= 5 THEN doc_id + 100000 END AS dqd_archive_id
+                   CASE WHEN doc_id % 10 <= 5 THEN doc_id + 100000 END AS backend_archive_id
             FROM documents""",
         "sources": "SELECT DISTINCT source AS code, upper(source) AS display_name, CASE WHEN source = 'src3' THEN 0 ELSE 1 END AS enabled, CASE WHEN source = 'src5' THEN 1 WHEN source = 'src6' THEN 0 END AS publish_mode_override FROM documents UNION ALL SELECT 'src_dead', 'SRC_DEAD', 1, NULL",
         "tabs": "SELECT n_nationkey + 1 AS id, CASE WHEN n_nationkey = 0 THEN 58 ELSE n_nationkey + 300 END AS backend_tab_id, n_name AS name, CASE WHEN n_nationkey % 5 <> 4 THEN 1 ELSE 0 END AS enabled, n_nationkey % 2 AS publish_mode FROM nation",
@@ -68,7 +72,7 @@ def definitions(d: dict) -> dict[str, str]:
         "season_teams": "SELECT DISTINCT l_orderkey AS season_id, l_suppkey AS team_id FROM lineitem",
         "teams": "SELECT s_suppkey AS id, CASE WHEN s_nationkey % 5 = 0 THEN 'national' ELSE 'club' END AS type, CASE WHEN s_nationkey % 7 = 0 THEN 'youth' ELSE 'default' END AS team_type, s_suppkey % 11 = 0 AS deleted FROM supplier",
         "team_persons": "SELECT DISTINCT l_suppkey AS team_id, l_partkey AS person_id FROM lineitem",
-        "channels": "SELECT p_partkey + 1000000 AS id, p_partkey AS dqd_id, 'Player' AS relate_type FROM part UNION ALL SELECT s_suppkey, s_suppkey, 'Team' FROM supplier",
+        "channels": "SELECT p_partkey + 1000000 AS id, p_partkey AS backend_id, 'Player' AS relate_type FROM part UNION ALL SELECT s_suppkey, s_suppkey, 'Team' FROM supplier",
         "publish_accounts": "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 <> 0 THEN 1 ELSE 0 END AS enabled, s_nationkey AS assignment_count FROM supplier",
         "verdicts": "SELECT doc_id + 1 AS article_id, quality = 1 AS belongs, CAST(CASE WHEN doc_id % 4 = 0 THEN 0.8 ELSE 0.95 END AS DOUBLE) AS confidence, toxic FROM labels",
     }

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import date, datetime, timedelta
+from datetime import date, datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
@@ -28,18 +28,20 @@ def error_bursts(events: DataFrame, least: int = 3, late: str = "1 hour") -> Dat
 
 
 def alerts(bursts: DataFrame, cool_down: int = 1800) -> DataFrame:
-    """Bursts that alert: none within the cool-down of the one before. State is the time of the last alert, so
-    bursts are folded in order within a day's key; days are dealt to tasks."""
+    """Bursts that alert: none within the cool-down of the alert before, over midnight too.
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        last, kept = None, []
-        for r in rows.sort_values("end").itertuples():
-            if last is None or r.end - last >= timedelta(seconds=cool_down):
-                kept.append((r.end, r.n))
-                last = r.end
-        return pd.DataFrame(kept, columns=["alert_at", "n"])
-
-    return bursts.groupBy(F.to_date("end").alias("day")).applyInPandas(fold, "alert_at timestamp_ntz, n bigint")
+    A burst whose forerunner is older than the cool-down always alerts, so the bursts fall into runs that don't depend
+    on each other, and each run is folded in order. There is a burst for a time slide at most, however many events
+    there are, so the window over all of them is small.
+    """
+    pause = F.expr(f"INTERVAL {cool_down} SECONDS")
+    order = W.orderBy("end")
+    begins = F.coalesce(F.col("end") - F.lag("end").over(order) >= pause, F.lit(True))
+    runs = bursts.select("end", "n", begins.cast("int").alias("begins")).withColumn("run", F.sum("begins").over(order))
+    held = runs.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("end", "n"))).alias("b"))
+    none = F.array_compact(F.array(F.when(F.lit(False), F.get("b", 0))))
+    kept = F.aggregate("b", none, lambda kept, x: F.when(F.size(kept) == 0, F.array(x)).when(x["end"] - F.get(kept, F.size(kept) - 1)["end"] < pause, kept).otherwise(F.concat(kept, F.array(x))))
+    return held.select(F.explode(kept).alias("k")).select(F.col("k.end").alias("alert_at"), F.col("k.n").alias("n"))
 
 
 def distinct_events(events: DataFrame, key: str = "event_id", late: str = "1 day") -> DataFrame:
@@ -56,26 +58,33 @@ def states(events: DataFrame, lease: int = 900) -> DataFrame:
     return last.select("article_id", F.col("e.to_status").alias("status"), "n_events", F.when(leased, F.col("e.created_at") + F.expr(f"INTERVAL {lease} SECONDS")).alias("expires_at"))
 
 
-def folded(events: DataFrame, lease: int = 900) -> DataFrame:
+def folded(events: DataFrame, lease: int = 900, late: str = "0 seconds") -> DataFrame:
     """The state machine over a stream of article events: state for each article, kept between batches.
 
-    Of equal times the higher event id is later.
+    Of equal times the higher event id is later. A check holds its article for ``lease`` seconds of event time: a timer
+    is set, and when the watermark passes it without a later event, the article is given out as expired.
     """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         at, last, status, n = state.get if state.exists else (-(1 << 62), -1, "", 0)
-        for rows in batches:
+        expired = state.hasTimedOut
+        for rows in () if expired else batches:
             n += len(rows)
             top = rows.sort_values(["created_at", "id"]).iloc[-1]
             when = int(pd.Timestamp(top["created_at"]).value // 1000)
             if (when, int(top["id"])) > (at, last):
                 at, last, status = when, int(top["id"]), top["to_status"]
         state.update((at, last, status, n))
-        expires = pd.Timestamp((at + lease * 1_000_000) * 1000) if status == "QUALITY_CHECKING" else pd.NaT
-        yield pd.DataFrame({"article_id": [key[0]], "status": [status], "n_events": [n], "expires_at": [expires]})
-
-    return events.groupBy("article_id").applyInPandasWithState(
-        fold, "article_id bigint, status string, n_events bigint, expires_at timestamp", "at bigint, last bigint, status string, n bigint", "update", GroupStateTimeout.NoTimeout
+        expires = at + lease * 1_000_000 if status == "QUALITY_CHECKING" else None
+        if expires is not None and not expired:
+            if expires // 1000 > state.getCurrentWatermarkMs():
+                state.setTimeoutTimestamp(expires // 1000)
+            else:
+                expired = True
+        yield pd.DataFrame({"article_id": [key[0]], "status": [status], "n_events": [n], "expires_at": [pd.Timestamp(expires * 1000) if expires is not None else pd.NaT], "expired": [expired]})
+
+    return events.withWatermark("created_at", late).groupBy("article_id").applyInPandasWithState(
+        fold, "article_id bigint, status string, n_events bigint, expires_at timestamp, expired boolean", "at bigint, last bigint, status string, n bigint", "update", GroupStateTimeout.EventTimeTimeout
     )
 
 

@@ -7,8 +7,8 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from presswork.functions import html as H, promotion as M, text as X
-from presswork.operators import dedup as D, ingest as I, publish as P, reports as R, tags as T
+from presswork.functions import html as H, promotion as M, quality as Q, text as X
+from presswork.operators import dedup as D, ingest as I, publish as P, records as K, reports as R, search as S, tags as T
 from presswork.streaming import streams as Z
 
 
@@ -160,8 +160,8 @@ def test_accounts_fill_the_least_used(spark):
         used[least] += 1
         want.append(least)
     assert got == want
-    with pytest.raises(ValueError):
-        P.assigned_accounts(articles, accounts.filter("enabled = 0"))
+    assert P.assigned_accounts(articles, accounts.filter("enabled = 0")).count() == 0
+    assert P.assigned_accounts(articles.limit(0), accounts).count() == 0
 
 
 def test_business_days_are_half_open(spark):
@@ -170,6 +170,54 @@ def test_business_days_are_half_open(spark):
     assert got == [datetime(2026, 9, 7, 11), datetime(2026, 9, 8, 11)]
 
 
+@pytest.mark.parametrize("text,rule", [
+    ("请点击查看完整赛程。", "standalone_call_to_action"), ("扫码关注获取优惠", "standalone_call_to_action"), ("更多内容请点击这里", "standalone_link_prompt"), ("合作咨询：ad@x.co.kr", "standalone_cooperation_contact"),
+    ("合作联系 他们的未来", None), ("点击进入官方频道收听完整节目", "standalone_media_call_to_action"), ("欢迎加入我们的WhatsApp频道获取最新消息", "standalone_channel_call_to_action"), ("转会中心：", "standalone_feed_marker"),
+    ("更多球队动态", "standalone_more_news_cta"), ("🎧 收听ge足球播客 🎧", "standalone_branded_podcast_prompt"), ("✅ 观看更多：在Globo了解全部内容", "standalone_branded_watch_prompt"), ("球队查看了赛程", None), ("点击" + "长" * 200 + "详情", None),
+])
+def test_rules_of_promotion(spark, text, rule):
+    assert column(spark, text, M.rule_of) == rule
+
+
+@pytest.mark.parametrize("quality,passes", [
+    ('{"pass":true,"needs_review":false,"decision":"clean","issues":%s}', True), ('{"pass":true,"needs_review":false,"decision":null,"issues":%s,"repair_plans":[]}', True), ('{"pass":"true","needs_review":false,"issues":%s}', False),
+    ('{"pass":true,"issues":%s}', False), ('{"pass":true,"needs_review":false,"repair_plans":[{"a":1}],"issues":%s}', False), ('{"pass":true,"needs_review":false,"repair_plan_error":"x","issues":%s}', False),
+    ('{"pass":true,"needs_review":false,"decision":"repairable","issues":%s}', False), ('{"pass":true,"needs_review":false,"issues":{}}', False), ("not json", False), (None, False),
+])
+def test_strict_pass(spark, quality, passes):
+    lists = '{"title_problems":[],"dirty_content":[ ],"completeness_problems":[],"channel_problems":[],"semantic_problems":[]}'
+    good = quality % lists if quality and "%s" in quality else quality
+    one = good.replace('"dirty_content":[ ]', '"dirty_content":["x"]') if good else good
+    null = good.replace('"semantic_problems":[]', '"semantic_problems":null') if good else good
+    rows = spark.createDataFrame([(1, good), (2, one), (3, null)], "id bigint, quality string")
+    assert [r["id"] for r in S.strictly_passing(rows).collect()] == ([1] if passes else [])
+
+
+@pytest.mark.parametrize("answer,valid", [
+    ('{"belongs":true,"confidence":0.9}', True), ('{"belongs":false,"confidence":1}', True), ('{"belongs":true,"confidence":0.9,"matched_id":7}', True), ('{"belongs":true,"confidence":0.9,"matched_id":null}', True),
+    ('{"belongs":true,"confidence":0.9,"matched_id":8}', False), ('{"belongs":"true","confidence":0.9}', False), ('{"belongs":true,"confidence":true}', False), ('junk {"belongs":true,"confidence":0.9}', False), (None, False),
+])
+def test_valid_answers(spark, answer, valid):
+    rows = spark.createDataFrame([(1, answer, [7])], "id bigint, answer string, offered array<bigint>")
+    got = K.valid_verdicts(rows, "offered").first()
+    assert got["valid"] == valid and (got["belongs"] is not None) == valid and (got["confidence"] is not None) == valid
+
+
+@pytest.mark.parametrize("name,want", [
+    ("日职联J1联赛 第3轮", "日职联"), ("南美解放者杯", "解放者杯"), ("ＰＯＷＥＲ ＷＯＲＫ ＣＵＰ 2025/26赛季", "POWER WORK杯"), ("非赛事（转会）", "非赛事"), ("总决赛", ""), ("世界杯预选赛", "世界杯预选赛"), ("亚冠", "亚冠"), (None, ""), ("亚冠2和日职联", "亚冠2和日职联"),
+])
+def test_competition_names(spark, name, want):
+    rows = spark.createDataFrame([(name, ["日职联", "亚冠精英", "亚冠2", " "])], "x string, known array<string>")
+    assert Q.competition_names(rows, "x", "known").first()["competition"] == want
+
+
+def test_alerts_cool_down_over_midnight(spark):
+    ends = [datetime(2026, 9, 8, 23, 50), datetime(2026, 9, 9, 0, 5), datetime(2026, 9, 9, 0, 19), datetime(2026, 9, 9, 0, 20), datetime(2026, 9, 9, 9)]
+    bursts = spark.createDataFrame([(e, e, 3) for e in ends], "start timestamp_ntz, end timestamp_ntz, n bigint")
+    assert sorted(r["alert_at"] for r in Z.alerts(bursts).collect()) == [ends[0], ends[3], ends[4]]
+    assert Z.alerts(bursts.limit(0)).count() == 0
+
+
 def test_alerts_cool_down(spark):
     ends = [datetime(2026, 9, 8, 1, m) for m in (0, 5, 25, 30, 40)]
     bursts = spark.createDataFrame([(e, e, 3) for e in ends], "start timestamp_ntz, end timestamp_ntz, n bigint")
