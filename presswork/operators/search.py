@@ -64,11 +64,22 @@ def rechecks(articles: DataFrame, events: DataFrame, reasons: list[str], before:
     return found.orderBy("updated_at", "id").limit(limit)
 
 
-def rule_listing(rules: DataFrame, tabs: DataFrame) -> DataFrame:
-    """Rules with their tab, those without one first."""
+def rule_listing(rules: DataFrame, tabs: DataFrame, sources: DataFrame, *, marker_type: str | None = None, pending_only: bool = False, search: str | None = None, source_code: str | None = "*") -> DataFrame:
+    """Rules with their tab and source, those without a tab first. ``source_code`` "*" is any scope, null the global
+    one; the search is a literal text (100 characters of it, case folded) in any of five columns."""
     joined = rules.join(tabs.select(F.col("id").alias("tab_id"), F.col("name").alias("tab_name")), "tab_id", "left")
-    w = W.orderBy(F.col("tab_id").isNotNull(), "marker_type", "marker_code", "id")
-    return joined.select("id", "marker_type", "marker_code", "source_code", "tab_name", F.col("tab_id").isNull().alias("pending"), F.row_number().over(w).alias("place"))
+    joined = joined.join(sources.select(F.col("code").alias("source_code"), F.col("display_name").alias("source_name")), "source_code", "left")
+    if "sample_source" not in joined.columns:
+        joined = joined.withColumn("sample_source", F.lit(None).cast("string"))
+    found = joined.filter(F.col("marker_type") == marker_type) if marker_type else joined
+    found = found.filter("tab_id is null") if pending_only else found
+    found = found.filter(F.col("source_code").eqNullSafe(F.lit(source_code))) if source_code != "*" else found
+    text = (search or "").strip()[:100].lower()
+    if text:
+        columns = ("marker_code", "tab_name", "sample_source", "source_code", "source_name")
+        found = found.filter(F.exists(F.array(*columns), lambda x: F.coalesce(F.contains(F.lower(x), F.lit(text)), F.lit(False))))
+    w = W.orderBy(F.col("tab_id").isNotNull(), "marker_type", "marker_code", F.col("source_code").isNotNull(), "source_code", "id")  # rules are a small table
+    return found.select("id", "marker_type", "marker_code", "source_code", "tab_name", F.col("tab_id").isNull().alias("pending"), F.row_number().over(w).alias("place"))
 
 
 def tab_predicates(tabs: DataFrame, excluded: tuple[int, ...] = (0,)) -> DataFrame:

@@ -184,9 +184,22 @@ def p8_recheck_list(v):
     return S.rechecks(v.articles, v.article_events, ["timeout", "unavailable"], NOW).select("id", "attempts")
 
 
-@query("SELECT r.id, marker_type, marker_code, source_code, t.name AS tab_name, r.tab_id IS NULL AS pending, row_number() OVER (ORDER BY r.tab_id IS NOT NULL, marker_type, marker_code, r.id)::INTEGER AS place FROM event_tab_rules r LEFT JOIN tabs t ON t.id = r.tab_id", "event_tab_rules", "tabs")
+_LISTED = "SELECT r.id, marker_type, marker_code, source_code, t.name AS tab_name, r.tab_id IS NULL AS pending, row_number() OVER (ORDER BY r.tab_id IS NOT NULL, marker_type, marker_code, source_code IS NOT NULL, source_code, r.id)::INTEGER AS place FROM event_tab_rules r LEFT JOIN tabs t ON t.id = r.tab_id LEFT JOIN sources s ON s.code = r.source_code"
+
+
+@query(_LISTED, "event_tab_rules", "tabs", "sources")
 def p10_rule_listing(v):
-    return S.rule_listing(v.event_tab_rules, v.tabs)
+    return S.rule_listing(v.event_tab_rules, v.tabs, v.sources)
+
+
+@query(_LISTED + " WHERE marker_type = 'league' AND r.source_code IS NULL AND (contains(lower(marker_code), 'e') OR contains(lower(coalesce(t.name, '')), 'e'))", "event_tab_rules", "tabs", "sources")
+def p10_rule_search(v):
+    return S.rule_listing(v.event_tab_rules, v.tabs, v.sources, marker_type="league", search=" E ", source_code=None)
+
+
+@query(_LISTED + " WHERE r.tab_id IS NULL", "event_tab_rules", "tabs", "sources")
+def p10_pending_rules(v):
+    return S.rule_listing(v.event_tab_rules, v.tabs, v.sources, pending_only=True)
 
 
 @query("SELECT id, backend_tab_id NOT IN (0) AS publishable, enabled = 1 AS active, enabled = 1 AND backend_tab_id <> 58 AS guard_candidate FROM tabs", "tabs")
