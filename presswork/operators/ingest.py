@@ -119,19 +119,45 @@ def observed(rules: DataFrame, seen: DataFrame) -> DataFrame:
     return leagues.join(known, ["marker_type", "marker_code"], "left").select("marker_type", "marker_code", "rule_id", F.col("rule_id").isNull().alias("pending"), "first_seen", "last_seen", "sample_source")
 
 
-def upserted(state: DataFrame, batch: DataFrame, key: str = "source_url") -> DataFrame:
-    """The state after a batch (with ``seq``): in the batch the first row of a key fixes its routing, the last its
-    content; content of known rows moves only while they are RECEIVED or ERROR; last sight always does."""
-    folded = batch.groupBy(key).agg(
-        F.min_by("source", "seq").alias("b_source"), F.max_by(F.struct("title", "body"), "seq").alias("b"), F.min("seen_at").alias("b_first"), F.max("seen_at").alias("b_last")
-    )
-    joined = state.join(folded, key, "full_outer")
-    new, open_ = F.col("status").isNull(), F.col("status").isin("RECEIVED", "ERROR")
-    content = lambda c: F.when(F.col("b_source").isNotNull() & (new | open_), F.col(f"b.{c}")).otherwise(F.col(c)).alias(c)
+def upserted(state: DataFrame, batch: DataFrame) -> DataFrame:
+    """The articles after a batch of materials, the new ones without an id.
+
+    A material is that of the article with its origin key (source without case), else of the one with its source and
+    URL; materials that no article has are matched to earlier ones of the batch in the same way. The first fixes
+    source, URL, routing and status (ABANDONED, with mode 2, where its rule says so), the last the content. Content of
+    an article moves, and with it ``updated_at``, only while it is RECEIVED or ERROR; the original title, the archive
+    id, the raw record and the last sight always do; the routing of a known article never does.
+
+    state: id, source, source_url, origin_key, title_original, title, body, upstream_archive_id, raw, tab_ids, level,
+    publish_mode, status, updated_at, last_seen_at. batch: seq, source, source_url, origin_key, title, body,
+    upstream_archive_id, raw, tab_ids, abandoned, seen_at. Blank origin keys are none.
+    """
+    name, mark = F.lower("source").alias("_name"), F.nullif(F.trim("origin_key"), F.lit("")).alias("_mark")
+    least = lambda rows, c, to: (  # noqa: E731  the first article or material of each key and of each URL
+        rows.select(name, mark, c).filter("_mark is not null").groupBy("_name", "_mark").agg(F.min(c).alias(f"{to}_by_key")),
+        rows.groupBy("source", "source_url").agg(F.min(c).alias(f"{to}_by_url")),
+    )
+    find = lambda rows, firsts: rows.join(firsts[0], ["_name", "_mark"], "left").join(firsts[1], ["source", "source_url"], "left")
+    met = find(batch.select("*", name, mark), least(state, "id", "known")).withColumn("id", F.coalesce("known_by_key", "known_by_url"))
+    earlier = find(met, least(met.filter("id is null").select("seq", "source", "source_url", "origin_key"), "seq", "new"))
+    leader = F.when(F.col("id").isNull(), F.coalesce(F.when(F.col("new_by_key") < F.col("seq"), F.col("new_by_key")), F.col("new_by_url")))
+    content = F.struct("title", "body")
+    folded = earlier.withColumn("leader", leader).groupBy("id", "leader").agg(
+        F.min_by(F.struct("source", "source_url", "origin_key", "tab_ids", "abandoned", content.alias("content"), "seen_at"), "seq").alias("a"),
+        F.max_by(F.struct(content.alias("content"), "title", "upstream_archive_id", "raw", "seen_at"), "seq").alias("z"),
+    )
+    joined = state.alias("s").join(folded.alias("f"), F.col("s.id") == F.col("f.id"), "full_outer")
+    new, seen = F.col("s.status").isNull(), F.col("f.z").isNotNull()
+    gone = new & F.coalesce("f.a.abandoned", F.lit(False))
+    moves = seen & F.when(new, ~gone).otherwise(F.col("s.status").isin("RECEIVED", "ERROR"))
+    text = lambda c: F.when(moves, F.col(f"f.z.content.{c}")).when(gone, F.col(f"f.a.content.{c}")).otherwise(F.col(f"s.{c}")).alias(c)
+    fixed = lambda c: F.when(new, F.col(f"f.a.{c}")).otherwise(F.col(f"s.{c}")).alias(c)
+    fresh = lambda c, of: F.when(seen, F.col(f"f.z.{of}")).otherwise(F.col(f"s.{c}")).alias(c)
     return joined.select(
-        key, F.coalesce("source", "b_source").alias("source"), content("title"), content("body"), F.coalesce("status", F.lit("RECEIVED")).alias("status"),
-        F.when(F.col("b_source").isNull() | ~(new | open_), F.col("updated_at")).otherwise(F.col("b_last")).alias("updated_at"),
-        F.greatest("last_seen_at", "b_last").alias("last_seen_at"),
+        F.col("s.id").alias("id"), *map(fixed, ("source", "source_url", "origin_key", "tab_ids")), fresh("title_original", "title"), text("title"), text("body"),
+        fresh("upstream_archive_id", "upstream_archive_id"), fresh("raw", "raw"), F.when(new, "B").otherwise(F.col("s.level")).alias("level"),
+        F.when(gone, 2).otherwise(F.col("s.publish_mode")).alias("publish_mode"), F.when(gone, "ABANDONED").when(new, "RECEIVED").otherwise(F.col("s.status")).alias("status"),
+        F.when(moves, F.col("f.z.seen_at")).when(gone, F.col("f.a.seen_at")).otherwise(F.col("s.updated_at")).alias("updated_at"), F.greatest("s.last_seen_at", "f.z.seen_at").alias("last_seen_at"),
     )
 
 

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 
 def publish_modes(articles: DataFrame, article_tabs: DataFrame, tabs: DataFrame, sources: DataFrame, rules: DataFrame, excluded: tuple[int, ...] = (0,)) -> DataFrame:
-    """id, configured_mode, conflict: the rule's override, else the source's, else what all active tabs agree on.
+    """id, publish_mode, configured_mode, conflict: the rule's override, else the source's, else what all active tabs
+    agree on; a mode that was decided before (``decided_mode``, where ``articles`` has it) stays the article's.
 
     Disabled tabs have no vote, but turn direct publication into a draft; without any tab the mode is 0.
     ``articles`` has id, source and route_rule_id.
     """
+    if "decided_mode" not in articles.columns:
+        articles = articles.withColumn("decided_mode", F.lit(None).cast("int"))
     usable = tabs.filter(F.col("backend_tab_id").isNotNull() & ~F.col("backend_tab_id").isin(*excluded)).select(F.col("id").alias("tab_id"), "enabled", F.col("publish_mode").alias("mode"))
     votes = article_tabs.join(usable, "tab_id").groupBy(F.col("article_id").alias("id")).agg(
         F.array_sort(F.collect_set(F.when(F.col("enabled") == 1, F.col("mode")))).alias("modes"), F.bool_or(F.col("enabled") == 0).alias("disabled")
@@ -22,7 +25,8 @@ def publish_modes(articles: DataFrame, article_tabs: DataFrame, tabs: DataFrame,
     unanimous = F.when(F.size(modes) == 0, 0).when(F.size(modes) == 1, F.get(modes, 0))
     mode = F.coalesce("rule_mode", "source_mode", unanimous)
     mode = F.when((mode == 1) & F.coalesce("disabled", F.lit(False)), 0).otherwise(mode)
-    return joined.select("id", mode.cast("int").alias("configured_mode"), ((F.size(modes) > 1) & F.col("rule_mode").isNull() & F.col("source_mode").isNull()).alias("conflict"))
+    open_ = F.col("decided_mode").isNull() & F.col("rule_mode").isNull() & F.col("source_mode").isNull()
+    return joined.select("id", F.coalesce("decided_mode", mode).cast("int").alias("publish_mode"), mode.cast("int").alias("configured_mode"), ((F.size(modes) > 1) & open_).alias("conflict"))
 
 
 def assigned_accounts(articles: DataFrame, accounts: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schemas import ISSUES, QUALITY
 
+#: The tab's name in a reason of the guard. Fixed value.
+REJECTED_TAB = "不属于「([^」]+)」"
 #: Words of dirt that is advertising. Fixed values.
 ADVERTISING = ("广告", "购买")
 
@@ -101,12 +103,16 @@ def keyword_hits(articles: DataFrame, keywords: DataFrame) -> DataFrame:
 
 
 def backfilled_guard(articles: DataFrame, tabs: DataFrame) -> DataFrame:
-    """The tab that the guard looked at: as recorded, else where the article landed unless it was reassigned."""
-    guard = F.get_json_object("quality", "$.league_guard.guard_tab_name")
-    moved = F.get_json_object("quality", "$.league_guard.reassigned_tab_active").isNotNull()
-    joined = articles.join(tabs.select(F.col("id").alias("tab_id"), "name"), "tab_id", "left")
-    kind = F.when(guard.isNotNull(), "recorded").when(~moved, "landed").otherwise("unknown")
-    return joined.select("id", kind.alias("kind"), F.when(kind == "landed", F.col("name")).otherwise(guard).alias("guard_tab"))
+    """kind, name and id of the tab that the guard looked at, for articles with a record of it: as recorded; else where
+    the article landed unless it moved; else the name in the guard's reason, unless it is where the article went."""
+    part = lambda k: F.coalesce(F.get_json_object("quality", f"$.league_guard.{k}"), F.lit(""))
+    moved = F.get_json_object("quality", "$.league_guard.reassigned_tab_id").isNotNull() & (part("fallback_tab_name") != "")
+    said = F.regexp_extract(part("reason"), REJECTED_TAB, 1)
+    found = F.when(part("guard_tab_name") != "", part("guard_tab_name")).when(~moved, part("tab_name")).when(said != part("fallback_tab_name"), said).otherwise("")
+    kind = F.when(part("guard_tab_name") != "", "recorded").when(found == "", "unknown").when(~moved, "landed").otherwise("parsed")
+    known = articles.filter(F.get_json_object("quality", "$.league_guard").isNotNull()).select("id", kind.alias("kind"), F.nullif(found, F.lit("")).alias("guard_tab"))
+    ids = tabs.groupBy(F.col("name").alias("guard_tab")).agg(F.min("id").alias("guard_tab_id"))
+    return known.join(ids, "guard_tab", "left").select("id", "kind", "guard_tab", "guard_tab_id")
 
 
 def whitelist(tags: DataFrame, names: DataFrame, tabs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from ..functions.quality import NO_COMPETITION
 from ..schemas import STATUSES
 
 ZONE = "Asia/Shanghai"
@@ -117,22 +118,36 @@ def period_summary(stats: DataFrame) -> DataFrame:
     return now.join(before, "period_end", "left").select("period_start", "period_end", "total", "published", "pending", "active_sources", share("published"), share("pending"), change)
 
 
-def published_tabs(articles: DataFrame, article_tabs: DataFrame, tabs: DataFrame, tracked: list[str] | None = None) -> DataFrame:
-    """(id, published_at, tab) of direct publications, once for each of their tracked tabs."""
-    direct = articles.filter((F.col("status") == "PUBLISHED") & (F.col("publish_mode") == 1)).select("id", "published_at")
-    names = tabs.select(F.col("id").alias("tab_id"), F.trim("name").alias("tab"))
-    names = names.filter(F.col("tab").isin(tracked)) if tracked else names
-    pairs = article_tabs.select(F.col("article_id").alias("id"), "tab_id").join(names, "tab_id").select("id", "tab").distinct()
-    return direct.join(pairs, "id")
+def published_tabs(articles: DataFrame, article_tabs: DataFrame, tabs: DataFrame, tracked: list[str] | None = None, excluded: tuple[int, ...] = (0,)) -> DataFrame:
+    """(id, published_at, tab) of direct publications, once for each of their tracked tabs.
 
-
-def publish_report(pairs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Direct publications of each tab and period, and in the row TOTAL the distinct articles."""
+    Names are those kept at publication (``published_tab_names``, where ``articles`` has it), else those of the
+    publishable tabs, else that of the article's own tab.
+    """
+    direct = articles.filter((F.col("status") == "PUBLISHED") & (F.col("publish_mode") == 1))
+    names = tabs.select(F.col("id").alias("tab_id"), "backend_tab_id", F.trim("name").alias("tab"))
+    usable = names.filter(F.col("backend_tab_id").isNotNull() & ~F.col("backend_tab_id").isin(*excluded) & (F.col("tab") != ""))
+    pairs = article_tabs.select(F.col("article_id").alias("id"), "tab_id").join(usable, "tab_id").groupBy("id").agg(F.collect_set("tab").alias("tabs_now"))
+    kept = F.col("published_tab_names") if "published_tab_names" in articles.columns else F.lit(None).cast("array<string>")
+    rows = direct.select("id", "published_at", "tab_id", kept.alias("tabs_then")).join(pairs, "id", "left").join(names.select("tab_id", F.col("tab").alias("own")), "tab_id", "left")
+    some = lambda c: F.when(F.size(c) > 0, F.col(c))
+    chosen = F.coalesce(some("tabs_then"), some("tabs_now"), F.array("own"))
+    each = rows.select("id", "published_at", F.explode(F.array_distinct(F.transform(chosen, lambda x: F.trim(x)))).alias("tab")).filter("tab <> ''")
+    return each.filter(F.col("tab").isin(tracked)) if tracked else each
+
+
+def publish_report(pairs: DataFrame, spans: DataFrame, tracked: list[str] | None = None) -> DataFrame:
+    """Direct publications of each tab and period, and in the row TOTAL the distinct articles; with ``tracked`` every
+    one of these tabs has a row for each period, zero where nothing was published."""
     inside = in_periods(pairs, "published_at", spans)
     by = ["period_start", "period_end"]
     each = inside.groupBy(*by, "tab").agg(F.count("*").alias("n"))
     total = inside.select(*by, "id").distinct().groupBy(*by).agg(F.count("*").alias("n")).withColumn("tab", F.lit("TOTAL"))
-    return each.unionByName(total)
+    found = each.unionByName(total)
+    if not tracked:
+        return found
+    grid = spans.select(*by, F.explode(F.array(*map(F.lit, [*tracked, "TOTAL"]))).alias("tab"))
+    return grid.join(found, [*by, "tab"], "left").select(*by, "tab", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def weekly_matrix(report: DataFrame, tabs: DataFrame, starts: list) -> DataFrame:
@@ -169,15 +184,24 @@ def click_grid(counts: DataFrame) -> DataFrame:
     return grid.join(counts, ["stat_date", "league_name"], "left").select("stat_date", "league_name", F.coalesce("switch_cnt", F.lit(0)).alias("switch_cnt"))
 
 
+def uncovered(articles: DataFrame) -> DataFrame:
+    """Articles with the competition that they are of, where it is one, the article didn't move to another tab, and the
+    tab that was looked at is known and has another name."""
+    guard = lambda k: F.get_json_object("quality", f"$.league_guard.{k}")
+    looked = F.coalesce(F.nullif(guard("guard_tab_name"), F.lit("")), guard("tab_name"))
+    named = articles.withColumn("competition", guard("actual_competition"))
+    return named.filter(~F.col("competition").isin("", NO_COMPETITION) & guard("reassigned_tab_id").isNull() & (F.col("competition") != looked))
+
+
 def competition_demand(articles: DataFrame) -> DataFrame:
     """Articles of each competition by day, and over all days where day is null."""
-    named = articles.select(F.to_date("created_at").alias("day"), F.get_json_object("quality", "$.league_guard.actual_competition").alias("competition")).filter("competition <> ''")
+    named = uncovered(articles).select(F.to_date("created_at").alias("day"), "competition")
     return named.groupingSets([["day", "competition"], ["competition"]], "day", "competition").agg(F.count("*").alias("n"))
 
 
 def uncovered_competitions(articles: DataFrame, tabs: DataFrame) -> DataFrame:
-    """Competitions without a usable tab of their name: totals, last seen, outcomes, top source, the tab's state."""
-    named = articles.withColumn("competition", F.get_json_object("quality", "$.league_guard.actual_competition")).filter("competition <> ''")
+    """Competitions of articles that no tab took: totals, last seen, outcomes, top source, the state of their own tab."""
+    named = uncovered(articles)
     of = lambda s: F.count_if(F.col("status") == s)
     per = named.groupBy("competition", "source").agg(
         F.count("*").alias("n"), F.max("created_at").alias("seen"), of("DRAFT_CREATED").alias("drafts"), of("PUBLISHED").alias("published"), of("ABANDONED").alias("abandoned")
@@ -186,8 +210,9 @@ def uncovered_competitions(articles: DataFrame, tabs: DataFrame) -> DataFrame:
         F.sum("n").alias("total"), F.max("seen").alias("last_seen"), F.sum("drafts").alias("drafts"), F.sum("published").alias("published"), F.sum("abandoned").alias("abandoned"),
         F.min_by("source", F.struct((-F.col("n")).alias("m"), "source")).alias("top_source"),
     )
-    state = F.when(F.col("enabled").isNull(), "missing").when(F.col("enabled") == 0, "disabled").otherwise("ready")
-    return each.join(tabs.select(F.col("name").alias("competition"), "enabled"), "competition", "left").withColumn("tab_state", state).drop("enabled").filter("tab_state <> 'ready'")
+    state = F.when(F.col("enabled").isNull(), "missing").when(F.col("enabled") == 0, "disabled").when(F.col("definition") == "", "undefined").otherwise("ready")
+    own = tabs.select(F.col("name").alias("competition"), "enabled", "definition")
+    return each.join(own, "competition", "left").withColumn("tab_state", state).drop("enabled", "definition")
 
 
 def error_groups(failures: DataFrame, top: int = 4, alert: int = 3) -> DataFrame:

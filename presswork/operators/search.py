@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.quality import NO_COMPETITION
 from ..schemas import ISSUES
 
 
@@ -94,14 +95,24 @@ def source_listing(sources: DataFrame, articles: DataFrame, tab_id: int) -> Data
 
 
 def guard_outcome(articles: DataFrame) -> DataFrame:
-    """The state of the league guard for each article, by its record and the mode that was published."""
-    was, wished = flag("league_guard.configured_publish_mode").cast("int"), flag("league_guard.effective_publish_mode").cast("int")
-    active = flag("league_guard.reassigned_tab_active")
+    """The state of the league guard for each article, and the competition to show.
+
+    What the guard wished for counts as applied only where the article was published so. The competition is blank
+    where the article moved to another tab, where it is none, or where it has the name of the tab that was looked at.
+    """
+    guard = lambda k: flag(f"league_guard.{k}")
+    text = lambda k: F.coalesce(guard(k), F.lit(""))
+    moved = guard("reassigned_tab_id").isNotNull() & (text("fallback_tab_name") != "")
+    direct = F.when(F.coalesce(F.col("publish_mode") == 1, F.lit(False)), "upgraded").otherwise("stale")
+    wished, less = guard("effective_publish_mode") == "1", F.coalesce(guard("downgraded_from_direct") == "true", F.lit(False))
     state = (
-        F.when(was.isNull(), "none").when(active == "false", "reassigned_inactive").when((was == 0) & (wished == 1), F.when(F.col("publish_mode") == 1, "upgraded").otherwise("stale"))
-        .when((was == 1) & (wished == 0), F.when(F.col("publish_mode") == 0, "downgraded").otherwise("stale")).otherwise("kept")
+        F.when(flag("league_guard").isNull(), "none").when(~moved & less, "downgraded").when(wished, direct)
+        .when(moved & (guard("reassigned_tab_active") == "false"), "reassigned_inactive").otherwise("kept")
     )
-    return articles.select("id", state.alias("guard_state"))
+    looked = F.when((text("guard_tab_name") == "") & ~moved, text("tab_name")).otherwise(text("guard_tab_name"))
+    competition = F.trim(text("actual_competition"))
+    shown = F.when(moved | (competition == NO_COMPETITION) | (competition == looked), "").otherwise(competition)
+    return articles.select("id", state.alias("guard_state"), shown.alias("competition"))
 
 
 def strictly_passing(articles: DataFrame) -> DataFrame:

@@ -218,8 +218,9 @@ def p13_strict_pass(v):
     return S.strictly_passing(v.articles)
 
 
-@query("g AS (SELECT id, publish_mode, json_extract_string(quality, '$.league_guard.configured_publish_mode')::INT AS was, json_extract_string(quality, '$.league_guard.effective_publish_mode')::INT AS wished, json_extract_string(quality, '$.league_guard.reassigned_tab_active') AS active FROM articles) "
-       "SELECT id, CASE WHEN was IS NULL THEN 'none' WHEN active = 'false' THEN 'reassigned_inactive' WHEN was = 0 AND wished = 1 THEN CASE WHEN publish_mode = 1 THEN 'upgraded' ELSE 'stale' END WHEN was = 1 AND wished = 0 THEN CASE WHEN publish_mode = 0 THEN 'downgraded' ELSE 'stale' END ELSE 'kept' END AS guard_state FROM g", "articles")
+@query("g AS (SELECT id, publish_mode, json_extract(quality, '$.league_guard') AS g FROM articles), p AS (SELECT *, g->>'$.reassigned_tab_id' IS NOT NULL AS moved, coalesce(g->>'$.downgraded_from_direct', '') = 'true' AS less, (g->>'$.effective_publish_mode') = '1' AS wished, trim(g->>'$.actual_competition') AS c, coalesce(g->>'$.guard_tab_name', '') AS looked, g->>'$.tab_name' AS landed FROM g) "
+       "SELECT id, CASE WHEN NOT moved AND less THEN 'downgraded' WHEN wished THEN CASE WHEN publish_mode = 1 THEN 'upgraded' ELSE 'stale' END WHEN moved AND (g->>'$.reassigned_tab_active') = 'false' THEN 'reassigned_inactive' ELSE 'kept' END AS guard_state, "
+       "CASE WHEN moved OR c = '非赛事' OR c = CASE WHEN looked = '' AND NOT moved THEN landed ELSE looked END THEN '' ELSE c END AS competition FROM p", "articles")
 def p18_guard_outcome(v):
     return S.guard_outcome(v.articles)
 
@@ -242,12 +243,13 @@ def s9_ledger_latest(v):
 
 
 def routes(v):
-    return v.articles.select("id", "source", F.when(F.col("id") % 3 == 0, F.col("id") % 8 + 1).alias("route_rule_id"))
+    decided = F.when(F.col("id") % 13 == 0, F.col("publish_mode"))
+    return v.articles.select("id", "source", F.when(F.col("id") % 3 == 0, F.col("id") % 8 + 1).alias("route_rule_id"), decided.alias("decided_mode"))
 
 
 @query("u AS (SELECT id AS tab_id, enabled, publish_mode AS mode FROM tabs), vote AS (SELECT article_id AS id, count(DISTINCT mode) FILTER (enabled = 1) AS k, min(mode) FILTER (enabled = 1) AS m, bool_or(enabled = 0) AS off FROM article_tabs JOIN u USING (tab_id) GROUP BY 1), "
-       "j AS (SELECT a.id, coalesce(k, 0) AS k, m, off, r.publish_mode_override AS rm, s.publish_mode_override AS sm FROM (SELECT id, source, CASE WHEN id % 3 = 0 THEN id % 8 + 1 END AS rid FROM articles) a LEFT JOIN vote USING (id) LEFT JOIN event_tab_rules r ON r.id = rid AND r.enabled = 1 AND r.tab_id IS NOT NULL LEFT JOIN sources s ON s.code = a.source), "
-       "c AS (SELECT *, coalesce(rm, sm, CASE WHEN k = 0 THEN 0 WHEN k = 1 THEN m END) AS mode FROM j) SELECT id, CASE WHEN mode = 1 AND off THEN 0 ELSE mode END AS configured_mode, k > 1 AND rm IS NULL AND sm IS NULL AS conflict FROM c", "articles", "article_tabs", "tabs", "sources", "event_tab_rules")
+       "j AS (SELECT a.id, coalesce(k, 0) AS k, m, off, r.publish_mode_override AS rm, s.publish_mode_override AS sm, snap FROM (SELECT id, source, CASE WHEN id % 3 = 0 THEN id % 8 + 1 END AS rid, CASE WHEN id % 13 = 0 THEN publish_mode END AS snap FROM articles) a LEFT JOIN vote USING (id) LEFT JOIN event_tab_rules r ON r.id = rid AND r.enabled = 1 AND r.tab_id IS NOT NULL LEFT JOIN sources s ON s.code = a.source), "
+       "c AS (SELECT *, coalesce(rm, sm, CASE WHEN k = 0 THEN 0 WHEN k = 1 THEN m END) AS mode FROM j) SELECT id, coalesce(snap, CASE WHEN mode = 1 AND off THEN 0 ELSE mode END) AS publish_mode, CASE WHEN mode = 1 AND off THEN 0 ELSE mode END AS configured_mode, k > 1 AND rm IS NULL AND sm IS NULL AND snap IS NULL AS conflict FROM c", "articles", "article_tabs", "tabs", "sources", "event_tab_rules")
 def j11_publish_modes(v):
     return P.publish_modes(routes(v), v.article_tabs, v.tabs, v.sources, v.event_tab_rules)
 

@@ -17,13 +17,36 @@ from .report_queries import CLICKS
 NOW = datetime(2024, 1, 20, 12)
 
 
-@query("o AS (SELECT a.id, a.publish_mode AS m, a.tab_id, v.belongs, v.confidence, t.enabled AS e, f.id AS ft, f.enabled AS fe, f.publish_mode AS fm FROM articles a LEFT JOIN verdicts v ON v.article_id = a.id LEFT JOIN tabs t ON t.id = a.tab_id LEFT JOIN tabs f ON a.id % 3 = 0 AND f.id = a.id % 25 + 1), "
-       "k AS (SELECT *, CASE WHEN belongs IS NULL THEN 'unchecked' WHEN belongs AND confidence >= 0.9 THEN CASE WHEN m = 0 THEN 'upgraded' ELSE 'kept' END WHEN ft IS NOT NULL THEN 'reassigned' WHEN NOT belongs AND confidence >= 0.9 AND m <> 0 THEN 'downgraded' ELSE 'kept' END AS outcome FROM o) "
-       "SELECT id, outcome, CASE outcome WHEN 'upgraded' THEN e WHEN 'reassigned' THEN CASE WHEN fe = 0 THEN 0 ELSE fm END WHEN 'downgraded' THEN 0 ELSE m END AS effective_mode, CASE WHEN outcome = 'reassigned' THEN ft ELSE tab_id END AS final_tab FROM k", "articles", "verdicts", "tabs")
+_ASKED = (
+    "r AS (SELECT id, publish_mode AS m, CASE WHEN id % 2 = 0 THEN '' ELSE coalesce(split_part(user_name, '.', 2), '') END AS league, id % 8 + 1 AS rid FROM articles), "
+    "f AS (SELECT article_id AS id, arg_min(tab_id, (sort_order, tab_id)) FILTER (guard_enabled = 1) AS guarded, arg_min(tab_id, (sort_order, tab_id)) FILTER (trim(definition) <> '') AS defined FROM article_tabs JOIN tabs ON tabs.id = tab_id GROUP BY 1), "
+    "o AS (SELECT id, m, league = 'fr' AS in_scope, coalesce(guarded, CASE WHEN league = 'fr' THEN defined END) AS tab FROM r JOIN f USING (id) WHERE (m = 0 OR league = 'fr') AND (league IN ('', 'fr') OR rid % 2 = 0)), "
+    "asked AS (SELECT * FROM o WHERE tab IS NOT NULL)"
+)
+
+
+def asked(v):
+    league = F.when(F.col("id") % 2 == 0, "").otherwise(F.split_part("user_name", F.lit("."), F.lit(2)))
+    articles = v.articles.select("id", F.col("publish_mode").alias("configured_mode"), league.alias("route_league"), (F.col("id") % 8 + 1).alias("route_rule_id"))
+    rules = v.event_tab_rules.withColumn("ai_guard_enabled", 1 - F.col("id") % 2)
+    return G.guard_asks(articles, v.article_tabs, v.tabs, rules, ("fr",))
+
+
+@query(f"{_ASKED} SELECT id, m AS configured_mode, in_scope, tab AS tab_id FROM asked", "articles", "article_tabs", "tabs")
+def j15_guard_asks(v):
+    return asked(v)
+
+
+@query(f"{_ASKED}, c AS (SELECT id, CASE WHEN id % 5 <> 0 THEN id % 26 + 1 END AS ct, CASE WHEN id % 4 = 1 THEN 0.5 ELSE 0.95 END AS cc FROM articles WHERE id % 3 <> 0), "
+       "j AS (SELECT a.*, v.belongs, v.confidence AS p, t.enabled AS e, cc, ct, n.enabled AS fe, n.publish_mode AS fm FROM asked a LEFT JOIN verdicts v ON v.article_id = a.id LEFT JOIN c USING (id) LEFT JOIN tabs t ON t.id = a.tab LEFT JOIN tabs n ON n.id = ct), "
+       "k AS (SELECT *, CASE WHEN belongs IS NULL THEN 'unchecked' WHEN belongs AND p >= 0.9 THEN CASE WHEN m = 0 THEN 'upgraded' ELSE 'kept' END WHEN belongs AND m = 0 OR cc IS NULL OR cc < 0.9 THEN 'kept' WHEN fe IS NULL THEN CASE WHEN m = 0 THEN 'kept' ELSE 'downgraded' END WHEN ct = tab THEN 'kept' ELSE 'reassigned' END AS outcome FROM j), "
+       "x AS (SELECT *, CASE outcome WHEN 'upgraded' THEN e WHEN 'reassigned' THEN CASE WHEN fe = 0 THEN 0 ELSE fm END WHEN 'downgraded' THEN 0 ELSE m END AS effective_mode FROM k) "
+       "SELECT id, outcome, effective_mode, CASE WHEN outcome = 'reassigned' THEN ct ELSE tab END AS final_tab, effective_mode = 1 AND m = 0 AS upgraded_to_publish, outcome = 'downgraded' AS downgraded_from_direct, CASE WHEN outcome = 'reassigned' THEN fe = 1 END AS reassigned_tab_active FROM x", "articles", "article_tabs", "verdicts", "tabs")
 def j15_league_guard(v):
-    articles = v.articles.select("id", F.col("publish_mode").alias("configured_mode"), "tab_id")
     verdicts = v.verdicts.select(F.col("article_id").alias("id"), "belongs", "confidence")
-    return G.league_guard(articles, verdicts, v.articles.filter("id % 3 = 0").select("id", (F.col("id") % 25 + 1).alias("tab_id")), v.tabs)
+    choices = v.articles.filter("id % 3 <> 0").select("id", F.when(F.col("id") % 5 != 0, F.col("id") % 26 + 1).alias("tab_id"), F.when(F.col("id") % 4 == 1, 0.5).otherwise(0.95).alias("confidence"))
+    found = G.league_guard(asked(v), verdicts, choices, v.tabs)
+    return found.select("id", "outcome", "effective_mode", "final_tab", *[F.col(f"league_guard.{c}") for c in ("upgraded_to_publish", "downgraded_from_direct", "reassigned_tab_active")])
 
 
 @query("d AS (SELECT id, updated_at AS next_at, CASE WHEN id % 3 = 0 THEN TIMESTAMP '2024-01-20 11:58:00' WHEN id % 3 = 1 THEN TIMESTAMP '2024-01-20 11:50:00' END AS claimed_at FROM articles WHERE status = 'NEEDS_REVIEW') SELECT id, next_at FROM d WHERE next_at <= TIMESTAMP '2024-01-20 12:00:00' AND (claimed_at IS NULL OR claimed_at <= TIMESTAMP '2024-01-20 11:55:00') ORDER BY next_at, id LIMIT 100", "articles")

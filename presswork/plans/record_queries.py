@@ -62,17 +62,24 @@ def s3_canonical_fields(v):
     return K.canonical_fields(rows, {"title": ["translate_title", "title"]}).select("id", F.col("c_title").alias("title"), K.lenient_channels("ch").alias("channels"))
 
 
-@query("b AS (SELECT source_url, source, title_final || '!' AS title, id, TIMESTAMP '2024-03-01' AS seen FROM articles WHERE id % 4 = 0) SELECT a.source_url, CASE WHEN b.id IS NULL OR a.status NOT IN ('RECEIVED', 'ERROR') THEN a.title_final ELSE b.title END AS title, CASE WHEN b.id IS NULL THEN a.updated_at ELSE TIMESTAMP '2024-03-01' END AS last_seen_at, a.status FROM (SELECT *, CASE WHEN id % 8 = 0 THEN 'RECEIVED' ELSE status END AS s FROM articles) x JOIN (SELECT * EXCLUDE status, CASE WHEN id % 8 = 0 THEN 'RECEIVED' ELSE status END AS status FROM articles) a USING (id) LEFT JOIN b USING (id) "
-       "UNION ALL SELECT source_url || '/new', title_final || '?', TIMESTAMP '2024-03-01', 'RECEIVED' FROM articles WHERE id % 50 = 0", "articles")
+@query("s AS (SELECT *, CASE WHEN id % 8 = 0 THEN 'RECEIVED' ELSE status END AS now, CASE WHEN id % 9 = 0 THEN 'B' || title_final WHEN id % 4 = 0 THEN 'A' || title_final END AS met FROM articles) "
+       "SELECT id, source_url, CASE WHEN now = 'RECEIVED' AND met IS NOT NULL THEN met ELSE title_final END AS title, coalesce(met, title_final) AS title_original, now AS status, publish_mode, [tab_id] AS tab_ids, CASE WHEN now = 'RECEIVED' AND met IS NOT NULL THEN TIMESTAMP '2024-03-01' ELSE updated_at END AS updated_at, CASE WHEN met IS NULL THEN updated_at ELSE TIMESTAMP '2024-03-01' END AS last_seen_at FROM s "
+       "UNION ALL SELECT NULL, source_url || '/new', CASE WHEN id % 100 = 0 THEN '1' ELSE '3' END || title_final, '3' || title_final, CASE WHEN id % 100 = 0 THEN 'ABANDONED' ELSE 'RECEIVED' END, CASE WHEN id % 100 = 0 THEN 2 END, [1], TIMESTAMP '2024-03-01', TIMESTAMP '2024-03-01' FROM articles WHERE id % 50 = 0", "articles")
 def s4_article_upsert(v):
-    status = F.when(F.col("id") % 8 == 0, "RECEIVED").otherwise(F.col("status"))
-    state = v.articles.select("source_url", "source", F.col("title_final").alias("title"), F.lit("b").alias("body"), status.alias("status"), "updated_at", F.col("updated_at").alias("last_seen_at"))
-    seen = F.lit(datetime(2024, 3, 1)).cast("timestamp_ntz")
-    known = v.articles.filter("id % 4 = 0").select("source_url", "source", F.concat("title_final", F.lit("!")).alias("title"))
-    new = v.articles.filter("id % 50 = 0").select(F.concat("source_url", F.lit("/new")).alias("source_url"), "source", F.concat("title_final", F.lit("?")).alias("title"))
-    batch = known.unionByName(new).select("*", F.lit("c").alias("body"), F.lit(1).alias("seq"), seen.alias("seen_at"))
-    earlier = batch.withColumn("title", F.lit("earlier")).withColumn("seq", F.lit(0))
-    return I.upserted(state, batch.unionByName(earlier)).select("source_url", "title", "last_seen_at", "status")
+    """Materials that are known by URL or by key, and new ones: the second has the first's key, the third its URL."""
+    none, seen = F.lit(None).cast("string"), F.lit(datetime(2024, 3, 1)).cast("timestamp_ntz")
+    key = lambda letter: F.concat(F.lit(letter), F.col("id").cast("string"))
+    state = v.articles.select(
+        "id", "source", "source_url", F.when(F.col("id") % 3 == 0, key("k")).alias("origin_key"), F.col("title_final").alias("title_original"), F.col("title_final").alias("title"), F.lit("b").alias("body"), "upstream_archive_id",
+        F.lit("{}").alias("raw"), F.array("tab_id").alias("tab_ids"), F.lit("B").alias("level"), "publish_mode", F.when(F.col("id") % 8 == 0, "RECEIVED").otherwise(F.col("status")).alias("status"), "updated_at", F.col("updated_at").alias("last_seen_at"),
+    )
+    part = lambda every, n, letter, origin, source="source", url="": v.articles.filter(F.col("id") % every == 0).select(
+        (F.col("id") * 10 + n).alias("seq"), F.expr(source).alias("source"), F.concat("source_url", F.lit(url)).alias("source_url"), origin.alias("origin_key"), F.concat(F.lit(letter), "title_final").alias("title"), F.lit("c").alias("body"),
+        "upstream_archive_id", F.lit("{}").alias("raw"), F.array(F.lit(n - 2).cast("bigint")).alias("tab_ids"), (F.col("id") % 100 == 0).alias("abandoned"), seen.alias("seen_at"),
+    )
+    batch = part(4, 1, "A", none).union(part(9, 2, "B", key("k"), "upper(source)", "/moved"))
+    batch = batch.union(part(50, 3, "1", key("n"), url="/new")).union(part(50, 4, "2", key("n"), url="/new2")).union(part(50, 5, "3", none, url="/new"))
+    return I.upserted(state, batch).select("id", "source_url", "title", "title_original", "status", "publish_mode", "tab_ids", "updated_at", "last_seen_at")
 
 
 @query("SELECT id, status, published_at, updated_at FROM (SELECT id, CASE WHEN status = 'DRAFT_CREATED' AND id % 2 = 0 THEN 'PUBLISHED' ELSE status END AS status, CASE WHEN status = 'DRAFT_CREATED' AND id % 2 = 0 THEN TIMESTAMP '2024-03-01' ELSE published_at END AS published_at, CASE WHEN status = 'DRAFT_CREATED' AND id % 2 = 0 THEN TIMESTAMP '2024-03-01' ELSE updated_at END AS updated_at FROM articles)", "articles")
@@ -126,7 +133,9 @@ def a16_keyword_hits(v):
     return K.keyword_hits(rows, words)
 
 
-@query("SELECT a.id, CASE WHEN json_extract_string(quality, '$.league_guard.reassigned_tab_active') IS NULL THEN 'landed' ELSE 'unknown' END AS kind, CASE WHEN json_extract_string(quality, '$.league_guard.reassigned_tab_active') IS NULL THEN t.name END AS guard_tab FROM articles a LEFT JOIN tabs t ON t.id = a.tab_id", "articles", "tabs")
+@query("g AS (SELECT id, json_extract(quality, '$.league_guard') AS g FROM articles), p AS (SELECT id, coalesce(g->>'$.guard_tab_name', '') AS recorded, g->>'$.reassigned_tab_id' IS NOT NULL AS moved, coalesce(g->>'$.tab_name', '') AS landed, coalesce(g->>'$.fallback_tab_name', '') AS target, regexp_extract(g->>'$.reason', '不属于「([^」]+)」', 1) AS said FROM g), "
+       "n AS (SELECT *, CASE WHEN recorded <> '' THEN recorded WHEN NOT moved THEN landed WHEN said <> target THEN said ELSE '' END AS tab FROM p) "
+       "SELECT n.id, CASE WHEN recorded <> '' THEN 'recorded' WHEN tab = '' THEN 'unknown' WHEN moved THEN 'parsed' ELSE 'landed' END AS kind, nullif(tab, '') AS guard_tab, t.id AS guard_tab_id FROM n LEFT JOIN tabs t ON t.name = tab", "articles", "tabs")
 def j19_guard_backfill(v):
     return K.backfilled_guard(v.articles, v.tabs)
 

@@ -76,7 +76,8 @@ def f20_rendered_report(v):
 
 
 DAYS = """days AS (SELECT d + INTERVAL 19 HOUR - INTERVAL 8 HOUR AS period_start, d + INTERVAL 43 HOUR - INTERVAL 8 HOUR AS period_end FROM range(TIMESTAMP '2024-01-08', TIMESTAMP '2024-01-15', INTERVAL 1 DAY) AS t(d)),
-direct AS (SELECT DISTINCT a.id, a.published_at, trim(t.name) AS tab FROM articles a JOIN article_tabs b ON a.id = b.article_id JOIN tabs t ON t.id = b.tab_id WHERE a.status = 'PUBLISHED' AND a.publish_mode = 1),
+usable AS (SELECT b.article_id AS id, list(DISTINCT trim(t.name)) AS names FROM article_tabs b JOIN tabs t ON t.id = b.tab_id WHERE t.backend_tab_id <> 305 GROUP BY 1),
+direct AS (SELECT DISTINCT a.id, a.published_at, trim(unnest(CASE WHEN a.id % 10 = 1 THEN ['NATION_9', ' NATION_9 ', 'old name'] ELSE coalesce(u.names, [t.name]) END)) AS tab FROM articles a LEFT JOIN usable u ON u.id = a.id LEFT JOIN tabs t ON t.id = a.tab_id WHERE a.status = 'PUBLISHED' AND a.publish_mode = 1),
 inside AS (SELECT d.*, p.* FROM direct d JOIN days p ON published_at >= period_start AND published_at < period_end),
 report AS (SELECT period_start, period_end, tab, count(*) AS n FROM inside GROUP BY ALL UNION ALL SELECT period_start, period_end, 'TOTAL', count(DISTINCT id) FROM inside GROUP BY ALL)"""
 
@@ -86,7 +87,12 @@ def week(v):
 
 
 def publications(v):
-    return R.publish_report(R.published_tabs(v.articles, v.article_tabs, v.tabs), week(v))
+    return R.publish_report(published(v), week(v))
+
+
+def published(v, tracked=None):
+    kept = F.when(F.col("id") % 10 == 1, F.array(F.lit("NATION_9"), F.lit(" NATION_9 "), F.lit("old name")))
+    return R.published_tabs(v.articles.withColumn("published_tab_names", kept), v.article_tabs, v.tabs, tracked, excluded=(0, 305))
 
 
 @query(f"{DAYS} SELECT * FROM report", "articles", "article_tabs", "tabs")
@@ -94,6 +100,15 @@ def a3_publish_report(v):
     return publications(v)
 
 
+_TRACKED = ["NATION_3", "NATION_5", "NATION_9", "NATION_24"]
+
+
+@query(f"{DAYS}, k AS (SELECT unnest({_TRACKED}) AS tab), c AS (SELECT period_start, tab, count(*) AS n FROM inside WHERE tab IN (SELECT tab FROM k) GROUP BY ALL UNION ALL SELECT period_start, 'TOTAL', count(DISTINCT id) FROM inside WHERE tab IN (SELECT tab FROM k) GROUP BY ALL) "
+       "SELECT d.period_start, d.period_end, x.tab, coalesce(c.n, 0) AS n FROM days d CROSS JOIN (SELECT tab FROM k UNION ALL SELECT 'TOTAL') x LEFT JOIN c ON c.period_start = d.period_start AND c.tab = x.tab", "articles", "article_tabs", "tabs")
+def a3_tracked_report(v):
+    return R.publish_report(published(v, _TRACKED), week(v), _TRACKED)
+
+
 _CELLS = ", ".join(f"coalesce(sum(n) FILTER (period_start = TIMESTAMP '2024-01-{7 + i:02d} 11:00:00'), 0)::BIGINT AS d{i}" for i in range(1, 8))
 
 
@@ -125,7 +140,10 @@ def a7_click_grid(v):
     return R.click_grid(R.click_counts(v.click_events))
 
 
-COMP = "named AS (SELECT *, json_extract_string(quality, '$.league_guard.actual_competition') AS competition FROM articles WHERE json_extract_string(quality, '$.league_guard.actual_competition') <> '')"
+COMP = (
+    "g AS (SELECT *, json_extract(quality, '$.league_guard') AS g FROM articles), named AS (SELECT * EXCLUDE g, g->>'$.actual_competition' AS competition FROM g "
+    "WHERE (g->>'$.actual_competition') NOT IN ('', '非赛事') AND g->>'$.reassigned_tab_id' IS NULL AND (g->>'$.actual_competition') <> coalesce(nullif(g->>'$.guard_tab_name', ''), g->>'$.tab_name'))"
+)
 
 
 @query(f"{COMP} SELECT created_at::DATE AS day, competition, count(*) AS n FROM named GROUP BY ALL UNION ALL SELECT NULL, competition, count(*) FROM named GROUP BY competition", "articles")
@@ -135,8 +153,8 @@ def a8_competition_demand(v):
 
 @query(f"{COMP}, per AS (SELECT competition, source, count(*) AS n FROM named GROUP BY ALL), top AS (SELECT competition, source AS top_source FROM (SELECT *, row_number() OVER (PARTITION BY competition ORDER BY n DESC, source) AS k FROM per) WHERE k = 1) "
        "SELECT n.competition, count(*) AS total, max(created_at) AS last_seen, count(*) FILTER (status = 'DRAFT_CREATED') AS drafts, count(*) FILTER (status = 'PUBLISHED') AS published, count(*) FILTER (status = 'ABANDONED') AS abandoned, "
-       "any_value(top_source) AS top_source, CASE WHEN any_value(t.enabled) IS NULL THEN 'missing' WHEN any_value(t.enabled) = 0 THEN 'disabled' ELSE 'ready' END AS tab_state "
-       "FROM named n JOIN top USING (competition) LEFT JOIN tabs t ON t.name = n.competition GROUP BY n.competition HAVING coalesce(any_value(t.enabled), 0) = 0", "articles", "tabs")
+       "any_value(top_source) AS top_source, CASE WHEN any_value(t.enabled) IS NULL THEN 'missing' WHEN any_value(t.enabled) = 0 THEN 'disabled' WHEN any_value(t.definition) = '' THEN 'undefined' ELSE 'ready' END AS tab_state "
+       "FROM named n JOIN top USING (competition) LEFT JOIN tabs t ON t.name = n.competition GROUP BY n.competition", "articles", "tabs")
 def a9_uncovered_competitions(v):
     return R.uncovered_competitions(v.articles, v.tabs)
 

@@ -41,9 +41,12 @@ def definitions(d: dict) -> dict[str, str]:
         "|| ',\"issues\":{\"title_problems\":[' || CASE WHEN doc_id % 12 = 4 THEN '\"cut\"' ELSE '' END || '],\"dirty_content\":[' || CASE WHEN doc_id % 12 = 7 THEN '\"广告\"' WHEN doc_id % 12 = 10 THEN '\"residue\"' ELSE '' END "
         "|| '],\"completeness_problems\":[' || CASE WHEN doc_id % 15 = 8 THEN '\"short\"' ELSE '' END || '],\"channel_problems\":[' || CASE WHEN doc_id % 45 = 9 THEN '\"missing\"' ELSE '' END || ']' "
         "|| CASE WHEN doc_id % 27 = 0 THEN '' WHEN doc_id % 3 = 2 THEN ',\"semantic_problems\":[\"unsure\"]' ELSE ',\"semantic_problems\":[]' END || '}' "
-        f"|| ',\"reason\":\"' || CASE WHEN doc_id % 5 = 0 THEN 'model timeout' ELSE 'rules' END || '\",\"league_guard\":{{\"actual_competition\":\"' || CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'C' || {d['str']('doc_id % 31')} END "
+        f"|| ',\"reason\":\"' || CASE WHEN doc_id % 5 = 0 THEN 'model timeout' ELSE 'rules' END || '\",\"league_guard\":{{\"actual_competition\":\"' || CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 23 = 5 THEN '非赛事' WHEN doc_id % 31 < 9 THEN 'NATION_' || {d['str']('doc_id % 31')} ELSE 'C' || {d['str']('doc_id % 31')} END "
         "|| '\",\"configured_publish_mode\":' || CASE WHEN doc_id % 2 = 0 THEN '1' ELSE '0' END || ',\"effective_publish_mode\":' || CASE WHEN doc_id % 6 = 0 THEN '1' ELSE '0' END "
-        "|| CASE WHEN doc_id % 7 = 0 THEN ',\"reassigned_tab_active\":false' WHEN doc_id % 7 = 1 THEN ',\"reassigned_tab_active\":true' ELSE '' END || '}}'"
+        "|| CASE WHEN doc_id % 7 = 0 THEN ',\"reassigned_tab_active\":false' WHEN doc_id % 7 = 1 THEN ',\"reassigned_tab_active\":true' ELSE '' END "
+        f"|| CASE WHEN doc_id % 7 <= 1 THEN ',\"reassigned_tab_id\":4,\"tab_name\":\"NATION_3\",\"fallback_tab_name\":\"NATION_3\"' ELSE ',\"tab_name\":\"NATION_' || {d['str']('doc_id % 8')} || '\"' END "
+        f"|| CASE WHEN doc_id % 7 = 0 THEN ',\"reason\":\"AI 判断本篇不属于「NATION_' || {d['str']('doc_id % 5')} || '」，已改挂\"' ELSE ',\"reason\":\"kept\"' END "
+        "|| CASE WHEN doc_id % 19 = 0 THEN ',\"guard_tab_name\":\"NATION_5\"' ELSE '' END || CASE WHEN doc_id % 8 = 3 THEN ',\"downgraded_from_direct\":true' ELSE '' END || '}}'"
     ).replace("{{", "{").replace("}}", "}}")
     return {
         "articles": f"""
@@ -61,7 +64,7 @@ def definitions(d: dict) -> dict[str, str]:
                    CASE WHEN doc_id % 10 <= 5 THEN doc_id + 100000 END AS backend_archive_id
             FROM documents""",
         "sources": "SELECT DISTINCT source AS code, upper(source) AS display_name, CASE WHEN source = 'src3' THEN 0 ELSE 1 END AS enabled, CASE WHEN source = 'src5' THEN 1 WHEN source = 'src6' THEN 0 END AS publish_mode_override FROM documents UNION ALL SELECT 'src_dead', 'SRC_DEAD', 1, NULL",
-        "tabs": "SELECT n_nationkey + 1 AS id, CASE WHEN n_nationkey = 0 THEN 58 ELSE n_nationkey + 300 END AS backend_tab_id, n_name AS name, CASE WHEN n_nationkey % 5 <> 4 THEN 1 ELSE 0 END AS enabled, n_nationkey % 2 AS publish_mode FROM nation",
+        "tabs": "SELECT n_nationkey + 1 AS id, CASE WHEN n_nationkey = 0 THEN 58 ELSE n_nationkey + 300 END AS backend_tab_id, n_name AS name, CASE WHEN n_nationkey % 5 <> 4 THEN 1 ELSE 0 END AS enabled, n_nationkey % 2 AS publish_mode, CASE WHEN n_nationkey % 3 = 0 THEN 1 ELSE 0 END AS guard_enabled, CASE WHEN n_nationkey % 4 = 1 THEN '' ELSE 'news about ' || n_name END AS definition FROM nation",
         "article_tabs": "SELECT id AS article_id, id % 12 + 1 AS tab_id, 0 AS sort_order FROM articles UNION ALL SELECT id, id % 5 + 13, 1 FROM articles WHERE id % 3 = 0",
         "event_tab_rules": """SELECT * FROM (VALUES (1, CAST(NULL AS {S}), 'league', 'en', 3, CAST(NULL AS INT), 1), (2, NULL, 'league', 'fr', 4, 1, 1), (3, NULL, 'league', 'de', NULL, 2, 1),
             (4, NULL, 'team', 't1', 5, NULL, 1), (5, 'src1', 'league', 'en', 7, 0, 1), (6, NULL, 'team', 't2', 6, NULL, 0), (7, NULL, 'team', 't4', NULL, NULL, 1), (8, 'src2', 'team', 't1', 1, NULL, 1))
