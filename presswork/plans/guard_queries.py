@@ -20,7 +20,7 @@ NOW = datetime(2024, 1, 20, 12)
 _ASKED = (
     "r AS (SELECT id, publish_mode AS m, CASE WHEN id % 2 = 0 THEN '' ELSE coalesce(split_part(user_name, '.', 2), '') END AS league, id % 8 + 1 AS rid FROM articles), "
     "f AS (SELECT article_id AS id, arg_min(tab_id, (sort_order, tab_id)) FILTER (guard_enabled = 1) AS guarded, arg_min(tab_id, (sort_order, tab_id)) FILTER (trim(definition) <> '') AS defined FROM article_tabs JOIN tabs ON tabs.id = tab_id GROUP BY 1), "
-    "o AS (SELECT id, m, league = 'fr' AS in_scope, coalesce(guarded, CASE WHEN league = 'fr' THEN defined END) AS tab FROM r JOIN f USING (id) WHERE (m = 0 OR league = 'fr') AND (league IN ('', 'fr') OR rid % 2 = 0)), "
+    "o AS (SELECT id, m, league IN ('fr', 'en') AS in_scope, coalesce(guarded, CASE WHEN league IN ('fr', 'en') THEN defined END) AS tab FROM r JOIN f USING (id) WHERE (m = 0 OR league IN ('fr', 'en')) AND (league IN ('', 'fr', 'en') OR rid % 2 = 0)), "
     "asked AS (SELECT * FROM o WHERE tab IS NOT NULL)"
 )
 
@@ -29,7 +29,7 @@ def asked(v):
     league = F.when(F.col("id") % 2 == 0, "").otherwise(F.split_part("user_name", F.lit("."), F.lit(2)))
     articles = v.articles.select("id", F.col("publish_mode").alias("configured_mode"), league.alias("route_league"), (F.col("id") % 8 + 1).alias("route_rule_id"))
     rules = v.event_tab_rules.withColumn("ai_guard_enabled", 1 - F.col("id") % 2)
-    return G.guard_asks(articles, v.article_tabs, v.tabs, rules, ("fr",))
+    return G.guard_asks(articles, v.article_tabs, v.tabs, rules, ("fr", "en"))
 
 
 @query(f"{_ASKED} SELECT id, m AS configured_mode, in_scope, tab AS tab_id FROM asked", "articles", "article_tabs", "tabs")

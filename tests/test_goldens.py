@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from presswork.functions import html as H, promotion as M, quality as Q, text as X
-from presswork.operators import dedup as D, ingest as I, publish as P, records as K, reports as R, search as S, tags as T
+from presswork.operators import dedup as D, guards as G, ingest as I, publish as P, records as K, reports as R, search as S, tags as T
 from presswork.streaming import streams as Z
 
 
@@ -122,6 +122,69 @@ def test_candidates_and_settlement(spark):
     assert got[2] == ("duplicate", 1) and got[4] == ("duplicate", 1) and got[1] == ("not_duplicate", None) and got[6] == ("not_duplicate", None) and 5 not in got
 
 
+def test_candidates_equal_all_pairs(spark):
+    """Against every pair, with blocks of two titles, ties, repeated titles, null channels and tabs."""
+    words = ["alpha", "beta", "gamma", "delta", "wins", "final", "game"]
+    rows = [(i, " ".join(words[(i * k + k) % 7] for k in range(1, 5)), None if i % 11 == 0 else [i % 3, i % 4], None if i % 5 == 0 else i % 2, datetime(2026, 9, 1 + i % 6, i % 24)) for i in range(40)]
+    articles = spark.createDataFrame(rows, "id bigint, title_final string, channels array<bigint>, tab_id bigint, created_at timestamp_ntz")
+    keys = lambda r: {f"c{c}" for c in r[2] or []} | ({f"t{r[3]}"} if r[3] is not None else set())
+    want = set()
+    for x in rows:
+        found = []
+        for y in rows:
+            if y[0] < x[0] and y[4].date() <= x[4].date() and (x[4] - y[4]).total_seconds() <= 3 * 86400 and keys(x) & keys(y):
+                a, b = D.plain_title(x[1]), D.plain_title(y[1])
+                lcs, bigram, char = D.scores(a, b)
+                shared = bool(set(x[2] or []) & set(y[2] or []))
+                hit = D.strict_plain_title(x[1]) == D.strict_plain_title(y[1]) or bigram >= D.DICE_LEAST or lcs >= D.LCS_LEAST or char >= D.CHAR_DICE_LEAST
+                if hit and (shared or not (x[2] and y[2]) or bigram >= D.TAB_DICE_LEAST):
+                    short, long = sorted((len(a), len(b)))
+                    found.append((-D.lexical_score(lcs / short, lcs / long, bigram, char), y[0], "channels" if shared else "tab"))
+        want |= {(x[0], older, by, k) for k, (_, older, by) in enumerate(sorted(found)[: D.TOP], 1)}
+    for block in (2, 256):
+        assert {(r["id"], r["older"], r["matched_by"], r["rank"]) for r in D.candidates(articles, block=block).collect()} == want
+    assert len(want) > 40 and D.candidates(articles.limit(0)).count() == 0
+
+
+def test_common_runs_of_long_texts():
+    a, b = "".join(chr(97 + i * i % 23) for i in range(900)), "".join(chr(97 + i * i * i % 23) for i in range(700)) + "zz\U0001f600-a run-"
+    assert D.common_run(a + "zz\U0001f600-a run", b) == len("zz\U0001f600-a run") and D.common_run("x" * 400, "y" * 500) == 0 and D.common_run("x" * 400, "x" * 500) == 400
+
+
+def test_guard_asks_and_decides(spark):
+    articles = spark.createDataFrame([(1, 0, "", None), (2, 1, "", None), (3, 1, "FR", None), (4, 0, "en", 1), (5, 0, "en", 2), (6, 1, " fr", None), (7, 1, "fr", None), (8, 0, None, None)], "id bigint, configured_mode int, route_league string, route_rule_id bigint")
+    tabs = spark.createDataFrame([(1, 1, 1, 1, "d"), (2, 1, 0, 0, "d"), (3, 0, 1, 0, ""), (4, 1, 1, 0, " ")], "id bigint, enabled int, publish_mode int, guard_enabled int, definition string")
+    bound = spark.createDataFrame([(i, 1, 1) for i in (1, 2, 4, 5)] + [(1, 2, 0), (3, 4, 0), (3, 2, 1), (6, 2, 0), (7, 1, 0), (8, 4, 0)], "article_id bigint, tab_id bigint, sort_order int")
+    rules = spark.createDataFrame([(1, 1), (2, 0)], "id bigint, ai_guard_enabled int")
+    asked = G.guard_asks(articles, bound, tabs, rules, ("fr",))
+    assert {(r["id"], r["tab_id"], r["in_scope"]) for r in asked.collect()} == {(1, 1, False), (3, 2, True), (4, 1, False), (6, 2, True), (7, 1, True)}
+    verdicts = spark.createDataFrame([(1, True, 0.5), (3, False, 0.9), (4, True, 0.9), (6, False, 0.9)], "id bigint, belongs boolean, confidence double")
+    choices = spark.createDataFrame([(1, 2, 0.9), (3, None, 0.95), (6, 3, 0.95)], "id bigint, tab_id bigint, confidence double")
+    got = {r["id"]: r for r in G.league_guard(asked, verdicts, choices, tabs).collect()}
+    assert {i: (r["outcome"], r["effective_mode"], r["final_tab"]) for i, r in got.items()} == {1: ("kept", 0, 1), 3: ("downgraded", 0, 2), 4: ("upgraded", 1, 1), 6: ("reassigned", 0, 3), 7: ("unchecked", 1, 1)}
+    assert got[6]["league_guard"]["reassigned_tab_active"] is False and got[3]["league_guard"]["downgraded_from_direct"] and got[4]["league_guard"]["upgraded_to_publish"]
+
+
+def test_materials_meet_articles_by_key_then_url(spark):
+    old, now = datetime(2026, 9, 1), datetime(2026, 9, 2)
+    state = spark.createDataFrame(
+        [(1, "a", "u1", "k1", "t", "t", "b", 0, "{}", [1], "B", None, "RECEIVED", old, old), (2, "a", "u2", None, "t", "t", "b", 0, "{}", [1], "A", 1, "PUBLISHED", old, old), (3, "a", "u3", " ", "t", "t", "b", 0, "{}", [1], "B", None, "ERROR", old, old)],
+        "id bigint, source string, source_url string, origin_key string, title_original string, title string, body string, upstream_archive_id bigint, raw string, tab_ids array<bigint>, level string, publish_mode int, status string, updated_at timestamp_ntz, last_seen_at timestamp_ntz",
+    )
+    batch = spark.createDataFrame(
+        [(1, "A", "u9", "k1", "x", "c", 5, "{1}", [2], False, now), (2, "a", "u2", "k2", "y", "c", 6, "{2}", [2], False, now), (3, "b", "n", "", "1", "c", 0, "", [7], True, now), (4, "b", "n", None, "2", "c", 1, "", [8], False, now), (5, "a", "n", "k5", "3", "c", 0, "", [9], False, now), (6, "a", "m", "k5", "4", "c", 0, "", [1], False, now)],
+        "seq bigint, source string, source_url string, origin_key string, title string, body string, upstream_archive_id bigint, raw string, tab_ids array<bigint>, abandoned boolean, seen_at timestamp_ntz",
+    )
+    got = {(r["id"], r["source"], r["source_url"]): r for r in I.upserted(state, batch).collect()}
+    seen = {k: (r["title"], r["title_original"], r["status"], r["upstream_archive_id"], r["tab_ids"], r["updated_at"] == now, r["last_seen_at"] == now) for k, r in got.items()}
+    assert seen == {
+        (1, "a", "u1"): ("x", "x", "RECEIVED", 5, [1], True, True), (2, "a", "u2"): ("t", "y", "PUBLISHED", 6, [1], False, True), (3, "a", "u3"): ("t", "t", "ERROR", 0, [1], False, False),
+        (None, "b", "n"): ("1", "2", "ABANDONED", 1, [7], True, True), (None, "a", "n"): ("4", "4", "RECEIVED", 0, [9], True, True),
+    }
+    assert got[None, "b", "n"]["publish_mode"] == 2 and got[2, "a", "u2"]["level"] == "A"
+    assert I.upserted(state, batch.limit(0)).count() == 3 and I.upserted(state.limit(0), batch).count() == 4
+
+
 def test_language_ratio_by_code_point(spark):
     row = spark.createDataFrame([("中文𠀀abc é1",)], "x string").select(*X.language_ratio(F.col("x"))).first()
     assert tuple(row)[:2] == (3, 4)
