@@ -319,6 +319,46 @@ def f13_keyword_gates(v):
     return rows.filter("first_hit is not null")
 
 
+#: The given texts have no ideographs: fifteen of their letters become some.
+_LETTERS, _IDEOGRAPHS = "abcdefghijklmno", "的一是了我不在人们有来他这上着"
+_HAN = f"translate(lower({{}}), '{_LETTERS}', '{_IDEOGRAPHS}')"
+
+
+def han(column: str):
+    return F.translate(F.lower(column), _LETTERS, _IDEOGRAPHS)
+
+
+@query(f"t AS (SELECT id, {_HAN.format('body_html')} AS x FROM articles), n AS (SELECT id, length(regexp_replace(x, '[^一-鿿]', '', 'g')) AS ideographs, length(regexp_replace(x, '[^\\p{{L}}]', '', 'g')) AS letters FROM t) "
+       "SELECT id, ideographs, letters - ideographs AS others, CASE WHEN letters > 0 THEN (letters - ideographs) / letters ELSE 0 END::DOUBLE AS other_ratio FROM n", "articles")
+def f9_ideograph_ratio(v):
+    ideographs, others, ratio = X.language_ratio(han("body_html"))
+    return v.articles.select("id", ideographs.alias("ideographs"), others.alias("others"), ratio.cast("double").alias("other_ratio"))
+
+
+_ENDS = "CASE id % 7 WHEN 0 THEN '，' WHEN 1 THEN '…' WHEN 2 THEN '、 ' WHEN 3 THEN ' ：' ELSE '。' END"
+
+
+@query(f"t AS (SELECT id, trim(regexp_replace(left({_HAN.format('title_final')}, CAST(id % 9 AS INTEGER)) || {_ENDS}, '\\s+', ' ', 'g')) AS x FROM articles) "
+       "SELECT id, list_filter([CASE WHEN length(x) < 5 THEN 'short' END, CASE WHEN id % 7 <= 3 THEN 'cut' END, CASE WHEN NOT regexp_matches(x, '[\\p{L}\\p{N}]') THEN 'symbols' END], lambda y: y IS NOT NULL) AS problems FROM t", "articles")
+def f10_ideograph_titles(v):
+    title = F.concat(F.left(han("title_final"), (F.col("id") % 9).cast("int")), F.expr(_ENDS))
+    return v.articles.select("id", X.title_problems(title).alias("problems"))
+
+
+_DIRT = "CASE id % 12 WHEN 0 THEN '点击购买门票' WHEN 1 THEN '扫码关注' WHEN 2 THEN '优惠活动' WHEN 3 THEN '立即下载' WHEN 4 THEN '加微信' WHEN 5 THEN '本文转自报纸' WHEN 6 THEN '版权归作者' WHEN 7 THEN '未经许可' WHEN 8 THEN '摄影：记者' WHEN 9 THEN '【 图 ：球场】' WHEN 10 THEN '未完待续' ELSE '点击' END"
+
+
+@query(f"t AS (SELECT id, {_HAN.format('body_html')} || {_DIRT} AS x FROM articles) SELECT id, list_filter([CASE WHEN length(x) < 30 THEN 'short' END, CASE WHEN id % 12 = 10 THEN 'cut' END, CASE WHEN regexp_matches(x, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]') THEN 'control' END, CASE WHEN id % 12 <= 9 THEN 'dirty:' || (id % 12) END], lambda y: y IS NOT NULL) AS problems FROM t", "articles")
+def f11_dirty_bodies(v):
+    return v.articles.select("id", X.body_problems(F.concat(han("body_html"), F.expr(_DIRT))).alias("problems"))
+
+
+@query(f"t AS (SELECT id, {_HAN.format('title_final')} AS x, {_HAN.format('body_html')} AS y FROM articles) SELECT id, CASE WHEN contains(left(y, 40), '在有') THEN '在有' WHEN contains(left(y, 40), '们我') THEN '们我' END AS head_hit, list_filter(['着r', '的', '们我'], lambda w: contains(replace(x, '着r', ''), w)) AS hits FROM t", "articles")
+def f12_ideograph_keywords(v):
+    hits = X.all_keywords(han("title_final"), ["着r", "的", "们我", "的"], ["着r"])
+    return v.articles.select("id", X.first_keyword(han("body_html"), ["在有", "们我"], 40).alias("head_hit"), hits.alias("hits"))
+
+
 @query("SELECT page_id, CASE WHEN url ~ '^https?://' THEN url ELSE '' END AS absolute, 'https://cdn.example.com/' || ltrim(regexp_replace(url, '^https?://', ''), '/') AS expanded FROM pages")
 def f41_cdn_paths(v):
     pages = v.table("pages")
