@@ -58,4 +58,40 @@ SELECT conv_id, block, part, perspective, any_value(lead) || string_agg(line, ''
 FROM spans GROUP BY conv_id, block, part, perspective
 """
 
-ORACLE_SQL = {"op1_chat_rotation": OP1, "op5_fm_index": OP5, "op9_mix_sources": OP9}
+OP11 = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS x, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+g AS (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS p, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS q, ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d),
+c AS (SELECT *, least(p, q) AS a, greatest(p, q) AS b, CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g),
+o AS (SELECT *, CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || substr(x, 1, a) || '<S>' || substr(x, b + 1) || '<M>' || substr(x, a + 1, b - a)
+              ELSE '<S>' || substr(x, b + 1) || '<P>' || substr(x, 1, a) || '<M>' || substr(x, a + 1, b - a) END AS y FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars, sha256(y) AS output_sha256, sha256(x) AS restored_sha256 FROM o
+"""
+
+#: crc32 of a decimal number: a byte at a time, a bit at a time.
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)), lambda c, b: "
+    "list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295)"
+)
+
+OP12 = f"""
+WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({{'r': r, 'x': x}} ORDER BY turn ASC NULLS FIRST, substr(sha256(length(r)::VARCHAR || ':' || r || x), 1, 32)) AS t FROM said GROUP BY conv_id),
+drawn AS (SELECT *, {_CRC} % 9 AS h FROM own),
+built AS (SELECT d.conv_id, list_concat(coalesce(b.t[1:d.h], []), d.t[d.h + 1:]) AS t FROM drawn d LEFT JOIN own b ON b.conv_id = d.conv_id - d.conv_id % 5),
+deep AS (SELECT conv_id, t, unnest(range(len(t) + 1)) AS depth FROM built),
+node AS (SELECT t[1:depth] AS k, depth, min(conv_id) AS conv_id, count(*) AS n_convs, list(conv_id ORDER BY conv_id) FILTER (WHERE len(t) = depth) AS ends FROM deep GROUP BY 1, 2),
+kids AS (SELECT k[1:depth - 1] AS k, count(*) AS n FROM node WHERE depth > 0 GROUP BY 1),
+valued AS (SELECT n.*, coalesce(c.n, 0) AS n_children, CASE WHEN n.depth = 0 THEN 0 ELSE (n.n_convs - 1) * strlen(n.k[n.depth].x) END AS own FROM node n LEFT JOIN kids c ON c.k = n.k),
+up AS (SELECT k[1:a] AS k, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum(own)::BIGINT AS saved FROM (SELECT *, unnest(range(depth + 1)) AS a FROM valued) GROUP BY 1)
+SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, u.n_leaves, u.saved AS saved_tokens, sha256(coalesce(array_to_string(v.ends, ','), '')) AS ends_sha256
+FROM valued v JOIN up u ON u.k = v.k LEFT JOIN node p ON v.depth > 0 AND p.k = v.k[1:v.depth - 1] AND p.depth = v.depth - 1
+"""
+
+OP13 = """
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, strlen(coalesce(html, ''))::BIGINT AS n, sha256(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p),
+r AS (SELECT *, CASE WHEN n >= 100 AND first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to FROM f)
+SELECT page_id, url, n AS payload_bytes, h AS payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM r
+"""
+
+ORACLE_SQL = {"op1_chat_rotation": OP1, "op5_fm_index": OP5, "op9_mix_sources": OP9, "op11_fill_in_middle": OP11, "op12_conversation_trie": OP12, "op13_zip_warc": OP13}

@@ -15,6 +15,9 @@ from . import (
     op08_outliers,
     op09_mixing,
     op10_language,
+    op11_fill_middle,
+    op12_prefix_trie,
+    op13_packaged_warc,
 )
 
 
@@ -73,6 +76,22 @@ def op10_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_language.languages(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op11_fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    again = op11_fill_middle.restored(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op12_prefix_trie.with_shared_openings(op12_prefix_trie.sequences(table(spark, sf_dir, "conversations")))
+    nodes = op12_prefix_trie.trie(found)
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op13_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_packaged_warc.archived(table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -92,6 +111,9 @@ QUERIES = {
         op8_quality_outliers,
         op9_mix_sources,
         op10_rank_order_language,
+        op11_fill_in_middle,
+        op12_conversation_trie,
+        op13_zip_warc,
         pipeline,
     )
 }
