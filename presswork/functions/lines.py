@@ -235,15 +235,15 @@ def without_promotional_sentences(body: str | None) -> str:
 
 
 def without_caption_sentences(body: str | None) -> str:
-    """Sentences that are captions of media go; the blanks around one become one."""
+    """Sentences that are captions of media go, with the blanks around them."""
 
     def judge(text: str) -> str:
-        out, begins = "", True
+        out, begins, gone = "", True, False
         for s in _SENTENCE.findall(text):
             kept = judged_caption(s, begins)
-            out = out.rstrip(_BLANKS) + " " if not kept and out.rstrip(_BLANKS) != out else out + kept
-            begins = bool(s) and s[-1] in _MARKS + "\r\n"
-        return out.rstrip(_BLANKS) if out != text and text.rstrip(_BLANKS) == text else out
+            out += kept.lstrip(_BLANKS) if gone else kept
+            begins, gone = bool(s) and s[-1] in _MARKS + "\r\n", bool(s) and not kept
+        return out
 
     return _outside_tags(body, judge)
 

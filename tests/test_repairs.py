@@ -140,7 +140,7 @@ def test_lines_as_rows_and_in_one_body(spark):
 
 
 @pytest.mark.parametrize("text,want", [
-    ("【视频】谷口彰悟制胜球！正文继续。", "正文继续。"), ("又有新援离队。 【视频】横滨FM处子球！ 这名右后卫来了。", "又有新援离队。 这名右后卫来了。"), ("【视频】比赛中，第43分钟进球。", None), ("官方发布了【图片】的照片。", None), ("【进球者】10分 某某", None), ("", None),
+    ("【视频】谷口彰悟制胜球！正文继续。", "正文继续。"), ("又有新援离队。 【视频】横滨FM处子球！ 这名右后卫来了。", "又有新援离队。这名右后卫来了。"), ("【视频】比赛中，第43分钟进球。", None), ("官方发布了【图片】的照片。", None), ("【进球者】10分 某某", None), ("", None),
 ])
 def test_caption_sentences(text, want):
     assert L.without_caption_sentences(text) == (text if want is None else want)
