@@ -3,13 +3,11 @@
 For every participant of a conversation the dialogue is rendered with that speaker as assistant and the others as
 named users; the mask has the spans to learn from, the speaker's own words with their end mark.
 
-A row is a conversation from one perspective. Conversations of up to ``TURNS`` messages whose turns are under ``TURNS``
-are whole; longer dialogues are cut into parts where ``turn`` passes a multiple of ``TURNS``, and where more than
-``TURNS`` messages fall between two such cuts, after every ``TURNS`` messages. So no task gathers more than ``TURNS``
-messages, however long a conversation is, and cuts depend on the turns alone. Every part but the first begins with the
-conversation's first system message again, which isn't counted there.
-A message's place among equal turns is by speaker, then by hash and text; places come from counts of small groups,
-so a turn which a third of all rows share is counted by many tasks.
+A row is a conversation from one perspective. Conversations of up to ``turns`` messages are whole, whatever their turns
+are; longer ones are cut after every ``turns`` messages (a larger number makes them whole, at the price of a task that
+holds one). Every part but the first begins with the conversation's first system message again, which isn't counted there.
+A message's place among equal turns is by speaker, then by hash and text. Places come from counts of small groups and of
+stretches of turns, so neither a turn which a third of all rows share nor a conversation which has them is one task's.
 
 Defined cases: a null speaker is "unknown", a null text is empty; a null turn comes last, a null conversation is one
 of its own; a system message is context, no participant; a conversation of system messages alone has no row;
@@ -38,26 +36,30 @@ def spoken():
 
 
 def placed(messages: DataFrame, turns: int = TURNS) -> DataFrame:
-    """conv_id, block, part, place, turn, speaker, words, n: messages with their place in a part."""
+    """conv_id, part, place, turn, speaker, words, n: messages with their place in the conversation."""
     rows = messages.select(
         "conv_id", "turn",
         F.coalesce("role", F.lit("unknown")).alias("speaker"),
         spoken().alias("words"),
     ).groupBy("conv_id", "turn", "speaker", "words").agg(F.count("*").alias("n"))
-    rows = rows.withColumn("block", F.floor(F.col("turn") / turns)).withColumn("digit", F.substring(F.md5("words"), 1, 2))
+    rows = rows.withColumn("block", F.floor(F.col("turn") / TURNS)).withColumn("digit", F.substring(F.md5("words"), 1, 2))
     fine = ["conv_id", "block", "turn", "speaker", "digit"]
     counts = rows.groupBy(*fine).agg(F.count("*").alias("size"))
     order = [F.col("turn").asc_nulls_last(), "speaker", "digit"]
     before = W.partitionBy("conv_id", "block").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy("conv_id").orderBy(F.col("block").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
+    stretches = counts.groupBy("conv_id", "block").agg(F.sum("size").alias("size"))
+    stretches = stretches.withColumn("offset", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
     counts = counts.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    counts = counts.alias("c").join(stretches.alias("s"), _on("c", "s", ["conv_id", "block"])).select("c.*", "s.offset").withColumn("before", F.col("before") + F.col("offset"))
     nth = F.row_number().over(W.partitionBy(*fine).orderBy("words"))
     numbered = rows.withColumn("nth", nth).alias("m").join(counts.alias("c"), _on("m", "c", fine)).select("m.*", "c.before")
     place = F.col("before") + F.col("nth") - 1
-    return numbered.select("conv_id", "block", F.floor(place / turns).alias("part"), place.alias("place"), "turn", "speaker", "words", "n")
+    return numbered.select("conv_id", F.floor(place / turns).alias("part"), place.alias("place"), "turn", "speaker", "words", "n")
 
 
 def rotated(messages: DataFrame, turns: int = TURNS, system: tuple[str, ...] = SYSTEM) -> DataFrame:
-    """conv_id, block, part, perspective, text, mask (start, end, ... in code points), n_messages, n_rows."""
+    """conv_id, part, perspective, text, mask (start, end, ... in code points), n_messages, n_rows."""
     held = placed(messages, turns)
     context = F.col("speaker").isin(*system)
     people = messages.select("conv_id", F.coalesce("role", F.lit("unknown")).alias("speaker")).filter(~context).distinct()
@@ -69,17 +71,16 @@ def rotated(messages: DataFrame, turns: int = TURNS, system: tuple[str, ...] = S
         "place", F.concat(head, "words", F.lit(END)).alias("said"),
         F.when(own, F.char_length(head)).alias("learn"), (F.char_length(head) + F.char_length("words") + len(END)).alias("size"), "n",
     )
-    parts = both.groupBy("conv_id", "block", "part", "perspective").agg(F.array_sort(F.collect_list(said)).alias("said"))
-    begun = contexts(messages, turns, system).select(F.col("conv_id").alias("_conv"), "first", "lead")
-    later = ~(F.col("part") == 0) | ~F.col("block").eqNullSafe(F.col("first"))
-    parts = parts.join(begun, F.col("conv_id").eqNullSafe(F.col("_conv"))).withColumn("lead", F.when(later, F.coalesce("lead", F.lit(""))).otherwise(""))
+    parts = both.groupBy("conv_id", "part", "perspective").agg(F.array_sort(F.collect_list(said)).alias("said"))
+    begun = contexts(messages, system).select(F.col("conv_id").alias("_conv"), "lead")
+    parts = parts.join(begun, F.col("conv_id").eqNullSafe(F.col("_conv"))).withColumn("lead", F.when(F.col("part") > 0, F.coalesce("lead", F.lit(""))).otherwise(""))
     start = F.struct(F.char_length("lead").cast("long").alias("at"), F.array().cast("array<bigint>").alias("mask"))
     add = lambda s, x: F.struct(
         (s["at"] + x["size"]).alias("at"),
         F.when(x["learn"].isNull(), s["mask"]).otherwise(F.concat(s["mask"], F.array(s["at"] + x["learn"], s["at"] + x["size"]))).alias("mask"),
     )
     return parts.select(
-        "conv_id", "block", "part", "perspective",
+        "conv_id", "part", "perspective",
         F.concat("lead", F.array_join(F.transform("said", lambda x: x["said"]), "")).alias("text"),
         F.aggregate("said", start, add)["mask"].alias("mask"),
         F.size("said").cast("long").alias("n_messages"),
@@ -87,9 +88,9 @@ def rotated(messages: DataFrame, turns: int = TURNS, system: tuple[str, ...] = S
     )
 
 
-def contexts(messages: DataFrame, turns: int, system: tuple[str, ...]) -> DataFrame:
-    """conv_id, first (block of its first part) and lead, its first system message as it is rendered."""
+def contexts(messages: DataFrame, system: tuple[str, ...]) -> DataFrame:
+    """conv_id and lead, its first system message as it is rendered."""
     speaker, words = F.coalesce("role", F.lit("unknown")), spoken()
     line = F.concat(F.lit("<|"), speaker, F.lit("|>\n"), words, F.lit(END))
     own = F.when(speaker.isin(*system), F.struct(F.col("turn").isNull().alias("none"), "turn", speaker.alias("speaker"), words.alias("words"), line.alias("line")))
-    return messages.groupBy("conv_id").agg(F.min(F.floor(F.col("turn") / turns)).alias("first"), F.min(own)["line"].alias("lead"))
+    return messages.groupBy("conv_id").agg(F.min(own)["line"].alias("lead"))

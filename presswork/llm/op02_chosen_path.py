@@ -219,7 +219,7 @@ def signed(docs: DataFrame, key: str, size: int = SHINGLE) -> DataFrame:
                     hashes.append(None if low is None else low.tobytes())
                 yield pa.RecordBatch.from_arrays([piece.column("doc"), piece.column("print"), pa.array(node, pa.int64()), pa.array(sketches, pa.binary()), pa.array(hashes, pa.binary())], ["doc", "print", "node", "sketch", "hashes"])
 
-    return docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64("text").alias("print"), "text").mapInArrow(tidy(sign), SIGNED)
+    return docs.select(F.col(key).try_cast("long").alias("doc"), F.xxhash64("text").alias("print"), "text").mapInArrow(tidy(sign), SIGNED)
 
 
 PATHS = "path bigint, node bigint, sketch binary"
@@ -338,15 +338,15 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", size: int = SHINGLE,
     small_batches(docs.sparkSession)
     rows = written(signed(docs, key, size), "signed")
     some = rows.filter("node is not null")
-    classes = written(some.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc").alias("first_doc")), "classes")
+    classes = written(some.groupBy("node").agg(F.count("*").alias("copies"), F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "print")).alias("first")), "classes")
     nodes = some.dropDuplicates(["node"]).select("node", "sketch", "hashes")
     clusters = components(candidates(nodes, recall=recall)).select("node", F.col("root").alias("cluster"))
     sizes = clusters.groupBy("cluster").count()
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
     members = clusters.join(sizes, "cluster").join(classes, "node").withColumn("blocks", blocks)
     members = members.withColumn("mine", F.when(F.col("blocks") == 1, -1).otherwise(F.pmod(F.xxhash64("node"), F.col("blocks"))).cast("int"))
-    texts = docs.select(F.col(key).cast("long").alias("doc"), "text")
-    held = members.join(texts, F.col("first_doc").eqNullSafe(F.col("doc")))
+    texts = docs.select(F.col(key).try_cast("long").alias("doc"), F.xxhash64("text").alias("print"), "text")
+    held = members.join(texts, F.col("first.doc").eqNullSafe(F.col("doc")) & (F.col("first.print") == F.col("print")))
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("other")
     pairs = held.select("cluster", "node", "copies", "mine", "text", other)
     pairs = pairs.select("cluster", "node", "copies", "mine", "text", F.least("mine", "other").alias("first"), F.greatest("mine", "other").alias("second"))
@@ -379,7 +379,7 @@ def distinct_documents(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "print")).alias("kept"))
     kept = F.col("doc").eqNullSafe(F.col("kept.doc")) & (F.col("print") == F.col("kept.print"))
     judged = written(rows.join(first, "root").select("doc", "print", "n", kept.alias("kept")), "kept")
-    own = [F.col(key).cast("long").alias("_path_doc"), F.xxhash64("text").alias("_path_print")]
+    own = [F.col(key).try_cast("long").alias("_path_doc"), F.xxhash64("text").alias("_path_print")]
     marked = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *own)
 
     def those(table: DataFrame, how: str, of: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def _views(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def features(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key and the two views of each document, as bytes of half and single precision numbers."""
-    rows = docs.select(F.col(key).cast("long").alias("doc"), "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
+    rows = docs.select(F.col(key).try_cast("long").alias("doc"), "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
 
     def view(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +170,7 @@ def classified(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: s
     spark = docs.sparkSession
     small_batches(spark)
     rows = written(features(docs, key), "features")
-    known = labels.groupBy(F.col(key).cast("long").alias("doc")).agg(F.avg(F.col(label).cast("double")).alias("y")).filter("y is not null and doc is not null")
+    known = labels.groupBy(F.col(key).try_cast("long").alias("doc")).agg(F.avg(F.col(label).cast("double")).alias("y")).filter("y is not null and doc is not null")
     known = written(known, "labels")
     share = min(1.0, labelled / max(1, known.count()))
     sample = _fetched(rows, known.filter(_share("doc", 0) <= share), ["y"])

@@ -60,6 +60,13 @@ APART_WORDS = frozenset(
     "discussion feedback footer gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination popup "
     "promo promoted promotion related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: Words that say where or in what such a thing stands.
+CONTAINER_WORDS = frozenset(
+    "area article articles bar block bottom box button buttons card cards container content desktop div element footer form group header inline inner item items left "
+    "link links list main mobile page panel post posts primary reader right row secondary section site slot stories story thread tile top unit user wrap wrapper".split()
+)
+#: Elements that can hold the article of a page although they are apart elsewhere.
+HOLDERS = frozenset(("form", "fieldset"))
 #: Neighbours on either side, and the share of a page's own text that makes a neighbour a copy of it.
 NEAR, COPY = 3, 0.5
 #: Pages of a block, and blocks at most.
@@ -93,12 +100,21 @@ def _is_apart(tag: str, attributes: str, inside: bool) -> bool:
         value, name = (a or b or c).lower(), name.lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
             return True
-        words = set(re.split(r"[^a-z0-9]+", value)) if name in ("class", "id", "role") else set()
-        if words & APART_WORDS or (not inside and "header" in words):
+        if name in ("class", "id", "role") and any(_names_apart(x, inside) for x in value.split()):
             return True
     return False
 
 
+def _names_apart(name: str, inside: bool) -> bool:
+    """Is a class, id or role one of what is no article? Each part of the name must say so or name a container; outside of
+    an article its first or last part is enough. So ``share-buttons`` is, and ``share-price-table`` in an article isn't."""
+    parts = [p for p in re.split(r"[^a-z0-9]+", name) if p]
+    words = APART_WORDS if inside else APART_WORDS | {"header"}
+    if not inside and parts and (parts[0] in words or parts[-1] in words):
+        return True
+    return any(p in words for p in parts) and all(p in words or p in CONTAINER_WORDS or p.isdigit() for p in parts)
+
+
 class _Tags:
     """The tags of a source. What comes next of each mark is remembered, so a source is read a bounded number of times."""
 
@@ -159,8 +175,24 @@ class _Tags:
 
 
 def parsed(source: str) -> Page:
+    """The lines of a page. Where all of an article would be apart, because a form or an element with such a class is around
+    it, or where a form holds most of a page without an article, that element isn't apart."""
+    holders: frozenset[int] = frozenset()
+    while True:
+        page, more = _parsed(source, holders)
+        if more <= holders:
+            return page
+        holders |= more
+
+
+def _parsed(source: str, holders: frozenset[int]) -> tuple[Page, set[int]]:
+    """The lines, where some elements (by their number) aren't apart, and the elements that shouldn't be."""
     page, text = Page(), []
-    stack: list[tuple[str, bool, bool]] = []  # element, apart, inside an article
+    roots: list[int] = []  # of each line, the number of the outermost element that is apart, or -1
+    tag_of: dict[int, str] = {}
+    around: set[int] = set()  # apart, and an article is in it
+    number = 0
+    stack: list[tuple[str, int, bool]] = []  # element, number of the apart element, inside an article
     opened: Counter = Counter()  # elements on the stack
 
     def flush() -> None:
@@ -169,7 +201,8 @@ def parsed(source: str) -> Page:
             text.clear()
             if line:
                 page.lines.append(line)
-                page.apart.append(bool(stack) and stack[-1][1])
+                roots.append(stack[-1][1] if stack else -1)
+                page.apart.append(roots[-1] >= 0)
                 page.inside.append(bool(stack) and stack[-1][2])
 
     tags, ends = iter(_Tags(source)), None
@@ -211,13 +244,24 @@ def parsed(source: str) -> Page:
                     for gone, _, _ in stack[k:]:
                         opened[gone] -= 1
                     del stack[k:]
-            apart, inside = stack[-1][1:] if stack else (False, False)
-            stack.append((tag, apart or _is_apart(tag, attributes, inside), inside or tag in ARTICLE))
+            apart, inside = stack[-1][1:] if stack else (-1, False)
+            number += 1
+            if apart < 0 and number not in holders and _is_apart(tag, attributes, inside):
+                apart, tag_of[number] = number, tag
+            if tag in ARTICLE and apart >= 0 and (tag_of[apart] in HOLDERS or tag_of[apart] not in APART):
+                around.add(apart)
+            stack.append((tag, apart, inside or tag in ARTICLE))
             opened[tag] += 1
     if done < len(source):
         text.append(source[done:])
     flush()
-    return page
+    if any(i and not a for i, a in zip(page.inside, page.apart, strict=True)):
+        return page, set()
+    sizes: Counter = Counter()
+    for root, line in zip(roots, page.lines, strict=True):
+        sizes[root] += len(line)
+    whole = sum(sizes.values())
+    return page, around | {r for r, n in sizes.items() if r >= 0 and tag_of[r] in HOLDERS and 2 * n > whole}
 
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -319,7 +363,7 @@ def borders(keys: DataFrame, rows: int = ROWS, near: int = NEAR) -> list[tuple[t
 
 def dealt(pages: DataFrame, rows: int = ROWS, near: int = NEAR) -> DataFrame:
     """The pages by block and order; ``own`` says whether a page is of the block or near it."""
-    key = [F.substring(host_of(), 1, KEY).alias("host"), F.substring(path_of(), 1, KEY).alias("path"), F.coalesce(F.col("page_id").cast("long"), F.lit(-(1 << 63))).alias("id")]
+    key = [F.substring(host_of(), 1, KEY).alias("host"), F.substring(path_of(), 1, KEY).alias("path"), F.coalesce(F.col("page_id").try_cast("long"), F.lit(-(1 << 63))).alias("id")]
     keys = pages.select("page_id", "url", "html", *key, F.xxhash64("html").alias("print"))
     edges = borders(keys.select(*ORDER), rows, near)
     early, starts, late = ([e[k] for e in edges] for k in range(3))
@@ -348,7 +392,11 @@ def dealt(pages: DataFrame, rows: int = ROWS, near: int = NEAR) -> DataFrame:
 
 def extracted(pages: DataFrame, rows: int = ROWS, near: int = NEAR) -> DataFrame:
     """page_id, url, text of each page."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
     small_batches(pages.sparkSession)
+    schema = T.StructType([T.StructField("page_id", pages.schema["page_id"].dataType), T.StructField("url", T.StringType()), T.StructField("text", T.StringType())])
+    kind = to_arrow_type(schema["page_id"].dataType)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: deque = deque()  # pages of one block and host around the next to be judged
@@ -363,7 +411,7 @@ def extracted(pages: DataFrame, rows: int = ROWS, near: int = NEAR) -> DataFrame
                     c.append(v)
 
         def batch_out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], ["page_id", "url", "text"])
+            made = pa.RecordBatch.from_arrays([pa.array(out[0], kind), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], ["page_id", "url", "text"])
             for c in out:
                 c.clear()
             return made
@@ -392,4 +440,4 @@ def extracted(pages: DataFrame, rows: int = ROWS, near: int = NEAR) -> DataFrame
             at += 1
         yield batch_out()
 
-    return dealt(pages, rows, near).mapInArrow(tidy(extract), "page_id bigint, url string, text string")
+    return dealt(pages, rows, near).mapInArrow(tidy(extract), schema)

@@ -315,7 +315,7 @@ def _identified(docs: DataFrame, key: str) -> DataFrame:
     """(doc, nth, text): rows of one id, where there are any, are numbered by text."""
     from pyspark.sql import Window as W
 
-    doc = F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID))
+    doc = F.coalesce(F.col(key).try_cast("long"), F.lit(NULL_ID))
     rows = docs.select(doc.alias("doc"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     if rows.groupBy("doc").count().filter("count > 1").limit(1).count():
         return rows.withColumn("nth", F.row_number().over(W.partitionBy("doc").orderBy("text"))).select("doc", "nth", "text")

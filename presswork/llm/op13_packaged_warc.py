@@ -365,7 +365,7 @@ def index(manifest: DataFrame) -> DataFrame:
                 columns = [pa.array([path] * len(found[0]), pa.string()), *(pa.array(c, pa.int64()) for c in found)]
                 yield pa.RecordBatch.from_arrays(columns, ["path", "record", "offset", "length"])
 
-    return manifest.select("path").repartition("path").mapInArrow(tidy(locate), "path string, record bigint, offset bigint, length bigint")
+    return written(manifest.select("path").repartition("path").mapInArrow(tidy(locate), "path string, record bigint, offset bigint, length bigint"), "index")
 
 
 def ranges(rows: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
@@ -384,7 +384,8 @@ def read_records(located: DataFrame, with_payload: bool = False) -> DataFrame:
     """The records of an index, read by ranges: RECORD, and the payload's bytes (null for revisits) if they are asked for."""
     schema = RECORD + (", payload binary" if with_payload else "")
     names = [f.split()[0] for f in schema.split(", ")]
-    dealt = located.withColumn("_split", F.floor(F.col("offset") / SPLIT)).repartition("path", "_split").sortWithinPartitions("path", "offset")
+    whole = located.agg(F.sum("length")).first()[0] or 0  # the rows are small, what they point to isn't: tasks by its size
+    dealt = located.withColumn("_split", F.floor(F.col("offset") / SPLIT)).repartition(whole // SPLIT + 1, "path", "_split").sortWithinPartitions("path", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

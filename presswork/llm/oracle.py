@@ -39,23 +39,20 @@ FROM doc d LEFT JOIN covered c USING (doc_id) LEFT JOIN items t USING (doc_id)
 OP1 = """
 WITH raw AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS words FROM conversations),
 m AS (SELECT conv_id, turn, speaker, words, count(*) AS n FROM raw GROUP BY ALL),
-b AS (SELECT *, floor(turn / 1024)::BIGINT AS block FROM m),
-placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id, block ORDER BY turn ASC NULLS LAST, speaker, substr(md5(words), 1, 2), words) - 1 AS place FROM b),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn ASC NULLS LAST, speaker, substr(md5(words), 1, 2), words) - 1 AS place FROM m),
 people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM m WHERE speaker <> 'system'),
 said AS (SELECT p.*, (p.place // 1024)::BIGINT AS part, q.perspective,
                 CASE WHEN speaker = 'system' THEN '<|system|>' || chr(10) WHEN speaker = perspective THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || speaker || '|>' || chr(10) END AS head
          FROM placed p JOIN people q ON p.conv_id IS NOT DISTINCT FROM q.conv_id),
 sized AS (SELECT *, head || words || '<|end|>' || chr(10) AS line FROM said),
-first AS (SELECT conv_id, min(block) AS first_block FROM b GROUP BY conv_id),
 context AS (SELECT conv_id, '<|system|>' || chr(10) || words || '<|end|>' || chr(10) AS lead
             FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn ASC NULLS LAST, words) AS k FROM m WHERE speaker = 'system') WHERE k = 1),
-led AS (SELECT s.*, CASE WHEN s.part = 0 AND s.block IS NOT DISTINCT FROM f.first_block THEN '' ELSE coalesce(c.lead, '') END AS lead
-        FROM sized s JOIN first f ON s.conv_id IS NOT DISTINCT FROM f.conv_id LEFT JOIN context c ON s.conv_id IS NOT DISTINCT FROM c.conv_id),
-spans AS (SELECT *, length(lead) + coalesce(sum(length(line)) OVER (PARTITION BY conv_id, block, part, perspective ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun FROM led)
-SELECT conv_id, block, part, perspective, any_value(lead) || string_agg(line, '' ORDER BY place) AS text,
+led AS (SELECT s.*, CASE WHEN s.part = 0 THEN '' ELSE coalesce(c.lead, '') END AS lead FROM sized s LEFT JOIN context c ON s.conv_id IS NOT DISTINCT FROM c.conv_id),
+spans AS (SELECT *, length(lead) + coalesce(sum(length(line)) OVER (PARTITION BY conv_id, part, perspective ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun FROM led)
+SELECT conv_id, part, perspective, any_value(lead) || string_agg(line, '' ORDER BY place) AS text,
        flatten(list(CASE WHEN speaker = perspective THEN [(begun + length(head))::BIGINT, (begun + length(line))::BIGINT] ELSE [] END ORDER BY place)) AS mask,
        count(*) AS n_messages, sum(n)::BIGINT AS n_rows
-FROM spans GROUP BY conv_id, block, part, perspective
+FROM spans GROUP BY conv_id, part, perspective
 """
 
 OP11 = """

@@ -16,48 +16,53 @@ SCHEMA = "conv_id bigint, turn bigint, role string, text string"
 ROWS = [
     (1, 0, "system", "be kind"), (1, 1, "ann", "hi <|end|>"), (1, 2, "bob", "hello"), (1, 3, "ann", None), (1, 3, "ann", None), (1, 3, "cid", "tie"), (1, 3, "ann", "tie"),
     (2, 0, "system", "alone"), (3, None, "ann", "no turn"), (3, 5, None, "no name"), (None, 1, "ann", "no conversation"), (None, 2, "bob", ""),
-    (4, 0, "system", "be brief"), (4, 90, "system", "go on"), *[(4, i, "ann" if i % 3 else "bob", f"turn {i} é") for i in range(150)], *[(5, 7, "ann" if i % 2 else "bob", f"same turn {i}") for i in range(200)], *[(6, 1, "ann", "again")] * 50,
+    (7, 1030, "ann", "late"), (7, None, "bob", "later"), (7, 2, "bob", "early"), (4, 0, "system", "be brief"), (4, 90, "system", "go on"), *[(4, i, "ann" if i % 3 else "bob", f"turn {i} é") for i in range(150)], *[(5, 7, "ann" if i % 2 else "bob", f"same turn {i}") for i in range(200)], *[(6, 1, "ann", "again")] * 50,
 ]
 
 
 def rotated(rows, turns=64):
     messages = Counter((c, t, r if r is not None else "unknown", (x or "").replace("<|", "< |")) for c, t, r, x in rows)
-    blocks = defaultdict(list)
+    held = defaultdict(list)
     for (c, t, r, x), n in messages.items():
-        blocks[c, None if t is None else t // turns].append(((t is None, t or 0), r, hashlib.md5(x.encode()).hexdigest()[:2], x, n))
-    people, first, lead = defaultdict(set), {}, {}
+        held[c].append(((t is None, t or 0), r, hashlib.md5(x.encode()).hexdigest()[:2], x, n))
+    people, lead = defaultdict(set), {}
     for c, t, r, x in sorted(messages, key=lambda m: (m[1] is None, m[1] or 0, m[3])):
         if r != "system":
             people[c].add(r)
         else:
             lead.setdefault(c, f"<|system|>\n{x}<|end|>\n")
-        first.setdefault(c, None if t is None else t // turns)
     out = []
-    for (c, b), held in blocks.items():
-        held.sort()
-        for part in range(-(-len(held) // turns)):
-            own = held[part * turns : (part + 1) * turns]
+    for c, said in held.items():
+        said.sort()
+        for part in range(-(-len(said) // turns)):
+            own = said[part * turns : (part + 1) * turns]
             for person in people[c]:
-                text, mask = "" if part == 0 and b == first[c] else lead.get(c, ""), []
+                text, mask = lead.get(c, "") if part else "", []
                 for _, r, _, x, _ in own:
                     text += "<|system|>\n" if r == "system" else "<|assistant|>\n" if r == person else f"<|user name={r}|>\n"
                     start = len(text)
                     text += x + "<|end|>\n"
                     mask += [start, len(text)] if r == person and r != "system" else []
-                out.append((c, b, part, person, text, tuple(mask), len(own), sum(n for *_, n in own)))
+                out.append((c, part, person, text, tuple(mask), len(own), sum(n for *_, n in own)))
     return Counter(out)
 
 
 @pytest.mark.parametrize("turns", [1024, 64, 3])
 def test_rotation(spark, turns):
     rows = spark.createDataFrame(ROWS, SCHEMA).repartition(3).withColumns({"said": F.lit(1), "block": F.lit(2), "part": F.lit(3)})
-    got = op01_chat.rotated(rows, turns).select("conv_id", "block", "part", "perspective", "text", "mask", "n_messages", "n_rows").collect()
-    assert Counter((*r[:5], tuple(r[5]), *r[6:]) for r in got) == rotated(ROWS, turns)
+    got = op01_chat.rotated(rows, turns).select("conv_id", "part", "perspective", "text", "mask", "n_messages", "n_rows").collect()
+    assert Counter((*r[:4], tuple(r[4]), *r[5:]) for r in got) == rotated(ROWS, turns)
     for r in got:
         for a, b in zip(r["mask"][::2], r["mask"][1::2], strict=True):
             assert r["text"][a:b].endswith(op01_chat.END) and r["text"][:a].endswith("<|assistant|>\n")
 
 
+def test_few_messages_are_whole_whatever_their_turns_are(spark):
+    turns = [1022, 1023, 1024, None]
+    got = op01_chat.rotated(spark.createDataFrame([(1, t, "ann" if i % 2 else "bob", f"m{i}") for i, t in enumerate(turns)], SCHEMA)).collect()
+    assert {(r["perspective"], r["part"], r["n_messages"]) for r in got} == {("ann", 0, 4), ("bob", 0, 4)}
+
+
 def test_rotation_of_nothing(spark):
     assert op01_chat.rotated(spark.createDataFrame([], SCHEMA)).count() == 0
 
@@ -181,3 +186,20 @@ def test_articles_of_the_given_pages(spark):
 
 def test_pages_of_nothing(spark):
     assert pages_op.extracted(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize("html,text", [
+    ("<body><form><nav>Menu</nav><article><h1>Title</h1><p>The article.</p></article><button>Send</button></form></body>", "Title\nThe article."),
+    ("<body><form><h1>Title</h1><p>The article is long enough to be most of it.</p><nav>Menu</nav></form><p>x</p></body>", "Title\nThe article is long enough to be most of it.\nx"),
+    ('<article><p>a</p><div class="share-price-table">Price</div><p class="notice-of-motion">Motion</p><section id="related-work">Work</section></article>', "a\nPrice\nMotion\nWork"),
+    ('<article><p>a</p><div class="share-buttons">Tweet</div><div class="ad-slot-2">Buy</div><section id="article-comments">First!</section><div class="related posts">More</div></article>', "a"),
+    ('<div class="search-page"><main><p>Found</p></main></div>', "Found"), ('<article><p>a</p></article><div class="related"><article>card</article></div><form>Search here for many more words</form>', "a"),
+    ("<article><p>a</p></article><aside><article>card</article></aside>", "a"),
+])
+def test_elements_that_take_no_article_away(html, text):
+    assert pages_op.main_text(pages_op.parsed(html), []) == text
+
+
+def test_page_ids_of_any_type(spark):
+    rows = spark.createDataFrame([("a1", "http://h/1", "<article>one</article>"), (None, None, None)], "page_id string, url string, html string")
+    assert {(r["page_id"], r["text"]) for r in pages_op.extracted(rows).collect()} == {("a1", "one"), (None, "")}
