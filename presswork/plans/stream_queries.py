@@ -94,3 +94,31 @@ def st3_distinct_events_stream(v):
     out = shared(v, "distinct")
     Z.run_once(Z.distinct_events(twice).select("event_id"), f"{out}/out", checkpoint=f"{out}/state")
     return v._spark.read.schema("event_id bigint").parquet(f"{out}/out")
+
+
+#: Failures of each of five groups of users; an alert is one of three within six hours, and none follows it for twelve.
+_FAILED = "f AS (SELECT (user_id % 5)::VARCHAR AS key, ts FROM events WHERE event_type = 'error'), c AS (SELECT key, ts, count(*) OVER (PARTITION BY key ORDER BY ts RANGE BETWEEN INTERVAL '5 hours 59 minutes 59.999999 seconds' PRECEDING AND CURRENT ROW)::INTEGER AS n FROM f)"
+_KEYED = (
+    f"WITH RECURSIVE {_FAILED}, b AS (SELECT key, ts, max(n) AS n FROM c WHERE n >= 3 GROUP BY ALL), nxt AS (SELECT x.key, x.ts, min(y.ts) AS f FROM b x JOIN b y ON y.key = x.key AND y.ts >= x.ts + INTERVAL 12 HOUR GROUP BY ALL), "
+    "a AS (SELECT key, min(ts) AS ts FROM b GROUP BY key UNION ALL SELECT a.key, n.f FROM a JOIN nxt n USING (key, ts)) SELECT a.key, a.ts AS alert_at, b.n FROM a JOIN b USING (key, ts)"
+)
+
+
+def failed(rows):
+    return rows.filter("event_type = 'error'").select((F.col("user_id") % 5).alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+@query(_KEYED)
+def st6_keyed_alerts(v):
+    """Alerts of each group of failures, with lookback and cool-down."""
+    return Z.keyed_alerts(failed(v.table("events")), lookback=6 * 3600, cool_down=12 * 3600).select("key", F.col("alert_at").cast("timestamp_ntz").alias("alert_at"), "n")
+
+
+@query(_KEYED + " WHERE a.ts < (SELECT max(ts) - INTERVAL 10 MINUTE FROM f)")
+def st6_keyed_alerts_stream(v):
+    """The same as a stateful stream over the landed events: alerts that the watermark has passed."""
+    rows = Z.landed(v._spark, f"{v._dir}/events.parquet", v.table("events").schema)
+    out = shared(v, "alerts")
+    Z.run_once(Z.keyed_alerts_stream(failed(rows), lookback=6 * 3600, cool_down=12 * 3600), f"{out}/out", checkpoint=f"{out}/state")
+    found = v._spark.read.schema(Z.ALERTS).parquet(f"{out}/out")
+    return found.select("key", F.col("alert_at").cast("timestamp_ntz").alias("alert_at"), "n")

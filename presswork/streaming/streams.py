@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from datetime import date, datetime
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: 19:00 in Beijing is 11:00 UTC.
@@ -44,6 +47,111 @@ def alerts(bursts: DataFrame, cool_down: int = 1800) -> DataFrame:
     return held.select(F.explode(kept).alias("k")).select(F.col("k.end").alias("alert_at"), F.col("k.n").alias("n"))
 
 
+#: Failures within the lookback that alert, its seconds, and those of the cool-down. Fixed values.
+ALERT_LEAST, LOOKBACK, COOL_DOWN = 3, 900, 1800
+ALERTS = "key string, alert_at timestamp, n int"
+
+
+class _Recent:
+    """The failures of a key within the lookback, and its last alert: what both forms of alerts keep."""
+
+    def __init__(self, times: list[int], last: int | None, least: int, lookback: int, cool_down: int):
+        self.times, self.last = deque(times), last
+        self.least, self.lookback, self.cool_down = least, lookback * 1_000_000, cool_down * 1_000_000
+
+    def add(self, at: int) -> int | None:
+        """Takes the next failure (in microseconds, in order) and gives the count if it alerts."""
+        self.times.append(at)
+        while self.times[0] <= at - self.lookback:
+            self.times.popleft()
+        if len(self.times) < self.least or (self.last is not None and at - self.last < self.cool_down):
+            return None
+        self.last = at
+        return len(self.times)
+
+
+def keyed_alerts(failures: DataFrame, least: int = ALERT_LEAST, lookback: int = LOOKBACK, cool_down: int = COOL_DOWN) -> DataFrame:
+    """failures (key, ts): key, alert_at, n. A failure alerts if the lookback up to it has enough failures of its key and
+    none of the key's alerts is within the cool-down.
+
+    Each key's failures come in order to one task, which keeps those of one lookback: a key that never pauses is read as a
+    stream too, and isn't gathered.
+    """
+    ordered = failures.select(F.col("key").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts")).filter("ts is not null").repartition("key").sortWithinPartitions("key", "ts")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, None
+        for batch in batches:
+            out = []
+            for k, at in zip(batch.column("key").to_pylist(), batch.column("ts").cast(pa.timestamp("us")).cast(pa.int64()).to_pylist(), strict=True):
+                if held is None or k != key:
+                    key, held = k, _Recent([], None, least, lookback, cool_down)
+                if n := held.add(at):
+                    out.append((k, at, n))
+            k, at, n = zip(*out, strict=True) if out else ((), (), ())
+            times = pa.array(at, pa.int64()).cast(pa.timestamp("us", "UTC"))
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.string()), times, pa.array(n, pa.int32())], ["key", "alert_at", "n"])
+
+    return ordered.mapInArrow(fold, ALERTS)
+
+
+def keyed_alerts_stream(failures: DataFrame, least: int = ALERT_LEAST, lookback: int = LOOKBACK, cool_down: int = COOL_DOWN, late: str = "10 minutes") -> DataFrame:
+    """The same as a stateful stream: failures wait until the watermark has passed them, so that they are counted in order.
+
+    A key's state is its waiting failures, those of the last lookback, and its last alert as a value; a timer at the first
+    waiting failure wakes it, and one at the end of lookback and cool-down clears it, so quiet keys cost nothing.
+    """
+
+    class Alerting(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.waiting = handle.getListState("waiting", "at bigint")
+            self.recent = handle.getListState("recent", "at bigint")
+            self.last = handle.getValueState("last", "at bigint")
+
+        def _timer(self, at: int) -> None:
+            for old in self.handle.listTimers():
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(at)
+
+        def handleInputRows(self, key, rows, timerValues):
+            times = [int(t.value // 1000) for frame in rows for t in frame["ts"]]
+            self.waiting.appendList([(t,) for t in times])
+            self._timer(min(t for (t,) in self.waiting.get()) // 1000 + 1)
+            yield from self._passed(key, timerValues.getCurrentWatermarkInMs())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            if not self.waiting.exists():
+                for state in (self.recent, self.last):
+                    state.clear()
+                return
+            yield from self._passed(key, timerValues.getCurrentWatermarkInMs())
+
+        def _passed(self, key, watermark: int):
+            """Counts the failures that the watermark has passed; what is still to come waits on."""
+            every = sorted(t for (t,) in self.waiting.get())
+            ready = [t for t in every if t < watermark * 1000]
+            if not ready:
+                return
+            held = _Recent([t for (t,) in self.recent.get()], self.last.get()[0] if self.last.exists() else None, least, lookback, cool_down)
+            found = [(t, n) for t in ready if (n := held.add(t))]
+            left = every[len(ready) :]
+            self.waiting.put([(t,) for t in left]) if left else self.waiting.clear()
+            self.recent.put([(t,) for t in held.times])
+            if held.last is not None:
+                self.last.update((held.last,))
+            self._timer((left[0] if left else ready[-1] + (lookback + cool_down) * 1_000_000) // 1000 + 1)
+            if found:
+                yield pd.DataFrame({"key": [key[0]] * len(found), "alert_at": pd.to_datetime([t for t, _ in found], unit="us"), "n": pd.array([n for _, n in found], "int32")})
+
+        def close(self) -> None:
+            pass
+
+    failures.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = failures.select(F.col("key").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts")).filter("ts is not null").withWatermark("ts", late)
+    return rows.groupBy("key").transformWithStateInPandas(Alerting(), ALERTS, "append", "EventTime")
+
+
 def distinct_events(events: DataFrame, key: str = "event_id", late: str = "1 day") -> DataFrame:
     """Each identity once: within the watermark in a stream."""
     if events.isStreaming:
