@@ -127,6 +127,16 @@ links_of = _mapped(links, T.ArrayType(_LINK))
 blocks_of = _mapped(blocks, T.ArrayType(_BLOCK))
 
 
+def plain_text(body: Column) -> Column:
+    """Visible text: natively where the body has neither markup nor references."""
+
+    def each(values: pd.Series) -> pd.Series:
+        return values.map(to_text, na_action="ignore")
+
+    marked = F.pandas_udf(each, T.StringType())(F.when(body.rlike("[<&]"), body))
+    return F.coalesce(marked, F.btrim(F.regexp_replace(F.coalesce(body, F.lit("")), r"(?U)\s+", " ")))
+
+
 def cleaned(rows: DataFrame, body: str = "body_html") -> DataFrame:
     """Anchors and then empty blocks removed where a native probe finds any; counts of what was found."""
     probed = rows.withColumn("had_links", F.col(body).rlike(PROBE_ANCHOR))

@@ -9,6 +9,12 @@ IDEOGRAPH = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2
 DIRTY = ("点击购买", "扫码关注", "优惠活动", "立即下载", "加微信", "本文转自", "版权归", "未经许可", "摄影[：:]", r"【\s*图\s*[：:]")
 #: Ends that look cut off. Fixed values.
 CUT_TITLE, CUT_BODY = r"([，,、:：]|\.{2,}|…)$", r"(未完待续|\.\.\.$|…$|待续$)"
+#: Remains of players and feeds, and attributes that lead elsewhere, in the source of a body. Fixed values.
+REMAINS = (
+    r"<\s*(?:area|embed|iframe|math|noscript|object|script|style|svg|template|video|audio)\b"
+    r"|<!--\s*(?:#(?:include|set|exec|echo)|google_ad_section_|(?:start|end)\s+of\s+(?:brightcove|video-js|jwplayer))"
+)
+CLICKABLE = r"<[^>]+\s+(?:on[a-z][a-z0-9_-]*|data-(?:href|url|link)|xlink:href)\s*="
 CONTROL = r"[\x{FFFD}\x00-\x08\x0b\x0c\x0e-\x1f]"
 
 
@@ -34,6 +40,11 @@ def body_problems(text: Column) -> Column:
     return F.array_compact(F.array(F.when(F.char_length(text) < 30, "short"), F.when(text.rlike(f"(?i){CUT_BODY}"), "cut"), F.when(text.rlike(CONTROL), "control"), *dirty))
 
 
+def source_problems(body: Column) -> Column:
+    """embed and clickable, for what is left in the source of a body."""
+    return F.array_compact(F.array(F.when(body.rlike(f"(?i){REMAINS}"), "embed"), F.when(body.rlike(f"(?is){CLICKABLE}"), "clickable")))
+
+
 def first_keyword(text: Column, keywords: list[str], head: int | None = None) -> Column:
     """The first keyword of the list that the text (or its head) has."""
     seen = F.substring(text, 1, head) if head else text

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..schemas import ISSUES, QUALITY
 
@@ -67,11 +67,16 @@ def run_views(runs: DataFrame) -> DataFrame:
     return runs.select("run_id", n("fetched").alias("fetched"), n("inserted").alias("inserted"), F.when(failed.isNotNull(), F.concat(F.lit("failed: "), failed)).otherwise("done").alias("message"), label.alias("status_label"))
 
 
-def run_tally(outcomes: DataFrame) -> DataFrame:
-    """Counts of each run by state, PARTIAL if anything failed, and its first failed ids."""
-    bad = F.col("state").isin("ERROR", "PUBLISH_FAILED")
-    each = outcomes.groupBy("run_id").agg(F.count("*").alias("n"), F.count_if(bad).alias("failed"), F.min(F.when(bad, F.col("id"))).alias("first_failed"))
-    return each.withColumn("status", F.when(F.col("failed") > 0, "PARTIAL").otherwise("SUCCESS"))
+def run_tally(outcomes: DataFrame, most: int = 100) -> DataFrame:
+    """run_id, n, failed, failed_ids (the first, ``most`` at most), tally (state=count, ...), status: PARTIAL if any item
+    is in ERROR. Ids are ranked before they are gathered, so a run in which everything failed gathers no more of them."""
+    bad = F.col("state") == "ERROR"
+    counts = outcomes.groupBy("run_id", "state").agg(F.count("*").alias("n"))
+    each = counts.groupBy("run_id").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(bad, F.col("n"))), F.lit(0)).alias("failed"), F.sort_array(F.collect_list(F.concat("state", F.lit("="), F.col("n").cast("string")))).alias("each"))
+    first = outcomes.filter(bad).withColumn("_n", F.row_number().over(W.partitionBy("run_id").orderBy("id"))).filter(F.col("_n") <= most)
+    listed = first.groupBy("run_id").agg(F.sort_array(F.collect_list("id")).alias("failed_ids"))
+    status = F.when(F.col("failed") > 0, "PARTIAL").otherwise("SUCCESS")
+    return each.join(listed, "run_id", "left").select("run_id", "n", "failed", F.coalesce("failed_ids", F.array().cast(listed.schema["failed_ids"].dataType)).alias("failed_ids"), F.array_join("each", ",").alias("tally"), status.alias("status"))
 
 
 def issue_flags(articles: DataFrame) -> DataFrame:

@@ -260,6 +260,29 @@ def missing_source_periods(reported: DataFrame, sources: DataFrame, spans: DataF
     return lacking.withColumn("next", nth == 1)
 
 
+#: States of a report that is still to be sent. Fixed values.
+UNSENT = ("PENDING", "FAILED")
+
+
+def next_periods(ledger: DataFrame, sources: DataFrame, latest: DataFrame) -> DataFrame:
+    """source and the period that is sent next, from an append ledger (source, period_start, period_end, status, at).
+
+    A period's state is its last entry. The oldest period that is pending or has failed comes first, if it ends at the
+    same time of the day as the latest one (latest: one row of period_start, period_end). Else the day behind the last
+    period of the ledger, under the same condition and up to the latest period; else the latest period itself.
+    """
+    states = ledger.groupBy("source", "period_start", "period_end").agg(F.max_by("status", "at").alias("status"))
+    waiting = F.col("status").isin(*UNSENT)
+    each = states.groupBy("source").agg(F.min(F.when(waiting, F.struct("period_end", "period_start"))).alias("unsent"), F.max("period_end").alias("before"))
+    rows = sources.join(each, "source", "left").crossJoin(latest.select(F.col("period_start").alias("a"), F.col("period_end").alias("b")))  # one row
+    clock = lambda c: F.date_format(c, "HH:mm")
+    again = F.coalesce(clock("unsent.period_end") == clock("b"), F.lit(False))
+    day = F.col("before") + F.expr("INTERVAL 1 DAY")
+    follows = F.coalesce((F.col("before") < F.col("b")) & (clock("before") == clock("b")) & (day <= F.col("b")), F.lit(False))
+    start = F.when(again, F.col("unsent.period_start")).when(follows, F.col("before")).otherwise(F.col("a"))
+    return rows.select("source", start.alias("period_start"), F.when(again, F.col("unsent.period_end")).when(follows, day).otherwise(F.col("b")).alias("period_end"))
+
+
 def rendered(comparison: DataFrame) -> DataFrame:
     """One text for each period: a line for each anomaly, by level and source."""
     rank = F.when(F.col("level") == "critical", 1).when(F.col("level") == "warning", 2).otherwise(3)

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.quality import NO_COMPETITION
 from ..schemas import ISSUES
 
+#: The tab that every article keeps. Fixed value.
+GENERIC_TAB = 58
+
 
 def article_search(articles: DataFrame, article_tabs: DataFrame, *, status=None, source=None, tab_id=None, query=None, limit=50, offset=0) -> DataFrame:
     """A page of articles, newest first; the query is a literal substring of title, URL or source, ASCII case folded."""
@@ -51,7 +54,8 @@ def stale_in_flight(articles: DataFrame, now: datetime, seconds: int = 600, stat
     return old.select("id", to.alias("to_status"), (to == "PUBLISH_FAILED").alias("needs_reconcile"))
 
 
-def orphans(articles: DataFrame, batch: DataFrame, now: datetime, status: str = "NEEDS_REVIEW", seconds: int = 600, limit: int = 200) -> DataFrame:
+def orphans(articles: DataFrame, batch: DataFrame, now: datetime, status: str = "RECEIVED", seconds: int = 600, limit: int = 200) -> DataFrame:
+    """The newest articles that were received, have been idle for a while, and aren't in the batch."""
     idle = articles.filter((F.col("status") == status) & (F.col("updated_at") <= F.lit(now) - F.expr(f"INTERVAL {seconds} SECONDS")))
     return idle.join(batch.select("id"), "id", "left_anti").orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
 
@@ -84,7 +88,12 @@ def rule_listing(rules: DataFrame, tabs: DataFrame, sources: DataFrame, *, marke
 
 
 def tab_predicates(tabs: DataFrame, excluded: tuple[int, ...] = (0,)) -> DataFrame:
-    return tabs.select("id", (F.col("backend_tab_id").isNotNull() & ~F.col("backend_tab_id").isin(*excluded)).alias("publishable"), (F.col("enabled") == 1).alias("active"), ((F.col("enabled") == 1) & (F.col("backend_tab_id") != 58)).alias("guard_candidate"))
+    """publishable: its backend id is a number that isn't excluded; active: switched on; guard_candidate: it has a
+    definition and is neither generic nor excluded, switched on or not."""
+    backend = F.col("backend_tab_id").try_cast("bigint")
+    defined = F.trim(F.coalesce("definition", F.lit(""))) != ""
+    none = F.lit(False)
+    return tabs.select("id", F.coalesce(~backend.isin(*excluded), none).alias("publishable"), F.coalesce(F.col("enabled") == 1, none).alias("active"), F.coalesce(defined & ~backend.isin(GENERIC_TAB, *excluded), none).alias("guard_candidate"))
 
 
 def source_listing(sources: DataFrame, articles: DataFrame, tab_id: int) -> DataFrame:

@@ -176,7 +176,8 @@ def p6_stale_in_flight(v):
 
 @query("SELECT id FROM articles WHERE status = 'NEEDS_REVIEW' AND updated_at <= TIMESTAMP '2024-01-20 11:50:00' AND id % 5 <> 0 ORDER BY created_at DESC, id DESC LIMIT 200", "articles")
 def p7_orphans(v):
-    return S.orphans(v.articles, v.articles.filter("id % 5 = 0"), NOW).select("id")
+    received = v.articles.withColumn("status", F.when(F.col("status") == "NEEDS_REVIEW", "RECEIVED").when(F.col("status") == "ABANDONED", "NEEDS_REVIEW").otherwise(F.col("status")))
+    return S.orphans(received, v.articles.filter("id % 5 = 0"), NOW).select("id")
 
 
 @query("t AS (SELECT article_id, count(*) AS n FROM article_events WHERE event_type = 'error' GROUP BY ALL) SELECT a.id, coalesce(n, 0) AS attempts FROM articles a LEFT JOIN t ON t.article_id = a.id WHERE status = 'NEEDS_REVIEW' AND error IS NULL AND contains(json_extract_string(quality, '$.reason'), 'timeout') AND updated_at <= TIMESTAMP '2024-01-20 12:00:00' AND coalesce(n, 0) < 2 ORDER BY updated_at, id LIMIT 100", "articles", "article_events")
@@ -202,7 +203,7 @@ def p10_pending_rules(v):
     return S.rule_listing(v.event_tab_rules, v.tabs, v.sources, pending_only=True)
 
 
-@query("SELECT id, backend_tab_id NOT IN (0) AS publishable, enabled = 1 AS active, enabled = 1 AND backend_tab_id <> 58 AS guard_candidate FROM tabs", "tabs")
+@query("SELECT id, backend_tab_id NOT IN (0) AS publishable, enabled = 1 AS active, trim(coalesce(definition, '')) <> '' AND backend_tab_id NOT IN (58, 0) AS guard_candidate FROM tabs", "tabs")
 def p11_tab_predicates(v):
     return S.tab_predicates(v.tabs)
 

@@ -116,9 +116,14 @@ def p19_run_views(v):
     return K.run_views(v.articles.select(F.col("id").alias("run_id"), details.alias("details"), F.when(k == 0, "success").when(k == 1, "partial").otherwise("running").alias("status")))
 
 
-@query("SELECT id % 40 AS run_id, count(*) AS n, count(*) FILTER (status = 'PUBLISH_FAILED') AS failed, min(id) FILTER (status = 'PUBLISH_FAILED') AS first_failed, CASE WHEN count(*) FILTER (status = 'PUBLISH_FAILED') > 0 THEN 'PARTIAL' ELSE 'SUCCESS' END AS status FROM articles GROUP BY 1", "articles")
+_STATE = "CASE WHEN status = 'PUBLISH_FAILED' AND id % 3 = 0 THEN 'ERROR' ELSE status END"
+
+
+@query(f"s AS (SELECT id % 40 AS run_id, id, {_STATE} AS state FROM articles), c AS (SELECT run_id, state, count(*) AS n FROM s GROUP BY ALL) "
+       "SELECT run_id, sum(n)::BIGINT AS n, coalesce(sum(n) FILTER (state = 'ERROR'), 0)::BIGINT AS failed, coalesce((SELECT list(id ORDER BY id)[1:3] FROM s WHERE s.run_id = c.run_id AND state = 'ERROR'), []) AS failed_ids, "
+       "string_agg(state || '=' || n, ',' ORDER BY state) AS tally, CASE WHEN count(*) FILTER (state = 'ERROR') > 0 THEN 'PARTIAL' ELSE 'SUCCESS' END AS status FROM c GROUP BY run_id", "articles")
 def a14_run_tally(v):
-    return K.run_tally(v.articles.select((F.col("id") % 40).alias("run_id"), "id", F.col("status").alias("state")))
+    return K.run_tally(v.articles.select((F.col("id") % 40).alias("run_id"), "id", F.expr(_STATE).alias("state")), 3)
 
 
 @query("SELECT a.id FROM articles a WHERE NOT EXISTS (SELECT 1 FROM verdicts v WHERE v.article_id = a.id)", "articles", "verdicts")
@@ -211,24 +216,37 @@ def f15_competition_names(v):
     return Q.competition_names(rows, "x", "names").select("id", "competition")
 
 
-_RULES = "list_filter([CASE WHEN length(body_html) < 30 THEN 'short' END, CASE WHEN regexp_matches(body_html, '(\\.\\.\\.$|…$)') THEN 'cut' END, CASE WHEN regexp_matches(body_html, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]') THEN 'control' END], lambda x: x IS NOT NULL)"
-_TITLES = "CASE WHEN t = '' THEN ['empty'] ELSE list_filter([CASE WHEN length(t) < 5 THEN 'short' END, CASE WHEN regexp_matches(t, '([,:]|\\.{2,}|…)$') THEN 'cut' END, CASE WHEN regexp_full_match(t, '[^\\p{L}\\p{N}]+') THEN 'symbols' END], lambda y: y IS NOT NULL) END"
-
-
-@query("r AS (SELECT a.id, trim(regexp_replace(title_final, '\\s+', ' ', 'g')) AS t, body_html, CASE WHEN a.id % 17 = 0 THEN NULL ELSE channels END AS ch, contains(title_final || chr(10) || body_html, 'Foundation') AS region, v.article_id IS NOT NULL AS asked, "
-       "a.id % 4 <> 1 AS tc, v.belongs AS bc, CASE WHEN a.id % 11 = 0 THEN NULL ELSE v.toxic = 1 END AS hd, a.id % 5 = 0 AS nr FROM articles a LEFT JOIN verdicts v ON v.article_id = a.id), "
-       f"x AS (SELECT *, {_TITLES} AS t1, {_RULES} AS c1 FROM r), "
-       "y AS (SELECT *, CASE WHEN asked AND NOT tc AND len(t1) = 0 THEN ['said'] ELSE t1 END AS tp, CASE WHEN asked AND hd IS NOT NULL AND hd THEN ['said'] ELSE [] END AS dc, CASE WHEN asked AND NOT bc AND len(c1) = 0 THEN ['said'] ELSE c1 END AS cp, CASE WHEN ch IS NULL THEN ['channels 缺失'] ELSE [] END AS hp FROM x), "
-       "z AS (SELECT *, CASE WHEN asked AND hd IS NULL THEN ['invalid answer'] WHEN asked AND nr AND len(tp) + len(dc) + len(cp) = 0 THEN ['said'] ELSE [] END AS sp FROM y), "
-       "w AS (SELECT *, list_concat(list_concat(list_concat(list_concat(tp, dc), cp), hp), sp) AS every FROM z) "
-       "SELECT id, NOT region AND len(every) = 0 AS pass, CASE WHEN region THEN NULL WHEN len(every) > 0 THEN 'manual_review' ELSE 'clean' END AS decision, CASE WHEN NOT region AND len(every) = 0 THEN 100 ELSE 50 END AS score, "
-       "CASE WHEN region THEN 'Foundation' WHEN len(every) = 0 THEN '内容正常' ELSE substr(array_to_string(every, '；'), 1, 300) END AS reason, CASE WHEN region THEN 1 ELSE len(every) END AS n_issues FROM w", "articles", "verdicts")
+_BODY = "regexp_replace(body_html, '[<&]', ' ', 'g') || CASE WHEN id % 19 = 0 THEN '<iframe src=x>' WHEN id % 23 = 0 THEN '<b onclick=\"x\">' WHEN id % 29 = 0 THEN chr(1) WHEN id % 31 = 0 THEN repeat('x ', 1250) || 'Foundation' ELSE '' END"
+_FLAT = "trim(regexp_replace(regexp_replace(body_html, '[<&]', ' ', 'g') || CASE WHEN id % 29 = 0 AND id % 19 <> 0 AND id % 23 <> 0 THEN chr(1) WHEN id % 31 = 0 AND id % 19 <> 0 AND id % 23 <> 0 THEN repeat('x ', 1250) || 'Foundation' ELSE '' END, '\\s+', ' ', 'g'))"
+_TITLES = "CASE WHEN t = '' THEN ['标题为空'] ELSE list_filter([CASE WHEN length(t) < 5 THEN '标题过短，信息不完整' END, CASE WHEN regexp_matches(t, '([,:]|\\.{2,}|…)$') THEN '标题疑似截断' END, CASE WHEN regexp_full_match(t, '[^\\p{L}\\p{N}]+') THEN '标题只有符号' END], lambda y: y IS NOT NULL) END"
+_LACKS = "list_filter([CASE WHEN length(x) < 30 THEN '正文为空或少于30字' END, CASE WHEN regexp_matches(x, '(\\.\\.\\.$|…$)') THEN '正文疑似截断' END], lambda y: y IS NOT NULL)"
+_DIRT = "list_filter([CASE WHEN id % 19 = 0 THEN '正文包含未清理的播放器或采集残留' END, CASE WHEN id % 23 = 0 AND id % 19 <> 0 THEN '正文包含未清理的可跳转属性' END, CASE WHEN regexp_matches(x, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]') THEN '正文包含乱码或控制字符' END], lambda y: y IS NOT NULL)"
+
+
+@query(f"r AS (SELECT a.id, trim(regexp_replace(title_final, '\\s+', ' ', 'g')) AS t, {_FLAT} AS x, CASE WHEN a.id % 17 = 0 THEN NULL ELSE channels END AS ch, contains(title_final || ' ' || substr({_FLAT}, 1, 2000), 'Foundation') AS region, v.article_id IS NOT NULL AS asked, "
+       "a.id % 4 <> 1 AS tc, v.belongs AS bc, CASE WHEN a.id % 11 = 0 THEN NULL ELSE v.toxic = 1 END AS hd, a.id % 5 = 0 AS nr, v.article_id IS NOT NULL AND a.id % 2 = 0 AS pl, a.id % 6 = 0 AS kb FROM articles a LEFT JOIN verdicts v ON v.article_id = a.id), "
+       f"l AS (SELECT *, {_TITLES} AS t1, {_LACKS} AS c1, {_DIRT} AS d1 FROM r), "
+       "y AS (SELECT *, CASE WHEN asked AND NOT tc AND len(t1) = 0 THEN ['AI 判断标题可能不完整：said'] ELSE t1 END AS tp, CASE WHEN asked AND coalesce(hd, false) AND len(d1) = 0 THEN ['AI 判断可能含广告或脏内容：said'] ELSE d1 END AS dc, "
+       "CASE WHEN asked AND NOT coalesce(bc, true) AND NOT (pl AND kb) AND len(c1) = 0 THEN ['AI 判断正文可能不完整：said'] ELSE c1 END AS cp, CASE WHEN ch IS NULL THEN ['channels 缺失'] ELSE [] END AS hp, "
+       "CASE WHEN NOT asked THEN NULL WHEN pl AND NOT tc THEN 'AI 修复计划与标题完整性结论矛盾' WHEN pl AND NOT coalesce(bc, false) AND NOT kb THEN 'AI 修复计划与正文完整性结论矛盾' WHEN bc IS NULL OR hd IS NULL THEN 'AI 质检返回字段格式错误：' || array_to_string(list_filter([CASE WHEN bc IS NULL THEN 'body_complete' END, CASE WHEN hd IS NULL THEN 'has_ad_or_dirty' END], lambda y: y IS NOT NULL), ',') END AS wrong FROM l), "
+       "z AS (SELECT *, list_concat(CASE WHEN wrong IS NOT NULL THEN [wrong || '，需要人工确认'] ELSE [] END, CASE WHEN asked AND nr AND len(tp) + len(dc) + len(cp) = 0 THEN ['said'] ELSE [] END) AS sp FROM y), "
+       "w AS (SELECT *, list_concat(list_concat(list_concat(list_concat(tp, dc), cp), hp), sp) AS every, pl AND wrong IS NULL AND len(tp) = 0 AS fix FROM z) "
+       "SELECT id, NOT region AND NOT fix AND len(every) = 0 AS pass, CASE WHEN region THEN NULL WHEN fix THEN 'repairable' WHEN len(every) > 0 THEN 'manual_review' ELSE 'clean' END AS decision, CASE WHEN NOT region AND NOT fix AND len(every) = 0 THEN 100 ELSE 50 END AS score, "
+       "CASE WHEN region THEN '文章涉及敏感地域信息「Foundation」，需人工审核' WHEN NOT fix AND len(every) = 0 THEN '内容正常' WHEN len(every) = 0 THEN 'said' ELSE substr(array_to_string(every, '；'), 1, 300) END AS reason, "
+       "CASE WHEN region THEN ['文章涉及敏感地域信息「Foundation」，需人工审核'] ELSE every END AS every_issue FROM w", "articles", "verdicts")
 def f14_quality_records(v):
-    rows = v.articles.select("id", F.col("title_final").alias("title"), F.col("body_html").alias("body"), F.when(F.col("id") % 17 != 0, F.col("channels")).alias("channels"))
+    """Records with their lists: plans of 0 and 1, remains of players, handlers, control characters, and a region far down."""
+    bodies = v.articles.withColumn("body", F.expr(_BODY.replace(", 'g')", ")").replace("\\\"", '"')))
+    rows = bodies.select("id", F.col("title_final").alias("title"), "body", F.when(F.col("id") % 17 != 0, F.col("channels")).alias("channels"))
     i = F.col("article_id")
-    answers = v.verdicts.select(i.alias("id"), (i % 4 != 1).alias("title_complete"), F.col("belongs").alias("body_complete"), F.when(i % 11 != 0, F.col("toxic") == 1).alias("has_dirty"), (i % 5 == 0).alias("needs_review"), F.lit("said").alias("reason"), F.lit(0).alias("plans"))
+    answers = v.verdicts.select(
+        i.alias("id"), (i % 4 != 1).alias("title_complete"), F.col("belongs").alias("body_complete"), F.when(i % 11 != 0, F.col("toxic") == 1).alias("has_dirty"), (i % 5 == 0).alias("needs_review"),
+        F.lit("said").alias("reason"), F.when(i % 2 == 0, 1).otherwise(0).alias("plans"), (i % 6 == 0).alias("keeps_body"),
+    )
     found = Q.evaluated(rows, answers, ["Foundation"])
-    return found.select("id", "pass", "decision", "score", "reason", F.size(F.flatten(F.map_values("issues"))).alias("n_issues"))
+    lists = ["title_problems", "dirty_content", "completeness_problems", "channel_problems", "semantic_problems", "regional_sensitive"]
+    none = F.array().cast("array<string>")
+    return found.select("id", "pass", "decision", "score", "reason", F.concat(*[F.coalesce(F.element_at("issues", k), none) for k in lists]).alias("every_issue"))
 
 
 @query(f"{PERIODS}, m AS (SELECT s.code AS source, p.* FROM sources s, periods p WHERE NOT EXISTS (SELECT 1 FROM articles a WHERE a.source = s.code AND a.created_at >= p.period_start AND a.created_at < p.period_end)) SELECT *, row_number() OVER (PARTITION BY source ORDER BY period_start) = 1 AS next FROM m", "articles", "sources")
@@ -240,6 +258,26 @@ def w7_missing_periods(v):
     return R.missing_source_periods(seen.select("source", "period_start", "period_end").distinct(), sources, tiles)
 
 
+_LEDGER = f"{PERIODS}, l AS (SELECT DISTINCT a.source, p.* FROM articles a JOIN periods p ON a.created_at >= p.period_start AND a.created_at < p.period_end WHERE p.period_end < TIMESTAMP '2024-01-25' AND ascii(substr(a.source, length(a.source), 1)) % 5 <> 3), "
+
+
+@query(_LEDGER + "st AS (SELECT *, CASE WHEN day(period_end) % 9 = 4 AND ascii(substr(source, length(source), 1)) % 2 = 0 THEN 'FAILED' ELSE 'SENT' END AS status FROM l), last AS (SELECT * FROM periods ORDER BY period_end DESC LIMIT 1), "
+       "k AS (SELECT s.code AS source, (SELECT arg_min({'a': st.period_start, 'b': st.period_end}, st.period_end) FROM st WHERE st.source = s.code AND status = 'FAILED') AS bad, (SELECT max(period_end) FROM st WHERE st.source = s.code) AS prev, last.period_start AS a, last.period_end AS b FROM sources s, last), "
+       "d AS (SELECT *, bad IS NOT NULL AND bad.b::TIME = b::TIME AS again, prev IS NOT NULL AND prev < b AND prev::TIME = b::TIME AND prev + INTERVAL 1 DAY <= b AS follows FROM k) "
+       "SELECT source, CASE WHEN again THEN bad.a WHEN follows THEN prev ELSE a END AS period_start, CASE WHEN again THEN bad.b WHEN follows THEN prev + INTERVAL 1 DAY ELSE b END AS period_end FROM d", "articles", "sources")
+def w7_next_periods(v):
+    """The period that each source's report is next sent for, folded from a ledger with failures and second attempts."""
+    tiles = spans(v)
+    seen = R.in_periods(v.articles.select("source", "created_at"), "created_at", tiles).select("source", "period_start", "period_end").distinct()
+    mark = F.ascii(F.substring("source", -1, 1))
+    seen = seen.filter((F.col("period_end") < F.lit(datetime(2024, 1, 25))) & (mark % 5 != 3))
+    failed = (F.dayofmonth("period_end") % 9 == 4) & (mark % 2 == 0)
+    first = seen.select("*", F.lit("PENDING").alias("status"), F.col("period_end").alias("at"))
+    then = seen.select("*", F.when(failed, "FAILED").otherwise("SENT").alias("status"), (F.col("period_end") + F.expr("INTERVAL 1 HOUR")).alias("at"))
+    latest = tiles.orderBy(F.desc("period_end")).limit(1)
+    return R.next_periods(first.unionByName(then), v.sources.select(F.col("code").alias("source")), latest)
+
+
 @query("SELECT id, created_at FROM articles ORDER BY created_at DESC, id DESC LIMIT 50 OFFSET 100", "articles", "article_tabs")
 def l1_recent_articles(v):
     return S.article_search(v.articles, v.article_tabs, limit=50, offset=100).select("id", "created_at")
