@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..sources.sinks import written
+
 #: Markers that say nothing. Fixed values.
 EMPTY_MARKERS = ("", "_", "xxx", "null", "none")
 GENERIC_TAB = 58
@@ -119,11 +123,37 @@ def observed(rules: DataFrame, seen: DataFrame) -> DataFrame:
     return leagues.join(known, ["marker_type", "marker_code"], "left").select("marker_type", "marker_code", "rule_id", F.col("rule_id").isNull().alias("pending"), "first_seen", "last_seen", "sample_source")
 
 
+def first_sights(rows: DataFrame) -> DataFrame:
+    """seq and leader of materials (seq, name, mark, source, source_url) that come one after the other and start articles.
+
+    A material belongs to the article with its key (name and mark), else to the one with its source and URL, else it starts
+    one itself; an article has the key and the URL of the material that started it, so what belongs to it lends it neither.
+    Whether a material starts an article may hang on whether an earlier one does: in each round the first undecided of a
+    key and URL are decided, by counts of keys and URLs and two joins, and are written; chains end after as many rounds
+    as they have links, nothing is gathered.
+    """
+    undecided = written(rows.select("seq", "name", "mark", "source", "source_url", F.lit(False).alias("leads")), "undecided")
+    leaders, out = undecided.limit(0), []
+    while undecided.limit(1).count():
+        held = undecided.unionByName(leaders)
+        keys = held.filter("mark is not null").groupBy("name", "mark").agg(F.min(F.struct("seq", "leads")).alias("by_key"))
+        urls = held.groupBy("source", "source_url").agg(F.min(F.struct("seq", "leads")).alias("by_url"))
+        met = undecided.join(keys, ["name", "mark"], "left").join(urls, ["source", "source_url"])
+        own_key = F.col("mark").isNull() | (F.col("by_key.seq") == F.col("seq"))
+        leads = own_key & (F.col("by_url.seq") == F.col("seq"))
+        leader = F.when(leads, F.col("seq")).when(~own_key & F.col("by_key.leads"), F.col("by_key.seq")).when(own_key & F.col("by_url.leads"), F.col("by_url.seq"))
+        judged = written(met.select("seq", "name", "mark", "source", "source_url", leader.alias("leader")), "judged")
+        out.append(judged.filter("leader is not null").select("seq", "leader"))
+        leaders = leaders.unionByName(judged.filter("leader = seq").drop("leader").withColumn("leads", F.lit(True)))
+        undecided = judged.filter("leader is null").drop("leader").withColumn("leads", F.lit(False))
+    return reduce(DataFrame.unionByName, out) if out else undecided.select("seq", F.col("seq").alias("leader"))
+
+
 def upserted(state: DataFrame, batch: DataFrame) -> DataFrame:
     """The articles after a batch of materials, the new ones without an id.
 
     A material is that of the article with its origin key (source without case), else of the one with its source and
-    URL; materials that no article has are matched to earlier ones of the batch in the same way. The first fixes
+    URL; materials that no article has are matched to the articles that earlier ones of the batch start (``first_sights``). The first fixes
     source, URL, routing and status (ABANDONED, with mode 2, where its rule says so), the last the content. Content of
     an article moves, and with it ``updated_at``, only while it is RECEIVED or ERROR; the original title, the archive
     id, the raw record and the last sight always do; the routing of a known article never does.
@@ -138,11 +168,16 @@ def upserted(state: DataFrame, batch: DataFrame) -> DataFrame:
         rows.groupBy("source", "source_url").agg(F.min(c).alias(f"{to}_by_url")),
     )
     find = lambda rows, firsts: rows.join(firsts[0], ["_name", "_mark"], "left").join(firsts[1], ["source", "source_url"], "left")
-    met = find(batch.select("*", name, mark), least(state, "id", "known")).withColumn("id", F.coalesce("known_by_key", "known_by_url"))
-    earlier = find(met, least(met.filter("id is null").select("seq", "source", "source_url", "origin_key"), "seq", "new"))
-    leader = F.when(F.col("id").isNull(), F.coalesce(F.when(F.col("new_by_key") < F.col("seq"), F.col("new_by_key")), F.col("new_by_url")))
+    known = find(batch.select("*", name, mark), least(state, "id", "known")).withColumn("id", F.coalesce("known_by_key", "known_by_url"))
+    # a material that has the URL of a known article may have the key of one that the batch has started before it
+    new = known.filter("id is null").select("seq", F.col("_name").alias("name"), F.col("_mark").alias("mark"), "source", "source_url")
+    sights = first_sights(new)
+    started = new.join(sights.filter("leader = seq").select("seq"), "seq").filter("mark is not null").select(F.col("name").alias("_name"), F.col("mark").alias("_mark"), F.col("seq").alias("_started"))
+    met = known.join(sights, "seq", "left").join(started, ["_name", "_mark"], "left")
+    moved = F.col("id").isNotNull() & F.col("known_by_key").isNull() & (F.col("_started") < F.col("seq"))
+    met = met.withColumn("leader", F.when(moved, F.col("_started")).when(F.col("id").isNull(), F.col("leader"))).withColumn("id", F.when(~F.coalesce(moved, F.lit(False)), F.col("id")))
     content = F.struct("title", "body")
-    folded = earlier.withColumn("leader", leader).groupBy("id", "leader").agg(
+    folded = met.groupBy("id", "leader").agg(
         F.min_by(F.struct("source", "source_url", "origin_key", "tab_ids", "abandoned", content.alias("content"), "seen_at"), "seq").alias("a"),
         F.max_by(F.struct(content.alias("content"), "title", "upstream_archive_id", "raw", "seen_at"), "seq").alias("z"),
     )

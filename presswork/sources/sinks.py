@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -46,6 +47,13 @@ def replace_periods(rows: DataFrame, path: str, key: str = "period") -> None:
     replace_partitions(rows.filter(F.trim("source_code") != ""), path, key)
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a table written to the shared folder: it cuts the lineage and outlives lost executors."""
+    path = f"{shared_folder(rows.sparkSession)}/presswork/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def shared_folder(spark) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset and all runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
