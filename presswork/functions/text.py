@@ -21,7 +21,7 @@ CONTROL = r"[\x{FFFD}\x00-\x08\x0b\x0c\x0e-\x1f]"
 def language_ratio(text: Column) -> tuple[Column, Column, Column]:
     """Ideographs, other letters, and the share of the latter."""
     ideographs = F.regexp_count(text, F.lit(IDEOGRAPH))
-    others = F.regexp_count(text, F.lit(r"\p{L}")) - F.regexp_count(text, F.lit(IDEOGRAPH.replace("[", r"[\p{L}&&[") + "]"))
+    others = F.regexp_count(text, F.lit(r"[\p{L}&&[^" + IDEOGRAPH[1:] + "]"))
     return ideographs, others, F.when(ideographs + others > 0, others / (ideographs + others)).otherwise(0.0)
 
 

@@ -203,10 +203,24 @@ def seeded(dim: DataFrame, seed: DataFrame, keys: list[str]) -> DataFrame:
     return dim.unionByName(seed.select(*dim.columns))
 
 
+#: States that keep an error. Fixed values.
+FAILED_STATES = ("ERROR", "PUBLISH_FAILED")
+
+
 def transitioned(state: DataFrame, requests: DataFrame) -> DataFrame:
-    """One request wins for each article: allowed from its status, made on its present version, the earliest."""
-    valid = requests.join(state, "id").filter(F.array_contains("allowed_from", F.col("status")) & F.col("expected").eqNullSafe(F.col("updated_at")))
-    won = valid.groupBy("id").agg(F.min_by(F.struct("to_status", "at"), F.struct("at", "request_id")).alias("w"))
+    """One request wins for each article: allowed from its status, made on its present version, the earliest.
+
+    state: id, status, published_at, updated_at, error, tab_names; requests: id, request_id, allowed_from, expected,
+    to_status, at, message, tab_names. An article that moves keeps an error (the request's message, else its own) only in a
+    failed state; its first publication fixes the time and the names of its tabs, unless there are some.
+    """
+    valid = requests.join(state.select("id", "status", "updated_at"), "id").filter(F.array_contains("allowed_from", F.col("status")) & F.col("expected").eqNullSafe(F.col("updated_at")))
+    won = valid.groupBy("id").agg(F.min_by(F.struct("to_status", "at", "message", "tab_names"), F.struct("at", "request_id")).alias("w"))
     joined = state.join(won, "id", "left")
-    published = F.when(F.col("w.to_status") == "PUBLISHED", F.coalesce("published_at", "w.at")).otherwise(F.col("published_at"))
-    return joined.select("id", F.coalesce("w.to_status", "status").alias("status"), published.alias("published_at"), F.coalesce("w.at", "updated_at").alias("updated_at"))
+    moves, published = F.col("w").isNotNull(), F.col("w.to_status") == "PUBLISHED"
+    kept = F.when(F.col("w.to_status").isin(*FAILED_STATES), F.coalesce(F.nullif(F.col("w.message"), F.lit("")), "error"))
+    nameless = F.coalesce(F.size("tab_names"), F.lit(0)) <= 0
+    return joined.select(
+        "id", F.coalesce("w.to_status", "status").alias("status"), F.when(published, F.coalesce("published_at", "w.at")).otherwise(F.col("published_at")).alias("published_at"), F.coalesce("w.at", "updated_at").alias("updated_at"),
+        F.when(moves, kept).otherwise(F.col("error")).alias("error"), F.when(published & nameless, F.col("w.tab_names")).otherwise(F.col("tab_names")).alias("tab_names"),
+    )

@@ -32,11 +32,49 @@ def f26_markdown_links(v):
     return v.table("documents").select("doc_id", B.without_markdown_links(F.concat("text", F.lit(more))).alias("clean"))
 
 
-@query("SELECT page_id, replace(html, '</h1>', '</h1><p>x</p><p><img src=\"/c.png\"></p>') = html AS same, strpos(html, '</p>') AS first_end FROM pages")
+#: A text of letters alone, never empty, so that markup can be put around it.
+_X = "'about ' || coalesce(doc_id, 0) || regexp_replace(substr(coalesce(text, ''), 1, 60), '[^a-zA-Z]+', ' ', 'g') || ' end'"
+
+
+def worded(v):
+    x = F.concat(F.lit("about "), F.coalesce("doc_id", F.lit(0)).cast("string"), F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 60), "[^a-zA-Z]+", " "), F.lit(" end"))
+    return v.table("documents").select("doc_id", x.alias("x"))
+
+
+_HAS_IMAGE = "CASE doc_id % 5 WHEN 0 THEN '<p>' || x || '</p><p>more</p>' WHEN 1 THEN x WHEN 2 THEN '<p>' || x || '</p ><img src=\"/own.png\">' WHEN 3 THEN '<IMG src=\"javascript:x\"><img alt=\"\" src=\"https://x.org/' || doc_id || '.png\">' ELSE '<div>' || x || '</div><P>a</P>' END"
+
+
+def illustrated(v):
+    own = F.when(F.col("doc_id") % 3 == 0, F.lit("/default.png")).when(F.col("doc_id") % 3 == 1, F.lit(" ")).otherwise(F.lit("/own-cover.png"))
+    fallback = F.when(F.col("doc_id") % 2 == 0, F.lit("/tab.png"))
+    return worded(v).withColumns({"body_html": F.expr(_HAS_IMAGE.replace('\\"', '"')), "own": own, "fallback": fallback})
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_X} AS x FROM documents), b AS (SELECT doc_id, x, {_HAS_IMAGE} AS body FROM t)
+SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '<p>' || x || '</p><p><img src="/c.png"></p><p>more</p>' WHEN 1 THEN '<p><img src="/c.png"></p>' || x WHEN 4 THEN '<div>' || x || '</div><P>a</P><p><img src="/c.png"></p>' ELSE body END AS put FROM b""")
 def f40_inserted_images(v):
-    put = B.with_image(F.col("body_html"), F.lit("/c.png"))
-    rows = pages(v).withColumn("put", put)
-    return rows.select("page_id", (F.replace("put", F.lit('<p><img src="/c.png"></p>'), F.lit("")) != F.col("body_html")).alias("same"), F.instr("body_html", "</p>").cast("bigint").alias("first_end"))
+    """An image goes behind the first paragraph, or before a body without one; a body with an image stays as it is."""
+    return illustrated(v).select("doc_id", B.with_image(F.col("body_html"), F.lit("/c.png")).alias("put"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 2 THEN '/own.png' WHEN doc_id % 5 = 3 THEN 'https://x.org/' || doc_id || '.png' WHEN doc_id % 3 = 2 THEN '/own-cover.png' WHEN doc_id % 2 = 0 THEN '/tab.png' ELSE '/default.png' END AS cover FROM documents")
+def f40_covers(v):
+    """The first usable image of the body, else the material's own, else the tab's, else the default."""
+    return illustrated(v).select("doc_id", B.cover("body_html", "own", F.col("fallback"), "/default.png").alias("cover"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_X} AS x FROM documents), b AS (SELECT *, '<p>' || x || '</p><img src="/a/' || doc_id || '.png">' AS body, trim(regexp_replace(x, ' +', ' ', 'g')) AS shown FROM t)
+SELECT doc_id, sha256(body) AS sha256, length(body) AS body_length, length(shown) AS visible_length, ['/a/' || doc_id || '.png'] AS images FROM b""")
+def f33_illustrated_bodies(v):
+    body = F.concat(F.lit("<p>"), "x", F.lit('</p><img src="/a/'), "doc_id", F.lit('.png">'))
+    return B.safety(worded(v).select("doc_id", body.alias("body")), "body").drop("body")
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_X} AS x FROM documents) SELECT doc_id, trim(regexp_replace(x, ' +', ' ', 'g')) || ' & more text end' AS shown FROM t""")
+def f8_visible_text(v):
+    """Text without scripts, comments and markup, references decoded, white space as one space."""
+    body = F.concat(F.lit("<p>"), "x", F.lit(" &amp;</p><script>no()</script><!-- no --><div>more\n\n<b>text</b></div> end"))
+    return worded(v).select("doc_id", H.plain_text(body).alias("shown"))
 
 
 @query()
@@ -62,15 +100,6 @@ def f38_applied_plans(v):
     return R.applied_plans(pages(v), plans, "page_id").select("page_id", "applied", "error", F.sha2("body_after", 256).alias("after_sha256"))
 
 
-#: A text of letters alone, never empty, so that markup can be put around it.
-_X = "'about ' || coalesce(doc_id, 0) || regexp_replace(substr(coalesce(text, ''), 1, 60), '[^a-zA-Z]+', ' ', 'g') || ' end'"
-
-
-def worded(v):
-    x = F.concat(F.lit("about "), F.coalesce("doc_id", F.lit(0)).cast("string"), F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 60), "[^a-zA-Z]+", " "), F.lit(" end"))
-    return v.table("documents").select("doc_id", x.alias("x"))
-
-
 @query(f"WITH t AS (SELECT doc_id, {_X} AS x FROM documents) SELECT doc_id, '<p>' || x || ' and what is left of it all</p><p>' || x || '</p><p>more &amp; ' || x || '.</p>' AS body_after, 2 AS applied, NULL::VARCHAR AS error, 'evidence differs' AS left_out FROM t")
 def f38_named_blocks(v):
     """Of two equal blocks the named one goes, a comma is mended where it is quoted, and a plan with other evidence is left out."""

@@ -50,6 +50,25 @@ def f44_plan_kinds(v):
     return E.plan_kinds(plans).select("id", "delete_only", "keeps_body")
 
 
+_ADVISED = "regexp_replace(title_final, '[^a-z]+', ' ', 'g')"
+
+
+@query(f"p AS (SELECT id, 'a ' || {_ADVISED} || ' b' AS t FROM articles) SELECT id, id % 4 <> 3 AND id % 3 <> 1 AND id % 5 <> 0 AS advisory FROM p", "articles")
+def f44_advisory_credits(v):
+    """Plans that suggest a photo's credit: sure enough, and of a text that the body has once."""
+    i, t = F.col("id"), F.concat(F.lit("a "), F.expr(_ADVISED.replace(", 'g')", ")")), F.lit(" b"))
+    rows = v.articles.select("id", F.when(i % 4 == 3, F.concat(t, F.lit(" | "), t)).otherwise(t).alias("body_text"), F.lit("replace_text").alias("action"), t.alias("evidence"), F.when(i % 3 == 1, F.lit("no such thing")).otherwise(F.concat(t, F.lit("（图片来源：X）"))).alias("after"), F.when(i % 5 == 0, 0.8).otherwise(0.9).alias("confidence"))
+    return E.plan_kinds(rows).select("id", "advisory")
+
+
+@query("SELECT doc_id, doc_id % 6 <> 5 AS residue FROM documents")
+def f37_known_residues(v):
+    """Residues of feeds at the edges of texts, by their form."""
+    k, name = F.col("doc_id") % 6, F.regexp_replace(F.substring("source", 1, 10), "[^a-z]", "")
+    text = F.when(k == 0, F.concat(F.lit("（见下方视频）"), name)).when(k == 1, F.concat(name, F.lit("编辑部"))).when(k == 2, F.concat(F.lit("(C)"), name, F.lit(" Images"))).when(k == 3, F.concat(F.lit("图片："), name, F.lit(" x")))
+    return v.table("documents").select("doc_id", E.known_residue(text.when(k == 4, F.concat(F.lit("/"), F.lit("x"), name, F.lit("@mail.org"))).otherwise(F.concat(F.lit("他在下半场再进两球"), name))).alias("residue"))
+
+
 @query()
 def f39_planned_removals(v):
     blocks = H.block_table(pages(v), "page_id")

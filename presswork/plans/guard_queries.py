@@ -66,10 +66,11 @@ def p21_repair_scope(v):
     return G.repair_scope(rows).drop("issues")
 
 
-@query()
+@query("WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS text FROM documents), n AS (SELECT *, max(pos) OVER (PARTITION BY doc_id) AS last FROM l) SELECT doc_id, pos::INTEGER AS pos, text FROM n WHERE last < 5 OR pos < 3 OR pos > last - 2")
 def l5_bounded_context(v):
-    pages = v.table("pages").select("page_id", F.col("html").alias("body_html"))
-    return G.bounded_context(H.block_table(pages, "page_id"), "page_id", 3, 2)
+    """The first three and the last two lines of each document of more than five."""
+    lines = v.table("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    return G.bounded_context(lines, "doc_id", 3, 2)
 
 
 @query("SELECT source, source_url, trim(title_final) AS title FROM articles WHERE id % 10 <> 0 AND trim(title_final) <> ''", "articles")

@@ -82,13 +82,25 @@ def s4_article_upsert(v):
     return I.upserted(state, batch).select("id", "source_url", "title", "title_original", "status", "publish_mode", "tab_ids", "updated_at", "last_seen_at")
 
 
-@query("SELECT id, status, published_at, updated_at FROM (SELECT id, CASE WHEN status = 'DRAFT_CREATED' AND id % 2 = 0 THEN 'PUBLISHED' ELSE status END AS status, CASE WHEN status = 'DRAFT_CREATED' AND id % 2 = 0 THEN TIMESTAMP '2024-03-01' ELSE published_at END AS published_at, CASE WHEN status = 'DRAFT_CREATED' AND id % 2 = 0 THEN TIMESTAMP '2024-03-01' ELSE updated_at END AS updated_at FROM articles)", "articles")
+_P17 = "CASE WHEN status = 'DRAFT_CREATED' AND id % 4 <> 1 THEN CASE WHEN id % 4 = 3 THEN 'PUBLISH_FAILED' ELSE 'PUBLISHED' END END"
+
+
+@query(f"s AS (SELECT id, status, published_at, updated_at, CASE WHEN id % 3 = 0 THEN 'old' END AS error, CASE WHEN id % 8 = 0 THEN ['kept'] ELSE [] END AS tab_names, {_P17} AS to_status FROM articles) "
+       "SELECT id, coalesce(to_status, status) AS status, CASE WHEN to_status = 'PUBLISHED' THEN TIMESTAMP '2024-03-01' ELSE published_at END AS published_at, CASE WHEN to_status IS NOT NULL THEN TIMESTAMP '2024-03-01' ELSE updated_at END AS updated_at, "
+       "CASE WHEN to_status = 'PUBLISH_FAILED' THEN CASE WHEN id % 5 = 0 THEN error ELSE 'refused' END WHEN to_status IS NULL THEN error END AS error, CASE WHEN to_status = 'PUBLISHED' AND len(tab_names) = 0 THEN ['tab ' || (id % 7)] ELSE tab_names END AS tab_names FROM s", "articles")
 def p17_guarded_transitions(v):
+    """Of three requests for an article the earliest valid one wins; errors and tab names follow where it leads."""
+    i, none = F.col("id"), F.array().cast("array<string>")
     at = F.lit(datetime(2024, 3, 1)).cast("timestamp_ntz")
-    asked = v.articles.filter("id % 2 = 0").select("id", F.array(F.lit("DRAFT_CREATED")).alias("allowed_from"), F.col("updated_at").alias("expected"), F.lit("PUBLISHED").alias("to_status"), at.alias("at"), F.col("id").alias("request_id"))
+    state = v.articles.select("id", "status", "published_at", "updated_at", F.when(i % 3 == 0, "old").alias("error"), F.when(i % 8 == 0, F.array(F.lit("kept"))).otherwise(none).alias("tab_names"))
+    names = F.array(F.concat(F.lit("tab "), (i % 7).cast("string"))).alias("tab_names")
+    asked = v.articles.filter(i % 4 != 1).select(
+        "id", F.array(F.lit("DRAFT_CREATED")).alias("allowed_from"), F.col("updated_at").alias("expected"), F.when(i % 4 == 3, "PUBLISH_FAILED").otherwise("PUBLISHED").alias("to_status"), at.alias("at"), i.alias("request_id"),
+        F.when(i % 5 == 0, "").otherwise("refused").alias("message"), names,
+    )
     late = asked.withColumn("to_status", F.lit("REJECTED")).withColumn("request_id", F.col("request_id") + 1)
-    stale = v.articles.select("id", F.array(F.lit("PUBLISHED")).alias("allowed_from"), F.col("created_at").alias("expected"), F.lit("ERROR").alias("to_status"), at.alias("at"), F.col("id").alias("request_id"))
-    return I.transitioned(v.articles.select("id", "status", "published_at", "updated_at"), asked.unionByName(late).unionByName(stale))
+    stale = v.articles.select("id", F.array(F.lit("PUBLISHED")).alias("allowed_from"), F.col("created_at").alias("expected"), F.lit("ERROR").alias("to_status"), at.alias("at"), i.alias("request_id"), F.lit("stale").alias("message"), names)
+    return I.transitioned(state, asked.unionByName(late).unionByName(stale))
 
 
 @query("SELECT id, CASE WHEN id % 5 = 0 THEN false WHEN id % 3 = 0 THEN true WHEN id % 7 = 0 THEN true ELSE id % 2 = 0 END AS consumed FROM articles", "articles")
@@ -309,6 +321,26 @@ def j8_confirmed_duplicates(v):
     return D.confirmed(found, v.articles.select("id", "body_html"), verdicts)
 
 
+#: A body with calls in its midst and at its end: those that count at the end alone do so in an unbroken run.
+_CALLS = "'<p>about ' || doc_id || '</p><p>更多意甲新闻</p><p>and ' || doc_id || ' went on</p><p>请点击查看更多详情</p>' || CASE WHEN doc_id % 2 = 0 THEN '<p>the last of ' || doc_id || '</p>' ELSE '' END || '<p>更多中超消息</p><p>合作咨询：ad@mail.org</p>'"
+
+
+def called(v):
+    return v.table("documents").select("doc_id", F.expr(_CALLS).alias("body_html"))
+
+
+@query("WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS k FROM documents) SELECT doc_id, 3 AS pos, '请点击查看更多详情' AS text, 'standalone_call_to_action' AS rule FROM d "
+       "UNION ALL SELECT doc_id, 4 + k, '更多中超消息', 'standalone_more_news_cta' FROM d UNION ALL SELECT doc_id, 5 + k, '合作咨询：ad@mail.org', 'standalone_cooperation_contact' FROM d")
+def f30_calls_and_tails(v):
+    return M.promotional_blocks(called(v), "doc_id")
+
+
+@query("SELECT doc_id, '<p>about ' || doc_id || '</p><p>更多意甲新闻</p><p>and ' || doc_id || ' went on</p>' || CASE WHEN doc_id % 2 = 0 THEN '<p>the last of ' || doc_id || '</p>' ELSE '' END AS clean FROM documents")
+def f31_bodies_without_calls(v):
+    """The bodies without their promotional blocks, byte for byte what is between them."""
+    return M.without_promotional_blocks(called(v), "doc_id")
+
+
 @query()
 def f30_promotional_blocks(v):
     return M.promotional_blocks(v.table("pages").select("page_id", F.col("html").alias("body_html")), "page_id")
