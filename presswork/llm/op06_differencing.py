@@ -32,7 +32,7 @@ from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -105,6 +105,7 @@ def _is_apart(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
+@lru_cache(1 << 16)
 def _names_apart(name: str, inside: bool) -> bool:
     """Is a class, id or role one of what is no article? Each part of the name must say so or name a container; outside of
     an article its first or last part is enough. So ``share-buttons`` is, and ``share-price-table`` in an article isn't."""
