@@ -187,11 +187,11 @@ def f24_inline_sentences(v):
 _SHOWN = "CASE id % 6 WHEN 0 THEN '请点击链接获取 ' || t WHEN 1 THEN t || ' 观看直播' WHEN 2 THEN '更多 ' || t || ' 新闻' WHEN 3 THEN '请在官方平台查看 ' || t || ' 最新消息' WHEN 4 THEN '【视频】' || t ELSE '在kayo上观看 ' || t || ' 无广告' END"
 
 
-@query(f"""a AS (SELECT id, regexp_replace(substr(title_final, 1, 40), '[^a-z]+', ' ', 'g') AS t FROM articles), s AS (SELECT id, {_SHOWN} AS x FROM a)
+@query(f"""a AS (SELECT id, 'about ' || regexp_replace(substr(title_final, 1, 40), '[^a-z]+', ' ', 'g') AS t FROM articles), s AS (SELECT id, {_SHOWN} AS x FROM a)
 SELECT id, id % 6 <> 1 AND id % 4 <> 3 AND id % 5 <> 2 AS promotional, id % 4 = 3 AND id % 6 = 4 AND id % 5 <> 2 AS removable_issue FROM s""", "articles")
 def f46_promotional_plans(v):
     """Plans by family: promotion needs a type, a reason and the form of a call; other removals the form of an artefact."""
-    rows = v.articles.select("id", F.regexp_replace(F.substring("title_final", 1, 40), "[^a-z]+", " ").alias("t"))
+    rows = v.articles.select("id", F.concat(F.lit("about "), F.regexp_replace(F.substring("title_final", 1, 40), "[^a-z]+", " ")).alias("t"))
     i = F.col("id")
     reason = F.when(i % 5 == 2, "no").otherwise("该段是独立的推广入口，与正文无关，模板残留")
     plans = rows.select("id", F.expr(_SHOWN).alias("evidence"), F.when(i % 4 == 3, "模板残留").otherwise("Video-Promotion").alias("issue_type"), reason.alias("reason"))
