@@ -63,6 +63,21 @@ def f40_covers(v):
     return illustrated(v).select("doc_id", B.cover("body_html", "own", F.col("fallback"), "/default.png").alias("cover"))
 
 
+@query(f"WITH t AS (SELECT doc_id, {_X} AS x FROM documents) SELECT doc_id, '<p>' || x || ' </p><img src=\"i\"><p>' || x || '</p>' AS unlinked, '<p>' || x || ' <a href=\"/q\">' || x || '</a></p><a href=\"/z\">more <img src=\"i\"></a><p>' || x || '</p>' AS compacted FROM t")
+def f21_links_and_empty_blocks(v):
+    """Links go with their text and leave images; blocks without content go until none is left."""
+    linked = F.concat(F.lit("<p>"), "x", F.lit(' <a href="/q">'), "x", F.lit('</a></p><a href="/z">more <img src="i"></a><p>'), "x", F.lit("</p>"))
+    empty = F.concat(linked, F.lit("<div><p> </p><p>&nbsp;<br/></p></div><li></li>"))
+    return worded(v).select("doc_id", H.unlinked(linked).alias("unlinked"), H.compacted(empty).alias("compacted"))
+
+
+@query(f"WITH t AS (SELECT doc_id, {_X} AS x FROM documents) SELECT doc_id, '<p>' || x || '（图片来源：' || doc_id || ' Agency）</p><p>摄影：' || x || '。</p>' AS clean FROM t")
+def f32_normalized_credits(v):
+    """A credit at the end of a block has one form; a sentence that begins like one stays."""
+    body = F.concat(F.lit("<p>"), "x", F.lit(" 摄影： "), F.col("doc_id").cast("string"), F.lit("  Agency </p><p>摄影："), "x", F.lit("。</p>"))
+    return worded(v).select("doc_id", B.credited_of(body).alias("clean"))
+
+
 @query(f"""WITH t AS (SELECT doc_id, {_X} AS x FROM documents), b AS (SELECT *, '<p>' || x || '</p><img src="/a/' || doc_id || '.png">' AS body, trim(regexp_replace(x, ' +', ' ', 'g')) AS shown FROM t)
 SELECT doc_id, sha256(body) AS sha256, length(body) AS body_length, length(shown) AS visible_length, ['/a/' || doc_id || '.png'] AS images FROM b""")
 def f33_illustrated_bodies(v):

@@ -148,6 +148,21 @@ def j7_settled_duplicates(v):
     return D.settled(v.articles, D.candidates(v.articles), verdicts)
 
 
+@query("f AS (SELECT id, id - 1 AS older, 1 AS rank, id % 7 = 0 AS exact FROM articles WHERE id > 2 AND id % 4 <> 3 UNION ALL SELECT id, id - 2, 2, id % 5 = 0 FROM articles WHERE id > 2 AND id % 4 <> 3), "
+       "v AS (SELECT id, CASE WHEN id % 11 <> 0 THEN id % 3 = 0 END AS dup, CASE WHEN id % 2 = 0 THEN id - 1 ELSE id - 9 END AS matched_id FROM articles WHERE id % 13 <> 0), "
+       "p AS (SELECT id, arg_min(older, rank) FILTER (exact) AS first_exact, list(older) AS offered FROM f GROUP BY id), "
+       "j AS (SELECT a.id, p.first_exact, p.offered, v.dup, v.matched_id, CASE WHEN offered IS NULL THEN 'not_duplicate' WHEN first_exact IS NOT NULL THEN 'duplicate' WHEN dup IS NULL OR (dup AND NOT list_contains(offered, v.matched_id)) THEN 'needs_review' WHEN dup THEN 'duplicate' ELSE 'not_duplicate' END AS outcome "
+       "FROM articles a LEFT JOIN p ON p.id = a.id LEFT JOIN v ON v.id = a.id WHERE publish_mode = 1 AND a.id % 9 <> 0) "
+       "SELECT id, outcome, CASE WHEN first_exact IS NOT NULL THEN first_exact WHEN outcome = 'duplicate' THEN matched_id END AS matched FROM j", "articles")
+def j7_settled_verdicts(v):
+    """Candidates settled by exact titles and verdicts: missing, invalid and foreign answers go to review."""
+    i = F.col("id")
+    rows = v.articles.filter("id > 2 and id % 4 <> 3")
+    found = rows.select("id", (i - 1).alias("older"), F.lit(1).alias("rank"), (i % 7 == 0).alias("exact")).unionByName(rows.select("id", (i - 2).alias("older"), F.lit(2).alias("rank"), (i % 5 == 0).alias("exact")))
+    verdicts = v.articles.filter("id % 13 <> 0").select(i.alias("candidate_id"), F.when(i % 11 != 0, i % 3 == 0).alias("duplicate"), F.when(i % 2 == 0, i - 1).otherwise(i - 9).alias("matched_id"))
+    return D.settled(v.articles.withColumn("manually_reviewed", i % 9 == 0), found, verdicts)
+
+
 @query("SELECT id, title_final FROM articles WHERE status = 'PUBLISHED' AND source = 'src2' AND contains(lower(title_final), 'the') AND id IN (SELECT article_id FROM article_tabs WHERE tab_id = 3) ORDER BY created_at DESC, id DESC LIMIT 50", "articles", "article_tabs")
 def p1_article_search(v):
     return S.article_search(v.articles, v.article_tabs, status="PUBLISHED", source="src2", tab_id=3, query="The").select("id", "title_final")

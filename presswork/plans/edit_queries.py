@@ -69,11 +69,17 @@ def f37_known_residues(v):
     return v.table("documents").select("doc_id", E.known_residue(text.when(k == 4, F.concat(F.lit("/"), F.lit("x"), name, F.lit("@mail.org"))).otherwise(F.concat(F.lit("他在下半场再进两球"), name))).alias("residue"))
 
 
-@query()
+_LINES = "WITH b AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS text FROM documents)"
+
+
+@query(f"{_LINES}, t AS (SELECT doc_id, CASE WHEN pos % 2 = 0 THEN text ELSE split_part(text, ' ', 1) END AS evidence FROM b WHERE pos % 3 = 1), "
+       "f AS (SELECT b.doc_id, b.pos, b.text, arg_max(evidence, (length(evidence), evidence)) AS evidence FROM b JOIN t ON t.doc_id = b.doc_id AND evidence <> '' AND contains(b.text, evidence) GROUP BY ALL) "
+       "SELECT doc_id, pos::INTEGER AS seq, CASE WHEN text = evidence THEN 'remove_block' ELSE 'replace_text' END AS action, 'b' || pos AS block_id, evidence, CASE WHEN text = evidence THEN NULL ELSE '' END AS after FROM f")
 def f39_planned_removals(v):
-    blocks = H.block_table(pages(v), "page_id")
-    targets = blocks.filter("pos % 3 = 1").select("page_id", F.when(F.col("pos") % 2 == 0, F.col("text")).otherwise(F.split_part("text", F.lit(" "), F.lit(1))).alias("evidence"))
-    return E.planned_removals(blocks, targets, "page_id")
+    """Plans for the lines of documents that hold what was found to be dirt."""
+    blocks = v.table("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text")).withColumn("block_id", F.concat(F.lit("b"), F.col("pos").cast("string")))
+    targets = blocks.filter("pos % 3 = 1").select("doc_id", F.when(F.col("pos") % 2 == 0, F.col("text")).otherwise(F.split_part("text", F.lit(" "), F.lit(1))).alias("evidence"))
+    return E.planned_removals(blocks, targets, "doc_id")
 
 
 @query()
