@@ -97,6 +97,15 @@ def f33_body_safety(v):
     return B.safety(pages(v), "body_html").select("page_id", "sha256", "body_length", "visible_length", F.size("images").alias("n_images"))
 
 
+@query(f"WITH t AS (SELECT doc_id, {_X} AS x FROM documents) SELECT doc_id, doc_id % 4 = 0 AND length(trim(regexp_replace(x, ' +', ' ', 'g'))) >= 30 AS safe FROM t")
+def f34_judged_edits(v):
+    """Of four edits one is safe: another leaves the body as it is, one takes its image, one leaves too little."""
+    rows, k = worded(v), F.col("doc_id") % 4
+    before = F.concat(F.lit("<p>"), "x", F.lit('</p><img src="/a.png"><p>gone</p>'))
+    after = F.when(k == 0, F.concat(F.lit("<p>"), "x", F.lit('</p><img src="/a.png">'))).when(k == 1, before).when(k == 2, F.concat(F.lit("<p>"), "x", F.lit("</p>"))).otherwise(F.lit('<p>short</p><img src="/a.png">'))
+    return B.safe_edits(rows.select("doc_id", before.alias("body_html")), rows.select("doc_id", after.alias("body_html")), "doc_id")
+
+
 @query()
 def f34_safe_edits(v):
     return B.safe_edits(pages(v), H.cleaned(pages(v)).select("page_id", F.col("clean").alias("body_html")), "page_id")

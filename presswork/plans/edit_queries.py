@@ -24,6 +24,30 @@ def f43_refused_attributes(v):
     return pages(v).select("page_id", F.sha2(E.without_attributes(put), 256).alias("clean_sha256"))
 
 
+@query("SELECT doc_id, ['edge', 'edge', 'sentences', 'infix', 'none', 'none'][doc_id % 6 + 1] AS shape FROM documents")
+def f36_edit_shapes(v):
+    """How edits of a text come from it by deletion alone, or don't."""
+    n, k = F.col("doc_id").cast("string"), F.col("doc_id") % 6
+    first, second, third = F.concat(F.lit("第"), n, F.lit("篇的第一句话说得很完整。")), F.lit("中间这句是推广内容！"), F.concat(F.lit("最后一句也属于第"), n, F.lit("篇。"))
+    before = F.concat(first, second, third)
+    after = (
+        F.when(k == 0, F.concat(first, second)).when(k == 1, F.concat(second, third)).when(k == 2, F.concat(first, third)).when(k == 3, F.replace(before, F.lit("是推广内容"), F.lit("")))
+        .when(k == 4, F.concat(first, F.lit("改写了的一句话。"))).otherwise("短")
+    )
+    return E.edit_audit(v.table("documents").select("doc_id", before.alias("before"), after.alias("after"))).select("doc_id", "shape")
+
+
+@query("SELECT doc_id, '<p>about ' || doc_id || ' </p><p>text。</p><p>正文' || doc_id || '。</p><p>shown ' || doc_id || ' </p>' AS clean, ['links', 'ad_sections', 'marker_blocks', 'recommended', 'lines', 'captions', 'residue', 'containers', 'handlers', 'markdown'] AS rules FROM documents")
+def f22_cleaned_feeds(v):
+    """Bodies with something for each of ten steps, and the steps that found it."""
+    n = F.col("doc_id").cast("string")
+    body = F.concat(
+        F.lit("<p>about "), n, F.lit(' <a href="/q">link</a></p><!-- google_ad_section_start -->advert<!-- google_ad_section_end --><p>前文链接</p><h2>更多新闻</h2><h3>a</h3><p>text。<br>摄影：'), n,
+        F.lit("</p><p>【视频】进球集锦！ 正文"), n, F.lit('。</p><script>s()</script><p data-url="u">{{c|shown '), n, F.lit("}} [l](https://x.y/z)</p>"),
+    )
+    return E.precleaned(v.table("documents").select("doc_id", body.alias("body_html"))).select("doc_id", "clean", "rules")
+
+
 @query()
 def f36_edit_audit(v):
     blocks = H.block_table(pages(v), "page_id")

@@ -314,6 +314,16 @@ def f11_body_problems(v):
     return v.articles.select("id", X.body_problems(F.col("body_html")).alias("problems"))
 
 
+@query("b AS (SELECT id, substr(trim(regexp_replace(regexp_replace(body_html, '[<&]', ' ', 'g'), '\\s+', ' ', 'g')), 1, 420) AS t FROM articles) SELECT x.id, y.id AS matched, length(x.t) >= 60 AND length(y.t) >= 60 AS checked, "
+       "length(x.t) >= 60 AND length(y.t) >= 60 AND x.id % 2 = 1 AND x.id % 3 <> 0 AS overturned FROM b x JOIN b y ON y.id = x.id - 1", "articles")
+def j8_judged_bodies(v):
+    """Title duplicates whose bodies are compared: a verdict of different bodies overturns, a missing one doesn't."""
+    i = F.col("id")
+    bodies = v.articles.select("id", F.concat(F.lit("<p>"), F.regexp_replace("body_html", "[<&]", " "), F.lit("</p><script>x</script>")).alias("body_html"))
+    pairs = v.articles.select("id", (i - 1).alias("matched"))
+    return D.confirmed(pairs, bodies, pairs.filter(i % 3 != 0).select("id", "matched", (i % 2 == 0).alias("same")))
+
+
 @query()
 def j8_confirmed_duplicates(v):
     found = D.candidates(v.articles).filter("rank = 1").select("id", F.col("older").alias("matched"))
