@@ -72,3 +72,25 @@ def test_orphans(spark):
     now = datetime(2024, 5, 2)
     rows = spark.createDataFrame([(1, "RECEIVED", at(1)), (2, "NEEDS_REVIEW", at(1)), (3, "RECEIVED", now), (4, "RECEIVED", at(1))], "id int, status string, updated_at timestamp_ntz").withColumn("created_at", F.col("updated_at"))
     assert [r["id"] for r in S.orphans(rows, rows.filter("id = 4"), now).collect()] == [1]
+
+
+def test_transitions(spark):
+    kinds = "id int, status string, published_at timestamp_ntz, updated_at timestamp_ntz, error string, tab_names array<string>"
+    state = spark.createDataFrame([(1, "READY", None, at(1), "old", []), (2, "READY", at(1), at(1), "old", ["kept"]), (3, "READY", None, at(1), "old", None), (4, "DONE", None, at(1), "old", ["x"]), (5, "READY", None, at(2), "old", []), (6, "READY", None, at(1), "old", [])], kinds)
+    asked = [(i, i, ["READY"], at(1), to, at(3), said, ["a", "b"]) for i, to, said in ((1, "PUBLISHED", "no"), (2, "PUBLISHED", "no"), (3, "ERROR", "new"), (4, "PUBLISHED", "no"), (5, "PUBLISHED", "no"), (6, "PUBLISH_FAILED", ""))]
+    requests = spark.createDataFrame([*asked, (1, 0, ["READY"], at(1), "ERROR", at(4), "late", [])], "id int, request_id int, allowed_from array<string>, expected timestamp_ntz, to_status string, at timestamp_ntz, message string, tab_names array<string>")
+    from presswork.operators import ingest as I
+
+    got = {r["id"]: tuple(r[1:]) for r in I.transitioned(state, requests).collect()}
+    assert got == {
+        1: ("PUBLISHED", at(3), at(3), None, ["a", "b"]), 2: ("PUBLISHED", at(1), at(3), None, ["kept"]), 3: ("ERROR", None, at(3), "new", None), 4: ("DONE", None, at(1), "old", ["x"]), 5: ("READY", None, at(2), "old", []),
+        6: ("PUBLISH_FAILED", None, at(3), "old", []),
+    }
+
+
+@pytest.mark.parametrize("after,confidence,body,want", [("x（摄影：A）", 0.9, "a x b", True), ("x [照片]=A", 0.85, "a x b", True), ("x（摄影：A）", 0.8, "a x b", False), ("x（摄影：A）", 0.9, "x and x", False), ("x by A", 0.9, "a x b", False), ("x（摄影：A）", None, "a x b", False)])
+def test_advice(spark, after, confidence, body, want):
+    from presswork.functions import edits as E
+
+    rows = spark.createDataFrame([(1, body, "replace_text", "x", after, confidence)], "id int, body_text string, action string, evidence string, after string, confidence double")
+    assert E.plan_kinds(rows).first()["advisory"] == want
