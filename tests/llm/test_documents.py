@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
@@ -340,7 +342,7 @@ def test_outliers_against_a_plain_estimate(spark):
     rows = [("en", "s", *map(float, x)) for x in np.vstack([good, bad])] + [("de", None, *map(float, x)) for x in good[:10]]
     vectors = spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"v{i} double" for i in range(5)))
     found = {(r["lang"], r["source"]): r for r in op08_outliers.estimates(vectors).collect()}
-    assert set(found) == {("en", "s")}  # the other group is too small
+    assert {k: e["n"] for k, e in found.items()} == {("en", "s"): 480, ("de", None): 10}
     e = found["en", "s"]
     assert np.allclose([e[f"m{i}"] for i in range(5)], good.mean(0), atol=0.3)
     low = np.array([[e[f"l{i}{j}"] if j <= i else 0 for j in range(5)] for i in range(5)])
@@ -348,6 +350,51 @@ def test_outliers_against_a_plain_estimate(spark):
     assert (distance(bad) > op08_outliers.CUTOFF).all() and (distance(good) < op08_outliers.CUTOFF).mean() > 0.99
 
 
+def least_determinant(x):
+    """Mean and floored covariance of the three quarters of the rows whose covariance has the least determinant."""
+    floors = np.diag(np.array(op08_outliers.FLOORS) ** 2)
+    subsets = [x[list(c)] for c in itertools.combinations(range(len(x)), math.ceil(len(x) * op08_outliers.SUBSET))]
+    return min(((s.mean(0), np.cov(s.T, bias=True) + floors) for s in subsets), key=lambda e: np.linalg.det(e[1]))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_outliers_against_all_subsets(spark, seed):
+    """Verdicts of groups of 7 and 8 vectors, each drawn towards its language's and all texts' estimate."""
+    rng = np.random.Generator(np.random.PCG64(seed))
+    x = rng.multivariate_normal([5, 5, 0.5, 0.2, 0.2], np.diag([0.5, 0.1, 0.1, 0.01, 0.01]), 15)
+    bad = {2, 9}
+    for i in bad:
+        x[i] += [0, 5, 6, 4, 5]
+    groups = {("en", "a"): range(7), ("en", None): range(7, 15)}
+    rows = [(*g, *map(float, x[i])) for g, of in groups.items() for i in of]
+    vectors = spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"v{i} double" for i in range(5)))
+    found = op08_outliers.shrunk(op08_outliers.estimates(op08_outliers.levelled(vectors), group=op08_outliers.LEVELS)).collect()
+    lang = least_determinant(x)  # all texts are of one language
+    assert len(found) == len(groups)
+    for e in found:
+        of = groups[e["lang"], e["source"]]
+        own, w = least_determinant(x[list(of)]), len(of) / (len(of) + op08_outliers.PRIOR)
+        mean, cov = (w * a + (1 - w) * b for a, b in zip(own, lang, strict=True))
+        plain = {i for i in of if (x[i] - mean) @ np.linalg.solve(cov, x[i] - mean) > op08_outliers.CUTOFF}
+        low = np.array([[e[f"l{i}{j}"] if j <= i else 0 for j in range(5)] for i in range(5)])
+        got = {i for i in of if (np.linalg.solve(low, x[i] - np.array([e[f"m{k}"] for k in range(5)])) ** 2).sum() > op08_outliers.CUTOFF}
+        assert got == plain == bad & set(of)
+
+
+def test_no_number_of_texts_is_a_switch(spark):
+    """As a group grows by one, the distance of a text changes little, around the prior too."""
+    rng = np.random.Generator(np.random.PCG64(5))
+    x = rng.multivariate_normal([5, 5, 0.5, 0.2, 0.2], np.diag([0.5, 0.1, 0.1, 0.01, 0.01]), 141)
+    x[:41, 1] += 1  # the group's words are longer than its language's
+    at = []
+    for n in (39, 40, 41):
+        rows = [("en", "a", *map(float, v)) for v in x[:n]] + [("en", "b", *map(float, v)) for v in x[41:]]
+        vectors = spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"v{i} double" for i in range(5)))
+        e = next(r for r in op08_outliers.shrunk(op08_outliers.estimates(op08_outliers.levelled(vectors), group=op08_outliers.LEVELS)).collect() if r["source"] == "a")
+        at.append(e["m1"])
+    assert 5.2 < at[1] < 5.8 and max(at) - min(at) < 0.1
+
+
 @pytest.mark.parametrize("n", [6, 30])
 def test_small_groups_are_judged(spark, n):
     rng = random.Random(n)
