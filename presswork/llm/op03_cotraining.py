@@ -1,10 +1,11 @@
 """Quality classifier by co-training of two views.
 
-The text view has a page's content: hashed byte trigrams, as square roots of their shares. The metadata view has
-what describes the page without its content: language, source, length, lines, and shares of letters, capitals,
-digits, marks and repeated lines. Each is a ridge-penalized logistic regression. In every round each scores all
-documents without a label, and its most confident ones of either class become training rows of the other. At the
-end both views are calibrated on held-out labels and combined by a logistic regression of their calibrated logits.
+The text view has a page's content: hashed byte trigrams, as square roots of their shares, and the shares of letters,
+capitals, digits, white space and marks. The metadata view has what describes the page without its characters:
+language, source, both together, length, and layout (lines, their mean length, how many repeat). Each is a ridge-penalized logistic regression. In every round each scores all
+documents without a label, and its most confident ones of either class become training rows of the other; a lesson
+by which a view's calibrated loss on held-out labels grows is taken back, so rounds can't teach a view what the other has wrong. At
+the end both views are calibrated on held-out labels and combined by a logistic regression of their calibrated logits.
 
 All features, and all scores, are of whole texts of all documents. What is bounded is what is fitted: about
 ``LABELLED`` labelled documents, drawn by hash, and about ``CONFIDENT`` pseudo-labels for each view, class and round;
@@ -34,14 +35,15 @@ SURE = 0.9
 PIECE = 1 << 20
 
 FEATURES = "content binary, meta binary"
-NUMERIC = 9
+#: Numbers beside the bins: of the text view the shares of kinds of bytes, of the other length and layout.
+SHARES, LENGTHS = 5, 4
 
 
-def _meta(lang: str | None, source: str | None, numbers: np.ndarray) -> np.ndarray:
-    out = np.zeros(NUMERIC + META_BINS, np.float32)
-    out[:NUMERIC] = numbers
-    for name in (f"lang={lang}", f"source={source}"):
-        out[NUMERIC + xxhash.xxh32_intdigest(name) % META_BINS] += 1
+def _meta(lang: str | None, source: str | None, size: int, lines: int, repeated: float) -> np.ndarray:
+    out = np.zeros(LENGTHS + META_BINS, np.float32)
+    out[:LENGTHS] = np.log1p(size) / 5, np.log1p(lines), np.log1p(size / max(lines, 1)) / 5, repeated
+    for name in (f"lang={lang}", f"source={source}", f"lang={lang} source={source}"):
+        out[LENGTHS + xxhash.xxh32_intdigest(name) % META_BINS] += 1
     return out
 
 
@@ -81,10 +83,9 @@ def features(docs: DataFrame, key: str = "doc_id") -> DataFrame:
                     own = [x for x in (text or "").split("\n") if x.strip()]
                     lines.append(len(own))
                     repeated.append(1 - len(set(own)) / len(own) if own else 0.0)
-                size = np.diff(ends)
-                numbers = np.column_stack([np.log1p(size) / 5, np.log1p(lines), np.log1p(size / np.maximum(lines, 1)) / 5, repeated, kinds[:, 1:]]).astype(np.float32)
-                langs, sources = piece.column("lang").to_pylist(), piece.column("source").to_pylist()
-                meta = [_meta(a, b, x).tobytes() for a, b, x in zip(langs, sources, numbers, strict=True)]
+                content = np.column_stack([content, kinds[:, 1:]])
+                about = zip(piece.column("lang").to_pylist(), piece.column("source").to_pylist(), np.diff(ends).tolist(), lines, repeated, strict=True)
+                meta = [_meta(*x).tobytes() for x in about]
                 yield pa.RecordBatch.from_arrays(
                     [piece.column("doc"), pa.array([x.tobytes() for x in content.astype(np.float16)], pa.binary()), pa.array(meta, pa.binary())], ["doc", "content", "meta"]
                 )
@@ -115,8 +116,8 @@ class Logistic:
 
 
 def _matrices(content: list[bytes], meta: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    a = np.frombuffer(b"".join(content), np.float16).reshape(-1, BINS).astype(np.float64)
-    return a, np.frombuffer(b"".join(meta), np.float32).reshape(-1, NUMERIC + META_BINS).astype(np.float64)
+    a = np.frombuffer(b"".join(content), np.float16).reshape(-1, BINS + SHARES).astype(np.float64)
+    return a, np.frombuffer(b"".join(meta), np.float32).reshape(-1, LENGTHS + META_BINS).astype(np.float64)
 
 
 def _scored(rows: DataFrame, models: tuple[Logistic, Logistic]) -> DataFrame:
@@ -188,6 +189,10 @@ def classified(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: s
     weight = [[np.ones(len(y[~held]))], [np.ones(len(y[~held]))]]
     fit = lambda: tuple(Logistic(np.concatenate(own[v]), np.concatenate(target[v]), np.concatenate(weight[v])) for v in (0, 1))
     models = fit()
+    line_of = lambda v: Logistic(models[v].logit(views[v][use])[:, None], y[use])
+    loss = lambda v: float(np.logaddexp(0, np.where(y[use] > 0, -1, 1) * line_of(v).logit(models[v].logit(views[v][use])[:, None])).mean())
+    use = held if held.any() else np.ones(len(y), bool)
+    losses = [loss(0), loss(1)]
     taken: list[tuple[int]] = []
     for k in range(rounds):
         logits = _scored(rows, models).join(known.select("doc"), "doc", "left_anti")
@@ -205,8 +210,14 @@ def classified(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: s
                 weight[v].append(np.full(len(lesson), 0.5))
         if not new:
             break
-        models = fit()
-    use = held if held.any() else np.ones(len(y), bool)
+        models, before = fit(), models
+        for v in (0, 1):
+            worse = loss(v) > losses[v]
+            if worse and models[v] is not before[v] and len(own[v]) > 1:
+                for kept in (own, target, weight):
+                    kept[v].pop()
+                models = (*models[:v], before[v], *models[v + 1 :])
+            losses[v] = loss(v)
     raw = [m.logit(v[use]) for m, v in zip(models, views, strict=True)]
     lines = [Logistic(x[:, None], y[use]) for x in raw]
     both = Logistic(np.column_stack([c.logit(x[:, None]) for c, x in zip(lines, raw, strict=True)]), y[use])

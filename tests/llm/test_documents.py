@@ -539,6 +539,39 @@ def test_cotraining_ranks_good_texts_higher(spark):
             assert r["good"] == ("$" not in rows[r["doc_id"]][1])
 
 
+def area_under_curve(pairs):
+    good, bad = ([x for x, y in pairs if y == k] for k in (1, 0))
+    return sum((a > b) + (a == b) / 2 for a in good for b in bad) / (len(good) * len(bad))
+
+
+def test_rounds_do_no_harm_and_views_add_up(spark):
+    """On documents whose labels were never given: text tells four of five apart, the source three of four."""
+    rng = random.Random(11)
+    truth, rows = {}, []
+    for i in range(1500):
+        truth[i] = good = int(rng.random() < 0.5)
+        style = good if rng.random() < 0.8 else 1 - good
+        pool = [f"w{k}x" for k in (range(0, 300) if style else range(200, 500))]
+        source = rng.choice("abc" if (good if rng.random() < 0.75 else 1 - good) else "def")
+        rows.append((i, " ".join(rng.choices(pool, k=60)), "en", source))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, truth[i]) for i in range(300)], "doc_id bigint, quality int")
+    area = {}
+    for rounds in (0, 3):
+        got = [r for r in op03_cotraining.classified(docs, labels, rounds=rounds).collect() if r["doc_id"] >= 300]
+        area[rounds] = {c: area_under_curve([(r[c], truth[r["doc_id"]]) for r in got]) for c in ("text_score", "meta_score", "score")}
+    assert all(area[3][c] > area[0][c] - 0.02 for c in area[0])
+    assert area[3]["score"] > max(area[3]["text_score"], area[3]["meta_score"])
+
+
+def test_metadata_view_has_no_characters(spark):
+    """Texts of equal size and lines have the same metadata view, whatever their characters are."""
+    rows = [(1, "plain words\nof text", "en", "a"), (2, "$$$$$ 12345\nOF TEXT", "en", "a"), (3, "plain words\nof text", "en", "b"), (4, "plain\nwords of\ntext", "en", "a")]
+    got = {r["doc"]: r for r in op03_cotraining.features(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert got[1]["meta"] == got[2]["meta"] and got[1]["content"] != got[2]["content"]
+    assert got[1]["content"] == got[3]["content"] and len({got[i]["meta"] for i in (1, 3, 4)}) == 3
+
+
 def test_cotraining_without_labels(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id bigint, quality int")
     assert {r["score"] for r in op03_cotraining.classified(docs, none).collect()} == {0.5}
