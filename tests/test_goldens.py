@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -146,6 +146,37 @@ def test_candidates_equal_all_pairs(spark):
     assert len(want) > 40 and D.candidates(articles.limit(0)).count() == 0
 
 
+def test_candidates_look_at_few_runs(monkeypatch):
+    """Of all pairs of two blocks of titles, runs are looked for in those alone that can be among the best."""
+    import random
+
+    import pyarrow as pa
+
+    draw, at = random.Random(5), datetime(2026, 9, 1)
+    texts = ["".join(draw.choices("abcdefghijkl", k=draw.choice((9, 60, 350)))) for _ in range(300)]
+    texts[250:] = [t[:-3] + "xyz" for t in texts[:30]] + texts[30:50]
+    table = lambda ids: pa.table([pa.array(ids), pa.array([at] * len(ids), pa.timestamp("us")), pa.array([["c1"]] * len(ids)), *[pa.array([texts[i] for i in ids])] * 2], ["id", "created_at", "keys", "plain", "strict"])
+    places, asked, whole = {i: i for i in range(300)}, [], D.common_run
+    monkeypatch.setattr(D, "common_run", lambda *pair: asked.append(pair) or whole(*pair))
+    kept = [[] for _ in range(100)]
+    D._keep_best(kept, D._Titles(table(range(200, 300)), "c1", places), D._Titles(table(range(200)), "c1", places), True, timedelta(days=3), D.TOP)
+    assert len(asked) < 0.2 * 100 * 200
+    for i, own in zip(range(200, 300), kept, strict=True):
+        want = []
+        for j in range(200):
+            lcs, bigram, char = D.scores(texts[i], texts[j])
+            if texts[i] == texts[j] or bigram >= D.DICE_LEAST or lcs >= D.LCS_LEAST or char >= D.CHAR_DICE_LEAST:
+                short, long = sorted((len(texts[i]), len(texts[j])))
+                want.append((-D.lexical_score(lcs / short, lcs / long, bigram, char), j))
+        assert [x[:2] for x in own] == sorted(want)[: D.TOP]
+
+
+def test_candidates_without_an_id(spark):
+    rows = [(i, "Alpha wins the final game", [1], 1, datetime(2026, 9, 1)) for i in (None, 1, 2)]
+    articles = spark.createDataFrame(rows, "id bigint, title_final string, channels array<bigint>, tab_id bigint, created_at timestamp_ntz")
+    assert [(r["id"], r["older"]) for r in D.candidates(articles).collect()] == [(2, 1)]
+
+
 def test_common_runs_of_long_texts():
     a, b = "".join(chr(97 + i * i % 23) for i in range(900)), "".join(chr(97 + i * i * i % 23) for i in range(700)) + "zz\U0001f600-a run-"
     assert D.common_run(a + "zz\U0001f600-a run", b) == len("zz\U0001f600-a run") and D.common_run("x" * 400, "y" * 500) == 0 and D.common_run("x" * 400, "x" * 500) == 400
