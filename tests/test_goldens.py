@@ -171,6 +171,21 @@ def test_candidates_look_at_few_runs(monkeypatch):
         assert [x[:2] for x in own] == sorted(want)[: D.TOP]
 
 
+def test_recalled_pairs_are_not_shuffled(spark):
+    """Every pair once, with several, one or no channel in common, null channels and tabs; nothing gathers the pairs."""
+    rows = [(i, None if i % 11 == 0 else [i % 3, i % 4, i % 3], None if i % 5 == 0 else i % 2, datetime(2026, 9, 1 + i % 6, i % 24)) for i in range(60)]
+    articles = spark.createDataFrame(rows, "id bigint, channels array<bigint>, tab_id bigint, created_at timestamp_ntz")
+    want = []
+    for x in rows:
+        for y in rows:
+            shared = bool(set(x[1] or []) & set(y[1] or []))
+            if y[0] < x[0] and y[3].date() <= x[3].date() and x[3] - y[3] <= timedelta(days=3) and (shared or (x[2] is not None and x[2] == y[2])):
+                want.append((x[0], y[0], shared))
+    found = D.recall_pairs(articles)
+    assert sorted(map(tuple, found.collect())) == sorted(want) and len({w[2] for w in want}) == 2
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_candidates_without_an_id(spark):
     rows = [(i, "Alpha wins the final game", [1], 1, datetime(2026, 9, 1)) for i in (None, 1, 2)]
     articles = spark.createDataFrame(rows, "id bigint, title_final string, channels array<bigint>, tab_id bigint, created_at timestamp_ntz")
