@@ -8,6 +8,8 @@ from html import unescape
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from .batches import bounded
+
 _TOKEN = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]*>|<[!?][^>]*>", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 #: Containers whose content isn't text. Fixed values.
@@ -97,6 +99,8 @@ def _mapped(function, kind: T.DataType):
     """A column function which maps Arrow batches; it is made when it is used, not when a worker imports this."""
 
     def column(html):
+        bounded()
+
         def each(values: pd.Series) -> pd.Series:
             return values.map(function)
 
@@ -109,6 +113,8 @@ def _gated(function, probe: str):
     """A text function for the rows alone in which a native probe finds work; the others reach Python as nulls."""
 
     def column(html: Column | str) -> Column:
+        bounded()
+
         def each(values: pd.Series) -> pd.Series:
             return values.map(function, na_action="ignore")
 
@@ -129,6 +135,7 @@ blocks_of = _mapped(blocks, T.ArrayType(_BLOCK))
 
 def plain_text(body: Column) -> Column:
     """Visible text: natively where the body has neither markup nor references."""
+    bounded()
 
     def each(values: pd.Series) -> pd.Series:
         return values.map(to_text, na_action="ignore")

@@ -24,6 +24,8 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .batches import bounded
+
 #: Names of blocks, of those that can be empty, of bare formatting, and of containers outside the article. Fixed values.
 BLOCKS = frozenset({"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6"})
 EMPTIES = frozenset({"p", "div", "li"})
@@ -36,6 +38,7 @@ _VISIBLE = re.compile(r"<!--.*?(?:-->|\Z)|<[^<>]*>", re.S)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\s[^<>]*)?)>")
 _BREAK = re.compile(r"\r\n|\r|\n|<br\b[^>]*>", re.I)
 _HREF = re.compile(r"\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_MARKUP = re.compile(r"<[^<>]*>")
 _PIECE = re.compile(r"<[^<>]*>|&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)|.", re.S)
 
 
@@ -88,7 +91,8 @@ def decoded(body: str, start: int, stop: int) -> tuple[str, list[tuple[int, int]
 
 
 def plain(source: str) -> str:
-    return decoded(source, 0, len(source))[0]
+    """The text of ``decoded`` alone, without a step for each character."""
+    return " ".join(unescape(_MARKUP.sub(" ", source)).split())
 
 
 def balanced(source: str) -> bool:
@@ -127,7 +131,7 @@ def _lines(body: str, block: str, tag: str, start: int, begin: int, end: int, st
     breaks = [m.span() for m in _BREAK.finditer(body, begin, end)]
     starts, stops = [begin, *(b for _, b in breaks)], [*(a for a, _ in breaks), end]
     for k, (a, b) in enumerate(zip(starts, stops, strict=True)):
-        text = decoded(body, a, b)[0]
+        text = plain(body[a:b])
         cut = (a, breaks[k][1]) if k < len(breaks) else (breaks[-1][0] if breaks else a, b)
         yield Part("line" if text else "blank", f"{block}.s{k + 1}", block, tag, text, a, b, a, b, *cut, block_start=start, block_stop=stop)
 
@@ -188,7 +192,7 @@ def parts(body: str | None) -> list[Part]:
     out = []
     for n, (tag, start, inner, end, stop) in enumerate(_text_blocks(body), 1):
         if not outside(start) and balanced(body[inner:end]):
-            out.append(Part("block", f"b{n}", None, tag, decoded(body, inner, end)[0], start, stop, inner, end, start, stop))
+            out.append(Part("block", f"b{n}", None, tag, plain(body[inner:end]), start, stop, inner, end, start, stop))
             out += _lines(body, f"b{n}", tag, start, inner, end, stop)
     for n, link in enumerate(sorted(_links(body), key=lambda x: x.start), 1):
         if not outside(link.start):
@@ -222,6 +226,7 @@ def register(spark: SparkSession, name: str = "body_parts") -> None:
 
 def part_table(rows: DataFrame, key: str, body: str | Column = "body_html", *kinds: str) -> DataFrame:
     """key and the parts of each body, of some kinds or all."""
+    bounded(rows.sparkSession)
     source = F.col(body) if isinstance(body, str) else body
     held = rows.select(F.col(key), source.alias("_body")).filter(F.contains("_body", F.lit(PROBE)))
     found = held.lateralJoin(table_function()(F.col("_body").outer())).drop("_body")

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from . import index as I
+from .batches import bounded
 from .edits import deletion
 from .evidence import DUPLICATE, LEAST_REASON, MOST_REASON, PROMOTION_TYPES, REMOVAL_TYPES, REPLACEMENT_TYPES, TYPE_NAMES
 from .html import to_text, without_empty_blocks, without_links
@@ -240,6 +241,7 @@ def applied_plans(bodies: DataFrame, plans: DataFrame, key: str, body: str = "bo
     ``block_id`` is the id of any part. Plans beyond MOST_EDITS are cut off before they are gathered (one more is enough
     to refuse them), so an article with a million plans costs no more than one with six.
     """
+    bounded(bodies.sparkSession)
     fields = [f.split()[0] for f in PLAN.split(", ")] + [f for f in MORE if f in plans.columns]
     first = plans.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy("seq"))).filter(F.col("_n") <= MOST_EDITS + 1)
     listed = first.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_n", "seq", *fields))).alias("plans"))
