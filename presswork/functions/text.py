@@ -35,9 +35,13 @@ def title_problems(title: Column) -> Column:
 
 
 def body_problems(text: Column) -> Column:
-    """short, cut, control, and dirty:n for each pattern that is found in a plain text."""
-    dirty = [F.when(text.rlike(f"(?i){p}"), f"dirty:{i}") for i, p in enumerate(DIRTY)]
-    return F.array_compact(F.array(F.when(F.char_length(text) < 30, "short"), F.when(text.rlike(f"(?i){CUT_BODY}"), "cut"), F.when(text.rlike(CONTROL), "control"), *dirty))
+    """short, cut, control, and dirty:n for each pattern that is found in a plain text, which is worked out once for all."""
+
+    def problems(x: Column) -> Column:
+        dirty = [F.when(x.rlike(f"(?i){p}"), f"dirty:{i}") for i, p in enumerate(DIRTY)]
+        return F.array_compact(F.array(F.when(F.char_length(x) < 30, "short"), F.when(x.rlike(f"(?i){CUT_BODY}"), "cut"), F.when(x.rlike(CONTROL), "control"), *dirty))
+
+    return F.get(F.transform(F.array(text), problems), 0)
 
 
 def source_problems(body: Column) -> Column:
