@@ -31,9 +31,9 @@ from .common import scratch, small_batches, tidy, utf8, written
 
 BLOCK, WIDE = 512, 0.9
 #: Ids of a segment (at a document's end) and pieces in each half of what a worker remembers.
-SEGMENT, REMEMBER = 1 << 18, 400_000
+SEGMENT, REMEMBER = 1 << 18, 150_000
 #: Bytes of text that are encoded at once (one text at least).
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 #: Kinds of bytes: 0 letter, digit or part of one beyond ASCII, 1 mark, 2 full stop or comma, 3 white space, 4 any else.
 _KIND = np.array([0 if c >= 128 or chr(c).isalnum() else 2 if c in b".," else 3 if c in b" \t\n" else 1 if 32 < c < 127 else 4 for c in range(256)], np.uint8)
 #: Two bytes of which the text can't be cut before the second: marks or white space that stand together.
