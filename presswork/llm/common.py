@@ -40,22 +40,41 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows of an Arrow batch, where the session has Spark's default of 10,000: whole texts in batches of a few MB.
-BATCH = "1024"
+#: Bounds of an Arrow batch, each where the session has Spark's default: so whole texts come in batches of about 1 MB
+#: (one text at least), whose buffers executors take from their pool of 4 MB chunks.
+BATCH = {"maxRecordsPerBatch": ("10000", "1024"), "maxBytesPerBatch": ("67108864b", "1048576b")}
 
 
 def small_batches(spark: SparkSession) -> None:
     """Bounds what a Python worker and its executor hold of whole texts at a time."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name, "10000") == "10000":
-        spark.conf.set(name, BATCH)
+    for name, (default, bound) in BATCH.items():
+        name = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, bound)
 
 
-def tidy(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """The function for mapInArrow, which gives back freed memory at the end of a task: workers stay for later ones."""
+_KEPT: list = []
+
+
+def kept(cached):
+    """A cache that a worker keeps from task to task, until a task of another function comes."""
+    _KEPT.append(cached)
+    return cached
+
+
+def let_go() -> None:
+    for cached in _KEPT:
+        cached.cache_clear()
+
+
+def tidy(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: bool = False):
+    """The function for mapInArrow, which gives back freed memory at the end of a task, since workers stay for later
+    ones, and at its begin what others of them kept, unless it is one that keeps something."""
 
     @wraps(function)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keep:
+            let_go()
         try:
             yield from function(batches)
         finally:

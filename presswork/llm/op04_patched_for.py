@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .common import scratch, small_batches, tidy, utf8, written
+from .common import kept, scratch, small_batches, tidy, utf8, written
 
 BLOCK, WIDE = 512, 0.9
 #: Ids of a segment (at a document's end) and pieces in each half of what a worker remembers.
@@ -163,9 +163,10 @@ class Encoder:
         return out, count + 1
 
 
+@kept
 @cache
 def encoder(path: str) -> Encoder:
-    """One for each worker process, which keeps what it knows from task to task."""
+    """One for each worker process, which keeps what it knows from task to task of this function."""
     return Encoder(path)
 
 
@@ -311,7 +312,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id"
         if keys:
             yield segment(keys, counts, ids)
 
-    ordered.mapInArrow(tidy(encode), SEGMENT_SCHEMA).write.parquet(path)
+    ordered.mapInArrow(tidy(encode, keep=True), SEGMENT_SCHEMA).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -181,10 +181,11 @@ def _kinds(item: T.DataType) -> tuple[T.DataType, ...]:
     return T.LongType(), T.ArrayType(T.LongType()), T.ArrayType(item), T.ArrayType(T.LongType())
 
 
-def _search(docs: DataFrame, items: list[tuple[object, str | None]], columns: list[str], item: T.DataType) -> DataFrame:
-    """The columns of docs with the added ones."""
+def _search(docs: DataFrame, items: list[tuple[object, str | None]], columns: list[str], item: T.DataType, cut: bool = False) -> DataFrame:
+    """The columns of docs with the added ones, or cut instead: in the same trip to Python."""
     small_batches(docs.sparkSession)
     schema = T.StructType([*[f for f in docs.schema if f.name in columns], *[T.StructField(n, k) for n, k in zip(ADDED, _kinds(item), strict=True)]])
+    given = T.StructType([f for f in schema if f.name in columns]) if cut else schema
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases(items)
@@ -193,7 +194,7 @@ def _search(docs: DataFrame, items: list[tuple[object, str | None]], columns: li
         def judge(held: pa.RecordBatch, texts: list[bytes], ids: list[np.ndarray]) -> pa.RecordBatch:
             doc, first, window = hits(ids, phrases)
             length = np.array([len(w) for w in phrases.windows], np.int64)
-            spans, cut = ([np.zeros(0, np.int64)] * len(ids) for _ in range(2))
+            spans, places = ([np.zeros(0, np.int64)] * len(ids) for _ in range(2))
             found: list[list] = [[] for _ in ids]
             order = np.argsort(doc, kind="stable")
             edges = np.searchsorted(doc[order], np.arange(len(ids) + 1))
@@ -202,9 +203,11 @@ def _search(docs: DataFrame, items: list[tuple[object, str | None]], columns: li
                 span = merged(first[own], first[own] + length[window[own]])
                 inside = np.concatenate([[False], _IN[np.frombuffer(texts[d], np.uint8)], [False]])
                 begin, end = np.flatnonzero(inside[1:-1] & ~inside[:-2]), np.flatnonzero(inside[1:-1] & ~inside[2:]) + 1
-                spans[d], cut[d] = span.reshape(-1), np.column_stack([begin[span[:, 0]], end[span[:, 1] - 1]]).reshape(-1)
+                spans[d], places[d] = span.reshape(-1), np.column_stack([begin[span[:, 0]], end[span[:, 1] - 1]]).reshape(-1)
                 found[d] = sorted({i for w in np.unique(window[own]) for i in phrases.owners[w]}, key=lambda i: (i is None, i))
-            extra = [pa.array([len(x) for x in ids], pa.int64()), long_list(spans), pa.array(found, kind), long_list(cut)]
+            if cut:
+                return _without(held, [x.tolist() for x in places], columns)
+            extra = [pa.array([len(x) for x in ids], pa.int64()), long_list(spans), pa.array(found, kind), long_list(places)]
             return pa.RecordBatch.from_arrays([*[held.column(c) for c in columns], *extra], [*columns, *ADDED])
 
         for batch in batches:
@@ -219,7 +222,7 @@ def _search(docs: DataFrame, items: list[tuple[object, str | None]], columns: li
                     yield judge(batch.slice(begin, i + 1 - begin), texts, ids)
                     texts, ids, begin, size = [], [], i + 1, 0
 
-    return docs.mapInArrow(tidy(shard), schema)
+    return docs.mapInArrow(tidy(shard), given)
 
 
 def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[object, str | None]]]:
@@ -236,12 +239,12 @@ def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterato
 ROW = "_fm_row"
 
 
-def _searched(docs: DataFrame, benchmark: DataFrame, columns: list[str], block_words: int) -> DataFrame:
-    """The columns of docs with the added ones, over all blocks of the benchmark."""
+def _searched(docs: DataFrame, benchmark: DataFrame, columns: list[str], block_words: int, cut: bool = False) -> DataFrame:
+    """The columns of docs with the added ones, or cut instead, over all blocks of the benchmark."""
     blocks, item = item_blocks(benchmark, block_words), benchmark.schema["item_id"].dataType
     items, more = next(blocks), next(blocks, None)
     if more is None:
-        return _search(docs, items, columns, item)
+        return _search(docs, items, columns, item, cut)
     numbered = written(docs.select(*[F.col(f"`{c}`") for c in columns], *([] if "text" in columns else ["text"])).withColumn(ROW, F.monotonically_increasing_id()), "numbered")
     found = []
     for k, block in enumerate(chain([items, more], blocks)):
@@ -252,7 +255,8 @@ def _searched(docs: DataFrame, benchmark: DataFrame, columns: list[str], block_w
     flat = lambda c: F.flatten(F.col(f"p.{c}")).alias(c)
     rows = rows.select(ROW, "_fm_words", flat("_fm_spans"), flat("_fm_bytes"), F.array_sort(F.array_distinct(F.flatten("p._fm_items"))).alias("_fm_items"))
     united = rows.mapInArrow(tidy(_united), rows.schema)
-    return numbered.select(ROW, *[F.col(f"`{c}`") for c in columns]).join(united, ROW).select(*[F.col(f"`{c}`") for c in columns], *ADDED)
+    whole = numbered.select(ROW, *[F.col(f"`{c}`") for c in columns]).join(united, ROW).select(*[F.col(f"`{c}`") for c in columns], *ADDED)
+    return _cut(whole, columns) if cut else whole
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,30 +285,34 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLO
     """The documents without their removal spans, from first to last word of each; n_chars follows if it is there."""
     columns = list(docs.columns)
     numbered = docs.select(*[F.col(f"`{c}`") for c in columns])
-    return _cut(_searched(numbered, benchmark, columns, block_words), columns)
+    return _searched(numbered, benchmark, columns, block_words, cut=True)
+
+
+def _without(batch: pa.RecordBatch, places: list[list[int]], columns: list[str]) -> pa.RecordBatch:
+    """The columns of the rows without the bytes (start, end, ...) of each text."""
+    if not any(places):
+        return batch.select(columns)
+    texts = batch.column("text").to_pylist()
+    for i, spans in enumerate(places):
+        if spans:
+            raw, at, kept = texts[i].encode(), 0, []
+            for a, b in zip(spans[::2], spans[1::2], strict=True):
+                kept.append(raw[at:a])
+                at = b
+            texts[i] = b"".join([*kept, raw[at:]]).decode()
+    arrays = {c: batch.column(c) for c in columns} | {"text": pa.array(texts, pa.string())}
+    if "n_chars" in arrays:
+        old = arrays["n_chars"].to_pylist()
+        arrays["n_chars"] = pa.array([len(t) if s else n for t, s, n in zip(texts, places, old, strict=True)], arrays["n_chars"].type)
+    return pa.RecordBatch.from_arrays([arrays[c] for c in columns], columns)
 
 
 def _cut(found: DataFrame, columns: list[str]) -> DataFrame:
-    schema = T.StructType([f for f in found.schema if f.name in columns])
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for i, spans in enumerate(batch.column("_fm_bytes").to_pylist()):
-                if spans:
-                    raw, at, kept = texts[i].encode(), 0, []
-                    for a, b in zip(spans[::2], spans[1::2], strict=True):
-                        kept.append(raw[at:a])
-                        at = b
-                    texts[i] = b"".join([*kept, raw[at:]]).decode()
-            arrays = {c: batch.column(c) for c in columns} | {"text": pa.array(texts, pa.string())}
-            if "n_chars" in arrays:
-                old = arrays["n_chars"].to_pylist()
-                changed = batch.column("_fm_bytes").to_pylist()
-                arrays["n_chars"] = pa.array([len(t) if s else n for t, s, n in zip(texts, changed, old, strict=True)], arrays["n_chars"].type)
-            yield pa.RecordBatch.from_arrays([arrays[c] for c in columns], columns)
-
-    return found.mapInArrow(tidy(cut), schema)
+            yield _without(batch, batch.column("_fm_bytes").to_pylist(), columns)
+
+    return found.mapInArrow(tidy(cut), T.StructType([f for f in found.schema if f.name in columns]))
 
 
 def span_words(spans: str = "hit_spans"):

@@ -32,7 +32,7 @@ LEAST = 0.3
 #: Columns that are added to those of the documents.
 PREDICTED, SCORED = "_rank_order_language", "_rank_order_score"
 #: Characters that are counted at once.
-PIECE = 1 << 19
+PIECE = 1 << 18
 _BITS = 21  # of a code point
 
 

@@ -11,10 +11,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from presswork.llm import common, op02_chosen_path, op03_cotraining, op04_patched_for, op05_fm_index, op07_suffixes, op08_outliers, op09_mixing, op10_language
+from presswork.llm import common, op02_chosen_path, op03_cotraining, op04_patched_for, op05_fm_index, op07_suffixes, op08_outliers, op09_mixing, op10_language, queries
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Columns whose names are those of helpers.
@@ -576,3 +577,25 @@ def test_cotraining_without_labels(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id bigint, quality int")
     assert {r["score"] for r in op03_cotraining.classified(docs, none).collect()} == {0.5}
     assert op03_cotraining.classified(empty, none).count() == 0
+
+
+def test_decontamination_is_one_trip_to_python(spark, docs, benchmark_rows):
+    items = spark.createDataFrame(benchmark_rows, "item_id bigint, text string")
+    plan = op05_fm_index.decontaminated(docs, items)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
+def test_whole_texts_come_in_batches_of_about_a_megabyte(spark):
+    common.small_batches(spark)
+    docs = spark.range(1000).coalesce(1).selectExpr("id", "repeat('x', IF(id = 7, 3000000, 20000)) AS text")
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [sum(len(t.as_py()) for t in b.column("text"))]}) for b in batches)
+    got = docs.mapInArrow(common.tidy(sizes), "rows bigint, bytes bigint").collect()
+    assert sum(r["rows"] for r in got) == 1000 and sum(r["bytes"] for r in got) == 999 * 20_000 + 3_000_000
+    assert max(r["bytes"] for r in got) < 4_200_000 and sorted(r["bytes"] for r in got)[-2] < 1_100_000
+
+
+def test_other_functions_let_go_of_the_encoder():
+    path = queries.tokenizer_file()
+    first = op04_patched_for.encoder(path)
+    assert list(common.tidy(lambda batches: iter([op04_patched_for.encoder(path) is first]), keep=True)(iter(()))) == [True]
+    assert list(common.tidy(lambda batches: iter([op04_patched_for.encoder.cache_info().currsize]))(iter(()))) == [0]
