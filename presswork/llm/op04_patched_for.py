@@ -30,8 +30,12 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from .common import kept, scratch, small_batches, tidy, utf8, written
 
 BLOCK, WIDE = 512, 0.9
-#: Ids of a segment (at a document's end) and pieces in each half of what a worker remembers.
-SEGMENT, REMEMBER = 1 << 18, 150_000
+#: Ids of a segment (at a document's end).
+SEGMENT = 1 << 18
+#: What a worker remembers (a power of two of pieces), and the most bytes and ids of such a piece.
+SLOTS, LONGEST, MOST = 1 << 20, 16, 8
+#: Pieces in a string that the library encodes at once.
+RUN = 500
 #: Bytes of text that are encoded at once (one text at least).
 CHUNK = 1 << 20
 #: Kinds of bytes: 0 letter, digit or part of one beyond ASCII, 1 mark, 2 full stop or comma, 3 white space, 4 any else.
@@ -66,14 +70,32 @@ HEAD = np.dtype([("low", "<u4"), ("width", "u1"), ("pad", "u1"), ("exceptions",
 SEGMENT_SCHEMA = "part int, seq int, doc_ids array<bigint>, ends array<bigint>, n_ids bigint, index binary, data binary"
 
 
+def _words(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The first 16 bytes of each piece as two 64-bit words; what lies beyond the piece is 0."""
+    padded = np.concatenate([data, np.zeros(LONGEST, np.uint8)])
+    at = np.ndarray(len(data) + LONGEST - 7, "<u8", padded, 0, (1,))  # the 8 bytes from each place on
+    ones = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    low = at[starts] & ones[np.minimum(size, 8)]
+    return np.column_stack([low, at[np.minimum(starts + 8, len(data))] & ones[np.clip(size - 8, 0, 8)]])
+
+
+def _slots(words: np.ndarray) -> np.ndarray:
+    mixed = words[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ words[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(7)
+    return (mixed * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(65 - SLOTS.bit_length())).astype(np.int64)
+
+
 class Encoder:
     """Ids of whole texts by a byte-level BPE of the tokenizers library.
 
     Its pre-tokenizer splits letters, digits, marks and white space, so between a letter and a mark, and before a
     lone white space, a text can be cut and the parts encoded by themselves. Texts are cut there, before full
-    stops and commas, and new pieces are encoded once and remembered. Pieces that begin with a space are encoded
-    as one string, which is cut where an id begins with a space. A text in which marks or white space stand
-    together at such a place is one piece, which isn't remembered.
+    stops and commas, and each different new piece of a chunk is encoded once and remembered. Pieces that begin with a
+    space are encoded as one string, which is cut where an id begins with a space. A text in which marks or white space
+    stand together at such a place is one piece, encoded by itself.
+
+    Short pieces of few ids are remembered in arrays, each in the slot that its bytes' hash names, until another
+    piece takes it; a slot has the piece's own bytes, so two are never taken for one. All pieces of a chunk are looked
+    up at once, and memory is bounded.
     """
 
     def __init__(self, path: str):
@@ -82,50 +104,39 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         self.begins[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+        # of each slot's piece: bytes, their number (0: none), ids, their number
+        self.words, self.size = np.zeros((SLOTS, 2), np.uint64), np.zeros(SLOTS, np.uint8)
+        self.ids, self.count = np.zeros((SLOTS, MOST), "<u2" if len(self.begins) <= 1 << 16 else "<u4"), np.zeros(SLOTS, np.uint8)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, pieces: list[bytes]) -> None:
-        spaced = [p for p in pieces if p[:1] == b" "]
-        others = [p for p in pieces if p[:1] != b" "]
-        for p, e in zip(others, self.tokenizer.encode_batch_fast([p.decode() for p in others], add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, "<u4").tobytes()
-        runs = [spaced[i : i + 500] for i in range(0, len(spaced), 500)]
-        for run, e in zip(runs, self.tokenizer.encode_batch_fast([b"".join(r).decode() for r in runs], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            edges = [*(np.flatnonzero(self.begins[ids]) * 4).tolist(), len(ids) * 4]
-            raw = ids.tobytes()
-            if len(edges) == len(run) + 1:
-                self.known.update(zip(run, [raw[a:b] for a, b in zip(edges, edges[1:])], strict=True))
+    def learn(self, pieces: pa.Array, spaced: int, uncut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different pieces, one piece's after another's, and the number of each one's. The first ``spaced``
+        begin with a space; those of the others that ``uncut`` marks are whole texts."""
+        data, edges = utf8(pieces)
+        raw, edges = data.tobytes(), edges.tolist()
+        text = lambda a, b: raw[edges[a] : edges[b]].decode()
+        runs = [(i, min(i + RUN, spaced)) for i in range(0, spaced, RUN)]
+        alone = (np.flatnonzero(~uncut[spaced:]) + spaced).tolist()
+        encoded = iter(self.tokenizer.encode_batch_fast([*(text(a, b) for a, b in runs), *(text(i, i + 1) for i in alone)], add_special_tokens=False))
+        flat, count = [np.zeros(0, "<u4")], np.zeros(len(uncut), np.int64)
+        for a, b in runs:
+            ids = np.array(next(encoded).ids, "<u4")
+            begin = np.flatnonzero(self.begins[ids])
+            if len(begin) == b - a:
+                count[a:b] = np.diff(begin, append=len(ids))
             else:  # an id in the midst of a piece begins with a space's byte
-                self.known.update((p, self.whole(p.decode())) for p in run)
-
-    def ids_of(self, pieces: list[bytes], uncut: set[int]) -> list[bytes]:
-        """Ids of different pieces; those at the places in ``uncut`` are whole texts."""
-        out = list(map(self.known.get, pieces))
-        new = [i for i, ids in enumerate(out) if ids is None]
-        if len(self.known) + len(new) > REMEMBER:  # what is still in use comes over from the older half
-            self.older, self.known = self.known, {}
-        unknown = []
-        for i in new:
-            if i in uncut:
-                out[i] = self.whole(pieces[i].decode())
-                continue
-            out[i] = ids = self.older.get(pieces[i])
-            if ids is None:
-                unknown.append(i)
-            else:
-                self.known[pieces[i]] = ids
-        self.learn([pieces[i] for i in unknown])
-        for i in unknown:
-            out[i] = self.known[pieces[i]]
-        return out
+                each = [self.whole(text(i, i + 1)) for i in range(a, b)]
+                ids, count[a:b] = np.frombuffer(b"".join(each), "<u4"), [len(x) // 4 for x in each]
+            flat.append(ids)
+        for i in range(spaced, len(uncut)):
+            flat.append(np.frombuffer(self.whole(text(i, i + 1)), "<u4") if uncut[i] else np.array(next(encoded).ids, "<u4"))
+            count[i] = len(flat[-1])
+        return np.concatenate(flat), count
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
@@ -136,31 +147,55 @@ class Encoder:
     def encode_column(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts, each followed by the end id, and the number of ids of each."""
         data, ends = utf8(texts)
-        odd = _uncut(data, ends)
+        if not len(data):
+            return np.full(len(texts), end_id, "<u4"), np.ones(len(texts), np.int64)
+        data, odd = np.ascontiguousarray(data), _uncut(data, ends)
         cut = _CUTS[data]
         cut[ends[:-1][ends[1:] > ends[:-1]]] = True
         for r in np.flatnonzero(odd):
             cut[ends[r] + 1 : ends[r + 1]] = False
         starts = np.flatnonzero(cut)
         bounds = np.append(starts, len(data))
-        cells = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-        piece = cells.indices.to_numpy()
-        uncut = set(piece[np.searchsorted(starts, ends[:-1][odd])].tolist())
-        raw, edges = utf8(cells.dictionary)
-        raw, edges = raw.tobytes(), edges.tolist()
-        found = self.ids_of([raw[a:b] for a, b in zip(edges, edges[1:])], uncut)
-        size = np.array([len(x) // 4 for x in found], np.int64)
-        begin = np.cumsum(size) - size
-        ids = np.frombuffer(b"".join(found), "<u4")
-        many = size[piece]
-        text = np.searchsorted(ends, starts, side="right") - 1
-        count = np.bincount(text, many, len(odd)).astype(np.int64) if len(starts) else np.zeros(len(odd), np.int64)
-        out = np.full(int(count.sum()) + len(odd), end_id, "<u4")
-        # where the ids of each piece go, moved on by the end ids before its text
-        to = np.cumsum(many) - many
-        step = np.arange(int(many.sum())) - np.repeat(to, many)
-        out[np.repeat(to + text, many) + step] = ids[np.repeat(begin[piece], many) + step]
-        return out, count + 1
+        size = np.diff(bounds)
+        words = _words(data, starts, size)
+        slot = _slots(words)
+        there = self.words.take(slot, 0)
+        known = (self.size[slot] == size) & (there[:, 0] == words[:, 0]) & (there[:, 1] == words[:, 1])
+        ids, count = self.ids.take(slot, 0), self.count[slot].astype(np.int64)
+
+        new = np.flatnonzero(~known)
+        cells = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+        cells = cells.take(pa.array(new)).dictionary_encode()
+        which = cells.indices.to_numpy()
+        first = np.zeros(len(cells.dictionary), np.int64)  # a place of each different piece
+        first[which] = new
+        uncut = odd[np.searchsorted(ends, starts[first], side="right") - 1]
+        spaced = (data[starts[first]] == 32) & ~uncut
+        order = np.argsort(~spaced, kind="stable")
+        first, which = first[order], np.argsort(order)[which]
+        found, many = self.learn(cells.dictionary.take(pa.array(order)), int(spaced.sum()), uncut[order])
+        few = many <= MOST
+        rows = np.zeros((len(many), MOST), self.ids.dtype)
+        rows[np.arange(MOST) < np.where(few, many, 0)[:, None]] = found[np.repeat(few, many)]
+        ids[new], count[new] = rows[which], many[which]
+
+        fit = np.flatnonzero(few & (size[first] <= LONGEST))
+        to, one = np.unique(slot[first[fit]], return_index=True)
+        fit = fit[one]
+        self.words[to], self.size[to], self.ids[to], self.count[to] = words[first[fit]], size[first[fit]], rows[fit], many[fit]
+
+        before = np.concatenate([[0], np.cumsum(count)])
+        total = np.diff(before[np.searchsorted(starts, ends)]) + 1
+        out = np.full(int(total.sum()), end_id, "<u4")
+        free = np.ones(len(out), bool)
+        free[np.cumsum(total) - 1] = False
+        begin = np.cumsum(many) - many
+        for i in np.flatnonzero(~few[which]).tolist():  # pieces of many ids; before each text are the end ids of others
+            k, at = which[i], before[new[i]] + np.searchsorted(ends, starts[new[i]], side="right") - 1
+            out[at : at + many[k]] = found[begin[k] : begin[k] + many[k]]
+            free[at : at + many[k]] = False
+        out[free] = ids[np.arange(MOST) < np.where(count > MOST, 0, count)[:, None]]
+        return out, total
 
 
 @kept

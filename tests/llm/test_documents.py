@@ -159,6 +159,45 @@ def test_encoder_cuts_texts_safely():
     assert encoder.encode(texts) == [encoder.whole(t) for t in texts]
 
 
+@pytest.mark.parametrize("slots", [2, 64, 1 << 20])
+def test_encoder_with_any_number_of_slots(slots, monkeypatch):
+    pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(op04_patched_for, "SLOTS", slots)
+    encoder = op04_patched_for.Encoder(queries.tokenizer_file())
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abzéß中Q") for _ in range(n)) for n in range(24) for _ in range(6)] + ["\0", "a\0", "…" * 9, "x" * 7, "x" * 8, "x" * 15, "x" * 16]
+    texts = ["", *(rng.choice(["", " ", "\n"]) + "".join(rng.choice(words) + rng.choice([" ", ",", ". ", "\n"]) for _ in range(rng.randrange(40))) + rng.choice(words) for _ in range(300)), ""]
+    for _ in range(2):
+        assert encoder.encode(texts) == [encoder.whole(t) for t in texts]
+    assert encoder.encode([]) == [] and encoder.encode(["", ""]) == [b"", b""]
+
+
+def test_encoder_remembers_many_words():
+    """Words that a worker has encoded stay known over some MB of other words."""
+    pytest.importorskip("public_tokenizers")
+    encoder = op04_patched_for.Encoder(queries.tokenizer_file())
+
+    class Counting:
+        def __init__(self, inner):
+            self.inner, self.bytes = inner, 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.bytes += sum(map(len, texts))
+            return self.inner.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = counting = Counting(encoder.tokenizer)
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghij", k=7)) for _ in range(400_000)]
+    texts = [" ".join(words[i : i + 20_000]) for i in range(0, len(words), 20_000)]
+    seen = []
+    for _ in range(2):
+        counting.bytes = 0
+        for text in texts:
+            encoder.encode([text])
+        seen.append(counting.bytes)
+    assert 0 < seen[1] < seen[0] / 2
+
+
 BENCHMARK = [(1, None), (2, ""), (3, "one two"), (4, "w1x w2x w3x"), (4, "repeated id")]
 
 
