@@ -171,6 +171,49 @@ def test_candidates_look_at_few_runs(monkeypatch):
         assert [x[:2] for x in own] == sorted(want)[: D.TOP]
 
 
+def test_candidates_compare_earlier_titles_alone(monkeypatch):
+    """Titles with a later id are no part of what is compared; long titles are taken few at once."""
+    import random
+
+    import pyarrow as pa
+
+    draw, at = random.Random(7), datetime(2026, 9, 1)
+    texts = ["".join(draw.choices("abcdefgh", k=20 + i % 40)) for i in range(400)]
+    table = lambda ids: pa.table([pa.array(ids), pa.array([at] * len(ids), pa.timestamp("us")), pa.array([["c1"]] * len(ids)), *[pa.array([texts[i] for i in ids])] * 2], ["id", "created_at", "keys", "plain", "strict"])
+    places, shapes, whole = {i: i for i in range(400)}, [], D._shared
+    monkeypatch.setattr(D, "_shared", lambda mine, theirs, shape: shapes.append(shape) or whole(mine, theirs, shape))
+    kept = [[] for _ in range(40)]
+    D._keep_best(kept, D._Titles(table(range(60, 100)), "c1", places), D._Titles(table(range(400)), "c1", places), True, timedelta(days=3), D.TOP)
+    assert shapes and all(shape == (40, 99) for shape in shapes)
+    for i, own in zip(range(60, 100), kept, strict=True):
+        all_ = [(D.scores(texts[i], texts[j]), j) for j in range(i)]
+        short = lambda j: sorted((len(texts[i]), len(texts[j])))
+        assert [x[:2] for x in own] == sorted((-D.lexical_score(s[0] / short(j)[0], s[0] / short(j)[1], *s[1:]), j) for s, j in all_)[: D.TOP]
+    monkeypatch.setattr(D, "CHARS_AT_ONCE", 100)
+    cut = [t.column("id").to_pylist() for t in D._slices(table(range(50)), 3)]
+    assert sum(cut, []) == list(range(50)) and all(len(x) == 1 or (len(x) <= 3 and sum(len(texts[i]) for i in x) <= 100) for x in cut)
+
+
+def test_runs_under_the_least_are_none():
+    """Runs of short, long and repetitive texts, asked for with and without the least that counts."""
+    import random
+
+    draw = random.Random(3)
+    text = lambda n, k: "".join(draw.choices(["th", "e", "tion", "an", "is", "of", "x1"][:k], k=n))
+    for n in range(120):
+        a, b = text(draw.choice((5, 40, 200, 400)), draw.choice((1, 3, 7))), text(draw.choice((5, 40, 200, 400)), draw.choice((1, 3, 7)))
+        if n % 3 == 0:
+            b = b[: len(b) // 2] + a[len(a) // 3 : len(a) // 3 + draw.randrange(1, 200)] + b[len(b) // 2 :]
+        short, long = sorted((a, b), key=len)
+        run = 0
+        for i in range(len(short)):
+            while i + run < len(short) and short[i : i + run + 1] in long:
+                run += 1
+        for least in (0, 1, run - 5, run, run + 1, run + 40):
+            for most in (None, run, min(run + 9, len(short))):
+                assert D.common_run(a, b, most, least) == (run if run >= least else 0)
+
+
 def test_recalled_pairs_are_not_shuffled(spark):
     """Every pair once, with several, one or no channel in common, null channels and tabs; nothing gathers the pairs."""
     rows = [(i, None if i % 11 == 0 else [i % 3, i % 4, i % 3], None if i % 5 == 0 else i % 2, datetime(2026, 9, 1 + i % 6, i % 24)) for i in range(60)]
