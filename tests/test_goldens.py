@@ -214,6 +214,13 @@ def test_runs_under_the_least_are_none():
                 assert D.common_run(a, b, most, least) == (run if run >= least else 0)
 
 
+def test_candidates_read_titles_once(spark):
+    """Titles are read once for both sides (a filter on their length has them normalized before it and after it)."""
+    articles = spark.createDataFrame([(1, "Alpha wins the final game", [1], 1, datetime(2026, 9, 1))], "id bigint, title_final string, channels array<bigint>, tab_id bigint, created_at timestamp_ntz")
+    plan = D.candidates(articles)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2 and plan.count("Scan ExistingRDD") == 2  # the other scan counts articles
+
+
 def test_recalled_pairs_are_not_shuffled(spark):
     """Every pair once, with several, one or no channel in common, null channels and tabs; nothing gathers the pairs."""
     rows = [(i, None if i % 11 == 0 else [i % 3, i % 4, i % 3], None if i % 5 == 0 else i % 2, datetime(2026, 9, 1 + i % 6, i % 24)) for i in range(60)]
